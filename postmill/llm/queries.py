@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import quality_rules
+from postmill.llm import line_dedup, mixing, quality_rules
 from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(documents(spark, d)),
+    "op3_line_dedup": lambda spark, d: line_dedup.op3(documents(spark, d)),
+    "op9_mixing": lambda spark, d: mixing.op9(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+}
