@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import line_dedup, mixing, quality_rules, simhash
+from postmill.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(documents(spark, d)),
     "op3_line_dedup": lambda spark, d: line_dedup.op3(documents(spark, d)),
+    "op6_decontaminate": lambda spark, d: decontaminate.op6(
+        documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
+    ),
     "op8_simhash": lambda spark, d: simhash.op8(documents(spark, d)),
     "op9_mixing": lambda spark, d: mixing.op9(documents(spark, d)),
 }
