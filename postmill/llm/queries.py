@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, line_dedup, mixing, ppm, quality_rules, simhash
+from postmill.llm import decontaminate, line_dedup, mixing, ppm, quality_rules, simhash, warc
 from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,9 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "op8_simhash": lambda spark, d: simhash.op8(documents(spark, d)),
     "op9_mixing": lambda spark, d: mixing.op9(documents(spark, d)),
+    "op10_warc": lambda spark, d: warc.op10(spark.read.parquet(f"{d}/pages.parquet")),
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
