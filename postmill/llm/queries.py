@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, html_cut, line_dedup, mixing, ppm, quality_rules, simhash, warc
+from postmill.llm import decontaminate, html_cut, line_dedup, mixing, pii, ppm, quality_rules, simhash, url_filters, warc
 from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm": lambda spark, d: ppm.op2(documents(spark, d)),
     "op3_line_dedup": lambda spark, d: line_dedup.op3(documents(spark, d)),
     "op4_html_cut": lambda spark, d: html_cut.op4(spark.read.parquet(f"{d}/pages.parquet")),
+    "op5_url_filters": url_filters.op5,
     "op6_decontaminate": lambda spark, d: decontaminate.op6(
         documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
     ),
+    "op7_pii": lambda spark, d: pii.op7(documents(spark, d)),
     "op8_simhash": lambda spark, d: simhash.op8(documents(spark, d)),
     "op9_mixing": lambda spark, d: mixing.op9(documents(spark, d)),
     "op10_warc": lambda spark, d: warc.op10(spark.read.parquet(f"{d}/pages.parquet")),
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op5_url_filters": url_filters.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
