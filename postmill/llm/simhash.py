@@ -301,3 +301,28 @@ def op8(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 2
+) -> DataFrame:
+    """The documents with one row of each group of near-duplicates: that of the smallest id.
+
+    Keeps the input columns. Null ids come last; rows equal in id and text are one row.
+    """
+    row_id, body = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(row_id, body).alias("r1"),
+        F.xxhash64(F.lit("row"), row_id, body).alias("r2"),
+        row_id.alias("id"),
+        body.alias("body"),
+    )
+    prints = spill(keyed.select("id", "r1", "r2", fingerprint_udf(width)(F.col("body")).alias("fp")), "fingerprints")
+    named = prints.join(groups(prints, radius).withColumnRenamed("component_id", "name"), "fp")
+    # groups that have no id but null are told apart by fingerprint
+    first = named.groupBy("name", F.when(F.col("name").isNull(), F.col("fp")).alias("lone")).agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first")
+    )
+    kept = spill(first.select("first.r1", "first.r2"), "first-of-group")
+    return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row.*")
