@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.llm.common import spill
 
@@ -42,27 +43,34 @@ PAIR_BLOCK = 1 << 20
 # --- fingerprints -------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64-bit SimHash of the word shingles: bit b is set if it is in over half of the hashes."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of ``width`` lower-cased words, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - width + 1].tolist()
-        pieces = map(joined.__getitem__, map(slice, starts, ends[width - 1 :].tolist()))
-        hashes = list(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - width + 1].tolist()
+    pieces = map(joined.__getitem__, map(slice, starts, ends[width - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Bit b is set if it is in over half of the hashes; no hashes give zero."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[k : k + (1 << 16)], dtype=np.uint64).astype(">u8")
+        block = hashes[k : k + (1 << 16)].astype(">u8")
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    return simhash(shingle_hashes(text, width))
+
+
 def fingerprint_udf(width: int):
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
@@ -303,12 +311,92 @@ def op8(docs: DataFrame) -> DataFrame:
     )
 
 
+# --- links by similarity ------------------------------------------------------------------------
+
+#: Min-hash bands and the values in each: two texts of similarity 0.8 miss all bands once in 20,000.
+BANDS, BAND_ROWS = 25, 5
+_RNG = np.random.default_rng(20_240_101)
+_FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def band_keys(distinct: np.ndarray) -> list[int]:
+    """One signed 64-bit key per band over the distinct shingle hashes of a text."""
+    if not len(distinct):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(distinct), 4096):
+        mixed = distinct[k : k + 4096, None] * _FACTORS + _SHIFTS
+        np.minimum(least, (mixed >> np.uint64(20)).min(0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    found = np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+    return found.view(np.int64).tolist()
+
+
+def signature_udf(width: int):
+    """text -> fingerprint, node (a hash of the set of shingles) and band keys."""
+    kind = T.StructType(
+        [T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    )
+    arrow = pa.struct([("fp", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    @F.arrow_udf(kind)
+    def of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts:
+            hashes = shingle_hashes(text.as_py(), width)
+            distinct = np.unique(hashes)
+            both = np.array([simhash(hashes), xxhash.xxh64_intdigest(distinct.tobytes(), SEED)], np.uint64).view(np.int64)
+            rows.append({"fp": int(both[0]), "node": int(both[1]), "bands": band_keys(distinct)})
+        return pa.array(rows, arrow)
+
+    return of
+
+
+def shingle_set_udf(width: int):
+    """text -> its distinct shingle hashes, cut to 32 bits."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t.as_py(), width).astype(np.uint32)).view(np.int32) for t in texts]
+        return pa.array(sets, pa.list_(pa.int32()))
+
+    return of
+
+
+def similar_links(keyed: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) node edges between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Nodes that share a band's key are candidates: each is compared with the least and the greatest node
+    of the bucket, so a bucket of any size gives two pairs per node, not all pairs. A node lies in
+    ``BANDS`` buckets, whose extremes differ. Every candidate is verified on its whole set.
+    """
+    places = prints.select("node", F.explode("bands").alias("key")).distinct()
+    ends = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    ends = spill(ends, "band-buckets")
+    joined = places.join(ends, "key")
+    pairs = joined.select("node", F.explode(F.array("low", "high")).alias("other")).filter("node <> other")
+    pairs = spill(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # one row stands for all copies of a node
+    rows = prints.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("first")).join(involved, "node", "left_semi")
+    rows = spill(rows.select("node", "first.r1", "first.r2"), "involved")
+    texts = keyed.select("r1", "r2", "body").join(rows, ["r1", "r2"]).dropDuplicates(["node"])
+    sets = spill(texts.select("node", shingle_set_udf(width)(F.col("body")).alias("grams")), "shingle-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    union = F.size("a_grams") + F.size("b_grams") - common
+    return both.filter(common >= F.lit(similarity) * union).select("a", "b")
+
+
 def one_of_each_group(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8
 ) -> DataFrame:
     """The documents with one row of each group of near-duplicates: that of the smallest id.
 
-    Keeps the input columns. Null ids come last; rows equal in id and text are one row.
+    Links are equal sets of shingles, fingerprints within ``radius`` bits, and sets of a similarity of
+    ``similarity`` or more. Keeps the input columns. Null ids come last; rows equal in id and text are one row.
     """
     row_id, body = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.select(
@@ -318,11 +406,19 @@ def one_of_each_group(
         row_id.alias("id"),
         body.alias("body"),
     )
-    prints = spill(keyed.select("id", "r1", "r2", fingerprint_udf(width)(F.col("body")).alias("fp")), "fingerprints")
-    named = prints.join(groups(prints, radius).withColumnRenamed("component_id", "name"), "fp")
-    # groups that have no id but null are told apart by fingerprint
-    first = named.groupBy("name", F.when(F.col("name").isNull(), F.col("fp")).alias("lone")).agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first")
-    )
+    prints = keyed.select("id", "r1", "r2", signature_udf(width)(F.col("body")).alias("s")).select("id", "r1", "r2", "s.*")
+    prints = spill(prints, "signatures")
+    nodes = spill(prints.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
+    near = hamming_links(nodes, radius)
+    name = lambda c: nodes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same = prints.select("fp", F.col("node").alias("a")).distinct().join(nodes.withColumnRenamed("node", "b"), "fp").filter("a <> b")
+    links = spill(near.union(same.select("a", "b")).union(similar_links(keyed, prints, width, similarity)).distinct(), "links")
+    if links.isEmpty():
+        labels = prints.select("node", F.col("node").alias("label")).limit(0)
+    else:
+        labels = components(links)
+    named = prints.select("id", "r1", "r2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first"))
     kept = spill(first.select("first.r1", "first.r2"), "first-of-group")
     return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row.*")
