@@ -189,3 +189,27 @@ def op1(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", *MEASURES[:5], base_failed.alias("base_failed"), verdict("v1").alias("kept"), "failures"
     )
+
+
+_ABUSIVE_SQL = ", ".join(f"'{w}'" for w in ABUSIVE)
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+w AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM d),
+g AS (SELECT w.doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM w JOIN d USING (doc_id)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+         length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper,
+         len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?"'')')) IN ({_ABUSIVE_SQL})))::BIGINT AS n_abusive
+  FROM d LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END" for k, r in enumerate(RULES))})::BIGINT AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failures = 0 AS kept, failures
+FROM f
+"""

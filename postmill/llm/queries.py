@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
