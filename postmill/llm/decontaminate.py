@@ -16,8 +16,6 @@ gives no hits; other columns pass through.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,18 +30,19 @@ WIDTH = 10
 #: UTF-8 bytes of benchmark text in a block: the bound on what is broadcast at once.
 BLOCK_BYTES = 16 << 20
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Per byte of UTF-8: A-Z lower-cased, other word bytes as they are, all else a space. Bytes of
+#: characters beyond ASCII are word bytes throughout.
+_WORD_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
+)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased (A-Z) words of letters, digits and everything beyond ASCII."""
-    if not text:
-        return []
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of letters, digits and everything beyond ASCII, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def windows_of(words: list[str], width: int) -> list[tuple[str, ...]]:
+def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     if not words:
         return []
     return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
@@ -52,19 +51,19 @@ def windows_of(words: list[str], width: int) -> list[tuple[str, ...]]:
 class Index:
     """Prefix index of a block: rarest word -> (its offset, window, items that have it)."""
 
-    def __init__(self, items: list[tuple[object, str | None]], frequency: dict[str, int], width: int):
-        holders: dict[tuple[str, ...], set] = defaultdict(set)
+    def __init__(self, items: list[tuple[object, str | None]], frequency: dict[bytes, int], width: int):
+        holders: dict[tuple[bytes, ...], set] = defaultdict(set)
         for item_id, text in items:
             for window in windows_of(words_of(text), width):
                 holders[window].add(item_id)
-        self.probes: dict[str, list[tuple[int, tuple[str, ...], tuple]]] = defaultdict(list)
+        self.probes: dict[bytes, list[tuple[int, tuple[bytes, ...], tuple]]] = defaultdict(list)
         for window, ids in holders.items():
             k = min(range(len(window)), key=lambda j: (frequency.get(window[j], 0), window[j], j))
             if frequency.get(window[k], 0):  # a word that the corpus lacks can't be found there
                 self.probes[window[k]].append((k, window, tuple(ids)))
         self.probes = dict(self.probes)
 
-    def find(self, words: list[str]) -> tuple[list[tuple[int, int]], set]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of window occurrences, in order of end, and the items concerned."""
         spans, found = [], set()
         if self.probes.keys().isdisjoint(words):
@@ -96,7 +95,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
     return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("int")), n_blocks
 
 
-def corpus_frequency(docs: DataFrame, text_col: str, vocabulary: set[str]) -> dict[str, int]:
+def corpus_frequency(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
     """How often each word of ``vocabulary`` (that of one block) occurs in all documents."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -107,11 +106,11 @@ def corpus_frequency(docs: DataFrame, text_col: str, vocabulary: set[str]) -> di
                 found = Counter(words_of(text.as_py()))
                 total.update({w: found[w] for w in found.keys() & known.value})
         yield pa.RecordBatch.from_pydict(
-            {"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())}
+            {"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())}
         )
 
-    counts = docs.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counts.collect()}  # at most the block's vocabulary
+    counts = docs.select(F.col(text_col)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {bytes(r["word"]): r["n"] for r in counts.collect()}  # at most the block's vocabulary
 
 
 def find_windows(
