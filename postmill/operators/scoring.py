@@ -101,3 +101,44 @@ def collection_score(seed: dict[str, list[str]], row: dict[str, Column]) -> Colu
     for key, column, weight in (("industries", "description", 0.3), ("locations", "location", 0.2), ("experience_levels", "experience_level", 0.15), ("employment_types", "employment_type", 0.1)):
         score = score + count(seed.get(key, []), lambda w, c=column: F.contains(low(row[c]), F.lit(w))) * F.lit(weight)
     return F.round(score + F.when(low(row["description"]) != "", 0.3).otherwise(0.0), 6)
+
+
+def multi_role_match(tracks: Column, acceptable: Column, new_grad: Column, experience_of, it_groups: tuple[str, ...]) -> Column:
+    """Eligibility by the tracks of a posting: struct (eligible, role, experience, track).
+
+    ``tracks`` are structs with (no, groups, accepts, min_years, requirement, recruitment, unknown). Role and
+    experience come from the same track: the first that matches and isn't excluded, else the first that matches.
+    """
+    rated = F.transform(
+        F.filter(tracks, lambda t: ~t["unknown"]),
+        lambda t: F.struct(
+            t["no"].alias("no"),
+            t["groups"].alias("groups"),
+            experience_of(t["accepts"], t["min_years"], t["requirement"], t["recruitment"], new_grad).alias("exp"),
+        ),
+    )
+    free = F.size(acceptable) == 0
+    direct = F.filter(rated, lambda t: F.when(free, F.arrays_overlap(t["groups"], F.array(*map(F.lit, it_groups)))).otherwise(F.arrays_overlap(t["groups"], acceptable)))
+    broad = F.filter(rated, lambda t: F.array_contains(t["groups"], "GENERAL_IT"))
+    fit = lambda xs: F.get(F.filter(xs, lambda t: t["exp"] != "EXCLUDED"), F.lit(0))
+    out = lambda ok, role, exp, no: F.struct(F.lit(ok).alias("eligible"), F.lit(role).alias("role"), exp.alias("experience"), no.cast("int").alias("track"))
+    none = F.lit(None).cast("int")
+    return (
+        F.when(fit(direct).isNotNull(), out(True, "DIRECT_MATCH", fit(direct)["exp"], fit(direct)["no"]))
+        .when(free, out(False, "DIRECT_MATCH", F.lit("EXCLUDED"), none))
+        .when(F.size(direct) > 0, out(False, "DIRECT_MATCH", F.get(direct, F.lit(0))["exp"], F.get(direct, F.lit(0))["no"]))
+        .when(fit(broad).isNotNull(), out(True, "BROAD_IT_MATCH", fit(broad)["exp"], fit(broad)["no"]))
+        .when(F.size(broad) > 0, out(False, "BROAD_IT_MATCH", F.lit("EXCLUDED"), F.get(broad, F.lit(0))["no"]))
+        .otherwise(out(False, "MISMATCH", F.lit("UNKNOWN"), none))
+    )
+
+
+def first_hit_score(seed: dict[str, list[str]], row: dict[str, Column], weights: dict[str, tuple[str, float]]) -> Column:
+    """Source-side score: each seed list counts once, at its first hit in its text."""
+    out = F.lit(0.0)
+    for key, (column, weight) in weights.items():
+        hit = F.lit(False)
+        for w in seed.get(key, []):
+            hit = hit | F.contains(F.lower(F.coalesce(row[column], F.lit(""))), F.lit(w.lower()))
+        out = out + F.when(hit, weight).otherwise(0.0)
+    return out

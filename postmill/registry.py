@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.plans import collect, functions_queries, recommend, relational, source_queries, streaming_queries
+from postmill.plans import (
+    collect, functions_queries, more_queries, recommend, relational, source_queries, streaming_queries,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,5 +25,5 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLES[name] = sql
 
 
-for module in (functions_queries, recommend, collect, relational, source_queries, streaming_queries):
+for module in (functions_queries, recommend, collect, relational, source_queries, streaming_queries, more_queries):
     module.register(_add)
