@@ -400,3 +400,31 @@ def test_pipeline_stages(spark, docs, empty, bench, tmp_path):
                 assert out.columns == docs.columns, name
             if not table.count():
                 assert out.count() == 0
+
+
+def test_one_of_each_similar_group(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 60, 150, 400]))]
+        texts.append(base)
+        for _ in range(rng.randint(0, 4)):
+            other = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+            texts.append(other)
+    rng.shuffle(texts)
+    joined = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in joined]
+    fps = [simhash.fingerprint(t, 5) for t in joined]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            near = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 2
+            if near and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    df = spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each_group(df).collect()} == set(label)
