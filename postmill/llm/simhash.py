@@ -315,6 +315,8 @@ def op8(docs: DataFrame) -> DataFrame:
 
 #: Min-hash bands and the values in each: two texts of similarity 0.8 miss all bands once in 20,000.
 BANDS, BAND_ROWS = 25, 5
+#: Nodes of a bucket's block, two of which are compared in one task, and sets from which on an element is a column.
+BLOCK_NODES, OFTEN = 256, 8
 _RNG = np.random.default_rng(20_240_101)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -364,12 +366,20 @@ def shingle_set_udf(width: int):
     return of
 
 
+def shingle_sets(keyed: DataFrame, prints: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, grams) for each ``node`` of ``wanted``; one row stands for all copies of a node."""
+    rows = prints.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("first")).join(wanted, "node", "left_semi")
+    rows = spill(rows.select("node", "first.r1", "first.r2"), "involved")
+    texts = keyed.select("r1", "r2", "body").join(rows, ["r1", "r2"]).dropDuplicates(["node"])
+    return spill(texts.select("node", shingle_set_udf(width)(F.col("body")).alias("grams")), "shingle-sets")
+
+
 def similar_links(keyed: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b) node edges between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Nodes that share a band's key are candidates: each is compared with the least and the greatest node
-    of the bucket, so a bucket of any size gives two pairs per node, not all pairs. A node lies in
-    ``BANDS`` buckets, whose extremes differ. Every candidate is verified on its whole set.
+    of the bucket, so a bucket of any size gives two pairs per node. Every candidate is verified on its
+    whole set. :func:`remaining_links` compares what these leave apart.
     """
     places = prints.select("node", F.explode("bands").alias("key")).distinct()
     ends = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
@@ -378,11 +388,7 @@ def similar_links(keyed: DataFrame, prints: DataFrame, width: int, similarity: f
     pairs = joined.select("node", F.explode(F.array("low", "high")).alias("other")).filter("node <> other")
     pairs = spill(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # one row stands for all copies of a node
-    rows = prints.groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("first")).join(involved, "node", "left_semi")
-    rows = spill(rows.select("node", "first.r1", "first.r2"), "involved")
-    texts = keyed.select("r1", "r2", "body").join(rows, ["r1", "r2"]).dropDuplicates(["node"])
-    sets = spill(texts.select("node", shingle_set_udf(width)(F.col("body")).alias("grams")), "shingle-sets")
+    sets = shingle_sets(keyed, prints, involved, width)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -390,6 +396,74 @@ def similar_links(keyed: DataFrame, prints: DataFrame, width: int, similarity: f
     return both.filter(common >= F.lit(similarity) * union).select("a", "b")
 
 
+def common_counts(owners: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+    """How many elements each two of ``n`` sets share; ``grams[i]`` is an element of set ``owners[i]``."""
+    ranks = np.argsort(grams, kind="stable")
+    owners, grams = owners[ranks], grams[ranks]
+    start = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+    times = np.diff(np.append(start, len(grams)))
+    counts = np.zeros(n * n, np.float32)
+    # elements of few sets as pairs, those of many as columns of 0/1 matrices
+    for t in range(2, OFTEN):
+        at = start[times == t]
+        for i in range(t):
+            for j in range(t):
+                counts += np.bincount(owners[at + i] * n + owners[at + j], minlength=n * n) if len(at) else 0
+    counts = counts.reshape(n, n)
+    often = np.flatnonzero(times >= OFTEN)
+    for k in range(0, len(often), 4096):
+        part = often[k : k + 4096]
+        columns = np.repeat(np.arange(len(part)), times[part])
+        inside = np.arange(len(columns)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+        matrix = np.zeros((n, len(part)), np.float32)
+        matrix[owners[np.repeat(start[part], times[part]) + inside], columns] = 1
+        counts += matrix @ matrix.T
+    return counts
+
+
+def remaining_links(
+    keyed: DataFrame, prints: DataFrame, labels: DataFrame, width: int, similarity: float, block: int = BLOCK_NODES
+) -> DataFrame:
+    """(a, b) edges of labels that all similar pairs in the buckets add to ``labels`` (node, label).
+
+    A bucket of one label has nothing to add, and up to three nodes are compared with both ends already.
+    All pairs of the other buckets are verified: buckets are cut into blocks, each two blocks meet in one
+    task, and a task returns a spanning forest, so a bucket of any size gives as many rows as it has labels.
+    """
+    places = prints.select("node", F.explode("bands").alias("key")).distinct().join(labels, "node", "left")
+    places = places.withColumn("label", F.coalesce("label", "node"))
+    # buckets of the same nodes are one
+    mark = F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(20)")), F.bit_xor("node"))
+    buckets = places.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), mark.alias("mark")
+    )
+    buckets = buckets.filter("n > 3 AND low <> high").groupBy("mark").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    buckets = spill(buckets.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "open-buckets")
+    members = spill(places.join(buckets, "key"), "open-members")
+    sets = shingle_sets(keyed, prints, members.select("node").distinct(), width)
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")
+    dealt = members.select("key", "node", "label", "blocks", mine)
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("key", "node", "label", "mine", others)
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
+
+    def compare_sets(group: pa.Table) -> pa.Table:
+        labels = group.column("label").to_numpy().view(np.uint64)
+        lists = group.column("grams").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(sizes)
+        owners = np.repeat(np.arange(n), sizes)
+        common = common_counts(owners, lists.flatten().to_numpy(zero_copy_only=False), n)
+        similar = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+        a, b = np.nonzero(similar & (labels[:, None] < labels[None, :]))
+        forest = Forest(labels)
+        forest.add(labels[a], labels[b])
+        a, b = forest.links()
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare_sets, "a long, b long")
+
+
 def one_of_each_group(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8
 ) -> DataFrame:
@@ -418,6 +492,11 @@ def one_of_each_group(
         labels = prints.select("node", F.col("node").alias("label")).limit(0)
     else:
         labels = components(links)
+    more = spill(remaining_links(keyed, prints, labels, width, similarity).distinct(), "remaining")
+    if not more.isEmpty():
+        newer = components(more).select(F.col("node").alias("label"), F.col("label").alias("newer"))
+        known = prints.select("node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labels = spill(known.join(newer, "label", "left").select("node", F.coalesce("newer", "label").alias("label")), "labels")
     named = prints.select("id", "r1", "r2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first"))
     kept = spill(first.select("first.r1", "first.r2"), "first-of-group")

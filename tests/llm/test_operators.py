@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -428,3 +429,34 @@ def test_one_of_each_similar_group(spark):
                 label = [new if x == old else x for x in label]
     df = spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.one_of_each_group(df).collect()} == set(label)
+
+
+def test_drifting_copies_are_linked_in_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = []
+    for k in range(1000):
+        other = list(base)
+        for at in rng.sample(range(400), k % 21):
+            other[at] = f"x{rng.randrange(100_000)}"
+        texts.append(" ".join(other))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    fps = np.array([simhash.fingerprint(t, 5) for t in texts], np.uint64)
+    keys = np.array([simhash.band_keys(s) for s in sets])
+    column = {g: k for k, g in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    matrix = np.zeros((len(sets), len(column)), np.float32)
+    for k, s in enumerate(sets):
+        matrix[k, [column[g] for g in s.tolist()]] = 1
+    common, sizes = matrix @ matrix.T, matrix.sum(1)
+    meet = np.any([k[:, None] == k for k in keys.T], axis=0)
+    near = meet & (common >= 0.8 * (sizes[:, None] + sizes - common)) | (np.bitwise_count(fps[:, None] ^ fps) <= 2)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(near, label[None, :], len(sets)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.one_of_each_group(df).collect()} == set(label.tolist())
