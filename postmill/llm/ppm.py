@@ -9,7 +9,9 @@ symbol are coded, so the score is a probability of the same token sequence the b
 Counting covers every training text: numpy counts (context, symbol) pairs per batch, Spark sums them.
 The orders up to ``FULL_ORDER`` are kept whole; longer contexts are kept from the lowest power-of-two
 total on at which all of them fit ``MAX_PAIRS`` pairs, which bounds the broadcast trie. Kept contexts
-are closed under shortening, as a shorter context is at least as frequent.
+are closed under shortening, as a shorter context is at least as frequent. The broadcast trie is a cache:
+a symbol whose longest context is in it is coded at once; all others are coded by the whole table of
+counts, which is partitioned by the last ``FULL_ORDER + 1`` bytes of the context, and joined back.
 
 The base score needs a count for every word of the corpus. Words from a power-of-two frequency on
 that fit ``HEAD_WORDS`` are broadcast; all others, none of them frequent, are joined by shuffle.
@@ -38,6 +40,8 @@ MAX_PAIRS = 1 << 19
 #: Bound of the broadcast dictionary, and the bytes a word in it may have.
 HEAD_WORDS = 1 << 16
 HEAD_BYTES = 64
+#: Pairs that a shard of the whole table should hold.
+SHARD_PAIRS = 1 << 18
 #: Symbols: 256 bytes of which UTF-8 leaves some unused; these two never occur in it.
 PAD, END = 0xFE, 0xFF
 N_SYMBOLS = 255  # bytes but PAD
@@ -204,16 +208,36 @@ class Trie:
 
     def score(self, joined: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
+        return self.score_known(joined, True)[0]
+
+    def score_known(self, joined: list[bytes], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text, the symbols left out of it, and how many of them each text has.
+
+        Left out are those whose longest context isn't in the trie, unless the trie is ``whole``.
+        """
         keys, starts = pair_keys(joined, self.order)
         distinct, where = np.unique(keys, return_inverse=True)
-        return np.add.reduceat(self.log_probability(distinct)[where], starts) / np.log(10.0)
+        known = np.full(len(distinct), whole) | self._find(self.contexts[self.order], distinct >> np.uint64(8))[1]
+        logs = np.zeros(len(distinct))
+        logs[known] = self.log_probability(distinct[known])
+        away = ~known[where]
+        n_away = np.add.reduceat(away.astype(np.int64), starts)
+        return np.add.reduceat(logs[where], starts) / np.log(10.0), keys[away], n_away
 
 
 class Model:
-    """What :func:`train` returns; ``tail`` stays a DataFrame, the rest is bounded."""
+    """What :func:`train` returns; ``tail`` and ``contexts`` stay DataFrames, the rest is bounded.
 
-    def __init__(self, trie: Trie, head: dict[bytes, int], tail: DataFrame, n_tokens: int, n_distinct: int, ends: int):
+    ``n_pairs`` counts the pairs of ``contexts``, those of contexts longer than ``full_order``; ``whole`` says that
+    the trie holds all of them.
+    """
+
+    def __init__(
+        self, trie: Trie, head: dict[bytes, int], tail: DataFrame, n_tokens: int, n_distinct: int, ends: int,
+        contexts: DataFrame, n_pairs: int, whole: bool, full: list[tuple[np.ndarray, np.ndarray]],
+    ):
         self.trie, self.head, self.tail = trie, head, tail
+        self.contexts, self.n_pairs, self.whole, self.full = contexts, n_pairs, whole, full
         self.n_tokens, self.n_distinct, self.ends = n_tokens, n_distinct, ends
 
 
@@ -250,7 +274,8 @@ def train(
     sizes = contexts.filter(F.col("k") > full_order).groupBy(log2_of(F.col("total")).alias("level")).agg(
         F.sum(F.size("symbols")).alias("pairs")
     )
-    least = power_cut([tuple(r) for r in sizes.collect()], max_pairs)
+    sizes = [tuple(r) for r in sizes.collect()]  # at most 64 rows
+    least = power_cut(sizes, max_pairs)
     kept = contexts.filter((F.col("k") <= full_order) | (F.col("total") >= least))
     table = kept.select("k", F.explode("symbols").alias("s")).select("k", "s.pair", "s.n").toArrow()
     ks, keys, n = (table.column(c).to_numpy() for c in ("k", "pair", "n"))
@@ -261,20 +286,51 @@ def train(
         by_order.append((part[ranks], n[ks == k][ranks]))
     del table, ks, keys, n, rows
     tail = words.filter(~in_head)
-    return Model(Trie(by_order), head, tail, sum(t for _, _, t in stats), sum(w for _, w, _ in stats), ends)
+    longer = contexts.filter(F.col("k") > full_order).select("k", "context", "symbols")
+    return Model(
+        Trie(by_order), head, tail, sum(t for _, _, t in stats), sum(w for _, w, _ in stats), ends,
+        longer, sum(n for _, n in sizes), least == 1, by_order[: full_order + 1],
+    )
 
 
 # --- scoring ------------------------------------------------------------------------------------
 
 
+def coded_by_table(pairs: DataFrame, model: Model, shard_pairs: int) -> DataFrame:
+    """(pair, log) for the distinct ``pair`` of ``pairs``: log10 probability under all counts.
+
+    A shard holds all contexts with the same last bytes, so with the short orders, which are whole, it is a
+    trie closed under shortening.
+    """
+    full, order = model.full, model.trie.order
+    shards = max(1, -(-model.n_pairs // shard_pairs))
+    mask = (1 << (8 * len(full))) - 1
+    shard = lambda context: F.pmod(F.xxhash64(context.bitwiseAND(F.lit(mask).cast("long"))), F.lit(shards)).cast("int").alias("shard")
+    table = model.contexts.select(shard(F.col("context")), "k", F.explode("symbols").alias("s")).select("shard", "k", "s.pair", "s.n")
+    wanted = pairs.select("pair").distinct().select(shard(F.shiftrightunsigned("pair", 8)), "pair")
+
+    def code(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        ks, keys, n = (rows.column(c).to_numpy() for c in ("k", "pair", "n"))
+        by_order = list(full)
+        for k in range(len(full), order + 1):
+            part = keys[ks == k].view(np.uint64)
+            ranks = np.argsort(part)
+            by_order.append((part[ranks], n[ks == k][ranks]))
+        asked = wanted.column("pair").to_numpy()
+        logs = Trie(by_order).log_probability(asked.view(np.uint64)) / np.log(10.0)
+        return pa.table({"pair": pa.array(asked), "log": pa.array(logs)})
+
+    return table.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(code, "pair long, log double")
+
+
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.head, model.ends))
+    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.head, model.ends, model.whole))
     id_type = docs.schema[id_col].dataType.simpleString()
     tail_type = "array<struct<word:binary,n:int>>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head, ends = shared.value
+        trie, head, ends, whole = shared.value
         tail_arrow = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
             done = 0
@@ -293,21 +349,24 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                     known.append(hits)
                     logs.append(total)
                     tails.append(rest)
+                scores, away, n_away = trie.score_known(joined, whole)
+                offsets = pa.array(np.append(0, np.cumsum(n_away)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(done, len(tokens)),
                         pa.array(n, pa.int64()),
                         pa.array(known, pa.int64()),
                         pa.array(logs, pa.float64()),
-                        pa.array(trie.score(joined)),
+                        pa.array(scores),
                         pa.array(tails, tail_arrow),
+                        pa.ListArray.from_arrays(offsets, pa.array(away.view(np.int64))),
                     ],
-                    names=["id", "n_tokens", "known", "logs", "score", "tail"],
+                    names=["id", "n_tokens", "known", "logs", "score", "tail", "away"],
                 )
                 done += len(tokens)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        score, f"id {id_type}, n_tokens long, known long, logs double, score double, tail {tail_type}"
+        score, f"id {id_type}, n_tokens long, known long, logs double, score double, tail {tail_type}, away array<bigint>"
     )
     # numbered when written, so the number names the row in every later read
     rows = spill(rows.withColumn("uid", F.monotonically_increasing_id()), "ppm-scores")
@@ -318,8 +377,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         .groupBy("uid")
         .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more_logs"))
     )
+    if not model.whole:
+        away = rows.select("uid", F.explode("away").alias("pair"))
+        coded = spill(coded_by_table(away, model, SHARD_PAIRS), "ppm-coded")
+        logs = away.join(coded, "pair").groupBy("uid").agg(F.sum("log").alias("away_log"))
+        rows = rows.join(logs, "uid", "left").withColumn("score", F.col("score") + F.coalesce("away_log", F.lit(0.0)))
     norm = float(np.log10(model.n_tokens + model.n_distinct + 1.0))
-    return rows.drop("tail").join(sums, "uid", "left").select(
+    return rows.drop("tail", "away").join(sums, "uid", "left").select(
         "id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

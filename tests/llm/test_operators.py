@@ -180,6 +180,16 @@ def test_ppm_small_bounds_agree_on_the_base(docs):
         assert r["n_known"] == other["n_known"] and r["base_score"] == pytest.approx(other["base_score"])
 
 
+@pytest.mark.parametrize("max_pairs", [0, 300])
+def test_ppm_small_bounds_agree_on_the_score(docs, monkeypatch, max_pairs):
+    monkeypatch.setattr(ppm, "SHARD_PAIRS", 500, raising=False)
+    texts = docs.filter(~ppm.held_out(F.col("doc_id"))).select("text")
+    small, large = ppm.train(texts, max_pairs=max_pairs), ppm.train(texts)
+    one, two = (sorted((r["n_tokens"], r["score"]) for r in ppm.score_documents(docs, m).collect()) for m in (small, large))
+    assert [n for n, _ in one] == [n for n, _ in two]
+    assert [s for _, s in one] == pytest.approx([s for _, s in two], rel=1e-9)
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body class="has-sidebar">
     <header><nav><a href="/">Home</a></nav></header><div class="cookie-notice">We use cookies on this site.</div>
