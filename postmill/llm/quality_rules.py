@@ -8,7 +8,8 @@ a handful of counters map-side.
 
 Defined results: a null or empty text has no words and fails ``few_words``; repeated rows are
 judged independently; an empty table gives an empty ledger; other columns pass through and a
-ledger column replaces an input column of the same name.
+ledger column replaces an input column of the same name. Labels without an id or a verdict are skipped, of several
+labels of one id the worst counts, and without labels the lexicon is the fixed list alone.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import SPACE, let, split_words
 
-# Abusive words counted by the `abusive` rule.
+# Abusive English words that the `abusive` rule counts beside the fitted ones.
 ABUSIVE = (
     "trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron",
     "idiots", "losers", "morons", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "retarded",
     "whore", "slut", "cunt", "vermin", "subhuman",
 )
 
+#: Labelled documents a lexicon is fitted on, and words it may hold: both are bounds on what is broadcast.
+SAMPLE_LABELS, LEXICON_WORDS = 20_000, 4096
+#: Punctuation that may follow a word.
+AFTER_WORD = ".,;:!?\"')%*#$&"
+
 #: Measurement columns of the ledger, in order.
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_abusive",
@@ -109,16 +115,34 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(found).cast("long")
 
 
-def _abusive(word: Column) -> Column:
-    """Whole-word match, any case, with sentence punctuation before or after."""
-    return F.lower(F.rtrim(word, F.lit(".,;:!?\"')"))).isin(*ABUSIVE)
+def _plain(word: Column) -> Column:
+    """A word in lower case without punctuation after it."""
+    return F.lower(F.rtrim(word, F.lit(AFTER_WORD)))
+
 
+def fit_lexicon(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS, limit: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> list[str]:
+    """Words that tell documents labelled toxic from others, whatever their language.
+
+    Fitted on at most ``sample`` labelled documents, those of the least hash. A word is taken that at least 4 and
+    1 in 200 of the toxic documents hold, and 4 more for each other document that holds it.
+    """
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id")
+    words = texts.select("toxic", F.explode(F.array_distinct(F.transform(split_words(F.col("text")), _plain))).alias("word"))
+    counts = words.filter("word <> ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    n_toxic = known.agg(F.sum("toxic").alias("n"))  # one row
+    found = counts.filter("t >= 4 + 4 * c").join(F.broadcast(n_toxic)).filter("200 * t >= n")
+    return [r["word"] for r in found.orderBy(F.desc("t"), "word").limit(limit).select("word").collect()]
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+
+def measure(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] | list[str] = ABUSIVE) -> DataFrame:
     """Append the measurement columns (one projection pass over the text, no shuffle)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    others = [c for c in docs.columns if c not in MEASURES]
-    tokens = docs.select(*others, split_words(F.col(text)).alias("__words"), body.alias("__body"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    tokens = docs.select(*others, split_words(F.col(f"`{text}`")).alias("__words"), body.alias("__body"))
     lines = F.filter(F.split("__body", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     tokens = tokens.select(*others, "__words", "__body", lines.alias("__lines"))
     return tokens.select(
@@ -130,13 +154,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         _repeat_words(F.col("__words")).alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("__body", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        F.size(F.filter("__words", _abusive)).cast("long").alias("n_abusive"),
+        F.size(F.filter("__words", lambda w: _plain(w).isin(*lexicon))).cast("long").alias("n_abusive"),
     )
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] | list[str] = ABUSIVE) -> DataFrame:
     """Measurements plus ``failures``: bit k is set where rule k fails."""
-    measured = measure(docs, text)
+    measured = measure(docs, text, lexicon)
     bits = [F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:
@@ -175,25 +199,48 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
     ).withColumn("kept_without_rule", F.col("kept") + F.col("n_failed_only"))
 
 
-def filter_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
+def lexicon_of(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The fixed words and the fitted ones."""
+    return sorted({*ABUSIVE, *fit_lexicon(docs, labels)})
+
+
+def filter_documents(
+    docs: DataFrame, policy: str = "v1", text: str = "text", lexicon: tuple[str, ...] | list[str] = ABUSIVE
+) -> DataFrame:
     """The documents that pass ``policy``, with exactly their input columns."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text).alias("__text"))
-    return apply_policy(ledger(packed, "__text"), policy).select("__row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    return apply_policy(ledger(packed, "__text", lexicon), policy).select("__row.*")
 
 
-def op1(docs: DataFrame) -> DataFrame:
+def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract digest of the ledger."""
-    rows = ledger(docs.select("doc_id", "text"))
+    rows = ledger(docs.select("doc_id", "text"), lexicon=lexicon_of(docs, labels))
     base_failed = ~verdict("base")
     return rows.select(
         "doc_id", *MEASURES[:5], base_failed.alias("base_failed"), verdict("v1").alias("kept"), "failures"
     )
 
 
-_ABUSIVE_SQL = ", ".join(f"'{w}'" for w in ABUSIVE)
+_ABUSIVE_SQL = ", ".join(f"('{w}')" for w in ABUSIVE)
+_AFTER_SQL = AFTER_WORD.replace("'", "''")
 OP1_SQL = rf"""
-WITH d AS (
+WITH k AS (
+  SELECT doc_id, max(toxic::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL
+  GROUP BY doc_id ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {SAMPLE_LABELS}),
+kw AS (
+  SELECT toxic, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+                                                    lambda x: lower(rtrim(x, '{_AFTER_SQL}'))))) AS word
+  FROM documents JOIN k USING (doc_id)),
+lex AS (
+  SELECT word FROM (SELECT word, sum(toxic) AS t, sum(1 - toxic) AS c FROM kw WHERE word <> '' GROUP BY word)
+  WHERE t >= 4 + 4 * c AND 200 * t >= (SELECT sum(toxic) FROM k) ORDER BY t DESC, word LIMIT {LEXICON_WORDS}),
+lx AS (SELECT word FROM lex UNION SELECT * FROM (VALUES {_ABUSIVE_SQL})),
+a AS (
+  SELECT doc_id, count(*) AS n_abusive
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM documents)
+  WHERE lower(rtrim(w, '{_AFTER_SQL}')) IN (SELECT word FROM lx) GROUP BY doc_id),
+d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
@@ -206,8 +253,8 @@ m AS (
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
          length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper,
-         len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?"'')')) IN ({_ABUSIVE_SQL})))::BIGINT AS n_abusive
-  FROM d LEFT JOIN c USING (doc_id)),
+         coalesce(n_abusive, 0)::BIGINT AS n_abusive
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)),
 f AS (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END" for k, r in enumerate(RULES))})::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failures = 0 AS kept, failures

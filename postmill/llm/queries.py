@@ -10,7 +10,7 @@ from postmill.llm import decontaminate, html_cut, line_dedup, mixing, pii, ppm,
 from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": lambda spark, d: quality_rules.op1(documents(spark, d)),
+    "op1_quality_rules": lambda spark, d: quality_rules.op1(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op2_ppm": lambda spark, d: ppm.op2(documents(spark, d)),
     "op3_line_dedup": lambda spark, d: line_dedup.op3(documents(spark, d)),
     "op4_html_cut": lambda spark, d: html_cut.op4(spark.read.parquet(f"{d}/pages.parquet")),

@@ -50,6 +50,11 @@ def empty(docs):
     return docs.filter("false")
 
 
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 0), (6, 0), (7, None), (None, 1), (19, 1), (19, 0)], "doc_id long, toxic int")
+
+
 @pytest.fixture(scope="module")
 def bench(spark):
     items = [("i1", "quick brown fox jumps over the lazy dog while seven other"), ("i2", "tie tie tie"), ("i3", None), ("i4", ""), ("i5", "absent words here"), ("i2", "tie tie tie")]
@@ -64,10 +69,12 @@ def as_dicts(df):
     return [r.asDict() for r in df.collect()]
 
 
-def test_every_query_takes_odd_and_empty_tables(docs, empty, bench):
+def test_every_query_takes_odd_and_empty_tables(docs, empty, bench, labels):
     for table in (docs, empty):
         n = table.count()
-        for op in (quality_rules.op1, ppm.op2, line_dedup.op3, pii.op7, simhash.op8, mixing.op9):
+        for known in (labels, labels.filter("false")):
+            assert quality_rules.op1(table, known).count() == n
+        for op in (ppm.op2, line_dedup.op3, pii.op7, simhash.op8, mixing.op9):
             assert op(table).count() == n, op
         assert decontaminate.op6(table, bench).count() == n
         assert decontaminate.op6(table, bench.filter("false")).filter("contaminated").count() == 0
@@ -76,8 +83,8 @@ def test_every_query_takes_odd_and_empty_tables(docs, empty, bench):
         assert warc.op10(pages).count() == n
 
 
-def test_quality_measurements(docs, rows):
-    got = sorted(map(str, [tuple(d[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for d in as_dicts(quality_rules.op1(docs))]))
+def test_quality_measurements(docs, rows, labels):
+    got = sorted(map(str, [tuple(d[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for d in as_dicts(quality_rules.op1(docs, labels))]))
     want = []
     for i, text, *_ in rows:
         ws = words(text)
@@ -99,6 +106,27 @@ def test_quality_ablation_counts(docs):
     assert kept.columns == docs.columns and kept.count() == sum(b == 0 for b in bits)
 
 
+def test_quality_lexicon_is_fitted_on_labels(spark):
+    texts = [(k, f"schlimmwort, common {'noise' if k % 2 else 'word'} {k}", 1) for k in range(12)] + [(k, f"common word noise {k}", 0) for k in range(12, 60)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, x) for k, _, x in texts], "doc_id long, toxic int")
+    assert quality_rules.fit_lexicon(docs, labels) == ["schlimmwort"]
+    assert quality_rules.fit_lexicon(docs, labels.filter("toxic = 0")) == []
+    rows = quality_rules.measure(docs.withColumnRenamed("doc_id", "a.b"), lexicon=["schlimmwort"])
+    assert rows.filter("n_abusive = 1").count() == 12 and "a.b" in rows.columns
+
+
+def test_quality_catches_labelled_toxic_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    halves = [labels.filter(F.col("doc_id") % 2 == k) for k in (0, 1)]
+    lexicon = [*quality_rules.ABUSIVE, *quality_rules.fit_lexicon(docs, halves[0])]
+    judged = quality_rules.ledger(docs.join(halves[1], "doc_id"), lexicon=lexicon).select("toxic", F.col("failures").bitwiseAND(F.lit(64)).alias("hit"))
+    found = {(r["toxic"], bool(r["hit"])): r["count"] for r in judged.groupBy("toxic", "hit").count().collect()}
+    assert found[1, True] >= 0.85 * (found[1, True] + found[1, False])
+    assert found.get((0, True), 0) <= 0.01 * found[0, False]
+
+
 def test_line_dedup(docs, rows):
     lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     key = lambda x: lower(x.strip(" \t\n\x0b\f\r"))
@@ -400,8 +428,9 @@ def test_oracles(spark, name):
     assert rows_of(queries.QUERIES[name](spark, SF)) == oracle_rows(connect(), queries.ORACLES[name])
 
 
-def test_pipeline_stages(spark, docs, empty, bench, tmp_path):
+def test_pipeline_stages(spark, docs, empty, bench, labels, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     for table in (docs, empty):
         for k, (name, stage) in enumerate(pipeline.STAGES):
