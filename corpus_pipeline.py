@@ -26,7 +26,8 @@ def _with_text(docs: DataFrame, row: str, text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the current rule policy rejects."""
-    return quality_rules.filter_documents(docs, "v1")
+    lexicon = quality_rules.lexicon_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.filter_documents(docs, "v1", lexicon=lexicon)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
