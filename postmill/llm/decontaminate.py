@@ -6,29 +6,33 @@ window's rarest word, by frequency in the corpus, is a sufficient prefix: docume
 with prefix words only. A probe fixes where the window would start (positional bound) and whether it
 fits (length bound); what is left is verified word by word.
 
-The benchmark is taken in blocks of bounded size, each broadcast once; the hit spans of all blocks
-meet again per document. One block is the usual case and needs no shuffle of texts or spans.
-
-Defined results: null texts have no words and are never hit; an item with no words has no windows;
-repeated documents are judged alike; repeated item ids count once; an empty table on either side
-gives no hits; other columns pass through.
+The benchmark is taken in blocks of bounded size. One block is the usual case: it is broadcast and the documents
+are searched where they lie. With more, each block is a pass of its own that writes its hits by text and frees its
+index before the next begins; the hits of all blocks then meet the documents in one join. An index holds the block's
+words once as bytes and eight numbers per window at most, not the windows themselves.
+
+Defined results: null texts have no words and are never hit; an item with no words has no windows; the windows of an
+item with a null id hit, but it is not among the items; repeated documents are judged alike; repeated item ids count
+once; an empty table on either side gives no hits; other columns pass through.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.llm.common import spill
 
 #: Words in a window.
 WIDTH = 10
 #: UTF-8 bytes of benchmark text in a block: the bound on what is broadcast at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 #: Per byte of UTF-8: A-Z lower-cased, other word bytes as they are, all else a space. Bytes of
 #: characters beyond ASCII are word bytes throughout.
@@ -42,41 +46,73 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+class Index:
+    """Prefix index of a block: rarest word -> windows that it stands for.
 
+    The words of all items are numbers into one vocabulary. A window is its first word's place in that list and its
+    length; equal windows are one entry, with the items that have it.
+    """
 
-class Index:
-    """Prefix index of a block: rarest word -> (its offset, window, items that have it)."""
-
-    def __init__(self, items: list[tuple[object, str | None]], frequency: dict[bytes, int], width: int):
-        holders: dict[tuple[bytes, ...], set] = defaultdict(set)
-        for item_id, text in items:
-            for window in windows_of(words_of(text), width):
-                holders[window].add(item_id)
-        self.probes: dict[bytes, list[tuple[int, tuple[bytes, ...], tuple]]] = defaultdict(list)
-        for window, ids in holders.items():
-            k = min(range(len(window)), key=lambda j: (frequency.get(window[j], 0), window[j], j))
-            if frequency.get(window[k], 0):  # a word that the corpus lacks can't be found there
-                self.probes[window[k]].append((k, window, tuple(ids)))
-        self.probes = dict(self.probes)
+    def __init__(self, items: list[tuple[str | None, str | None]], frequency: dict[bytes, int], width: int):
+        vocabulary: dict[bytes, int] = {}
+        places, lengths, owners, codes = [], [], [], []
+        for owner, (_, text) in enumerate(items):
+            words = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
+            n = max(1, len(words) - width + 1) if words else 0
+            places.append(np.arange(n, dtype=np.int32) + len(codes))
+            lengths.append(np.full(n, min(width, len(words)), np.int16))
+            owners.append(np.full(n, owner, np.int32))
+            codes += words
+        self.width, self.names = width, [name for name, _ in items]
+        self.words = np.array(codes, np.int32)
+        self.vocabulary = vocabulary
+        count = np.array([frequency.get(w, 0) for w in vocabulary], np.int64)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        place, length, owner = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (places, lengths, owners))
+        # the offset of each window's rarest word
+        offset, least = np.zeros(len(place), np.int16), np.full(len(place), np.iinfo(np.int64).max)
+        for k in range(width):
+            inside = np.flatnonzero(length > k)
+            r = rank[self.words[place[inside] + k]]
+            better = inside[r < least[inside]]
+            least[better], offset[better] = r[r < least[inside]], k
+        prefix = self.words[place + offset] if len(place) else place
+        # a window with a word that the corpus lacks can't be found there
+        found = count[prefix] > 0 if len(place) else np.zeros(0, bool)
+        ranks = np.flatnonzero(found)[np.argsort(prefix[found], kind="stable")]
+        self.place, self.length, self.owner, self.offset = place[ranks], length[ranks], owner[ranks], offset[ranks]
+        self.first = np.searchsorted(prefix[ranks], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        self.probes = {w: k for w, k in vocabulary.items() if self.first[k] < self.first[k + 1]}
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Spans [start, end) of window occurrences, in order of end, and the items concerned."""
-        spans, found = [], set()
+        """Spans [start, end) of window occurrences, and the named items concerned."""
+        spans, found = set(), set()
         if self.probes.keys().isdisjoint(words):
-            return spans, found
-        get, n = self.probes.get, len(words)
+            return [], found
+        n, codes = len(words), None
         for at, word in enumerate(words):
-            for offset, window, ids in get(word, ()):
-                start = at - offset
-                end = start + len(window)
-                if start >= 0 and end <= n and tuple(words[start:end]) == window:
-                    spans.append((start, end))
-                    found.update(ids)
-        return spans, found
+            probe = self.probes.get(word)
+            if probe is None:
+                continue
+            if codes is None:
+                codes = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int32, n)
+            a, b = self.first[probe], self.first[probe + 1]
+            start = at - self.offset[a:b].astype(np.int64)
+            end = start + self.length[a:b]
+            fits = np.flatnonzero((start >= 0) & (end <= n))
+            if not len(fits):
+                continue
+            # whole windows, compared column by column until none is left
+            start, end, place = start[fits], end[fits], self.place[a:b][fits]
+            for k in range(self.width):
+                same = (start + k >= end) | (codes[np.minimum(start + k, n - 1)] == self.words[np.minimum(place + k, len(self.words) - 1)])
+                fits, start, end, place = fits[same], start[same], end[same], place[same]
+                if not len(fits):
+                    break
+            spans.update(zip(start.tolist(), end.tolist(), strict=True))
+            found.update(self.owner[a:b][fits].tolist())
+        return sorted(spans), {self.names[k] for k in found} - {None}
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -124,26 +160,42 @@ def find_windows(
 ) -> DataFrame:
     """``docs`` as ``row`` with ``n_words``, ``spans`` (array of start/end) and sorted ``items``.
 
-    Several blocks mean several passes; their spans are concatenated per row.
+    Each block of the benchmark is a pass over the texts.
     """
     names = docs.columns
     blocks, n_blocks = item_blocks(items, item_id, item_text, block_bytes)
     result = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("body"))
-    result = result.withColumn("found", F.lit(None).cast(_FOUND))
+    if n_blocks == 1:
+        found = _finder(_index(docs, blocks, 0, text_col, width))(F.col("body"))
+        return result.withColumn("found", found).select("row", "body", "found.n_words", "found.spans", "found.items")
+    keys = [F.xxhash64("body").alias("k1"), F.xxhash64(F.lit("text"), "body").alias("k2")]
+    hits = None
     for block in range(n_blocks):
-        held = [(r["item"], r["text"]) for r in blocks.filter(F.col("block") == block).collect()]
-        vocabulary = {w for _, text in held for w in words_of(text)}
-        frequency = corpus_frequency(docs, f"`{text_col}`", vocabulary)
-        index = docs.sparkSession.sparkContext.broadcast(Index(held, frequency, width))
-        found = _finder(index)(F.col("body"))
-        if block:
-            found = F.struct(
-                F.col("found.n_words").alias("n_words"),
-                F.concat(F.col("found.spans"), found["spans"]).alias("spans"),
-                F.array_sort(F.array_union(F.col("found.items"), found["items"])).alias("items"),
-            )
-        result = result.withColumn("found", found)
-    return result.select("row", "body", "found.n_words", "found.spans", "found.items")
+        index = _index(docs, blocks, block, text_col, width)
+        found = result.select(*keys, _finder(index)(F.col("body")).alias("found")).filter(F.size("found.spans") > 0)
+        # one row for all copies of a text
+        found = spill(found.groupBy("k1", "k2").agg(F.first("found.spans").alias("spans"), F.first("found.items").alias("items")), "block-hits")
+        index.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("k1", "k2").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),  # n_blocks rows at most
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return result.select("row", "body", *keys).join(hits, ["k1", "k2"], "left").select(
+        "row",
+        "body",
+        n_words(F.col("body")).alias("n_words"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+
+
+def _index(docs: DataFrame, blocks: DataFrame, block: int, text_col: str, width: int):
+    """The broadcast index of one block: at most about BLOCK_BYTES of text pass the driver."""
+    held = [(r["item"], r["text"]) for r in blocks.filter(F.col("block") == block).collect()]
+    vocabulary = {w for _, text in held for w in words_of(text)}
+    frequency = corpus_frequency(docs, f"`{text_col}`", vocabulary)
+    return docs.sparkSession.sparkContext.broadcast(Index(held, frequency, width))
 
 
 _FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
@@ -171,6 +223,11 @@ def _finder(index):
     return find
 
 
+@F.arrow_udf(T.LongType())
+def n_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
+
+
 @F.arrow_udf(T.LongType())
 def covered_words(spans: pa.Array) -> pa.Array:
     return pa.array([covered([(x["start"], x["end"]) for x in s]) if s else 0 for s in spans.to_pylist()], pa.int64())

@@ -9,9 +9,13 @@ a capture meets only the few intervals of its own month however long a domain's
 domain is spread over months, and adaptive execution splits what is still skewed. The lists are
 broadcast if, and only if, Spark finds them small.
 
+Captures are asked by (host, fetch time), so a busy host is one question a time however many captures it
+has, and neither ids nor row numbers are needed: the answers join back on the same two columns.
+
 Defined results: a null or unparsable address has no host and matches nothing; a null fetch time or
-entry time matches nothing; entries of one list, host and time: removal wins; repeated captures get
-equal results; empty lists block nothing; other columns pass through.
+entry time matches nothing; entries of one list, host and time: removal wins; null and repeated ids are
+judged by their own address and time, repeated captures get equal results; empty lists block nothing; other
+columns pass through, and a result column replaces an input column of the same name.
 """
 
 from __future__ import annotations
@@ -54,36 +58,41 @@ def _month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def active_matches(captures: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(id, list, domain, valid_from): entries active at fetch time for captures (id, url, fetched)."""
-    horizon = captures.agg(F.max("fetched").alias("last"))  # one row
-    spread = intervals.join(F.broadcast(horizon)).filter("valid_from <= last").select(
+def active_matches(asked: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(host, fetched, list, domain, valid_from): entries active for distinct (host, fetched)."""
+    horizon = asked.agg(F.min("fetched").alias("first"), F.max("fetched").alias("last"))  # one row
+    spread = intervals.join(F.broadcast(horizon)).filter("valid_from <= last AND valid_to > first").select(
         "list",
         "domain",
         "valid_from",
         "valid_to",
-        F.explode(F.sequence(_month(F.col("valid_from")), _month(F.least("valid_to", "last")))).alias("month"),
-    )
-    asked = captures.filter("fetched IS NOT NULL").select(
-        "id", "fetched", _month(F.col("fetched")).alias("month"), F.explode(domains_of(host_of(F.col("url")))).alias("domain")
+        F.explode(F.sequence(_month(F.greatest("valid_from", "first")), _month(F.least("valid_to", "last")))).alias("month"),
     )
+    places = asked.select("host", "fetched", _month(F.col("fetched")).alias("month"), F.explode(domains_of(F.col("host"))).alias("domain"))
     return (
-        asked.join(spread, ["domain", "month"])
+        places.join(spread, ["domain", "month"])
         .filter((F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")))
-        .select("id", "list", "domain", "valid_from")
+        .select("host", "fetched", "list", "domain", "valid_from")
     )
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """Captures (id, url, fetched) with host, number of active entries, and the lists that block."""
+def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
+    """Captures with their host, the number of active entries, and the lists that block."""
+    kept = [F.col(f"`{c}`") for c in captures.columns if c not in ("host", "n_active", "lists")]
+    rows = captures.select(
+        F.struct(*kept).alias("row"), host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{fetched_col}`").alias("fetched")
+    )
+    asked = rows.filter("host IS NOT NULL AND fetched IS NOT NULL").groupBy("host", "fetched").agg(F.lit(1).alias("one"))
     found = (
-        active_matches(captures.select("id", "url", "fetched").distinct(), validity_intervals(entries))
-        .groupBy("id")
+        active_matches(asked.select("host", "fetched"), validity_intervals(entries))
+        .groupBy("host", "fetched")
         .agg(F.countDistinct("list", "domain", "valid_from").alias("n_active"), F.array_sort(F.collect_set("list")).alias("lists"))
     )
-    joined = captures.withColumn("host", host_of(F.col("url"))).join(found.withColumnRenamed("id", "f"), F.col("id") == F.col("f"), "left")
-    return joined.drop("f").withColumns(
-        {"n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "lists": F.coalesce("lists", F.array().cast("array<string>"))}
+    return rows.join(found, ["host", "fetched"], "left").select(
+        "row.*",
+        "host",
+        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("lists", F.array().cast("array<string>")).alias("lists"),
     )
 
 
@@ -141,10 +150,11 @@ i AS (
   SELECT list, domain, b AS valid_from, b + 60 AS valid_to FROM l
   UNION ALL SELECT list, domain, b + 120, DATE '9999-12-31' FROM l),
 m AS (
-  SELECT c.page_id, i.list, i.domain, i.valid_from
-  FROM c JOIN i ON (c.host = i.domain OR ends_with(c.host, '.' || i.domain))
-    AND i.valid_from <= c.fetched AND c.fetched < i.valid_to)
-SELECT c.page_id, c.host, c.fetched, count(m.list) AS n_active,
-       coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, count(m.list) > 0 AS blocked
-FROM c LEFT JOIN m ON c.page_id = m.page_id GROUP BY ALL
+  SELECT c.host, c.fetched, i.list, i.domain, i.valid_from
+  FROM (SELECT DISTINCT host, fetched FROM c) c JOIN i ON (c.host = i.domain OR ends_with(c.host, '.' || i.domain))
+    AND i.valid_from <= c.fetched AND c.fetched < i.valid_to),
+n AS (
+  SELECT host, fetched, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM m GROUP BY ALL)
+SELECT c.page_id, c.host, c.fetched, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, n_active IS NOT NULL AS blocked
+FROM c LEFT JOIN n ON c.host = n.host AND c.fetched = n.fetched
 """

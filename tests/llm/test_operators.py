@@ -57,7 +57,7 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def bench(spark):
-    items = [("i1", "quick brown fox jumps over the lazy dog while seven other"), ("i2", "tie tie tie"), ("i3", None), ("i4", ""), ("i5", "absent words here"), ("i2", "tie tie tie")]
+    items = [("i1", "quick brown fox jumps over the lazy dog while seven other"), ("i2", "tie tie tie"), ("i3", None), ("i4", ""), ("i5", "absent words here"), ("i2", "tie tie tie"), (None, "tie tie tie"), (None, "a b c a b c a b c"), ("i6", None)]
     return spark.createDataFrame(items, "item_id string, text string")
 
 
@@ -261,6 +261,13 @@ def test_url_intervals(spark):
     )
     got = {r["id"]: (r["n_active"], r["lists"]) for r in url_filters.filter_captures(captures, entries).collect()}
     assert got == {1: (2, ["bad", "spam"]), 2: (0, []), 3: (0, []), 4: (0, []), 5: (1, ["spam"])}
+    odd = spark.createDataFrame(
+        [(None, "http://example.org/", day(2, 1), "x", 1, 1.0), (7, "http://example.org/", day(2, 1), "y", 2, 2.0), (7, "http://clean.org/", day(2, 1), "z", 3, 3.0), (7, "http://example.org/", day(2, 1), "y", 2, 2.0)],
+        "id int, url string, fetched date, f string, host int, `a.b` double",
+    )
+    blocked = sorted((str(r["id"]), r["host"], r["f"], r["a.b"], r["n_active"]) for r in url_filters.filter_captures(odd, entries).collect())
+    assert blocked == [("7", "clean.org", "z", 3.0, 0), ("7", "example.org", "y", 2.0, 1), ("7", "example.org", "y", 2.0, 1), ("None", "example.org", "x", 1.0, 1)]
+    assert url_filters.filter_captures(odd.filter("false"), entries).count() == 0
     none = url_filters.filter_captures(captures, entries.filter("false"))
     assert none.filter("n_active > 0").count() == 0 and none.count() == 5
 
@@ -269,7 +276,7 @@ def test_url_intervals(spark):
 def test_decontamination(docs, rows, bench, block_bytes):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = defaultdict(set)
-    for item, text in (("i1", "quick brown fox jumps over the lazy dog while seven other"), ("i2", "tie tie tie"), ("i5", "absent words here")):
+    for item, text in (("i1", "quick brown fox jumps over the lazy dog while seven other"), ("i2", "tie tie tie"), ("i5", "absent words here"), (None, "a b c a b c a b c")):
         w = split(text)
         for k in range(max(1, len(w) - 9)):
             windows[tuple(w[k : k + 10])].add(item)
@@ -280,12 +287,12 @@ def test_decontamination(docs, rows, bench, block_bytes):
             for k in range(len(w) - len(win) + 1):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
-                    items |= ids
+                    items |= ids - {None}
         want.append((i, len(w), len(hit), sorted(items)))
     found = decontaminate.find_windows(docs, bench, block_bytes=block_bytes)
     got = [(r["id"], r["n_words"], r["n_hit"], r["items"]) for r in found.select("row.doc_id", "n_words", decontaminate.covered_words(F.col("spans")).alias("n_hit"), "items").withColumnRenamed("doc_id", "id").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
-    free = decontaminate.contaminated_free(docs, bench)
+    free = decontaminate.contaminated_free(docs, bench, block_bytes=block_bytes)
     assert free.columns == docs.columns and free.count() == sum(not w[2] for w in want)
 
 
