@@ -9,7 +9,7 @@ fits (length bound); what is left is verified word by word.
 The benchmark is taken in blocks of bounded size. One block is the usual case: it is broadcast and the documents
 are searched where they lie. With more, each block is a pass of its own that writes its hits by text and frees its
 index before the next begins; the hits of all blocks then meet the documents in one join. An index holds the block's
-words once as bytes and eight numbers per window at most, not the windows themselves.
+words once as numbers and its windows as places in them: about 10 bytes of memory per byte of text.
 
 Defined results: null texts have no words and are never hit; an item with no words has no windows; the windows of an
 item with a null id hit, but it is not among the items; repeated documents are judged alike; repeated item ids count
@@ -47,7 +47,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Prefix index of a block: rarest word -> windows that it stands for.
+    """Prefix index of a block: rarest word and its neighbour -> windows that the two stand for.
 
     The words of all items are numbers into one vocabulary. A window is its first word's place in that list and its
     length; equal windows are one entry, with the items that have it.
@@ -80,38 +80,51 @@ class Index:
         prefix = self.words[place + offset] if len(place) else place
         # a window with a word that the corpus lacks can't be found there
         found = count[prefix] > 0 if len(place) else np.zeros(0, bool)
-        ranks = np.flatnonzero(found)[np.argsort(prefix[found], kind="stable")]
+        # a window is asked for by its prefix word and the word after it, or before it at its end
+        last = offset + 1 == length
+        other = self.words[np.where(last, np.maximum(place + offset - 1, 0), place + offset + 1)] if len(place) else place
+        side = np.where(length == 1, 0, np.where(last, -1, 1)).astype(np.int8)
+        ranks = np.flatnonzero(found)
+        ranks = ranks[np.lexsort((other[ranks], side[ranks], prefix[ranks]))]
         self.place, self.length, self.owner, self.offset = place[ranks], length[ranks], owner[ranks], offset[ranks]
-        self.first = np.searchsorted(prefix[ranks], np.arange(len(vocabulary) + 1)).astype(np.int32)
-        self.probes = {w: k for w, k in vocabulary.items() if self.first[k] < self.first[k + 1]}
+        keys = np.stack([prefix[ranks], np.where(side == 0, 0, other)[ranks], side[ranks]], 1) if len(ranks) else np.zeros((0, 3), np.int32)
+        start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+        named = list(vocabulary)
+        self.probes: dict[bytes, list[dict[bytes, tuple[int, int]]]] = {}
+        ends = np.append(start[1:], len(keys))[: len(start)]
+        for (word, near, way), a, b in zip(keys[start].tolist(), start.tolist(), ends.tolist(), strict=True):
+            self.probes.setdefault(named[word], [{}, {}, {}])[way][named[near] if way else b""] = (a, b)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of window occurrences, and the named items concerned."""
         spans, found = set(), set()
         if self.probes.keys().isdisjoint(words):
             return [], found
-        n, codes = len(words), None
+        n, codes, get = len(words), None, self.probes.get
         for at, word in enumerate(words):
-            probe = self.probes.get(word)
+            probe = get(word)
             if probe is None:
                 continue
-            if codes is None:
-                codes = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int32, n)
-            a, b = self.first[probe], self.first[probe + 1]
-            start = at - self.offset[a:b].astype(np.int64)
-            end = start + self.length[a:b]
-            fits = np.flatnonzero((start >= 0) & (end <= n))
-            if not len(fits):
-                continue
-            # whole windows, compared column by column until none is left
-            start, end, place = start[fits], end[fits], self.place[a:b][fits]
-            for k in range(self.width):
-                same = (start + k >= end) | (codes[np.minimum(start + k, n - 1)] == self.words[np.minimum(place + k, len(self.words) - 1)])
-                fits, start, end, place = fits[same], start[same], end[same], place[same]
-                if not len(fits):
-                    break
-            spans.update(zip(start.tolist(), end.tolist(), strict=True))
-            found.update(self.owner[a:b][fits].tolist())
+            alone, after, before = probe
+            ranges = [alone[b""]] if alone else []
+            if after and at + 1 < n and words[at + 1] in after:
+                ranges.append(after[words[at + 1]])
+            if before and at and words[at - 1] in before:
+                ranges.append(before[words[at - 1]])
+            for a, b in ranges:
+                if codes is None:
+                    codes = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int32, n)
+                start = at - self.offset[a:b].astype(np.int64)
+                end = start + self.length[a:b]
+                fits = np.flatnonzero((start >= 0) & (end <= n))  # positions and lengths
+                start, end, place = start[fits], end[fits], self.place[a:b][fits]
+                for k in range(self.width):  # whole windows, word by word until none is left
+                    if not len(fits):
+                        break
+                    same = (start + k >= end) | (codes[np.minimum(start + k, n - 1)] == self.words[np.minimum(place + k, len(self.words) - 1)])
+                    fits, start, end, place = fits[same], start[same], end[same], place[same]
+                spans.update(zip(start.tolist(), end.tolist(), strict=True))
+                found.update(self.owner[a:b][fits].tolist())
         return sorted(spans), {self.names[k] for k in found} - {None}
 
 
