@@ -6,19 +6,20 @@ shorter one, where the symbols of the longer context are excluded. Below order 0
 are left are equally likely. The texts' words, lower-cased and joined by one space, and an end
 symbol are coded, so the score is a probability of the same token sequence the base score is of.
 
-Counting covers every training text: numpy counts (context, symbol) pairs per batch, Spark sums them.
-The orders up to ``FULL_ORDER`` are kept whole; longer contexts are kept from the lowest power-of-two
-total on at which all of them fit ``MAX_PAIRS`` pairs, which bounds the broadcast trie. Kept contexts
-are closed under shortening, as a shorter context is at least as frequent. The broadcast trie is a cache:
-a symbol whose longest context is in it is coded at once; all others are coded by the whole table of
-counts, which is partitioned by the last ``FULL_ORDER + 1`` bytes of the context, and joined back.
+The text of a document, for this operator, is its sequence of words: white space between them is one space.
 
-The base score needs a count for every word of the corpus. Words from a power-of-two frequency on
-that fit ``HEAD_WORDS`` are broadcast; all others, none of them frequent, are joined by shuffle.
+:func:`tally` walks the texts once. It groups them, as they lie, into chunks of bounded size and writes the texts with
+the distinct (context, symbol) pairs and words of their chunk, each with its count in the texts to learn from. Spark sums
+these counts over the corpus: no context is dropped and nothing that grows with the corpus is broadcast or
+collected. A pair's code length is found once per distinct pair, in shards of contexts with the same last two bytes: such
+a shard holds, or sums up, all longer orders, and the orders 0 and 1 (at most 255 * 255 pairs) are given to all. A suffix
+with too many pairs is dealt by the last four bytes, and its contexts of three bytes (at most 255 * 255 pairs) are given
+to each part, so a shard's size is bounded whatever the corpus. The code lengths and word counts go back to the chunks that asked, by
+joins, and each chunk adds up its documents.
 
 Defined results: a null text is empty (the end token only); a null id is training data; repeated
 rows are scored, and learnt from, each; an empty table gives an empty result; with no training
-text all symbols are equally likely and the base is that of an empty corpus.
+text all symbols are equally likely and the base is that of an empty corpus; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,39 +29,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import spill
 
 ORDER = 5
-FULL_ORDER = 2
-#: Bound of the broadcast trie: pairs of contexts longer than FULL_ORDER.
-MAX_PAIRS = 1 << 19
-#: Bound of the broadcast dictionary, and the bytes a word in it may have.
-HEAD_WORDS = 1 << 16
-HEAD_BYTES = 64
-#: Pairs that a shard of the whole table should hold.
+#: Bytes of text in a chunk (a longer text is a chunk of its own), and pairs a shard should hold.
+CHUNK_BYTES = 16 << 20
 SHARD_PAIRS = 1 << 18
+#: Bytes of the suffix that names a shard, and of the one by which a large shard is dealt.
+SUFFIX, LONG_SUFFIX = 2, 4
 #: Symbols: 256 bytes of which UTF-8 leaves some unused; these two never occur in it.
 PAD, END = 0xFE, 0xFF
 N_SYMBOLS = 255  # bytes but PAD
-#: Bytes of text handled at once, and entries a task holds before it passes them on.
-CHUNK = 2 << 20
-HOLD = 1 << 19
+#: Bytes of text handled at once, and entries a task holds before it merges them.
+STEP = 2 << 20
+HOLD = 1 << 20
+TEXT, PAIR, WORD = 0, 1, 2
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def chunks(texts) -> Iterator[tuple[list[list[bytes]], list[bytes]]]:
-    """Token lists and joined texts, in groups of about CHUNK bytes; a longer text is a group of its own."""
+def chunks(texts, step: int = STEP) -> Iterator[tuple[list[list[bytes]], list[bytes]]]:
+    """Token lists and joined texts, in groups of about ``step`` bytes; a longer text is a group of its own."""
     words, joined, size = [], [], 0
     for text in texts:
         w = tokens_of(text)
         j = b" ".join(w)
-        if size and size + len(j) > CHUNK:
+        if size and size + len(j) > step:
             yield words, joined
             words, joined, size = [], [], 0
         words.append(w)
@@ -85,57 +85,79 @@ def pair_keys(joined: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 # --- counting -----------------------------------------------------------------------------------
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts: rows of (pair, n) and of (word, n); the empty word is the end token."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    words: Counter = Counter()
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
-
-    def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n)], names=["pair", "word", "n"]
-        )
-
-    def word_rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())],
-            names=["pair", "word", "n"],
-        )
-
-    for batch in batches:
-        for tokens, joined in chunks(t.as_py() for t in batch.column(0)):
-            held.append(np.unique(pair_keys(joined, order)[0], return_counts=True))
-            for t in tokens:
-                words.update(t)
-            words[b""] += len(tokens)
-            if sum(len(k) for k, _ in held) > HOLD:
-                held = [merged()]
-                if len(held[0][0]) > HOLD // 2:
-                    yield rows(*held.pop())
-            if len(words) > HOLD:
-                yield word_rows()
-                words.clear()
-    if held:
-        yield rows(*merged())
-    if words:
-        yield word_rows()
-
-
-def power_cut(counts: list[tuple[int, int]], limit: int) -> int:
-    """The least power of two from which on at most ``limit`` entries lie; counts: (log2, entries)."""
-    total = 0
-    for level, n in sorted(counts, reverse=True):
-        if total + n > limit:
-            return 1 << (level + 1)
-        total += n
-    return 1
+def merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    ranks = np.argsort(keys, kind="stable")
+    keys, n = keys[ranks], n[ranks]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.add.reduceat(n, start) if len(keys) else n
+
+
+class Tally:
+    """Distinct pairs and words of the texts added since the last :meth:`flush`, with their learnt counts."""
+
+    def __init__(self, order: int):
+        self.order, self.held, self.words = order, [], Counter()
+
+    def add(self, words: list[list[bytes]], joined: list[bytes], learn: list[bool]) -> None:
+        for kind in (True, False):
+            part = [j for j, on in zip(joined, learn, strict=True) if on == kind]
+            if part:
+                keys, n = np.unique(pair_keys(part, self.order)[0], return_counts=True)
+                self.held.append((keys, n if kind else np.zeros_like(n)))
+        for w, on in zip(words, learn, strict=True):
+            self.words.update(w if on else dict.fromkeys(w, 0))
+            self.words[b""] += on
+        if sum(len(k) for k, _ in self.held) > HOLD:
+            self.held = [merge(self.held)]
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
+        keys, n = merge(self.held) if self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        words = list(self.words), list(self.words.values())
+        self.held, self.words = [], Counter()
+        return keys, n, *words
+
+
+def tally(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """Rows (kind, chunk, id, text, pair, word, n): the texts, and what each chunk of them holds; the end is word ''."""
+    field = docs.schema[id_col].dataType
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, sums = TaskContext.get().partitionId() << 32, 0, Tally(order)
+        id_type = None
+
+        def rows(kind: int, length: int, **columns: pa.Array) -> pa.RecordBatch:
+            types = {"id": id_type, "text": pa.string(), "pair": pa.int64(), "word": pa.binary(), "n": pa.int64()}
+            given = [columns.get(name, pa.nulls(length, t)) for name, t in types.items()]
+            first = [pa.array(np.full(length, kind, np.int32)), pa.array(np.full(length, chunk, np.int64))]
+            return pa.RecordBatch.from_arrays(first + given, names=["kind", "chunk", *types])
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            keys, n, words, times = sums.flush()
+            yield rows(PAIR, len(keys), pair=pa.array(keys.view(np.int64)), n=pa.array(n, pa.int64()))
+            yield rows(WORD, len(words), word=pa.array(words, pa.binary()), n=pa.array(times, pa.int64()))
 
-
-def log2_of(n: Column) -> Column:
-    return F.floor(F.log2(n.cast("double"))).cast("int")
+        for batch in batches:
+            id_type, done = batch.column(0).type, 0
+            for words, joined in chunks((t.as_py() for t in batch.column(1)), min(STEP, chunk_bytes)):
+                more = sum(map(len, joined))
+                if size and size + more > chunk_bytes:
+                    yield from flushed()
+                    chunk, size = chunk + 1, 0
+                size += more
+                sums.add(words, joined, batch.column(2).slice(done, len(words)).to_pylist())
+                yield rows(TEXT, len(words), id=batch.column(0).slice(done, len(words)), text=batch.column(1).slice(done, len(words)))
+                done += len(words)
+        if id_type is not None:
+            yield from flushed()
+
+    on = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), on.alias("learn"))
+    schema = f"kind int, chunk long, id {field.simpleString()}, text string, pair long, word binary, n long"
+    return spill(rows.mapInArrow(walk, schema), "ppm-tally")
 
 
 class Trie:
@@ -206,190 +228,125 @@ class Trie:
             out[open_] -= self.after[0][0] if len(self.keys[0]) else np.log(N_SYMBOLS)
         return out
 
-    def score(self, joined: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        return self.score_known(joined, True)[0]
-
-    def score_known(self, joined: list[bytes], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each text, the symbols left out of it, and how many of them each text has.
 
-        Left out are those whose longest context isn't in the trie, unless the trie is ``whole``.
-        """
-        keys, starts = pair_keys(joined, self.order)
-        distinct, where = np.unique(keys, return_inverse=True)
-        known = np.full(len(distinct), whole) | self._find(self.contexts[self.order], distinct >> np.uint64(8))[1]
-        logs = np.zeros(len(distinct))
-        logs[known] = self.log_probability(distinct[known])
-        away = ~known[where]
-        n_away = np.add.reduceat(away.astype(np.int64), starts)
-        return np.add.reduceat(logs[where], starts) / np.log(10.0), keys[away], n_away
+def shorter(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of order ``k`` that longer ones sum up to."""
+    return merge([(keys & np.uint64((1 << (8 * (k + 1))) - 1), n)])
 
 
 class Model:
-    """What :func:`train` returns; ``tail`` and ``contexts`` stay DataFrames, the rest is bounded.
-
-    ``n_pairs`` counts the pairs of ``contexts``, those of contexts longer than ``full_order``; ``whole`` says that
-    the trie holds all of them.
-    """
-
-    def __init__(
-        self, trie: Trie, head: dict[bytes, int], tail: DataFrame, n_tokens: int, n_distinct: int, ends: int,
-        contexts: DataFrame, n_pairs: int, whole: bool, full: list[tuple[np.ndarray, np.ndarray]],
-    ):
-        self.trie, self.head, self.tail = trie, head, tail
-        self.contexts, self.n_pairs, self.whole, self.full = contexts, n_pairs, whole, full
-        self.n_tokens, self.n_distinct, self.ends = n_tokens, n_distinct, ends
-
-
-def train(
-    texts: DataFrame, order: int = ORDER, max_pairs: int = MAX_PAIRS, head_words: int = HEAD_WORDS, full_order: int = FULL_ORDER
-) -> Model:
-    """Count the one text column of ``texts`` and build the bounded trie and dictionary."""
-    raw = texts.mapInArrow(lambda batches: count_batches(batches, order), "pair long, word binary, n long")
-    counts = spill(raw.groupBy("pair", "word").agg(F.sum("n").alias("n")), "ppm-counts")
-
-    words = counts.filter(F.col("word").isNotNull()).select("word", "n")
-    short = F.octet_length("word") <= HEAD_BYTES
-    stats = words.groupBy(F.when(short & (F.col("word") != F.lit(b"")), log2_of(F.col("n"))).alias("level")).agg(
-        F.count("*").alias("words"), F.sum("n").alias("tokens")
-    )
-    stats = [tuple(r) for r in stats.collect()]  # at most 64 rows
-    cut = power_cut([(level, w) for level, w, _ in stats if level is not None], head_words)
-    in_head = short & (F.col("n") >= cut) | (F.col("word") == F.lit(b""))
-    rows = words.filter(in_head).toArrow()  # at most HEAD_WORDS
-    head = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
-    ends = head.pop(b"", 0)
-
-    levels = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
-    pairs = counts.filter(F.col("pair").isNotNull()).select(levels, "pair", "n")
-    # the low 8 * (k + 1) bits; order 7 would use all 64
-    masked = F.when(F.col("k") >= 7, F.col("pair")).otherwise(
-        F.col("pair").bitwiseAND(F.expr("shiftleft(1L, 8 * (k + 1)) - 1L"))
-    )
-    pairs = pairs.groupBy("k", masked.alias("pair")).agg(F.sum("n").alias("n"))
-    contexts = pairs.groupBy("k", F.shiftrightunsigned("pair", 8).alias("context")).agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("pair", "n")).alias("symbols")  # at most 255
-    )
-    contexts = spill(contexts, "ppm-contexts")
-    sizes = contexts.filter(F.col("k") > full_order).groupBy(log2_of(F.col("total")).alias("level")).agg(
-        F.sum(F.size("symbols")).alias("pairs")
-    )
-    sizes = [tuple(r) for r in sizes.collect()]  # at most 64 rows
-    least = power_cut(sizes, max_pairs)
-    kept = contexts.filter((F.col("k") <= full_order) | (F.col("total") >= least))
-    table = kept.select("k", F.explode("symbols").alias("s")).select("k", "s.pair", "s.n").toArrow()
-    ks, keys, n = (table.column(c).to_numpy() for c in ("k", "pair", "n"))
-    by_order = []
-    for k in range(order + 1):
-        part = keys[ks == k].view(np.uint64)
-        ranks = np.argsort(part)
-        by_order.append((part[ranks], n[ks == k][ranks]))
-    del table, ks, keys, n, rows
-    tail = words.filter(~in_head)
-    longer = contexts.filter(F.col("k") > full_order).select("k", "context", "symbols")
-    return Model(
-        Trie(by_order), head, tail, sum(t for _, _, t in stats), sum(w for _, w, _ in stats), ends,
-        longer, sum(n for _, n in sizes), least == 1, by_order[: full_order + 1],
-    )
+    """What :func:`train` returns: counts as tables (pair, n) and (word, n), and three numbers."""
+
+    def __init__(self, tallied: DataFrame, order: int):
+        self.tallied, self.order = tallied, order
+        self.pairs = tallied.filter(F.col("kind") == PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
+        counts = tallied.filter(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n"))
+        self.words = spill(counts, "ppm-words")
+        totals = self.words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+        self.n_tokens, self.n_distinct = totals[0] or 0, totals[1]
+
+
+def train(tallied: DataFrame, order: int = ORDER) -> Model:
+    """The counts of the texts that ``tallied`` learns from."""
+    return Model(tallied, order)
 
 
 # --- scoring ------------------------------------------------------------------------------------
 
 
-def coded_by_table(pairs: DataFrame, model: Model, shard_pairs: int) -> DataFrame:
-    """(pair, log) for the distinct ``pair`` of ``pairs``: log10 probability under all counts.
-
-    A shard holds all contexts with the same last bytes, so with the short orders, which are whole, it is a
-    trie closed under shortening.
-    """
-    full, order = model.full, model.trie.order
-    shards = max(1, -(-model.n_pairs // shard_pairs))
-    mask = (1 << (8 * len(full))) - 1
-    shard = lambda context: F.pmod(F.xxhash64(context.bitwiseAND(F.lit(mask).cast("long"))), F.lit(shards)).cast("int").alias("shard")
-    table = model.contexts.select(shard(F.col("context")), "k", F.explode("symbols").alias("s")).select("shard", "k", "s.pair", "s.n")
-    wanted = pairs.select("pair").distinct().select(shard(F.shiftrightunsigned("pair", 8)), "pair")
-
-    def code(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        ks, keys, n = (rows.column(c).to_numpy() for c in ("k", "pair", "n"))
-        by_order = list(full)
-        for k in range(len(full), order + 1):
-            part = keys[ks == k].view(np.uint64)
-            ranks = np.argsort(part)
-            by_order.append((part[ranks], n[ks == k][ranks]))
-        asked = wanted.column("pair").to_numpy()
-        logs = Trie(by_order).log_probability(asked.view(np.uint64)) / np.log(10.0)
-        return pa.table({"pair": pa.array(asked), "log": pa.array(logs)})
-
-    return table.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(code, "pair long, log double")
-
-
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.head, model.ends, model.whole))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    tail_type = "array<struct<word:binary,n:int>>"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head, ends, whole = shared.value
-        tail_arrow = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-        for batch in batches:
-            done = 0
-            for tokens, joined in chunks(t.as_py() for t in batch.column(1)):
-                n, known, logs, tails = [], [], [], []
-                for t in tokens:
-                    found, rest, hits, total = Counter(t), [], int(ends > 0), np.log10(ends + 1.0)
-                    for word, times in found.items():
-                        c = head.get(word)
-                        if c is None:
-                            rest.append({"word": word, "n": times})
-                        else:
-                            hits += times
-                            total += times * np.log10(c + 1.0)
-                    n.append(len(t) + 1)
-                    known.append(hits)
-                    logs.append(total)
-                    tails.append(rest)
-                scores, away, n_away = trie.score_known(joined, whole)
-                offsets = pa.array(np.append(0, np.cumsum(n_away)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(done, len(tokens)),
-                        pa.array(n, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(logs, pa.float64()),
-                        pa.array(scores),
-                        pa.array(tails, tail_arrow),
-                        pa.ListArray.from_arrays(offsets, pa.array(away.view(np.int64))),
-                    ],
-                    names=["id", "n_tokens", "known", "logs", "score", "tail", "away"],
-                )
-                done += len(tokens)
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        score, f"id {id_type}, n_tokens long, known long, logs double, score double, tail {tail_type}, away array<bigint>"
-    )
-    # numbered when written, so the number names the row in every later read
-    rows = spill(rows.withColumn("uid", F.monotonically_increasing_id()), "ppm-scores")
-    tail = rows.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n")
-    counted = model.tail.withColumnRenamed("n", "c")
-    sums = (
-        tail.join(counted, "word")
-        .groupBy("uid")
-        .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more_logs"))
+def _low_bytes(value: Column, n: int) -> Column:
+    return value.bitwiseAND(F.lit((1 << (8 * n)) - 1).cast("long")) if n < 8 else value
+
+
+def code_lengths(model: Model, asked: DataFrame, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
+    """(pair, log) for each distinct ``pair`` of ``asked`` (pair), or of the model's own texts: natural logarithms."""
+    order = model.order
+    if asked is model.tallied:
+        table = model.pairs.withColumn("asked", F.lit(True))
+    else:
+        mine = model.pairs.filter("n > 0").select("pair", "n", F.lit(False).alias("asked"))
+        theirs = asked.filter(F.col("kind") == PAIR).select("pair", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+        table = mine.unionByName(theirs).groupBy("pair").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    table = spill(table, "ppm-pairs")
+
+    split = min(LONG_SUFFIX, order)  # contexts of this length are whole in each part
+    context = F.shiftrightunsigned("pair", 8)
+    suffix = _low_bytes(context, min(SUFFIX, order)).alias("suffix")
+    low = table.filter("n > 0").groupBy(_low_bytes(F.col("pair"), 2).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    ones = low.column("pair").to_numpy().view(np.uint64), low.column("n").to_numpy()  # at most 255 * 255
+    short = [shorter(*ones, k) for k in range(2)]
+    sizes = table.groupBy(suffix).agg(F.count("*").alias("pairs"))
+    n_pairs = sizes.agg(F.sum("pairs")).first()[0] or 0
+    parts = F.ceil(F.col("pairs") / shard_pairs).cast("long").alias("parts")
+    large = spill(sizes.filter(F.col("pairs") > shard_pairs).select("suffix", parts), "ppm-large")  # at most 255 * 255 rows
+    n_shards = max(1, -(-n_pairs // shard_pairs))
+
+    rows = table.withColumn("suffix", suffix).join(F.broadcast(large), "suffix", "left")
+    part = F.pmod(F.xxhash64(_low_bytes(context, split)), F.col("parts"))
+    shard = F.coalesce(n_shards + F.col("suffix") * (1 << 32) + part, F.pmod(F.xxhash64("suffix"), F.lit(n_shards)))
+    rows = rows.select(shard.alias("shard"), "pair", "n", "asked", F.lit(False).alias("given"))
+    # order split - 1 of the large suffixes, for each of their parts
+    given = table.filter("n > 0").withColumn("suffix", suffix).join(F.broadcast(large), "suffix")
+    given = given.groupBy("suffix", "parts", _low_bytes(F.col("pair"), split).alias("pair")).agg(F.sum("n").alias("n"))
+    given = given.select(
+        F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: n_shards + F.col("suffix") * (1 << 32) + i)).alias("shard"),
+        "pair", "n", F.lit(False).alias("asked"), F.lit(True).alias("given"),
+    )
+
+    def code(group: pa.Table) -> pa.Table:
+        keys, n = group.column("pair").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        given, asked = (group.column(c).to_numpy() for c in ("given", "asked"))
+        known = (n > 0) & ~given
+        by_order = {order: merge([(keys[known], n[known])])}
+        for k in range(order - 1, SUFFIX - 1, -1):
+            by_order[k] = merge([(keys[given], n[given])]) if k == split - 1 and given.any() else shorter(*by_order[k + 1], k)
+        by_order |= {k: short[k] for k in range(min(SUFFIX, order))}
+        wanted = keys[asked]
+        logs = Trie([by_order[k] for k in range(order + 1)]).log_probability(wanted)
+        return pa.table({"pair": pa.array(wanted.view(np.int64)), "log": pa.array(logs)})
+
+    return spill(rows.unionByName(given).groupBy("shard").applyInArrow(code, "pair long, log double"), "ppm-codes")
+
+
+def score_documents(tallied: DataFrame, model: Model, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) for each text of ``tallied``, in log10."""
+    order, id_type = model.order, tallied.schema["id"].dataType.simpleString()
+    of_pairs = tallied.filter(F.col("kind") == PAIR).select("chunk", "pair").join(code_lengths(model, tallied, shard_pairs), "pair")
+    of_words = tallied.filter(F.col("kind") == WORD).select("chunk", "word").join(model.words, "word", "left")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    answers = of_pairs.select(F.col("chunk").alias("of"), "pair", "log", none("binary", "word"), none("long", "n")).unionByName(
+        of_words.select(F.col("chunk").alias("of"), none("long", "pair"), none("double", "log"), "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     )
-    if not model.whole:
-        away = rows.select("uid", F.explode("away").alias("pair"))
-        coded = spill(coded_by_table(away, model, SHARD_PAIRS), "ppm-coded")
-        logs = away.join(coded, "pair").groupBy("uid").agg(F.sum("log").alias("away_log"))
-        rows = rows.join(logs, "uid", "left").withColumn("score", F.col("score") + F.coalesce("away_log", F.lit(0.0)))
+    texts = tallied.filter(F.col("kind") == TEXT).select("chunk", "id", "text")
+
+    def add_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        coded = answers.filter(answers.column("pair").is_valid())
+        keys, logs = coded.column("pair").to_numpy().view(np.uint64), coded.column("log").to_numpy() / np.log(10.0)
+        ranks = np.argsort(keys)
+        keys, logs = keys[ranks], logs[ranks]
+        counted = answers.filter(answers.column("word").is_valid())
+        place = {w: k for k, w in enumerate(counted.column("word").to_pylist())}
+        n = counted.column("n").to_numpy()
+        known, base = (n > 0).astype(np.int64), np.log10(n + 1.0)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for words, joined in chunks(t.as_py() for t in texts.column("text")):
+            found, starts = pair_keys(joined, order)
+            lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+            tokens = np.fromiter((place[t] for w in words for t in (*w, b"")), np.int64, lengths.sum())
+            first = np.cumsum(lengths) - lengths
+            for column, values in zip(
+                out,
+                (lengths, np.add.reduceat(known[tokens], first), np.add.reduceat(base[tokens], first), np.add.reduceat(logs[np.searchsorted(keys, found)], starts)),
+                strict=True,
+            ):
+                column.append(values)
+        columns = [pa.array(np.concatenate(c)) for c in out]
+        return pa.Table.from_arrays([texts.column("id").combine_chunks(), *columns], names=["id", "n_tokens", "n_known", "logs", "score"])
+
+    schema = f"id {id_type}, n_tokens long, n_known long, logs double, score double"
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(add_up, schema)
     norm = float(np.log10(model.n_tokens + model.n_distinct + 1.0))
-    return rows.drop("tail", "away").join(sums, "uid", "left").select(
-        "id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
-    )
+    return scored.select("id", "n_tokens", "n_known", (F.col("logs") - F.col("n_tokens") * norm).alias("base_score"), "score")
 
 
 def held_out(id_col: Column) -> Column:
@@ -398,8 +355,9 @@ def held_out(id_col: Column) -> Column:
 
 def op2(docs: DataFrame) -> DataFrame:
     """Contract digest: learns from all but the held-out documents, scores all."""
-    model = train(docs.filter(~held_out(F.col("doc_id"))).select("text"))
-    return score_documents(docs.select("doc_id", "text"), model).select(
+    tallied = tally(docs, learn=~held_out(F.col("doc_id")))
+    model = train(tallied)
+    return score_documents(tallied, model).select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
         "n_tokens",

@@ -191,31 +191,28 @@ def test_ppm_base_and_score(docs, rows):
 
 
 def test_ppm_probabilities_sum_to_one(spark):
-    model = ppm.train(spark.createDataFrame([("abracadabra abra",), ("cab",), ("",)], "text string"), order=3)
-    import numpy as np
-
+    texts = [b"abracadabra abra", b"cab", b""]
+    pairs = {3: np.unique(ppm.pair_keys(texts, 3)[0], return_counts=True)}
+    for k in (2, 1, 0):
+        pairs[k] = ppm.shorter(*pairs[k + 1], k)
+    trie = ppm.Trie([pairs[k] for k in range(4)])
     for context in (b"abr", b"zzz", b"\xfe\xfe\xfe", b"ra "):
         keys = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256) if s != ppm.PAD], np.uint64)
-        assert np.exp(model.trie.log_probability(keys)).sum() == pytest.approx(1.0)
-
-
-def test_ppm_small_bounds_agree_on_the_base(docs):
-    texts = docs.select("text")
-    small, large = ppm.train(texts, head_words=2, max_pairs=50), ppm.train(texts)
-    one = {str((r["id"], r["n_tokens"])): r for r in ppm.score_documents(docs, small).collect()}
-    for r in ppm.score_documents(docs, large).collect():
-        other = one[str((r["id"], r["n_tokens"]))]
-        assert r["n_known"] == other["n_known"] and r["base_score"] == pytest.approx(other["base_score"])
-
-
-@pytest.mark.parametrize("max_pairs", [0, 300])
-def test_ppm_small_bounds_agree_on_the_score(docs, monkeypatch, max_pairs):
-    monkeypatch.setattr(ppm, "SHARD_PAIRS", 500, raising=False)
-    texts = docs.filter(~ppm.held_out(F.col("doc_id"))).select("text")
-    small, large = ppm.train(texts, max_pairs=max_pairs), ppm.train(texts)
-    one, two = (sorted((r["n_tokens"], r["score"]) for r in ppm.score_documents(docs, m).collect()) for m in (small, large))
-    assert [n for n, _ in one] == [n for n, _ in two]
-    assert [s for _, s in one] == pytest.approx([s for _, s in two], rel=1e-9)
+        assert np.exp(trie.log_probability(keys)).sum() == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_ppm_chunks_and_shards_do_not_change_scores(docs, order):
+    learn = ~ppm.held_out(F.col("doc_id"))
+    one, many = (ppm.tally(docs, learn=learn, order=order, chunk_bytes=b) for b in (1 << 30, 200))
+    assert many.select("chunk").distinct().count() > one.select("chunk").distinct().count()
+    whole, parts = ppm.score_documents(one, ppm.train(one, order)), ppm.score_documents(many, ppm.train(many, order), shard_pairs=40)
+    # a model of other texts, taken as it is
+    apart = ppm.score_documents(ppm.tally(docs, order=order), ppm.train(ppm.tally(docs.filter(learn), order=order), order), shard_pairs=300)
+    rows = [sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in x.collect()) for x in (whole, parts, apart)]
+    for other in rows[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in rows[0]]
+        assert [x[2:] for x in other] == [pytest.approx(x[2:], rel=1e-9) for x in rows[0]]
 
 
 def test_main_text():
