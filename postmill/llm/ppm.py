@@ -8,14 +8,16 @@ symbol are coded, so the score is a probability of the same token sequence the b
 
 The text of a document, for this operator, is its sequence of words: white space between them is one space.
 
-:func:`tally` walks the texts once. It groups them, as they lie, into chunks of bounded size and writes the texts with
-the distinct (context, symbol) pairs and words of their chunk, each with its count in the texts to learn from. Spark sums
-these counts over the corpus: no context is dropped and nothing that grows with the corpus is broadcast or
-collected. A pair's code length is found once per distinct pair, in shards of contexts with the same last two bytes: such
+:func:`tally` counts, per batch in numpy, the (context, symbol) pairs of the longest contexts and the words of all
+texts, each as often as the texts to learn from hold it; Spark sums the counts over the corpus. No context is dropped. A
+pair's code length is found once per distinct pair, in shards of contexts with the same last two bytes: such
 a shard holds, or sums up, all longer orders, and the orders 0 and 1 (at most 255 * 255 pairs) are given to all. A suffix
 with too many pairs is dealt by the last four bytes, and its contexts of three bytes (at most 255 * 255 pairs) are given
-to each part, so a shard's size is bounded whatever the corpus. The code lengths and word counts go back to the chunks that asked, by
-joins, and each chunk adds up its documents.
+to each part, so a shard's size is bounded whatever the corpus.
+
+The code lengths of the most frequent pairs (from a power-of-two count on that fits ``HEAD_PAIRS``), and the counts of the
+most frequent words (``HEAD_WORDS``), are broadcast, so that most symbols are coded where the text lies. All others are joined
+by shuffle to the whole tables and summed per document: the result does not depend on the two bounds.
 
 Defined results: a null text is empty (the end token only); a null id is training data; repeated
 rows are scored, and learnt from, each; an empty table gives an empty result; with no training
@@ -29,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import spill
 
 ORDER = 5
-#: Bytes of text in a chunk (a longer text is a chunk of its own), and pairs a shard should hold.
-CHUNK_BYTES = 16 << 20
+#: Bounds of what is broadcast: pairs, words, and the bytes such a word may have.
+HEAD_PAIRS = 1 << 19
+HEAD_WORDS = 1 << 17
+HEAD_BYTES = 64
+#: Pairs a shard should hold.
 SHARD_PAIRS = 1 << 18
 #: Bytes of the suffix that names a shard, and of the one by which a large shard is dealt.
 SUFFIX, LONG_SUFFIX = 2, 4
@@ -47,20 +51,19 @@ N_SYMBOLS = 255  # bytes but PAD
 #: Bytes of text handled at once, and entries a task holds before it merges them.
 STEP = 2 << 20
 HOLD = 1 << 20
-TEXT, PAIR, WORD = 0, 1, 2
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def chunks(texts, step: int = STEP) -> Iterator[tuple[list[list[bytes]], list[bytes]]]:
-    """Token lists and joined texts, in groups of about ``step`` bytes; a longer text is a group of its own."""
+def chunks(texts) -> Iterator[tuple[list[list[bytes]], list[bytes]]]:
+    """Token lists and joined texts, in groups of about STEP bytes; a longer text is a group of its own."""
     words, joined, size = [], [], 0
     for text in texts:
         w = tokens_of(text)
         j = b" ".join(w)
-        if size and size + len(j) > step:
+        if size and size + len(j) > STEP:
             yield words, joined
             words, joined, size = [], [], 0
         words.append(w)
@@ -94,70 +97,66 @@ def merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return keys[start], np.add.reduceat(n, start) if len(keys) else n
 
 
-class Tally:
-    """Distinct pairs and words of the texts added since the last :meth:`flush`, with their learnt counts."""
-
-    def __init__(self, order: int):
-        self.order, self.held, self.words = order, [], Counter()
-
-    def add(self, words: list[list[bytes]], joined: list[bytes], learn: list[bool]) -> None:
-        for kind in (True, False):
-            part = [j for j, on in zip(joined, learn, strict=True) if on == kind]
-            if part:
-                keys, n = np.unique(pair_keys(part, self.order)[0], return_counts=True)
-                self.held.append((keys, n if kind else np.zeros_like(n)))
-        for w, on in zip(words, learn, strict=True):
-            self.words.update(w if on else dict.fromkeys(w, 0))
-            self.words[b""] += on
-        if sum(len(k) for k, _ in self.held) > HOLD:
-            self.held = [merge(self.held)]
-
-    def flush(self) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
-        keys, n = merge(self.held) if self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        words = list(self.words), list(self.words.values())
-        self.held, self.words = [], Counter()
-        return keys, n, *words
-
-
-def tally(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES
-) -> DataFrame:
-    """Rows (kind, chunk, id, text, pair, word, n): the texts, and what each chunk of them holds; the end is word ''."""
-    field = docs.schema[id_col].dataType
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size, sums = TaskContext.get().partitionId() << 32, 0, Tally(order)
-        id_type = None
-
-        def rows(kind: int, length: int, **columns: pa.Array) -> pa.RecordBatch:
-            types = {"id": id_type, "text": pa.string(), "pair": pa.int64(), "word": pa.binary(), "n": pa.int64()}
-            given = [columns.get(name, pa.nulls(length, t)) for name, t in types.items()]
-            first = [pa.array(np.full(length, kind, np.int32)), pa.array(np.full(length, chunk, np.int64))]
-            return pa.RecordBatch.from_arrays(first + given, names=["kind", "chunk", *types])
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            keys, n, words, times = sums.flush()
-            yield rows(PAIR, len(keys), pair=pa.array(keys.view(np.int64)), n=pa.array(n, pa.int64()))
-            yield rows(WORD, len(words), word=pa.array(words, pa.binary()), n=pa.array(times, pa.int64()))
+def count_batches(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Partial counts of batches (text, learn): rows of (pair, n) and of (word, n); the empty word is the end token."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    words: Counter = Counter()
+
+    def pair_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["pair", "word", "n"])
+
+    def word_rows() -> pa.RecordBatch:
+        columns = [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["pair", "word", "n"])
+
+    for batch in batches:
+        done = 0
+        for tokens, joined in chunks(t.as_py() for t in batch.column(0)):
+            learn = batch.column(1).slice(done, len(tokens)).to_pylist()
+            done += len(tokens)
+            for kind in (True, False):
+                part = [j for j, on in zip(joined, learn, strict=True) if on == kind]
+                if part:
+                    keys, n = np.unique(pair_keys(part, order)[0], return_counts=True)
+                    held.append((keys, n if kind else np.zeros_like(n)))
+            for t, on in zip(tokens, learn, strict=True):
+                words.update(t if on else dict.fromkeys(t, 0))
+                words[b""] += on
+            if sum(len(k) for k, _ in held) > HOLD:
+                held = [merge(held)]
+                if len(held[0][0]) > HOLD // 2:
+                    yield pair_rows(*held.pop())
+            if len(words) > HOLD // 2:
+                yield word_rows()
+                words.clear()
+    if held:
+        yield pair_rows(*merge(held))
+    if words:
+        yield word_rows()
 
-        for batch in batches:
-            id_type, done = batch.column(0).type, 0
-            for words, joined in chunks((t.as_py() for t in batch.column(1)), min(STEP, chunk_bytes)):
-                more = sum(map(len, joined))
-                if size and size + more > chunk_bytes:
-                    yield from flushed()
-                    chunk, size = chunk + 1, 0
-                size += more
-                sums.add(words, joined, batch.column(2).slice(done, len(words)).to_pylist())
-                yield rows(TEXT, len(words), id=batch.column(0).slice(done, len(words)), text=batch.column(1).slice(done, len(words)))
-                done += len(words)
-        if id_type is not None:
-            yield from flushed()
 
+def tally(docs: DataFrame, text_col: str = "text", learn: Column | None = None, order: int = ORDER) -> DataFrame:
+    """Counts (pair, n) and (word, n) of all that the texts hold, as often as those with ``learn`` hold it."""
     on = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), on.alias("learn"))
-    schema = f"kind int, chunk long, id {field.simpleString()}, text string, pair long, word binary, n long"
-    return spill(rows.mapInArrow(walk, schema), "ppm-tally")
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), on.alias("learn"))
+    raw = rows.mapInArrow(lambda batches: count_batches(batches, order), "pair long, word binary, n long")
+    return spill(raw.groupBy("pair", "word").agg(F.sum("n").alias("n")), "ppm-counts")
+
+
+def power_cut(levels: DataFrame, limit: int) -> int:
+    """The least power of two from which on at most ``limit`` of the entries lie; ``levels``: (level, entries)."""
+    total = 0
+    for level, entries in sorted((tuple(r) for r in levels.collect()), reverse=True):  # at most 64 rows
+        if total + entries > limit:
+            return 1 << (level + 1)
+        total += entries
+    return 0
+
+
+def level_of(n: Column) -> Column:
+    """The power of two of a count; 0 counts like 1."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int").alias("level")
 
 
 class Trie:
@@ -235,20 +234,19 @@ def shorter(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 class Model:
-    """What :func:`train` returns: counts as tables (pair, n) and (word, n), and three numbers."""
+    """What :func:`train` returns: the tables (pair, n) and (word, n), and three numbers."""
 
-    def __init__(self, tallied: DataFrame, order: int):
-        self.tallied, self.order = tallied, order
-        self.pairs = tallied.filter(F.col("kind") == PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
-        counts = tallied.filter(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n"))
-        self.words = spill(counts, "ppm-words")
-        totals = self.words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-        self.n_tokens, self.n_distinct = totals[0] or 0, totals[1]
+    def __init__(self, counts: DataFrame, order: int):
+        self.counts, self.order = counts, order
+        self.words = counts.filter("word IS NOT NULL").select("word", "n")
+        ends = F.sum(F.when(F.col("word") == F.lit(b""), F.col("n")))
+        totals = self.words.agg(F.sum("n"), F.count_if(F.col("n") > 0), ends).first()
+        self.n_tokens, self.n_distinct, self.ends = totals[0] or 0, totals[1], totals[2] or 0
 
 
-def train(tallied: DataFrame, order: int = ORDER) -> Model:
-    """The counts of the texts that ``tallied`` learns from."""
-    return Model(tallied, order)
+def train(counts: DataFrame, order: int = ORDER) -> Model:
+    """The model of the texts that ``counts``, a :func:`tally`, learns from."""
+    return Model(counts, order)
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -258,16 +256,15 @@ def _low_bytes(value: Column, n: int) -> Column:
     return value.bitwiseAND(F.lit((1 << (8 * n)) - 1).cast("long")) if n < 8 else value
 
 
-def code_lengths(model: Model, asked: DataFrame, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
-    """(pair, log) for each distinct ``pair`` of ``asked`` (pair), or of the model's own texts: natural logarithms."""
+def code_lengths(model: Model, counts: DataFrame, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
+    """(pair, n, log) for each pair of the tally ``counts``: natural logarithms of the pairs' probabilities."""
     order = model.order
-    if asked is model.tallied:
-        table = model.pairs.withColumn("asked", F.lit(True))
+    if counts is model.counts:
+        table = counts.filter("pair IS NOT NULL").select("pair", "n", F.lit(True).alias("asked"))
     else:
-        mine = model.pairs.filter("n > 0").select("pair", "n", F.lit(False).alias("asked"))
-        theirs = asked.filter(F.col("kind") == PAIR).select("pair", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
-        table = mine.unionByName(theirs).groupBy("pair").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
-    table = spill(table, "ppm-pairs")
+        mine = model.counts.filter("pair IS NOT NULL AND n > 0").select("pair", "n", F.lit(False).alias("asked"))
+        theirs = counts.filter("pair IS NOT NULL").select("pair", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+        table = spill(mine.unionByName(theirs).groupBy("pair").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")), "ppm-pairs")
 
     split = min(LONG_SUFFIX, order)  # contexts of this length are whole in each part
     context = F.shiftrightunsigned("pair", 8)
@@ -303,50 +300,92 @@ def code_lengths(model: Model, asked: DataFrame, shard_pairs: int = SHARD_PAIRS)
         by_order |= {k: short[k] for k in range(min(SUFFIX, order))}
         wanted = keys[asked]
         logs = Trie([by_order[k] for k in range(order + 1)]).log_probability(wanted)
-        return pa.table({"pair": pa.array(wanted.view(np.int64)), "log": pa.array(logs)})
-
-    return spill(rows.unionByName(given).groupBy("shard").applyInArrow(code, "pair long, log double"), "ppm-codes")
-
-
-def score_documents(tallied: DataFrame, model: Model, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) for each text of ``tallied``, in log10."""
-    order, id_type = model.order, tallied.schema["id"].dataType.simpleString()
-    of_pairs = tallied.filter(F.col("kind") == PAIR).select("chunk", "pair").join(code_lengths(model, tallied, shard_pairs), "pair")
-    of_words = tallied.filter(F.col("kind") == WORD).select("chunk", "word").join(model.words, "word", "left")
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    answers = of_pairs.select(F.col("chunk").alias("of"), "pair", "log", none("binary", "word"), none("long", "n")).unionByName(
-        of_words.select(F.col("chunk").alias("of"), none("long", "pair"), none("double", "log"), "word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        return pa.table({"pair": pa.array(wanted.view(np.int64)), "n": pa.array(n[asked]), "log": pa.array(logs)})
+
+    return spill(rows.unionByName(given).groupBy("shard").applyInArrow(code, "pair long, n long, log double"), "ppm-codes")
+
+
+def score_documents(
+    docs: DataFrame, model: Model, counts: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+    shard_pairs: int = SHARD_PAIRS, head_pairs: int = HEAD_PAIRS, head_words: int = HEAD_WORDS,
+) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) for each row of ``docs``, in log10; ``counts`` is a tally of them."""
+    order, spark = model.order, docs.sparkSession
+    counts = tally(docs, text_col, F.lit(False), order) if counts is None else counts
+    codes = code_lengths(model, counts, shard_pairs)
+    pair_cut = power_cut(codes.groupBy(level_of(F.col("n"))).count(), head_pairs)
+    head = codes.filter(F.col("n") >= pair_cut).select("pair", "log").toArrow()  # at most HEAD_PAIRS
+    keys, logs = head.column("pair").to_numpy().view(np.uint64), head.column("log").to_numpy()
+    ranks = np.argsort(keys)
+
+    short = (F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("word") > 0) & (F.col("n") > 0)
+    word_cut = power_cut(model.words.filter(short).groupBy(level_of(F.col("n"))).count(), head_words)
+    in_head = short & (F.col("n") >= word_cut)
+    rows = model.words.filter(in_head).toArrow()  # at most HEAD_WORDS
+    dictionary = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    shared = spark.sparkContext.broadcast((keys[ranks], logs[ranks] / np.log(10.0), dictionary, model.ends))
+    del head, keys, logs, rows, dictionary
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs, head, ends = shared.value
+        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        for batch in batches:
+            done = 0
+            for tokens, joined in chunks(t.as_py() for t in batch.column(1)):
+                known, base, tails = [], [], []
+                for t in tokens:
+                    rest, hits, total = [], int(ends > 0), np.log10(ends + 1.0)
+                    for word, times in Counter(t).items():
+                        c = head.get(word)
+                        if c is None:
+                            rest.append({"word": word, "n": times})
+                        else:
+                            hits += times
+                            total += times * np.log10(c + 1.0)
+                    known.append(hits)
+                    base.append(total)
+                    tails.append(rest)
+                found, starts = pair_keys(joined, order)
+                at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
+                coded = keys[at] == found if len(keys) else np.zeros(len(found), bool)
+                sums = np.add.reduceat(np.where(coded, logs[at], 0.0) if len(keys) else np.zeros(len(found)), starts)
+                away = np.add.reduceat((~coded).astype(np.int64), starts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(done, len(tokens)),
+                        pa.array([len(t) + 1 for t in tokens], pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(sums),
+                        pa.array(tails, tail_type),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(away)), pa.int32()), pa.array(found[~coded].view(np.int64))),
+                    ],
+                    names=["id", "n_tokens", "known", "logs", "score", "tail", "away"],
+                )
+                done += len(tokens)
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    scored = texts.mapInArrow(
+        score,
+        f"id {id_type}, n_tokens long, known long, logs double, score double, tail array<struct<word:binary,n:int>>, away array<bigint>",
     )
-    texts = tallied.filter(F.col("kind") == TEXT).select("chunk", "id", "text")
-
-    def add_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        coded = answers.filter(answers.column("pair").is_valid())
-        keys, logs = coded.column("pair").to_numpy().view(np.uint64), coded.column("log").to_numpy() / np.log(10.0)
-        ranks = np.argsort(keys)
-        keys, logs = keys[ranks], logs[ranks]
-        counted = answers.filter(answers.column("word").is_valid())
-        place = {w: k for k, w in enumerate(counted.column("word").to_pylist())}
-        n = counted.column("n").to_numpy()
-        known, base = (n > 0).astype(np.int64), np.log10(n + 1.0)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for words, joined in chunks(t.as_py() for t in texts.column("text")):
-            found, starts = pair_keys(joined, order)
-            lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-            tokens = np.fromiter((place[t] for w in words for t in (*w, b"")), np.int64, lengths.sum())
-            first = np.cumsum(lengths) - lengths
-            for column, values in zip(
-                out,
-                (lengths, np.add.reduceat(known[tokens], first), np.add.reduceat(base[tokens], first), np.add.reduceat(logs[np.searchsorted(keys, found)], starts)),
-                strict=True,
-            ):
-                column.append(values)
-        columns = [pa.array(np.concatenate(c)) for c in out]
-        return pa.Table.from_arrays([texts.column("id").combine_chunks(), *columns], names=["id", "n_tokens", "n_known", "logs", "score"])
-
-    schema = f"id {id_type}, n_tokens long, n_known long, logs double, score double"
-    scored = texts.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(add_up, schema)
+    # numbered when written, so the number names the row in every later read
+    rows = spill(scored.withColumn("uid", F.monotonically_increasing_id()), "ppm-scores")
+    words = rows.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", F.col("t.n").alias("times"))
+    of_words = words.join(model.words.filter("n > 0").filter(~in_head), "word").groupBy("uid").agg(
+        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_logs")
+    )
+    pairs = rows.select("uid", F.explode("away").alias("pair")).join(codes.filter(F.col("n") < pair_cut).select("pair", "log"), "pair")
+    of_pairs = pairs.groupBy("uid").agg((F.sum("log") / float(np.log(10.0))).alias("away"))
     norm = float(np.log10(model.n_tokens + model.n_distinct + 1.0))
-    return scored.select("id", "n_tokens", "n_known", (F.col("logs") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    return rows.drop("tail", "away").join(of_words, "uid", "left").join(of_pairs, "uid", "left").select(
+        "id",
+        "n_tokens",
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
+        (F.col("score") + F.coalesce("away", F.lit(0.0))).alias("score"),
+    )
 
 
 def held_out(id_col: Column) -> Column:
@@ -355,9 +394,10 @@ def held_out(id_col: Column) -> Column:
 
 def op2(docs: DataFrame) -> DataFrame:
     """Contract digest: learns from all but the held-out documents, scores all."""
-    tallied = tally(docs, learn=~held_out(F.col("doc_id")))
-    model = train(tallied)
-    return score_documents(tallied, model).select(
+    docs = docs.select("doc_id", "text")
+    counts = tally(docs, learn=~held_out(F.col("doc_id")))
+    model = train(counts)
+    return score_documents(docs, model, counts).select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
         "n_tokens",
