@@ -2,7 +2,8 @@
 
 1. Every whole text gets a 64-bit fingerprint; equal fingerprints collapse to one node, so a group
    of copies of any size is a single row from then on.
-2. A vantage-point tree over a bounded sample cuts Hamming space into shards. A node lives in one
+2. Vantage-point trees over bounded samples cut Hamming space into shards, and large shards again, in rounds,
+   until none holds more rows than SHARD_NODES (or can't be cut further). A node lives in one
    shard; if its distance to a vantage point is within the radius of a boundary, a copy visits the
    other side too (triangle bounds), so every pair within the radius meets in exactly one shard.
 3. Each shard continues the tree in memory down to small leaves, compares there, and returns a
@@ -17,6 +18,8 @@ unless all ids in it are null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,10 +33,11 @@ from pyspark.sql import types as T
 from postmill.llm.common import spill
 
 SEED = 42
-#: Sampled fingerprints from which the upper tree is built (the bound on what the driver holds).
-TREE_SAMPLE = 8192
-#: Nodes a shard should hold.
-SHARD_NODES = 40_000
+#: Sampled fingerprints from which a round's trees are built (the bound on what the driver holds and broadcasts),
+#: and those that a cut needs at least.
+TREE_SAMPLE, CUT_SAMPLE = 1 << 18, 16
+#: Rows, visitors included, that a shard holds at most.
+SHARD_NODES = 400_000
 #: Nodes of a leaf, compared with one another directly.
 LEAF = 96
 #: Pairs held before they are folded into the labels.
@@ -106,12 +110,12 @@ def choose_split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | Non
     return None if best is None else (best[1], best[2])
 
 
-def build_tree(sample: np.ndarray, depth: int, radius: int):
-    """Nested (pivot, boundary, left, right) down to integer shard numbers."""
-    shards = iter(range(1 << 30))
+def build_tree(sample: np.ndarray, depth: int, radius: int, shards: Iterator[int]):
+    """Nested (pivot, boundary, left, right) down to numbers taken from ``shards``."""
 
     def grow(points: np.ndarray, level: int):
-        split = choose_split(points, radius) if level and len(points) >= 16 else None
+        some = points if len(points) <= 4096 else points[:: len(points) // 4096]
+        split = choose_split(some, radius) if level and len(points) >= CUT_SAMPLE else None
         if split is None:
             return next(shards)
         pivot, m = split
@@ -121,6 +125,18 @@ def build_tree(sample: np.ndarray, depth: int, radius: int):
     return grow(sample, depth)
 
 
+def leaves(tree) -> list[int]:
+    """The shard numbers of a tree."""
+    found, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, int):
+            found.append(node)
+        else:
+            stack += node[2:]
+    return found
+
+
 def divide(homes: np.ndarray, visitors: np.ndarray, pivot: np.uint64, m: int, radius: int):
     """Homes and visitors of the near and of the far side.
 
@@ -133,8 +149,9 @@ def divide(homes: np.ndarray, visitors: np.ndarray, pivot: np.uint64, m: int, ra
     return near, far
 
 
-def route(tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    stack = [(tree, fps, fps[:0])]
+def route(tree, homes: np.ndarray, visitors: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, homes, visitors) of the shards of a tree that any of the given ones reach."""
+    stack = [(tree, homes, visitors)]
     while stack:
         node, homes, visitors = stack.pop()
         if not len(homes) and not len(visitors):
@@ -217,25 +234,70 @@ def search(homes: np.ndarray, visitors: np.ndarray, radius: int) -> Forest:
 # --- distributed join ---------------------------------------------------------------------------
 
 
+def deal(rows: DataFrame, trees: dict, radius: int) -> DataFrame:
+    """``rows`` (shard, fp, home) with those of the shards in ``trees`` routed to the shards below."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
+        cut = np.array(sorted(trees))
+        for batch in batches:
+            shards, fps, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            fps = fps.view(np.uint64)
+            split = np.isin(shards, cut)
+            rest = [c.filter(pa.array(~split)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(rest, names=["shard", "fp", "home"])
+            for shard in np.unique(shards[split]).tolist():
+                mine = shards == shard
+                for below, homes, visitors in route(trees[shard], fps[mine & home], fps[mine & ~home], radius):
+                    both = np.concatenate([homes, visitors]).view(np.int64)
+                    at_home = np.arange(len(both)) < len(homes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(both), below, np.int64)), pa.array(both), pa.array(at_home)], names=["shard", "fp", "home"]
+                    )
+
+    return rows.select("shard", "fp", "home").mapInArrow(of, "shard long, fp long, home boolean")
+
+
+def sharded(nodes: DataFrame, radius: int, sample: int = TREE_SAMPLE, shard_nodes: int = SHARD_NODES) -> DataFrame:
+    """Rows (shard, fp, home): the distinct ``fp`` of ``nodes`` in shards where all pairs within ``radius`` meet once."""
+    rows = nodes.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(True).alias("home"))
+    numbers, above, final = itertools.count(1), {}, set()
+    sizes = {0: nodes.count()}
+    while True:
+        # at most sample / 32 shards are cut in a round
+        large = {k: n for k, n in sizes.items() if n > shard_nodes and k not in final}
+        large = dict(sorted(large.items(), key=lambda x: -x[1])[: max(1, sample // (2 * CUT_SAMPLE))])
+        if not large:
+            return rows
+        each = max(2 * CUT_SAMPLE, sample // len(large))
+        quota = rows.sparkSession.createDataFrame([(k, each / n) for k, n in large.items()], "shard long, share double")
+        drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        found = rows.join(F.broadcast(quota), "shard").filter(F.col("home") & drawn).select("shard", "fp").toArrow()
+        shard, fps = found.column("shard").to_numpy(), found.column("fp").to_numpy().view(np.uint64)
+        ranks = np.lexsort((fps, shard))
+        shard, fps = shard[ranks], fps[ranks]
+        trees = {}
+        for k, n in large.items():
+            mine = fps[np.searchsorted(shard, k) : np.searchsorted(shard, k, "right")]
+            # a level more than halving needs, as visitors are copied
+            depth = max(1, math.ceil(math.log2(n / shard_nodes)) + 1)
+            tree = build_tree(mine, depth, radius, numbers)
+            if isinstance(tree, int):
+                final.add(k)  # nothing to cut it by
+            else:
+                trees[k] = tree
+                above |= dict.fromkeys(leaves(tree), n)
+        if trees:
+            rows = spill(deal(rows, trees, radius), "shards")
+            counted = rows.groupBy("shard").count().filter(F.col("count") > shard_nodes)
+            sizes = {r["shard"]: r["count"] for r in counted.collect()}
+            # a cut that leaves nearly all on one side is not worth repeating
+            final |= {k for k, n in sizes.items() if n > 0.9 * above.get(k, n + 1)}
+
+
 def hamming_links(nodes: DataFrame, radius: int, sample: int = TREE_SAMPLE, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """(a, b) edges that connect exactly the distinct ``fp`` of ``nodes`` within ``radius`` bits."""
-    n = nodes.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_nodes))))
-    tree = 0
-    if depth:
-        rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()
-        tree = build_tree(rows["fp"].to_numpy(np.int64).view(np.uint64), depth, radius)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, homes, visitors in route(tree, fps, radius):
-                both = np.concatenate([homes, visitors]).view(np.int64)
-                at_home = np.arange(len(both)) < len(homes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(both), shard, np.int32)), pa.array(both), pa.array(at_home)],
-                    names=["shard", "fp", "home"],
-                )
 
     def join(shard: pa.Table) -> pa.Table:
         fps = shard.column("fp").to_numpy().view(np.uint64)
@@ -243,8 +305,7 @@ def hamming_links(nodes: DataFrame, radius: int, sample: int = TREE_SAMPLE, shar
         a, b = search(fps[home], fps[~home], radius).links()
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(join, "a long, b long")
+    return sharded(nodes, radius, sample, shard_nodes).groupBy("shard").applyInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
