@@ -2,26 +2,32 @@
 
 Headers (digest, length, id, address) are shuffled by payload digest and pre-aggregated to the first
 record of each payload; pages then join the digests that occur more than once. The first becomes the
-``response``, the others ``revisit`` records without payload that refer to it. Records get fresh
-headers and are written by Spark's own committed writer: its line separator is the record end that the
-format asks for, so a part file is a WARC file, on any file system, and a lost task leaves nothing
-half-written. Parts are gzip streams as a whole (not one member per record).
+``response``, the others ``revisit`` records without payload that refer to it. Records get fresh headers: type,
+identity, date (of writing, or a column's), address, digests and lengths; nothing is taken over from elsewhere.
 
-Reading parses each part by content lengths in a stream, checks every digest, and resolves revisits by
-joining them to the responses on the payload digest. A payload that a third of all captures share
-is one row on the response side; adaptive execution splits the other side.
+Each record is a gzip member of its own, so readers can seek to it. Tasks pack members into archives of about ``FILE_BYTES``
+(a larger record is an archive of its own), led by a ``warcinfo`` record. An archive is one row that Spark's committed
+text writer puts into one file, on any file system; the line end that this writer adds is an empty gzip member. A lost
+task leaves nothing half-written.
+
+Reading parses each archive member by member in a stream, checks every digest, and resolves revisits by joining them to the responses on the
+payload digest: only revisits' headers and the responses that are referred to are shuffled. A payload that a third of all
+captures share is one row on the response side; adaptive execution splits the other side.
 
 Defined results: null html is an empty payload; null addresses have no target header; a null id
 never is the first while another has the payload; rows that repeat the first record's id are
-responses too; an empty table gives an empty archive; other columns are ignored.
+responses too, under the same record id; a null date is the time of writing; an empty table gives an empty archive; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +40,10 @@ from postmill.llm.common import new_path, spill
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one archive file at most.
-FILE_RECORDS = 10_000
+#: Compressed bytes after which an archive is closed: the bound of a file, and of what a task holds of it.
+FILE_BYTES = 16 << 20
+#: A gzip member without content, as text in Latin-1.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 _ID = "urn:page:"
 
 
@@ -56,14 +64,14 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def resolve_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (id, url, payload) with digest, n_bytes and, for revisits, ``first_id`` and ``first_url``."""
+    """``pages`` (id, url, payload, date) with digest, n_bytes and, for revisits, the first one's id, url and date."""
     headed = pages.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("n_bytes", F.octet_length("payload"))
     first = (
         headed.filter(F.col("n_bytes") >= min_bytes)
         .groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url", "date")).alias("first"))
         .filter("copies > 1")
-        .select("digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+        .select("digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"), F.lit(True).alias("shared"))
     )
     joined = headed.join(spill(first, "warc-first"), "digest", "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first_id"))
@@ -74,7 +82,7 @@ def _address(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
 
 
-def record_text(date: str) -> Column:
+def record_text() -> Column:
     """A record without its end: fresh headers, empty line, block."""
     name = lambda c: F.concat(F.lit(f"<{_ID}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
@@ -89,13 +97,13 @@ def record_text(date: str) -> Column:
         line("WARC-Profile", F.lit(PROFILE)),
         line("WARC-Refers-To", name(F.col("first_id"))),
         optional("WARC-Refers-To-Target-URI", _address(F.col("first_url"))),
-        line("WARC-Refers-To-Date", F.lit(date)),
+        optional("WARC-Refers-To-Date", F.col("first_date")),
     )
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", name(F.col("id"))),
-        line("WARC-Date", F.lit(date)),
+        line("WARC-Date", F.col("date")),
         optional("WARC-Target-URI", _address(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(F.col("revisit"), refers).otherwise(F.lit("")),
@@ -103,9 +111,37 @@ def record_text(date: str) -> Column:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
         block,
+        F.lit(CRLF + CRLF),
     )
 
 
+def pack(batches: Iterator[pa.RecordBatch], file_bytes: int, date: str) -> Iterator[pa.RecordBatch]:
+    """Records as archives: a gzip member each, the ``warcinfo`` record first."""
+    fields = f"software: postmill{CRLF}format: WARC File Format 1.1{CRLF}"
+
+    def head() -> bytes:
+        headers = (
+            f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>{CRLF}WARC-Date: {date}{CRLF}"
+            f"Content-Type: application/warc-fields{CRLF}Content-Length: {len(fields)}{CRLF}{CRLF}"
+        )
+        return gzip.compress((headers + fields + CRLF + CRLF).encode(), mtime=0)
+
+    def archive(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([head() + b"".join(members)], pa.binary())], names=["value"])
+
+    members, size = [], 0
+    for batch in batches:
+        for record in batch.column(0):
+            member = gzip.compress(record.as_py().encode("utf-8", "surrogatepass"), compresslevel=6, mtime=0)
+            if members and size + len(member) > file_bytes:
+                yield archive(members)
+                members, size = [], 0
+            members.append(member)
+            size += len(member)
+    if members:
+        yield archive(members)
+
+
 def write_archives(
     pages: DataFrame,
     path: str,
@@ -113,16 +149,24 @@ def write_archives(
     url_col: str = "url",
     html_col: str = "html",
     min_bytes: int = 0,
-    date: str = "2024-01-01T00:00:00Z",
+    date_col: str | None = None,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
+    """Write ``pages`` as archives below ``path``; ``date_col`` is the time of capture, if there is one."""
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    written = F.lit(now)
+    if date_col:
+        written = F.coalesce(F.date_format(F.to_utc_timestamp(F.col(f"`{date_col}`").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), written)
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{url_col}`").alias("url"),
         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("payload"),
+        written.alias("date"),
     )
-    records = resolve_first(rows, min_bytes).select(record_text(date).alias("value"))
-    writer = records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = resolve_first(rows, min_bytes).select(record_text().alias("value"))
+    archives = records.mapInArrow(lambda batches: pack(batches, file_bytes, now), "value binary")
+    writer = archives.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).option("compression", "none").text(path)
 
 
 def parse_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,6 +209,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             for content in batch.column(0):
                 rows: list[dict] = []
                 for headers, block in parse_archive(gzip.open(io.BytesIO(content.as_py()))):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
                     if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
@@ -197,13 +243,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records`` with the payload of the original response on every revisit."""
+    revisits = records.filter("record_type = 'revisit'")
+    asked = revisits.select("digest").distinct()
     originals = (
         records.filter("record_type = 'response'")
+        .join(asked, "digest", "left_semi")
         .groupBy("digest")
         .agg(F.min_by("payload", "id").alias("original"))
     )
-    revisits = records.filter("record_type = 'revisit'").join(originals, "digest", "left")
-    filled = revisits.withColumn("payload", F.col("original")).select(*records.columns)
+    filled = revisits.join(originals, "digest", "left").withColumn("payload", F.col("original")).select(*records.columns)
     return records.filter("record_type = 'response'").unionByName(filled)
 
 

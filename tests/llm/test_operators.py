@@ -1,6 +1,7 @@
 """Training-data operators against brute force on small fixtures with every odd case."""
 
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -487,11 +488,26 @@ def test_mixing_is_nested(spark):
 def test_archives_round_trip(spark, docs, rows, tmp_path):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://x/\r\n"), F.col("doc_id").cast("string")).alias("url"), F.concat("text", F.lit("\r\n\r\nWARC/1.1\r\n")).alias("html")).filter("page_id IS NOT NULL")
     path = f"file://{tmp_path}/w"
-    warc.write_archives(pages, path)
+    warc.write_archives(pages.withColumn("at", F.when(F.col("page_id") != 3, F.lit("2023-05-06 07:08:09"))), path, date_col="at", file_bytes=2000)
     records = warc.resolve_revisits(warc.read_archives(spark, path))
     got = {(r["id"], bytes(r["payload"])) for r in records.collect()}
     assert got == {(str(i), (t + "\r\n\r\nWARC/1.1\r\n").encode() if t is not None else b"") for i, t, *_ in rows if i is not None}
     assert records.filter("record_type = 'revisit'").count() >= 1
+    names = list((tmp_path / "w").glob("part-*"))
+    assert len(names) > 3
+    for name in names:
+        # a gzip member per record: each can be read from where it starts
+        data, kinds = name.read_bytes(), []
+        while data:
+            member = zlib.decompressobj(31)
+            text = member.decompress(data) + member.flush()
+            data = member.unused_data
+            if text:
+                (headers, _), = warc.parse_archive(io.BytesIO(text))
+                kinds.append(headers["warc-type"])
+                assert headers["warc-date"] == "2023-05-06T07:08:09Z" or kinds[-1] == "warcinfo" or headers["warc-record-id"] == "<urn:page:3>"
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:] and len(kinds) > 1
+        assert name.stat().st_size < 4000 or len(kinds) == 2
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
