@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -33,10 +34,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of this machine where that is unset and all run here.
+
+    On a cluster without the setting there is no such folder, so that is an error: executors couldn't see one another's files.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/postmill-{spark.sparkContext.applicationId}"
@@ -57,8 +63,17 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def spills(spark: SparkSession):
+    """A block after which all that was spilled in this application is deleted: act on the results inside it."""
+    try:
+        yield
+    finally:
+        clear_spills(spark)
+
+
 def clear_spills(spark: SparkSession) -> None:
-    """Delete what :func:`spill` has written for this application; call it after the last action."""
+    """Delete what :func:`spill` has written for this application; call it after the last action on its results."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

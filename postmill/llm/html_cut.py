@@ -2,10 +2,15 @@
 
 A page becomes a row of text blocks, each with the path of elements it stands in. A linear
 classifier over the path (elements, class and id words, roles), link density and length gives each
-block a cost for either label; these are the capacities to the two terminals. Blocks that
+block a cost for either label; these are the capacities to the two terminals. On the path the sign nearest to the block
+counts: an advert in an article is an advert, an article in a sidebar is no content. Blocks that
 follow one another, or stand in the same element, are joined by edges that grow with their
-closeness in the tree; a maximum flow finds the cheapest labelling. Everything is per page and in
-memory linear in the page, so a page is a row and no shuffle takes place.
+closeness in the tree; a maximum flow finds the cheapest labelling. Where the path says something (STRONG), no
+neighbours outweigh it; where it doesn't, as on pages whose class names mean nothing, they decide: a caption among
+paragraphs stays, a sentence among links goes.
+
+Everything is per page, in time and memory linear in the page up to the flow itself (what an element hands down is
+worked out once, when it opens), so a page is a row and no shuffle takes place.
 
 Defined results: null or empty html gives an empty text; broken markup is closed where browsers close
 it; pages are independent, so repeated rows get equal results; other columns pass through.
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -40,10 +45,12 @@ CLOSES = {
 }
 SCOPES = frozenset("table ul ol dl div article section body html td th form nav aside main header footer".split())
 
-# Classifier weights; positive speaks for content.
+# Classifier weights; positive speaks for content. STRONG outweighs a block's own
+# features (2.0 at most) and all its edges (3 * SMOOTHNESS at most).
+STRONG, SMOOTHNESS = 7.0, 1.5
 TAG_WEIGHT = {
-    "article": 5.0, "main": 4.0, "nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0,
-    "header": -9.0, "dialog": -10.0, "address": -4.0, "fieldset": -8.0, "label": -3.0, "p": 1.0, "blockquote": 1.0,
+    "article": 5.0, "main": 4.0, "nav": -STRONG, "footer": -STRONG, "aside": -STRONG, "form": -STRONG, "menu": -STRONG,
+    "header": -STRONG, "dialog": -STRONG, "fieldset": -STRONG, "address": -4.0, "label": -3.0, "p": 1.0, "blockquote": 1.0,
     "pre": 1.0, "h1": 1.5, "h2": 0.5, "h3": 0.5, "figcaption": 0.5,
 }
 BOILERPLATE_WORDS = frozenset(
@@ -55,12 +62,14 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content post entry story maincontent articlebody body text prose".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
-WORD_WEIGHT, CONTENT_WORD_WEIGHT, ROLE_WEIGHT, LINK_WEIGHT = -12.0, 2.0, -12.0, -6.0
-BIAS, SMOOTHNESS = -0.5, 2.0
+WORD_WEIGHT, CONTENT_WORD_WEIGHT, ROLE_WEIGHT, LINK_WEIGHT = -STRONG, 2.0, -STRONG, -6.0
+BIAS = -0.5
+#: Steps in the tree from which on two blocks aren't neighbours.
+FAR = 40
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$)",
     re.S,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -69,14 +78,36 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Element:
+    """An open element and what it hands down: signs of its path, the block it stands in, and how it is shown."""
+
     name: str
-    weight: float
     depth: int
     parent: Element | None
+    block: Element | None = None
+    evidence: float = 0.0
+    header_only: bool = False  # the one sign against the path is a header
+    in_article: bool = False
     dropped: bool = False
     link: bool = False
 
 
+def opened(name: str, attrs: str, parent: Element) -> Element:
+    """A child of ``parent``; the nearest sign decides: content can't come back below boilerplate."""
+    weight = element_weight(name, attrs)
+    evidence = parent.evidence
+    if weight < 0:
+        evidence = max(-STRONG, min(0.0, evidence) + weight)
+    elif evidence >= 0:
+        evidence = min(STRONG - 1, evidence + weight)
+    found = Element(
+        name, parent.depth + 1, parent, None, evidence,
+        parent.header_only if weight >= 0 else name == "header" and parent.evidence >= 0 and weight == TAG_WEIGHT["header"],
+        parent.in_article or name in ("article", "main"), parent.dropped or name in DROPPED, parent.link or name == "a",
+    )
+    found.block = found if name in BLOCK else parent.block or parent
+    return found
+
+
 @dataclass
 class Block:
     element: Element
@@ -106,8 +137,9 @@ def element_weight(name: str, attrs: str) -> float:
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; inline elements and line breaks don't end a block."""
-    root = Element("#root", 0.0, 0, None)
+    root = Element("#root", 0, None)
     here, blocks, current = root, [], None
+    open_now: Counter = Counter()  # names on the path, so that what isn't open is never looked for
 
     def say(text: str) -> None:
         nonlocal current
@@ -116,15 +148,21 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            e = here
-            while e.name not in BLOCK and e.parent is not None:
-                e = e.parent
-            current = Block(e)
+            current = Block(here.block or root)
             blocks.append(current)
         current.parts.append(text)
         if here.link:
             current.link_chars += len(text)
 
+    def leave(name: str) -> None:
+        """Close the nearest ``name``, which is open, and all within it."""
+        nonlocal here
+        while True:
+            closed, here = here, here.parent
+            open_now[closed.name] -= 1
+            if closed.name == name:
+                return
+
     at = 0
     while found := _TOKEN.search(page, at):
         say(page[at : found.start()])
@@ -135,14 +173,10 @@ def blocks_of(page: str) -> list[Block]:
         if found["end"]:
             if name == "br":
                 say(" ")
-                continue
-            e = here
-            while e is not root and e.name != name:
-                e = e.parent
-            if e is not root:
+            elif open_now[name]:
+                leave(name)
                 if name in BLOCK:
                     current = None
-                here = e.parent
             continue
         if name in VOID:
             if name == "br":
@@ -152,43 +186,32 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             current = None
-            e = here
-            while e is not root and e.name not in SCOPES and e.name != "p" and e.name not in CLOSES.get(name, ()):
-                e = e.parent
-            if e.name == "p" or e.name in CLOSES.get(name, ()):
-                here = e.parent
-        here = Element(
-            name,
-            element_weight(name, found["attrs"]),
-            here.depth + 1,
-            here,
-            here.dropped or name in DROPPED,
-            here.link or name == "a",
-        )
+            closes = CLOSES.get(name, frozenset())
+            if open_now["p"] or any(open_now[c] for c in closes):
+                e = here
+                while e is not root and e.name not in SCOPES and e.name != "p" and e.name not in closes:
+                    e = e.parent
+                if e.name == "p" or e.name in closes:
+                    leave(e.name)
+        here = opened(name, found["attrs"], here)
+        open_now[name] += 1
         if name in RAW:  # nothing but its own end tag ends it
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            here = here.parent
+            leave(name)
         elif found["attrs"].endswith("/") and name not in BLOCK and name != "a":
-            here = here.parent
+            leave(name)
     say(page[at:])
     return blocks
 
 
 def content_score(element: Element, text: str, link_chars: int) -> float:
     """Cost of calling the block boilerplate less that of calling it content."""
-    score, worst, e, in_article = BIAS, 0.0, element, False
-    while e is not None:
-        in_article |= e.name in ("article", "main")
-        if e.weight > 0:
-            score += e.weight
-        else:
-            worst = min(worst, e.weight)
-        e = e.parent
-    if element.name in ("h1", "h2") and in_article and worst == TAG_WEIGHT["header"]:
-        worst = 0.0  # the article's own headline
+    evidence = element.evidence
+    if element.name in ("h1", "h2") and element.in_article and element.header_only:
+        evidence = TAG_WEIGHT["article"]  # the article's own headline
     size = len(text)
-    score += worst + LINK_WEIGHT * min(1.0, link_chars / max(1, size))
+    score = BIAS + evidence + LINK_WEIGHT * min(1.0, link_chars / max(1, size))
     score += min(2.0, size / 120) + (0.5 if text[-1:] in ".!?…:;\"”»" else 0.0)
     return score
 
@@ -197,6 +220,8 @@ def closeness(a: Element, b: Element) -> float:
     """1 for the same parent, falling with the steps between the two in the tree."""
     x, y, steps = a, b, 0
     while x is not y:
+        if steps == FAR:
+            return 0.0  # an edge that weighs next to nothing isn't looked for any further
         if x.depth >= y.depth:
             x = x.parent
         else:
@@ -270,10 +295,8 @@ def max_flow_sides(scores: list[float], edges: list[tuple[int, int, float]]) ->
                 u = to[path.pop() ^ 1]
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page: content blocks joined by an empty line."""
-    if not page:
-        return ""
+def page_graph(page: str) -> tuple[list[str], list[float], list[tuple[int, int, float]]]:
+    """Texts of a page's blocks, their classifier scores, and the edges (a, b, weight) between them."""
     texts, elements, scores = [], [], []
     for block in blocks_of(page):
         text = " ".join(html.unescape("".join(block.parts)).split())
@@ -281,21 +304,23 @@ def extract(page: str | None) -> str:
             texts.append(text)
             elements.append(block.element)
             scores.append(content_score(block.element, text, block.link_chars))
-    if not texts:
+    edges, last = [], {}
+    for k, e in enumerate(elements):
+        if k:
+            edges.append((k - 1, k, SMOOTHNESS * closeness(elements[k - 1], e)))
+        parent = id(e.parent)
+        if last.get(parent, k - 1) != k - 1:  # a sibling that isn't the block before
+            edges.append((last[parent], k, SMOOTHNESS / 2))
+        last[parent] = k
+    return texts, scores, edges
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page: content blocks joined by an empty line."""
+    if not page:
         return ""
-    if min(scores) > 0 or max(scores) <= 0:
-        labels = [s > 0 for s in scores]
-    else:
-        edges, last = [], {}
-        for k, e in enumerate(elements):
-            if k:
-                edges.append((k - 1, k, SMOOTHNESS * closeness(elements[k - 1], e)))
-            parent = id(e.parent)
-            if last.get(parent, k - 1) != k - 1:  # a sibling that isn't the block before
-                edges.append((last[parent], k, SMOOTHNESS / 2))
-            last[parent] = k
-        labels = max_flow_sides(scores, edges)
-    return "\n\n".join(t for t, kept in zip(texts, labels, strict=True) if kept)
+    texts, scores, edges = page_graph(page)
+    return "\n\n".join(t for t, kept in zip(texts, max_flow_sides(scores, edges), strict=True) if kept)
 
 
 @F.arrow_udf(T.StringType())

@@ -417,12 +417,12 @@ def signature_udf(width: int):
 
 
 def shingle_set_udf(width: int):
-    """text -> its distinct shingle hashes, cut to 32 bits."""
+    """text -> its distinct shingle hashes."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(texts: pa.Array) -> pa.Array:
-        sets = [np.unique(shingle_hashes(t.as_py(), width).astype(np.uint32)).view(np.int32) for t in texts]
-        return pa.array(sets, pa.list_(pa.int32()))
+        sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in texts]
+        return pa.array(sets, pa.list_(pa.int64()))
 
     return of
 
@@ -531,13 +531,15 @@ def one_of_each_group(
     """The documents with one row of each group of near-duplicates: that of the smallest id.
 
     Links are equal sets of shingles, fingerprints within ``radius`` bits, and sets of a similarity of
-    ``similarity`` or more. Keeps the input columns. Null ids come last; rows equal in id and text are one row.
+    ``similarity`` or more. Keeps the input columns. Null ids come last; of rows equal in id and text, that with the least
+    hash over all columns stays, and rows equal in every column are one row.
     """
     row_id, body = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.xxhash64(row_id, body).alias("r1"),
-        F.xxhash64(F.lit("row"), row_id, body).alias("r2"),
+        F.xxhash64(row_id, body, others).alias("r1"),
+        F.xxhash64(F.lit("row"), row_id, body, others).alias("r2"),
         row_id.alias("id"),
         body.alias("body"),
     )

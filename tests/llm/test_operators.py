@@ -248,6 +248,65 @@ def test_minimum_cut_against_all_labellings():
         assert cost(html_cut.max_flow_sides(scores, edges)) == pytest.approx(best)
 
 
+def doubtful_page(rng):
+    """A page of plain divs whose class names mean nothing, and the texts that are its content."""
+    words = lambda a, b: " ".join("".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    div = lambda x: f'<div class="{"".join(rng.choice("qxzjkv") for _ in range(6))}">{x}</div>'
+    links = lambda n: " ".join(f'<a href="/x">{words(1, 2)}</a>' for _ in range(n))
+    menu = "".join(div(links(2)) for _ in range(rng.randint(2, 5)))
+    content = []
+    for _ in range(rng.randint(3, 8)):  # paragraphs, and captions and short sentences among them
+        content.append(rng.choice([words(30, 60) + ".", words(30, 60) + ".", words(2, 4), words(3, 6) + "."]))
+    foot = [div(links(3)) for _ in range(rng.randint(2, 4))]
+    foot.insert(rng.randint(1, len(foot)), div(words(3, 6) + "."))  # a sentence among links
+    return f"<html><body>{div(menu)}{div(''.join(map(div, content)))}{div(''.join(foot))}</body></html>", content
+
+
+def test_cut_decides_where_the_path_says_nothing():
+    import random
+
+    rng, right, alone, blocks, changed = random.Random(1), 0, 0, 0, 0
+    for _ in range(200):
+        page, content = doubtful_page(rng)
+        texts, scores, edges = html_cut.page_graph(page)
+        labels = html_cut.max_flow_sides(scores, edges)
+        assert html_cut.extract(page) == "\n\n".join(t for t, on in zip(texts, labels, strict=True) if on)
+        truth = [t in content for t in texts]
+        right += sum(a == b for a, b in zip(labels, truth, strict=True))
+        alone += sum((s > 0) == b for s, b in zip(scores, truth, strict=True))
+        changed += labels != [s > 0 for s in scores]
+        blocks += len(texts)
+    assert right >= 0.97 * blocks and alone <= 0.9 * blocks and changed >= 150
+
+
+def test_cut_of_whole_pages_against_all_labellings():
+    import itertools
+    import random
+
+    rng, tried = random.Random(2), 0
+    while tried < 12:
+        texts, scores, edges = html_cut.page_graph(doubtful_page(rng)[0])
+        if len(texts) <= 13:
+            tried += 1
+            cost = lambda x: sum(s for s, on in zip(scores, x, strict=True) if s > 0 and not on) - sum(s for s, on in zip(scores, x, strict=True) if s < 0 and on) + sum(w for a, b, w in edges if x[a] != x[b])  # noqa: E731, B023
+            best = min(cost(x) for x in itertools.product((False, True), repeat=len(scores)))
+            assert cost(html_cut.max_flow_sides(scores, edges)) == pytest.approx(best)
+
+
+def test_main_text_nearest_sign_counts():
+    page = "<article><p>A long enough paragraph of the article itself.</p><div class='ad'><p>Buy now, it is cheap today, really.</p></div></article><aside><article><p>Another story, told in a sidebar of the page.</p></article></aside>"
+    assert html_cut.extract(page) == "A long enough paragraph of the article itself."
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 170_000, "<b>x" * 100_000 + "<p>y" * 20_000, "<a '" * 200_000, "</div>" * 100_000 + "<p>x" * 20_000, "<ul>" + "<span>" * 20_000 + "<li>a" * 20_000, "<!--" * 200_000, "<p>" + "word " * 400_000])
+def test_long_and_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_cut.extract(page)
+    assert time.process_time() - began < 6  # 2 s on an idle machine
+
+
 def test_url_intervals(spark):
     import datetime as dt
 
@@ -529,6 +588,45 @@ def test_pipeline_stages(spark, docs, empty, bench, labels, tmp_path):
                 assert out.count() == 0
 
 
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """The whole chain: what the first four stages keep, and what the mix takes of it."""
+    import random
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n))
+    base, item = prose(120), prose(14)
+    texts = [prose(150) for _ in range(12)] + [base, base, base + " " + prose(3), base.replace("a", "b", 2)]
+    texts += [f"{prose(70)}\n{SHARED}\n{prose(20)}" for _ in range(4)] + [f"{prose(60)} {item} {prose(60)}", f"{prose(40)} {item}", "short", None]
+    rows = [(k, t, "en", "abc"[k % 3], len(t or "")) for k, t in enumerate(texts)]
+    for name, table in (
+        ("documents", spark.createDataFrame(rows, SCHEMA)),
+        ("benchmark", spark.createDataFrame([(1, item)], "item_id long, text string")),
+        ("labels", spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")),
+    ):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = {i: t for i, t, *_ in rows if len(words(t)) >= 50}  # none of them breaks another rule
+    holders = [i for i, t in kept.items() if SHARED in t]
+    lines = {i: "\n".join(x for x in t.split("\n") if x != SHARED or i == max(holders)) for i, t in kept.items()}
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in lines.items()}
+    fps = {i: simhash.fingerprint(t, 5) for i, t in lines.items()}
+    label = {i: i for i in lines}
+    for a in lines:
+        for b in lines:
+            if a < b and label[a] != label[b] and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 2):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    left = {i: t for i, t in lines.items() if label[i] == i and item not in t}
+    assert len(left) == 17 and len(lines) == 22
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    taken = Counter(r["doc_id"] for r in got)
+    assert set(taken) <= set(left) and max(taken.values()) <= 2
+    assert all(r["text"] == left[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+    mixed = {r["doc_id"]: r["taken"] for r in mixing.op9(spark.createDataFrame([(i, t, "en", "abc"[i % 3], len(t)) for i, t in left.items()], SCHEMA)).collect()}
+    assert {i: n * len(words(left[i])) for i, n in taken.items()} == {i: n for i, n in mixed.items() if n}
+    assert sorted((r["doc_id"], r["mix_copy"]) for r in got) == sorted((i, k) for i, n in taken.items() for k in range(1, n + 1))
+
+
 def test_one_of_each_similar_group(spark):
     import random
 
