@@ -62,8 +62,8 @@ def classified_reason(keyword_reason: Column, missing: Column, expired: Column,
         F.when(missing, "MISSING_REQUIRED_FIELDS")
         .when(expired, "EXPIRED")
         .when(match["deferred"], "ANALYSIS_DEFERRED")
-        .when(match["non_it"], "NON_IT")
-        .when(match["role"] == "MISMATCH", "ROLE_MISMATCH")
+        .when(match["non_it"], "ANALYSIS_NON_IT")
+        .when(match["role"] == "MISMATCH", "ANALYSIS_ROLE_MISMATCH")
         .when(~match["eligible"], "EXPERIENCE_EXCLUDED")
         .when(employment_mismatch, "EMPLOYMENT_TYPE_MISMATCH")
     )

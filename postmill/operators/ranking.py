@@ -15,6 +15,18 @@ def default_order() -> list[Column]:
     ]
 
 
+def prune_for_top(df: DataFrame, user: str = "user_id", company: str = "company", k: int = 7, cap: int = 2) -> DataFrame:
+    """The rows that :func:`select_top` can take at all: of each user's company the first ``cap``, the first ``cap`` new ones and the first urgent one.
+
+    Two windows over (user, company), so a user's whole pool is never in one sort.
+    """
+    co = F.lower(F.col(company))
+    place = lambda *more: F.row_number().over(Window.partitionBy(user, co, *more).orderBy(*default_order()))
+    near = df.withColumn("__n", place()).withColumn("__new", place("is_new")).withColumn("__urgent", place("is_urgent"))
+    kept = (F.col("__n") <= cap + 1) | (F.col("is_new") & (F.col("__new") <= cap + 1)) | (F.col("is_urgent") & (F.col("__urgent") <= 1))
+    return near.filter(kept).drop("__n", "__new", "__urgent")
+
+
 def select_top(df: DataFrame, user: str = "user_id", company: str = "company", k: int = 7, min_new: int = 2, cap: int = 2) -> DataFrame:
     """Per user: one urgent row, then new rows, then the best of the rest, at most ``cap`` per company.
 

@@ -10,6 +10,7 @@ WEIGHTS = {
     "location": 10, "employment": 10, "company_size": 15, "official": 5, "open_recruitment": 5, "new_grad_hire": 5,
     "open_max": 5,
 }
+IT_GROUPS = ("BACKEND", "FRONTEND", "FULLSTACK", "DATA", "AI_ML", "MOBILE", "DEVOPS_INFRA", "GENERAL_IT", "OTHER_IT")
 PARTS = ("role", "company", "skill", "experience", "industry", "location", "employment", "company_size", "open", "source")
 
 
@@ -53,7 +54,7 @@ def classified_score(keyword: dict[str, Column], match: Column, scope: Column, r
     new = {
         "role": F.when(match["role"] == "DIRECT_MATCH", w["role"]).when(match["role"] == "BROAD_IT_MATCH", w["role_broad"]).otherwise(0),
         "experience": F.when(match["experience"] == "FULL", w["experience"]).otherwise(0),
-        "open": bonus,
+        "open": F.when(match["non_it"], 0).otherwise(bonus),
     }
     return {k: F.when(match["deferred"], v).otherwise(new[k]) if k in new else v for k, v in keyword.items()}
 
@@ -65,14 +66,33 @@ def total(parts: dict[str, Column]) -> Column:
     return out
 
 
-def single_role_match(
-    has_row: Column, status: Column, domain: Column, groups: Column, acceptable: Column, experience: Column
-) -> Column:
-    """Eligibility by a single-role analysis: struct (deferred, non_it, eligible, role, experience)."""
-    done = F.coalesce(has_row, F.lit(False)) & F.coalesce(status.isin("SUCCEEDED", "FALLBACK"), F.lit(False))
+def classification_match(single: Column, multi: Column, status: Column, domain: Column, scope: Column, tracks: Column) -> Column:
+    """Eligibility of a posting for a user: struct (deferred, non_it, eligible, role, experience).
+
+    Unfinished analyses are deferred and other domains excluded; then the tracks decide, if there are any and the posting
+    isn't for one role, else the posting as a whole.
+    """
+    done = F.coalesce(status.isin("SUCCEEDED", "FALLBACK"), F.lit(False))
     non_it = done & F.coalesce(domain == "NON_IT", F.lit(False))
+    by_track = (F.size(F.coalesce(tracks, F.array().cast(TRACKS))) > 0) & ~F.coalesce(scope == "ROLE_SPECIFIC", F.lit(False))
+    pick = lambda name: F.when(non_it, _NON_IT[name]).when(by_track, multi[name]).otherwise(single[name])
+    return F.struct(
+        (~done | (~non_it & ~by_track & single["deferred"])).alias("deferred"),
+        non_it.alias("non_it"),
+        pick("eligible").alias("eligible"),
+        pick("role").alias("role"),
+        pick("experience").alias("experience"),
+    )
+
+
+_NON_IT = {"eligible": False, "role": "MISMATCH", "experience": "UNKNOWN"}
+TRACKS = "array<struct<no:int,groups:array<string>,accepts:boolean,min_years:int,requirement:string,recruitment:string,unknown:boolean>>"
+
+
+def single_role_match(groups: Column, acceptable: Column, experience: Column) -> Column:
+    """Eligibility by the posting as a whole: struct (deferred, eligible, role, experience)."""
     no_preference = F.size(acceptable) == 0
-    unknown_groups = done & ~non_it & ~no_preference & (F.coalesce(F.size(groups), F.lit(0)) <= 0)
+    unknown_groups = ~no_preference & (F.coalesce(F.size(groups), F.lit(0)) <= 0)
     role = (
         F.when(no_preference, "DIRECT_MATCH")
         .when(F.arrays_overlap(groups, acceptable), "DIRECT_MATCH")
@@ -81,11 +101,7 @@ def single_role_match(
     )
     exp = F.when(role == "MISMATCH", "UNKNOWN").otherwise(experience)
     return F.struct(
-        (~done | unknown_groups).alias("deferred"),
-        non_it.alias("non_it"),
-        ((role != "MISMATCH") & (exp != "EXCLUDED") & ~non_it).alias("eligible"),
-        role.alias("role"),
-        exp.alias("experience"),
+        unknown_groups.alias("deferred"), ((role != "MISMATCH") & (exp != "EXCLUDED")).alias("eligible"), role.alias("role"), exp.alias("experience")
     )
 
 

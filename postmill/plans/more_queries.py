@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from postmill.functions import policy
 from postmill.operators import scoring
+from postmill.operators.scoring import IT_GROUPS
 from postmill.plans.functions_queries import user_profiles, users_roles_sql
 from postmill.sources import parsers
 from postmill.sources.fixtures import postings, users, with_postings
 
-IT_GROUPS = ("BACKEND", "FRONTEND", "FULLSTACK", "DATA", "AI_ML", "MOBILE", "DEVOPS_INFRA", "GENERAL_IT", "OTHER_IT")
 GROUP_OF = ("BACKEND", "GENERAL_IT", "DATA", "NON_DEV", "FULLSTACK", "AI_ML")
 REQUIREMENT_OF = ("NONE", "REQUIRED", "PREFERRED", "UNKNOWN")
 #: Weights of the source-side scores: list -> (text, points).

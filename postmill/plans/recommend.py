@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, policy, text
@@ -57,8 +57,16 @@ def exposures(spark: SparkSession, d: str, by_url: DataFrame) -> DataFrame:
 def facts(post: DataFrame, ana: DataFrame) -> DataFrame:
     """Per posting, everything that doesn't depend on the user, computed once before users are joined."""
     ref, col = ref_date(), F.col
+    track = lambda no, groups, accepts, years, requirement, unknown: F.struct(
+        F.lit(no).alias("no"), csv(col(groups)).alias("groups"), col(accepts).alias("accepts"), col(years).alias("min_years"),
+        col(requirement).alias("requirement"), col("recruitment_type").alias("recruitment"), unknown.alias("unknown"),
+    )
+    both = F.array(
+        track(0, "role_groups", "accepts_new_grad", "min_years", "requirement", F.lit(False)),
+        track(1, "t2_groups", "t2_accepts", "t2_min", "t2_requirement", col("t2_unknown")),
+    )
     a = ana.select(F.col("posting_id"), "status", "job_domain", csv(F.col("role_groups")).alias("a_groups"), "scope", "recruitment_type",
-                   "accepts_new_grad", "min_years", "requirement", F.lit(True).alias("has_row"))
+                   "accepts_new_grad", "min_years", "requirement", F.slice(both, 1, col("n_tracks")).alias("tracks"))
     p = post.select(
         "id", "company", "title", "deadline", "location", "employment_type", "skills_json", "experience_level",
         F.coalesce("published", "collected").alias("first_seen"),
@@ -68,6 +76,8 @@ def facts(post: DataFrame, ana: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.trim("experience_level"), F.lit("")) == "", policy.experience_from_title(col("title")))
         .otherwise(policy.parse_experience(col("experience_level"))["category"]).alias("filter_category"),
         policy.is_official(col("source")).alias("official"),
+        csv(F.coalesce("industry_codes", F.lit(""))).alias("industry_list"),
+        "company_size",
         filters.missing_required(col("title"), col("company"), col("url")).alias("missing"),
         filters.is_expired(col("deadline"), ref).alias("expired"),
         filters.is_new(col("published"), col("collected"), ref).alias("is_new"),
@@ -76,29 +86,33 @@ def facts(post: DataFrame, ana: DataFrame) -> DataFrame:
     return p.join(a, F.col("id") == F.col("posting_id"), "left").drop("posting_id")
 
 
-def scored(fact: DataFrame, user: DataFrame) -> DataFrame:
-    """(user x posting) rows with both filter reasons and scores; users are a dimension table."""
-    col, empty = F.col, F.array().cast("array<string>")
-    u = user_profiles(user).select(
-        "user_id", "acceptable", "level_list", "level_categories", "new_grad", csv(col("skills")).alias("u_skills"), csv(col("companies")).alias("u_companies"),
-        csv(col("locations")).alias("u_locations"), csv(col("employment_types")).alias("u_employment"),
-    )
-    j = fact.join(u)  # every pair is scored; Spark broadcasts the users as long as they are small
+def profiles(user: DataFrame) -> DataFrame:
+    """Users with their preferences as lists and what follows from them."""
+    lists = ("skills", "companies", "locations", "employment_types", "industries", "company_sizes")
+    u = user_profiles(user)
+    return u.select("user_id", "acceptable", "level_list", "level_categories", "new_grad", *[csv(F.col(c)).alias(f"u_{c}") for c in lists])
+
+
+def verdicts(pairs: DataFrame) -> DataFrame:
+    """Pairs of facts and profiles with both filter reasons and scores."""
+    col = F.col
     role = policy.role_verdict(col("acceptable"), col("groups"))
     filter_exp = policy.experience_verdict(col("level_list"), col("level_categories"), col("filter_category"))
     score_exp = policy.experience_verdict(col("level_list"), col("level_categories"), col("level_category"))
-    mismatch = (F.size("u_employment") > 0) & (F.coalesce("employment_type", F.lit("")) != "") & ~F.exists("u_employment", lambda x: F.lower(x) == F.lower(col("employment_type")))
-    prefs = {"skills": col("u_skills"), "companies": col("u_companies"), "locations": col("u_locations"), "employment_types": col("u_employment"),
-             "industries": empty, "company_sizes": empty}
-    keyword = scoring.keyword_score(role, prefs, col("company"), col("skills_json"), score_exp, col("location"), col("employment_type"), empty,
-                                    F.lit(None).cast("string"), col("official"))
+    wanted = col("u_employment_types")
+    mismatch = (F.size(wanted) > 0) & (F.coalesce("employment_type", F.lit("")) != "") & ~F.exists(wanted, lambda x: F.lower(x) == F.lower(col("employment_type")))
+    prefs = {k: col(f"u_{k}") for k in ("skills", "companies", "locations", "employment_types", "industries", "company_sizes")}
+    keyword = scoring.keyword_score(role, prefs, col("company"), col("skills_json"), score_exp, col("location"), col("employment_type"), col("industry_list"),
+                                    col("company_size"), col("official"))
     exp = policy.experience_match(col("accepts_new_grad"), col("min_years"), col("requirement"), col("recruitment_type"), col("new_grad"))
-    match = scoring.single_role_match(col("has_row"), col("status"), col("job_domain"), col("a_groups"), col("acceptable"), exp)
-    j = j.withColumn("match", match)
+    single = scoring.single_role_match(col("a_groups"), col("acceptable"), exp)
+    multi = scoring.multi_role_match(col("tracks"), col("acceptable"), col("new_grad"), policy.experience_match, scoring.IT_GROUPS)
+    rows = pairs.withColumn("single", single).withColumn("multi", multi)
+    rows = rows.withColumn("match", scoring.classification_match(col("single"), col("multi"), col("status"), col("job_domain"), col("scope"), col("tracks")))
     m = col("match")
     classed = scoring.classified_score(keyword, m, col("scope"), col("recruitment_type"), col("new_grad"))
     reason = filters.recommendation_reason(col("missing"), col("expired"), role, filter_exp, mismatch)
-    return j.select(
+    return rows.select(
         "user_id", "id", "company", "title", "deadline", "first_seen", "canonical", "is_new", "is_urgent", "match",
         reason.alias("keyword_reason"),
         filters.classified_reason(reason, col("missing"), col("expired"), m, mismatch).alias("class_reason"),
@@ -108,16 +122,55 @@ def scored(fact: DataFrame, user: DataFrame) -> DataFrame:
     )
 
 
-def top_per_user(spark: SparkSession, d: str) -> DataFrame:
-    """K24: the flagship."""
+def scored(fact: DataFrame, user: DataFrame) -> DataFrame:
+    """Every (user, posting) pair, for reports that count all pairs; the flagship joins by group instead."""
+    return verdicts(fact.join(profiles(user)))
+
+
+#: How a classification mode filters and ranks: by keywords, or by the analysis.
+MODES = {"ENFORCE": ("class_reason", "class_score"), "SHADOW": ("keyword_reason", "keyword_score"), "OFF": ("keyword_reason", "keyword_score")}
+
+
+def group_keys(mode: str) -> Column:
+    """The groups under which a fact can be found: its own, ``?`` if anyone takes it, and ``*`` for users without preference."""
+    if mode != "ENFORCE":
+        own = F.when(F.size("groups") > 0, F.col("groups")).otherwise(F.array(F.lit("?")))
+    else:
+        of_tracks = F.flatten(F.transform(F.coalesce("tracks", F.array().cast(scoring.TRACKS)), lambda t: t["groups"]))
+        own = F.array_distinct(F.concat(F.coalesce("a_groups", F.array().cast("array<string>")), of_tracks))
+    return F.concat(own, F.array(F.lit("*")))
+
+
+def candidate_pairs(fact: DataFrame, user: DataFrame, mode: str) -> DataFrame:
+    """Pairs that the mode's role rule can let pass: an equi-join of postings' groups with those users accept.
+
+    What fails for every user goes before the join, and a pair that meets under several groups is kept under its first.
+    """
+    if mode == "ENFORCE":
+        fact = fact.filter("NOT missing AND NOT expired AND status IN ('SUCCEEDED', 'FALLBACK') AND coalesce(job_domain, '') <> 'NON_IT'")
+        wide = "GENERAL_IT"
+    else:
+        fact = fact.filter("NOT missing AND NOT expired")
+        wide = "?"
+    u = profiles(user).withColumn(
+        "u_keys", F.when(F.size("acceptable") == 0, F.array(F.lit("*"))).otherwise(F.array_distinct(F.concat("acceptable", F.array(F.lit(wide)))))
+    )
+    f = fact.withColumn("keys", group_keys(mode))
+    joined = f.withColumn("key", F.explode("keys")).join(u.withColumn("key", F.explode("u_keys")), "key")
+    return joined.filter(F.col("key") == F.get(F.array_intersect("keys", "u_keys"), F.lit(0)))
+
+
+def top_per_user(spark: SparkSession, d: str, mode: str = "ENFORCE") -> DataFrame:
+    """K24: the flagship. ``mode`` chooses filter and score together; the default is that of production."""
+    reason, score = MODES[mode]
     post = postings(spark, d)
     fact = facts(eligible_pool(post, provenance(spark, d), ref_date()), analyses(spark, d))
-    rows = scored(fact, users(spark, d)).filter("keyword_reason IS NULL")
+    rows = verdicts(candidate_pairs(fact, users(spark, d), mode)).filter(F.col(reason).isNull())
     seen = exposures(spark, d, post.select("id", text.canonical_host_url(F.col("url")).alias("canonical")))
     rows = rows.join(seen, ["user_id", "canonical"], "left")
     penalty = dates.exposure_penalty(F.datediff(ref_date(), F.col("last_exposed")))
-    rows = rows.withColumn("penalty", penalty).withColumn("adjusted", F.col("class_score") - F.col("penalty"))
-    return ranking.select_top(rows).select("user_id", "rank", "id", "company", "adjusted", "penalty", "is_new", "is_urgent")
+    rows = rows.withColumn("penalty", penalty).withColumn("adjusted", F.col(score) - F.col("penalty"))
+    return ranking.select_top(ranking.prune_for_top(rows)).select("user_id", "rank", "id", "company", "adjusted", "penalty", "is_new", "is_urgent")
 
 
 _POOL = f"""src AS (SELECT DISTINCT l_partkey AS posting_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal >= 0),
@@ -129,7 +182,8 @@ _F = f"""fact AS (SELECT p.*, coalesce(published, collected) AS first_seen, {_ho
     lower(source) NOT IN ('jasoseol', 'saramin', 'fixture') AS official,
     coalesce(deadline < DATE '{REF}', false) AS expired,
     a.status, a.job_domain, list_filter(string_split(a.role_groups, ','), lambda x: x <> '') AS a_groups, a.scope, a.recruitment_type,
-    a.accepts_new_grad, a.min_years, a.requirement
+    a.accepts_new_grad, a.min_years, a.requirement, a.n_tracks, list_filter(string_split(a.t2_groups, ','), lambda x: x <> '') AS t2_list, a.t2_accepts, a.t2_min,
+    a.t2_requirement, a.t2_unknown
   FROM {{pool}} p LEFT JOIN analyses a ON a.posting_id = p.id)"""
 
 
@@ -143,35 +197,52 @@ _VERDICT = """CASE WHEN {c} IN ('ENTRY', 'MIXED') THEN 'PASS_FULL' WHEN {c} = 'U
 _T = "replace(lower(trim(title)), ' ', '')"
 _TITLE_LEVEL = f"CASE WHEN regexp_matches({_T}, '경력무관|경력불문|경력무방') THEN 'ENTRY' WHEN contains({_T}, '신입') AND contains({_T}, '경력') THEN 'MIXED' WHEN contains({_T}, '경력') THEN 'EXPERIENCED' ELSE 'UNKNOWN' END"
 _ROLE = "CASE WHEN len(acceptable) = 0 THEN 'AMBIGUOUS' WHEN list_has_any(acceptable, groups) THEN 'MATCH' WHEN len(groups) = 0 THEN 'AMBIGUOUS' ELSE 'MISMATCH' END"
+_IT = "['BACKEND', 'FRONTEND', 'FULLSTACK', 'DATA', 'AI_ML', 'MOBILE', 'DEVOPS_INFRA', 'GENERAL_IT', 'OTHER_IT']"
+
+
+def _fit(accepts: str, years: str, requirement: str) -> str:
+    return f"""CASE WHEN NOT new_grad THEN CASE WHEN {requirement} IN ('NONE', 'REQUIRED') THEN 'FULL' ELSE 'PARTIAL' END
+      WHEN {accepts} = false THEN 'EXCLUDED' WHEN {requirement} = 'REQUIRED' AND {years} >= 1 THEN 'EXCLUDED' WHEN {requirement} = 'PREFERRED' THEN 'PARTIAL'
+      WHEN {accepts} = true THEN 'FULL' WHEN {requirement} = 'NONE' THEN 'FULL' WHEN recruitment_type IN ('OPEN_HIRE', 'NEW_GRAD_HIRE') THEN 'FULL'
+      WHEN {years} = 0 THEN 'FULL' ELSE 'PARTIAL' END"""
+
+
+#: The rules restated over all pairs: keyword reason and score, analysis reason and score.
 _S = f"""uu AS (SELECT u.*, x.rs, x.ls, x.acceptable, x.level_categories, x.new_grad, {_csv('u.skills')} AS u_skills, {_csv('u.companies')} AS u_companies,
-    {_csv('u.locations')} AS u_locations, {_csv('u.employment_types')} AS u_employment FROM users u JOIN ({users_roles_sql()}) x USING (user_id)),
-  v AS (SELECT fact.*, uu.user_id, uu.acceptable, uu.u_skills, uu.u_companies, uu.u_locations, uu.u_employment, uu.new_grad, {_ROLE} AS rv,
+    {_csv('u.locations')} AS u_locations, {_csv('u.employment_types')} AS u_employment, {_csv('u.industries')} AS u_industries, {_csv('u.company_sizes')} AS u_sizes
+    FROM users u JOIN ({users_roles_sql()}) x USING (user_id)),
+  v AS (SELECT fact.*, uu.user_id, uu.acceptable, uu.u_skills, uu.u_companies, uu.u_locations, uu.u_employment, uu.u_industries, uu.u_sizes, uu.new_grad, {_ROLE} AS rv,
     {_VERDICT.format(c='level_category')} AS score_exp,
     {_VERDICT.format(c=f"(CASE WHEN coalesce(trim(experience_level), '') = '' THEN {_TITLE_LEVEL} ELSE level_category END)")} AS filter_exp,
     len(u_employment) > 0 AND coalesce(employment_type, '') <> '' AND len(list_filter(u_employment, lambda x: lower(x) = lower(employment_type))) = 0 AS emp_bad,
-    coalesce(status IN ('SUCCEEDED', 'FALLBACK'), false) AS done,
-    CASE WHEN NOT new_grad THEN CASE WHEN requirement IN ('NONE', 'REQUIRED') THEN 'FULL' ELSE 'PARTIAL' END
-      WHEN accepts_new_grad = false THEN 'EXCLUDED' WHEN requirement = 'REQUIRED' AND min_years >= 1 THEN 'EXCLUDED' WHEN requirement = 'PREFERRED' THEN 'PARTIAL'
-      WHEN accepts_new_grad = true THEN 'FULL' WHEN requirement = 'NONE' THEN 'FULL' WHEN recruitment_type IN ('OPEN_HIRE', 'NEW_GRAD_HIRE') THEN 'FULL'
-      WHEN min_years = 0 THEN 'FULL' ELSE 'PARTIAL' END AS exp_match
+    coalesce(status IN ('SUCCEEDED', 'FALLBACK'), false) AS done, len(acceptable) = 0 AS free,
+    coalesce(n_tracks, 0) > 0 AND scope IS DISTINCT FROM 'ROLE_SPECIFIC' AS multi,
+    {_fit('accepts_new_grad', 'min_years', 'requirement')} AS e1, {_fit('t2_accepts', 't2_min', 't2_requirement')} AS e2
     FROM fact, uu),
-  m AS (SELECT *, done AND coalesce(job_domain = 'NON_IT', false) AS non_it,
-    CASE WHEN len(acceptable) = 0 OR list_has_any(a_groups, acceptable) THEN 'DIRECT_MATCH' WHEN list_contains(a_groups, 'GENERAL_IT') THEN 'BROAD_IT_MATCH' ELSE 'MISMATCH' END AS role_match FROM v),
-  k AS (SELECT *, NOT done OR (NOT non_it AND len(acceptable) > 0 AND coalesce(len(a_groups), 0) = 0) AS deferred,
-    CASE WHEN role_match = 'MISMATCH' THEN 'UNKNOWN' ELSE exp_match END AS class_exp,
+  w AS (SELECT *, done AND coalesce(job_domain = 'NON_IT', false) AS non_it, n_tracks > 1 AND NOT t2_unknown AS two,
+    list_has_any(a_groups, CASE WHEN free THEN {_IT} ELSE acceptable END) AS d1, list_has_any(t2_list, CASE WHEN free THEN {_IT} ELSE acceptable END) AS d2,
+    list_contains(a_groups, 'GENERAL_IT') AS b1, list_contains(t2_list, 'GENERAL_IT') AS b2 FROM v),
+  m AS (SELECT *, CASE WHEN d1 AND e1 <> 'EXCLUDED' THEN 'd1' WHEN two AND d2 AND e2 <> 'EXCLUDED' THEN 'd2' WHEN free THEN 'none' WHEN d1 THEN 'x1' WHEN two AND d2 THEN 'x2'
+      WHEN b1 AND e1 <> 'EXCLUDED' THEN 'b1' WHEN two AND b2 AND e2 <> 'EXCLUDED' THEN 'b2' WHEN b1 OR (two AND b2) THEN 'y' ELSE 'miss' END AS way FROM w),
+  r0 AS (SELECT *, CASE WHEN non_it THEN 'MISMATCH' WHEN multi THEN CASE WHEN way IN ('b1', 'b2', 'y') THEN 'BROAD_IT_MATCH' WHEN way = 'miss' THEN 'MISMATCH' ELSE 'DIRECT_MATCH' END
+      WHEN free OR d1 THEN 'DIRECT_MATCH' WHEN b1 THEN 'BROAD_IT_MATCH' ELSE 'MISMATCH' END AS role_match,
+    NOT done OR (NOT non_it AND NOT multi AND NOT free AND coalesce(len(a_groups), 0) = 0) AS deferred FROM m),
+  k AS (SELECT *, CASE WHEN role_match = 'MISMATCH' THEN 'UNKNOWN' WHEN NOT multi THEN e1 WHEN way IN ('d1', 'b1') THEN e1 WHEN way IN ('d2', 'b2') THEN e2 ELSE 'EXCLUDED' END AS class_exp,
     CASE WHEN expired THEN 'EXPIRED' WHEN rv = 'MISMATCH' THEN 'ROLE_MISMATCH' WHEN filter_exp = 'EXCLUDE' THEN 'EXPERIENCE_EXCLUDED' WHEN emp_bad THEN 'EMPLOYMENT_TYPE_MISMATCH' END AS keyword_reason,
     CASE WHEN rv = 'MATCH' THEN 30 ELSE 0 END AS s_role, CASE WHEN score_exp = 'PASS_FULL' THEN 15 ELSE 0 END AS s_exp,
     CASE WHEN len(list_filter(u_companies, lambda c: starts_with(lower(company), lower(c)) OR starts_with(lower(c), lower(company)))) > 0 THEN 15 ELSE 0 END
     + least(5 * len(list_filter(u_skills, lambda s: contains(lower(coalesce(skills_json, '')), lower(s)))), 25)
+    + CASE WHEN len(list_filter(u_industries, lambda i: list_contains(list_transform(string_split(coalesce(industry_codes, ''), ','), lambda c: lower(trim(c))), lower(i)))) > 0 THEN 15 ELSE 0 END
     + CASE WHEN len(list_filter(u_locations, lambda p: contains(coalesce(location, ''), p) OR contains(p, coalesce(location, '')))) > 0 THEN 10 ELSE 0 END
     + CASE WHEN len(list_filter(u_employment, lambda x: lower(x) = lower(coalesce(employment_type, '')))) > 0 THEN 10 ELSE 0 END
-    + CASE WHEN official THEN 5 ELSE 0 END AS s_rest FROM m),
+    + CASE WHEN len(list_filter(u_sizes, lambda x: lower(x) = lower(coalesce(company_size, '')))) > 0 THEN 15 ELSE 0 END
+    + CASE WHEN official THEN 5 ELSE 0 END AS s_rest FROM r0),
   s AS (SELECT *, s_role + s_exp + s_rest AS keyword_score,
-    CASE WHEN expired THEN 'EXPIRED' WHEN deferred THEN 'ANALYSIS_DEFERRED' WHEN non_it THEN 'NON_IT' WHEN role_match = 'MISMATCH' THEN 'ROLE_MISMATCH'
+    CASE WHEN expired THEN 'EXPIRED' WHEN deferred THEN 'ANALYSIS_DEFERRED' WHEN non_it THEN 'ANALYSIS_NON_IT' WHEN role_match = 'MISMATCH' THEN 'ANALYSIS_ROLE_MISMATCH'
          WHEN class_exp = 'EXCLUDED' THEN 'EXPERIENCE_EXCLUDED' WHEN emp_bad THEN 'EMPLOYMENT_TYPE_MISMATCH' END AS class_reason,
     CASE WHEN deferred THEN s_role + s_exp + s_rest ELSE s_rest + CASE role_match WHEN 'DIRECT_MATCH' THEN 30 WHEN 'BROAD_IT_MATCH' THEN 15 ELSE 0 END
       + CASE WHEN class_exp = 'FULL' THEN 15 ELSE 0 END
-      + least(CASE WHEN scope = 'OPEN_RECRUITMENT' THEN 5 ELSE 0 END + CASE WHEN recruitment_type = 'NEW_GRAD_HIRE' AND new_grad THEN 5 ELSE 0 END, 5) END AS class_score FROM k)"""
+      + CASE WHEN non_it THEN 0 ELSE least(CASE WHEN scope = 'OPEN_RECRUITMENT' THEN 5 ELSE 0 END + CASE WHEN recruitment_type = 'NEW_GRAD_HIRE' AND new_grad THEN 5 ELSE 0 END, 5) END END AS class_score FROM k)"""
 SCORED_SQL = f"{_F.replace('{pool}', 'postings')}, {_S}"
 EXPOSED_SQL = f"""ex AS (SELECT user_id, canonical, CAST(max(o_orderdate) AS DATE) AS last_exposed
   FROM (SELECT c_nationkey * 10 + ascii(c_mktsegment) % 10 AS user_id, l_partkey, o_orderdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey
@@ -193,14 +264,16 @@ SELECT_SQL = """r AS (SELECT *, lower(company) AS co, row_number() OVER (PARTITI
 
 
 def register(add) -> None:
-    add(
-        "K24_top7_per_user",
-        top_per_user,
-        with_postings(f""", {_POOL}, {_F.replace('{pool}', 'pool')}, {_S}, {EXPOSED_SQL},
-          c AS (SELECT s.*, {PENALTY} AS penalty, class_score - {PENALTY} AS adjusted FROM (
-            SELECT s.*, date_diff('day', ex.last_exposed, DATE '{REF}') AS d FROM s LEFT JOIN ex USING (user_id, canonical) WHERE keyword_reason IS NULL) s),
-          {SELECT_SQL} SELECT user_id, rank, id, company, adjusted, penalty, is_new, is_urgent FROM picked"""),
-    )
+    for mode, (reason, score) in MODES.items():
+        add(
+            "K24_top7_per_user" if mode == "ENFORCE" else f"K24_top7_{mode.lower()}",
+            lambda spark, d, mode=mode: top_per_user(spark, d, mode),
+            with_postings(f""", {_POOL}, {_F.replace('{pool}', 'pool')}, {_S}, {EXPOSED_SQL},
+              c AS (SELECT s.*, {PENALTY} AS penalty, {score} - {PENALTY} AS adjusted FROM (
+                SELECT s.*, date_diff('day', ex.last_exposed, DATE '{REF}') AS d FROM s LEFT JOIN ex USING (user_id, canonical) WHERE {reason} IS NULL) s),
+              {SELECT_SQL} SELECT user_id, rank, id, company, adjusted, penalty, is_new, is_urgent FROM picked"""),
+        )
+
     def all_scored(spark, d):
         return scored(facts(postings(spark, d), analyses(spark, d)), users(spark, d))
 

@@ -32,7 +32,9 @@ SELECT p_partkey AS id, p_partkey AS seq, p_brand AS company, p_size, p_type, p_
     "'우대: React. 마감 2001년 8월 ' || CAST(p_size AS VARCHAR(20)) || '일, 문의 2001년 13월 1일'"])} AS description,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE DATE '{REF}' + CAST(p_size - 10 AS INT) END AS deadline,
   CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE DATE '{REF}' - CAST(p_partkey % 30 AS INT) END AS published,
-  DATE '{REF}' - CAST(p_partkey % 5 AS INT) AS collected
+  DATE '{REF}' - CAST(p_partkey % 5 AS INT) AS collected,
+  {_case("ascii(substr(p_brand, 8, 1))", ["'IT, FIN'", "'GAME'", "NULL", "'fin'"])} AS industry_codes,
+  {_case("ascii(substr(p_brand, 7, 1))", ["'LARGE'", "'Startup'", "NULL"])} AS company_size
 FROM part
 """
 
@@ -46,7 +48,13 @@ SELECT id AS posting_id,
   {_case("(id + p_size)", ["'NEW_GRAD_HIRE'", "'OPEN_HIRE'", "'EXPERIENCED_HIRE'", "NULL"])} AS recruitment_type,
   CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS accepts_new_grad,
   CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(p_size % 4 AS INT) END AS min_years,
-  {_case("(id + 2 * p_size)", ["'NONE'", "'REQUIRED'", "'PREFERRED'", "'UNKNOWN'"])} AS requirement
+  {_case("(id + 2 * p_size)", ["'NONE'", "'REQUIRED'", "'PREFERRED'", "'UNKNOWN'"])} AS requirement,
+  CASE WHEN id % 3 = 2 THEN 0 ELSE CAST((id + p_size) % 3 AS INT) END AS n_tracks,
+  {_case("(id + 3 * p_size)", ["'GENERAL_IT'", "'BACKEND,DATA'", "'MOBILE'", "'NON_DEV'", "'FULLSTACK'"])} AS t2_groups,
+  CASE (id + p_size) % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS t2_accepts,
+  CASE WHEN id % 7 = 0 THEN NULL ELSE CAST((p_size + 1) % 3 AS INT) END AS t2_min,
+  {_case("(id + p_size)", ["'REQUIRED'", "'NONE'", "'UNKNOWN'", "'PREFERRED'"])} AS t2_requirement,
+  (id + p_size) % 11 = 0 AS t2_unknown
 FROM postings WHERE id % 4 <> 3
 """
 
@@ -59,7 +67,9 @@ SELECT user_id, segment, nation,
   {_case("nation", ["'Java,SQL'", "'React'", "'Spark,Python,Go'"])} AS skills,
   {_case("nation", ["'Brand#1'", "'brand#22,Nobody'", "''"])} AS companies,
   {_case("nation", ["'서울'", "''", "'부산,판교'"])} AS locations,
-  {_case("nation", ["'정규직'", "''"])} AS employment_types
+  {_case("nation", ["'정규직'", "''"])} AS employment_types,
+  {_case("nation", ["'FIN'", "''", "'game,edu'"])} AS industries,
+  {_case("nation", ["''", "'startup'", "'LARGE'", "'MEDIUM,Large'"])} AS company_sizes
 FROM (SELECT DISTINCT c_mktsegment AS segment, c_nationkey AS nation,
         c_nationkey * 10 + ascii(c_mktsegment) % 10 AS user_id FROM customer) u
 """
