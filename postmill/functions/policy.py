@@ -154,3 +154,29 @@ def experience_match(
         .when(min_years == 0, "FULL")
         .otherwise("PARTIAL")
     )
+
+
+def classify_by_rules(words: Column, level: Column, description: Column, truncated: Column, table) -> Column:
+    """The fallback classifier: struct (domain, role_group, min_years, requirement, scope, confidence, why).
+
+    ``table`` lists (domain, group, words) in order of precedence; the first group with a word in the text decides.
+    """
+    low = F.lower(words)
+    first = lambda k, none: F.coalesce(*[F.when(low.rlike(_word_pattern(r[2])), F.lit(r[k])) for r in table], none)
+    domain = first(0, F.lit("UNKNOWN"))
+    years = F.nullif(F.regexp_extract(level, r"(\d+)\s*년", 1), F.lit("")).cast("int")
+    unknown = domain == "UNKNOWN"
+    none = F.coalesce(description, F.lit("")) == ""
+    why = F.array(
+        F.when(unknown, "INSUFFICIENT_ROLE_SIGNAL"),
+        F.when(none, "NO_DESCRIPTION").when(F.coalesce(truncated, F.lit(False)), "DESCRIPTION_TRUNCATED"),
+    )
+    return F.struct(
+        domain.alias("domain"),
+        first(1, F.lit(None).cast("string")).alias("role_group"),
+        years.alias("min_years"),
+        F.when(years.isNull(), "UNKNOWN").when(F.contains(level, F.lit("우대")), "PREFERRED").otherwise("REQUIRED").alias("requirement"),
+        F.when(unknown, "UNKNOWN").otherwise("ROLE_SPECIFIC").alias("scope"),
+        F.when(~unknown, 0.5).alias("confidence"),
+        F.array_compact(why).alias("why"),
+    )

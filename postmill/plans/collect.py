@@ -141,14 +141,13 @@ def register(add) -> None:
 
     def budget(spark, d):
         p = postings(spark, d).select("id", F.when(col("id") % 5 == 0, "EXPLORATION").otherwise("TARGETED").alias("pool"))
-        capped = p.filter("id < 400")
         from pyspark.sql import Window
 
-        return ranking.fetch_budget(capped.withColumn("pool_order", F.row_number().over(Window.partitionBy("pool").orderBy(col("id").desc()))), 150)
+        return ranking.fetch_budget(p.withColumn("pool_order", F.row_number().over(Window.partitionBy("pool").orderBy(col("id").desc()))), 150)
 
     add("F05_E06_fetch_budget", budget,
         with_postings("""SELECT id, pool, pool_order FROM (SELECT *, count(*) FILTER (WHERE pool = 'TARGETED') OVER () AS t, count(*) FILTER (WHERE pool = 'EXPLORATION') OVER () AS e,
-          row_number() OVER (PARTITION BY pool ORDER BY id DESC) AS pool_order FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'EXPLORATION' ELSE 'TARGETED' END AS pool FROM postings WHERE id < 400) q) z
+          row_number() OVER (PARTITION BY pool ORDER BY id DESC) AS pool_order FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'EXPLORATION' ELSE 'TARGETED' END AS pool FROM postings) q) z
           WHERE pool_order <= CASE WHEN pool = 'EXPLORATION' THEN least(30, e) + least(150 - least(120, t) - least(30, e), e - least(30, e))
             ELSE least(120, t) + least(150 - least(120, t) - (least(30, e) + least(150 - least(120, t) - least(30, e), e - least(30, e))), t - least(120, t)) END"""))
     add("F06_F07_explore_select", lambda spark, d: ranking.explore_select(postings(spark, d).withColumn("score", col("id") * 7 % 23).select("id", "seq", "published", "score"), 40).select("id", "score", "slot"),

@@ -82,8 +82,8 @@ def register(add) -> None:
         return postings(s, d).select("id", F.get_json_object(raw, "$.job.company").alias("company"), F.get_json_object(raw, "$.job.p_size").cast("int").alias("size"))
 
     add("A21_A31_embedded_json", nested, with_postings("SELECT id, company, p_size AS size FROM postings"))
-    add("A25_A29_composite_dedup", lambda s, d: postings(s, d).filter("p_size % 2 = 0").groupBy("company", "p_size").agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title")).join(postings(s, d).filter("id % 2 = 0").select(col("id").alias("seq"), "description"), "seq", "left").select("company", "p_size", "seq", "title", "description"),
-        with_postings("SELECT g.*, CASE WHEN seq % 2 = 0 THEN (SELECT description FROM postings p WHERE p.id = g.seq) END AS description FROM (SELECT company, p_size, min(seq) AS seq, arg_min(title, seq) AS title FROM postings WHERE p_size % 2 = 0 GROUP BY 1, 2) g"))
+    add("A25_A29_composite_dedup", lambda s, d: postings(s, d).select("company", "p_size", "seq", "title").unionByName(postings(s, d).select("company", "p_size", (col("seq") + 1_000_000_000_000).alias("seq"), F.upper("title").alias("title"))).groupBy("company", "p_size").agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title")).join(postings(s, d).select(F.when(col("id") % 2 == 0, col("id")).otherwise(-col("id")).alias("seq"), "description"), "seq", "left").select("company", "p_size", "seq", "title", "description"),
+        with_postings("SELECT g.*, CASE WHEN seq % 2 = 0 THEN (SELECT description FROM postings p WHERE p.id = g.seq) END AS description FROM (SELECT company, p_size, min(seq) AS seq, arg_min(title, seq) AS title FROM postings GROUP BY 1, 2) g"))
     section = r"(?s)(?:자격|Requirements):(.*?)(?:우대:|$)"
     add("H57_H58_section_experience", lambda s, d: postings(s, d).select("id", F.nullif(F.regexp_extract(F.regexp_extract("description", section, 1), r"(\d+)\s*년", 1), F.lit("")).cast("int").alias("years")),
         with_postings("SELECT id, CAST(nullif(regexp_extract(regexp_extract(description, '(?s)(?:자격|Requirements):(.*?)(?:우대:|$)', 1), '(\\d+)\\s*년', 1), '') AS INT) AS years FROM postings"))

@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postmill.functions import policy
 from postmill.operators import dedup, joins, reports, state
 from postmill.plans.functions_queries import _any
 from postmill.plans.recommend import provenance
 from postmill.sources.fixtures import REF, analyses, postings, with_postings
 
 NOW = "2024-01-16 00:00:00"
-#: Words of the rule classifier, by group and in order of precedence.
+#: Words of the rule classifier, by domain and group, in order of precedence.
 CLASSIFIER = (
-    ("IT", "BACKEND", ("backend", "back-end", "백엔드", "서버")), ("IT", "FRONTEND", ("frontend", "front-end", "프론트엔드")),
-    ("IT", "FULLSTACK", ("fullstack", "full-stack", "풀스택")), ("IT", "DATA", ("data engineer", "데이터")),
-    ("IT", "AI_ML", ("ml engineer", "machine learning", "머신러닝", "ai ")), ("IT", "DEVOPS_INFRA", ("devops", "sre", "인프라")),
-    ("IT", "MOBILE", ("android", "ios", "모바일")), ("NON_IT", "NON_DEV", ("마케팅", "marketing", "영업", "서비스 기획")),
+    ("IT", "BACKEND", ("backend", "백엔드", "server-side", "서버 개발")),
+    ("IT", "FRONTEND", ("frontend", "프론트엔드", "front-end")),
+    ("IT", "FULLSTACK", ("fullstack", "풀스택", "full-stack")),
+    ("IT", "DATA", ("data engineer", "데이터 엔지니어", "data pipeline", "데이터 파이프라인")),
+    ("IT", "AI_ML", ("machine learning", "머신러닝", "ml engineer", "ai engineer", "deep learning", "딥러닝", "nlp engineer")),
+    ("IT", "DEVOPS_INFRA", ("devops", "sre", "site reliability", "platform engineer", "cloud engineer", "인프라 엔지니어", "infra engineer")),
+    ("IT", "MOBILE", ("android", "ios", "mobile", "앱 개발", "flutter", "react native")),
+    ("IT", "OTHER_IT", ("qa engineer", "qa 엔지니어", "quality engineer", "security engineer", "보안 엔지니어", "automation engineer", "테스트 엔지니어")),
+    ("IT", "GENERAL_IT", ("software engineer", "소프트웨어 엔지니어", "developer", "개발자", "programmer", "프로그래머", "engineer", "엔지니어")),
+    ("NON_IT", "NON_DEV", ("sales", "영업", "operations manager", "operations specialist", "운영", "총무", "경리", "회계", "재무", "marketing", "마케팅",
+                           "hr manager", "인사", "보험", "insurance", "법무", "legal", "manager", "매니저")),
 )
 
 QUEUE_SQL = f"""SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'PROCESSING' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FALLBACK' END AS status,
@@ -42,9 +50,9 @@ def register(add) -> None:
         "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
     add("D05_left_enrichment", lambda s, d: t(s, d, "documents").select("doc_id", "lang").join(t(s, d, "labels"), "doc_id", "left"), "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
     add("D06_missing_report", lambda s, d: t(s, d, "documents").select("doc_id").join(t(s, d, "labels"), "doc_id", "left_anti"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-    add("D07_D08_reconcile", lambda s, d: joins.reconcile(t(s, d, "orders").filter("o_orderkey % 3 > 0").select(col("o_orderkey").alias("k")), t(s, d, "lineitem").filter("l_orderkey % 4 > 0").select(col("l_orderkey").alias("k"), "l_linenumber"), "k", "l_linenumber"),
+    add("D07_D08_reconcile", lambda s, d: joins.reconcile(t(s, d, "orders").select(F.when(col("o_orderkey") % 3 == 0, -col("o_orderkey")).otherwise(col("o_orderkey")).alias("k")), t(s, d, "lineitem").select(F.when(col("l_orderkey") % 4 == 0, col("l_orderkey") + 1_000_000_000_000).otherwise(col("l_orderkey")).alias("k"), "l_linenumber"), "k", "l_linenumber"),
         """SELECT coalesce(o.k, l.k) AS k, CASE WHEN o.k IS NULL THEN 'UNEXPECTED' WHEN l.k IS NULL THEN 'MISSING' ELSE 'MATCHED' END AS outcome, coalesce(n - 1, 0) AS n_duplicates
-        FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 > 0) o FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_orderkey % 4 > 0 GROUP BY 1) l ON o.k = l.k""")
+        FROM (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS k FROM orders) o FULL JOIN (SELECT CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey + 1000000000000 ELSE l_orderkey END AS k, count(*) AS n FROM lineitem GROUP BY 1) l ON o.k = l.k""")
     def resolve(s, d):
         sup = t(s, d, "supplier")
         comp = sup.select(col("s_suppkey").alias("company_id"), F.lower("s_name").alias("normalized"), (col("s_acctbal") >= 0).alias("active"))
@@ -78,8 +86,8 @@ def register(add) -> None:
     add("E12_ordered_distinct_union", seeds, with_postings("SELECT skill, first.seq AS first_seq, first.pos AS first_pos FROM (SELECT skill, min({'seq': seq, 'pos': pos}) AS first FROM (SELECT seq, unnest(ls) AS skill, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT seq, from_json(skills_json, '[\"VARCHAR\"]') AS ls FROM postings) a) b GROUP BY skill) c"))
     add("E14_E17_E23_per_source", lambda s, d: postings(s, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(col("deadline").isNull()).alias("open_ended"), reports.overflow_label(F.array_sort(F.collect_set("company"))).alias("label")),
         with_postings("SELECT source, count(*) AS n, count(*) FILTER (WHERE deadline IS NULL) AS open_ended, array_to_string(list_sort(list(DISTINCT company))[1:3], ', ') || CASE WHEN count(DISTINCT company) > 3 THEN ' 외 ' || CAST(count(DISTINCT company) - 3 AS VARCHAR) || '개' ELSE '' END AS label FROM postings GROUP BY 1"))
-    add("E15_E16_outcomes", lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.count_if(col("event_type") == "error").alias("failed"), F.count("*").alias("n"), F.listagg(F.when(col("event_type") == "error", F.concat(F.lit("e:"), col("event_id").cast("string"))), F.lit(", ")).alias("x")).select("user_id", F.when(col("failed") == 0, "COMPLETED").when(col("failed") == col("n"), "FAILED").otherwise("PARTIAL_SUCCESS").alias("outcome"), "failed"),
-        "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'COMPLETED' WHEN count(*) FILTER (WHERE event_type = 'error') = count(*) THEN 'FAILED' ELSE 'PARTIAL_SUCCESS' END AS outcome, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1")
+    add("E15_E16_outcomes", lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.count_if(col("event_type") == "error").alias("failed"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(col("event_type") == "error", F.concat(col("event_type"), F.lit(":"), F.weekday("ts").cast("string"))))), ", ").alias("failures")).select("user_id", "failures", F.when(col("failed") == 0, "COMPLETED").when(col("failed") == col("n"), "FAILED").otherwise("PARTIAL_SUCCESS").alias("outcome"), "failed"),
+        "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'COMPLETED' WHEN count(*) FILTER (WHERE event_type = 'error') = count(*) THEN 'FAILED' ELSE 'PARTIAL_SUCCESS' END AS outcome, count(*) FILTER (WHERE event_type = 'error') AS failed, coalesce(array_to_string(list_sort(list(DISTINCT 'error:' || CAST((isodow(ts) - 1) AS VARCHAR)) FILTER (WHERE event_type = 'error')), ', '), '') AS failures FROM events GROUP BY 1")
     add("E18_E24_duplicates", lambda s, d: t(s, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n")).filter("n > 1"), "SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
     add("E19_B12_keep_latest", lambda s, d: dedup.keep_latest(t(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey"), "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
     add("E20_B13_keep_preferred", lambda s, d: t(s, d, "orders").groupBy("o_custkey").agg(F.coalesce(F.max(F.when(col("o_orderstatus") == "F", col("o_orderkey"))), F.max("o_orderkey")).alias("kept")), "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderstatus = 'F'), max(o_orderkey)) AS kept FROM orders GROUP BY 1")
@@ -96,8 +104,8 @@ def register(add) -> None:
     add("C15_C16_C17_projection_filter", lambda s, d: t(s, d, "documents").filter(F.contains(F.lower("text"), F.lower(F.lit("The")))).select("doc_id", F.substring("text", 1, 20).alias("head")), "SELECT doc_id, substr(text, 1, 20) AS head FROM documents WHERE contains(lower(text), 'the')")
     add("C11_C12_C18_C19_predicates", lambda s, d: t(s, d, "orders").filter(col("o_orderstatus").isin("O", "P") & col("o_orderdate").between(F.lit("2000-01-01").cast("timestamp_ntz"), F.lit("2000-12-31").cast("timestamp_ntz"))).select("o_orderkey", F.when(col("o_orderpriority").rlike("URGENT|HIGH"), "retryable").otherwise("fatal").alias("kind")),
         "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, 'URGENT|HIGH') THEN 'retryable' ELSE 'fatal' END AS kind FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderdate BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'")
-    add("C20_B08_display_order", lambda s, d: postings(s, d).filter("p_size < 8 AND trim(title) <> ''").select("id", "company", (F.row_number().over(Window.partitionBy("company").orderBy("p_size", "id")) - 1).alias("display_order")),
-        with_postings("SELECT id, company, row_number() OVER (PARTITION BY company ORDER BY p_size, id) - 1 AS display_order FROM postings WHERE p_size < 8 AND trim(title) <> ''"))
+    add("C20_B08_display_order", lambda s, d: reports.first_of(postings(s, d), "company", "p_size", "id").filter("trim(title) <> ''").select("id", "company", (F.row_number().over(Window.partitionBy("company").orderBy("p_size", "id")) - 1).alias("display_order")),
+        with_postings("SELECT id, company, row_number() OVER (PARTITION BY company ORDER BY p_size, id) - 1 AS display_order FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY p_size, id) AS r FROM postings) q WHERE r <= 7 AND trim(title) <> ''"))
     # --- state
     due = f"(status = 'PENDING' OR (status = 'FAILED' AND next_retry <= TIMESTAMP '{NOW}')) AND attempts < 5"
     add("F13_I02_claim_batch", lambda s, d: state.claim(queue(s, d), now(), 700, 5, 100).select("id", "status", "attempts", "lease_until"),
@@ -131,18 +139,20 @@ def register(add) -> None:
     add("I10_I11_idempotent_work", lambda s, d: t(s, d, "orders").select("o_orderkey", "o_custkey").join(t(s, d, "events").select(col("user_id").alias("o_custkey")), "o_custkey", "left_anti").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
     # --- classification and reports
     def rule_classifier(s, d):
-        text_ = F.lower(F.concat_ws(" ", "title", "roles_json"))
-        pick = lambda k: F.coalesce(*[F.when(text_.rlike("|".join(r[2])), F.lit(r[k])) for r in CLASSIFIER], F.lit(("UNKNOWN", "")[k]))
-        years = F.nullif(F.regexp_extract("experience_level", r"(\d+)\s*년", 1), F.lit("")).cast("int")
-        need = F.when(years.isNull(), "UNKNOWN").when(F.contains("experience_level", F.lit("우대")), "PREFERRED").otherwise("REQUIRED")
-        why = reports.codes(("INSUFFICIENT_ROLE_SIGNAL", pick(0) == "UNKNOWN"), ("NO_DESCRIPTION", col("description").isNull()))
-        return postings(s, d).select("id", pick(0).alias("domain"), pick(1).alias("role_group"), years.alias("min_years"), need.alias("requirement"), F.array_join(why, ",").alias("why"))
-
-    tx = "lower(concat_ws(' ', title, roles_json))"
+        roles = F.coalesce(F.from_json("roles_json", "array<string>"), F.array().cast("array<string>"))
+        rows = postings(s, d).withColumn("long", F.length("description") > 20)
+        found = policy.classify_by_rules(F.concat("title", F.lit(" "), F.array_join(roles, " ")), F.col("experience_level"), F.col("description"), F.col("long"), CLASSIFIER)
+        return rows.select("id", found.alias("f")).select("id", "f.*").withColumn("why", F.array_join("why", ","))
+
+    tx = "lower(title || ' ' || coalesce(array_to_string(from_json(roles_json, '[\"VARCHAR\"]'), ' '), ''))"
     dom = "CASE " + " ".join(f"WHEN {_any(tx, w)} THEN '{a}'" for a, _, w in CLASSIFIER) + " ELSE 'UNKNOWN' END"
-    grp = "CASE " + " ".join(f"WHEN {_any(tx, w)} THEN '{b}'" for _, b, w in CLASSIFIER) + " ELSE '' END"
+    grp = "CASE " + " ".join(f"WHEN {_any(tx, w)} THEN '{b}'" for _, b, w in CLASSIFIER) + " END"
     yr = "CAST(nullif(regexp_extract(experience_level, '([0-9]+)\\s*년', 1), '') AS INT)"
-    add("K13_rule_classifier", rule_classifier, with_postings(f"SELECT id, {dom} AS domain, {grp} AS role_group, {yr} AS min_years, CASE WHEN {yr} IS NULL THEN 'UNKNOWN' WHEN contains(experience_level, '우대') THEN 'PREFERRED' ELSE 'REQUIRED' END AS requirement, concat_ws(',', CASE WHEN {dom} = 'UNKNOWN' THEN 'INSUFFICIENT_ROLE_SIGNAL' END, CASE WHEN description IS NULL THEN 'NO_DESCRIPTION' END) AS why FROM postings"))
+    add("K13_rule_classifier", rule_classifier, with_postings(f"""SELECT id, {dom} AS domain, {grp} AS role_group, {yr} AS min_years,
+        CASE WHEN {yr} IS NULL THEN 'UNKNOWN' WHEN contains(experience_level, '우대') THEN 'PREFERRED' ELSE 'REQUIRED' END AS requirement,
+        CASE WHEN {dom} = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'ROLE_SPECIFIC' END AS scope, CASE WHEN {dom} <> 'UNKNOWN' THEN 0.5 END::DOUBLE AS confidence,
+        concat_ws(',', CASE WHEN {dom} = 'UNKNOWN' THEN 'INSUFFICIENT_ROLE_SIGNAL' END,
+          CASE WHEN coalesce(description, '') = '' THEN 'NO_DESCRIPTION' WHEN length(description) > 20 THEN 'DESCRIPTION_TRUNCATED' END) AS why FROM postings"""))
     def validated(s, d):
         a = analyses(s, d)
         found = reports.codes(("INVALID_DOMAIN", ~col("job_domain").isin("IT", "NON_IT")), ("EMPTY_GROUPS", col("role_groups") == ""), ("BAD_YEARS", ~col("min_years").between(0, 2)),
@@ -154,17 +164,38 @@ def register(add) -> None:
            "CASE WHEN accepts_new_grad AND requirement = 'REQUIRED' AND min_years >= 1 THEN 'CONTRADICTION' END"]
     add("K14_K16_K17_validation", validated, with_postings(f"""SELECT posting_id, codes, severity, CASE WHEN severity = 'pass' THEN 'save' WHEN severity = 'retryable' AND posting_id % 2 < 1 THEN 'rewrite' ELSE 'fallback' END AS next_step
         FROM (SELECT posting_id, codes, CASE WHEN contains(codes, 'CONTRADICTION') THEN 'fallback_required' WHEN codes <> '' THEN 'retryable' ELSE 'pass' END AS severity FROM (SELECT posting_id, concat_ws(',', {', '.join(bad)}) AS codes FROM analyses) x) y"""))
-    def article_lines(s, d):
+    def report_rows(s, d):
+        """The first seven postings of each company, with their reasons, as the articles of a report."""
         days = F.datediff("deadline", F.lit(REF).cast("date"))
         cond, label = reports.urgency(days)
-        why = reports.reasons([(col("location") == "서울", F.lit("서울 근무")), (F.contains("skills_json", F.lit("SQL")), F.lit("SQL 스킬 매칭")), *zip(cond, label, strict=True)], F.concat_ws(" ", "company", F.trim("title")))
-        rows = postings(s, d).filter("p_size <= 12").select("company", "id", why.alias("why"))
-        return reports.markdown(rows, "company", "id", F.concat(F.lit("- "), col("id").cast("string"), F.lit(": "), col("why")))
+        parts = [(col("location") == "서울", F.lit("서울 근무")), (F.contains("skills_json", F.lit("SQL")), F.lit("SQL 스킬 매칭")), *zip(cond, label, strict=True)]
+        why = reports.reasons(parts, F.concat_ws(" ", "company", F.trim("title")))
+        first = reports.first_of(postings(s, d), "company", "p_size", "id")
+        return first.select("company", "place", F.trim("title").alias("title"), "source", "url", why.alias("why"), "deadline", days.alias("days"),
+                            (F.coalesce("published", "collected") >= F.date_sub(F.lit(REF).cast("date"), 3)).alias("is_new"), F.coalesce(days.between(0, 7), F.lit(False)).alias("is_urgent"))
 
     dd = f"date_diff('day', DATE '{REF}', deadline)"
-    add("K19_K20_K21_report_text", article_lines, with_postings(f"""SELECT company, string_agg('- ' || CAST(id AS VARCHAR) || ': ' || CASE WHEN w <> '' THEN w ELSE company || ' ' || trim(title) END, chr(10) ORDER BY id) AS content, count(*) AS n
-        FROM (SELECT *, concat_ws(' · ', CASE WHEN location = '서울' THEN '서울 근무' END, CASE WHEN contains(skills_json, 'SQL') THEN 'SQL 스킬 매칭' END,
-          CASE WHEN {dd} BETWEEN 0 AND 3 THEN '마감 ' || CAST({dd} AS VARCHAR) || '일 전 — 긴급' END, CASE WHEN {dd} BETWEEN 4 AND 7 THEN '마감 ' || CAST({dd} AS VARCHAR) || '일 이내' END) AS w FROM postings WHERE p_size <= 12) q GROUP BY company"""))
+    article = """'### ' || place || '. ' || trim(title) || CASE WHEN is_new THEN ' 🆕 NEW' ELSE '' END || CASE WHEN is_urgent THEN ' ⏰ URGENT' ELSE '' END || chr(10) || '- **기업**: ' || company || chr(10)
+      || '- **출처**: [공고 보기](' || url || ')' || chr(10) || '- **추천 이유**: ' || CASE WHEN w <> '' THEN w ELSE company || ' ' || trim(title) END || coalesce(chr(10) || '- **마감일**: ' || CAST(deadline AS VARCHAR), '') || chr(10)"""
+    add("K19_K20_K21_report_text", lambda s, d: reports.report(report_rows(s, d), "company", F.lit(REF), ["백엔드"], ["SQL", "Java"]), with_postings(f"""SELECT company, n, content FROM (
+        SELECT company, count(*) AS n, count(*) FILTER (WHERE is_urgent) AS near, '# 오늘의 채용 브리핑' || chr(10) || chr(10) || '## 오늘의 핵심 요약' || chr(10) || chr(10)
+          || '- {REF} 기준, ' || company || '에서 ' || n || '건의 추천 공고를 선별했습니다.' || chr(10) || '- 주요 매칭 조건: 백엔드 역할 및 SQL, Java 스킬이 선별 기준으로 반영되었습니다.' || chr(10)
+          || '- ' || company || '의 공고를 오늘 확인해 지원 타이밍을 놓치지 마세요.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 🏆 추천 공고 TOP ' || n || chr(10) || chr(10)
+          || string_agg({article}, chr(10) ORDER BY place) || chr(10) || '---' || chr(10) || chr(10) || '## ⏰ 신규/마감 임박 공고' || chr(10) || chr(10)
+          || coalesce(string_agg('- **' || trim(title) || '** (' || company || ') — 마감: ' || CAST(deadline AS VARCHAR), chr(10) ORDER BY place) FILTER (WHERE is_urgent), '선별된 공고 중 7일 이내 마감 임박 공고가 없습니다.')
+          || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 💡 오늘의 지원 추천 액션' || chr(10) || chr(10) || '1. ' || company || '의 공고를 확인하고 즉시 지원해 보세요.' || chr(10)
+          || '2. 이력서에 **SQL, Java** 관련 프로젝트 경험을 구체적으로 작성하세요.' || chr(10)
+          || CASE WHEN count(*) FILTER (WHERE is_urgent) > 0 THEN '3. 마감 임박 공고(' || count(*) FILTER (WHERE is_urgent) || '건)를 오늘 안에 지원 검토하세요.' || chr(10) || '4' ELSE '3' END
+          || '. 백엔드 관련 GitHub 또는 기술 포트폴리오를 최신화하세요.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 🔑 오늘의 키워드' || chr(10) || chr(10) || 'SQL · Java · 백엔드' || chr(10) || chr(10)
+          || '---' || chr(10) || chr(10) || '## ✏️ 한 줄 정리' || chr(10) || chr(10) || '백엔드 포지션 중심으로 ' || company || '에서 ' || n || '건의 공고가 확인되었습니다. 지금 바로 지원해 보세요!' AS content
+        FROM (SELECT *, count(*) OVER (PARTITION BY company) AS n FROM (SELECT *, concat_ws(' · ', CASE WHEN location = '서울' THEN '서울 근무' END, CASE WHEN contains(skills_json, 'SQL') THEN 'SQL 스킬 매칭' END,
+          CASE WHEN {dd} BETWEEN 0 AND 3 THEN '마감 ' || CAST({dd} AS VARCHAR) || '일 전 — 긴급' END, CASE WHEN {dd} BETWEEN 4 AND 7 THEN '마감 ' || CAST({dd} AS VARCHAR) || '일 이내' END) AS w,
+          coalesce(published, collected) >= DATE '{REF}' - 3 AS is_new, coalesce({dd} BETWEEN 0 AND 7, false) AS is_urgent, row_number() OVER (PARTITION BY company ORDER BY p_size, id) AS place FROM postings) p WHERE place <= 7) q GROUP BY company, n) z"""))
+    add("K22_empty_report", lambda s, d: s.range(1).select(reports.empty_report(F.lit(REF)).alias("content")), f"""SELECT '# 오늘의 채용 브리핑' || chr(10) || chr(10) || '## 오늘의 핵심 요약' || chr(10) || chr(10) || '- {REF} 기준, 선호도에 맞는 채용 공고가 오늘은 없습니다.' || chr(10)
+        || '- 선호 조건을 확인하고 내일 다시 브리핑을 살펴보세요.' || chr(10) || '- 조건을 조금 넓히면 더 많은 공고를 만날 수 있습니다.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 🏆 추천 공고 TOP 0' || chr(10) || chr(10) || '오늘 추천할 공고가 없습니다.'
+        || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## ⏰ 신규/마감 임박 공고' || chr(10) || chr(10) || '선별된 공고 중 7일 이내 마감 임박 공고가 없습니다.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 💡 오늘의 지원 추천 액션' || chr(10) || chr(10)
+        || '1. 선호 조건(역할, 기업, 스킬, 위치)을 다시 확인해 보세요.' || chr(10) || '2. 내일 다시 브리핑을 확인해 주세요.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 🔑 오늘의 키워드' || chr(10) || chr(10) || '해당 사항 없습니다.' || chr(10) || chr(10) || '---'
+        || chr(10) || chr(10) || '## ✏️ 한 줄 정리' || chr(10) || chr(10) || '내일은 더 많은 공고가 준비되어 있을 거예요.' AS content""")
     add("D12_prefix_join", lambda s, d: postings(s, d).groupBy("company").agg(F.count("*").alias("n")).join(F.broadcast(s.createDataFrame([("brand#1",), ("BRAND#22 Inc",)], "pref string")), (F.startswith(F.lower("company"), F.lower("pref"))) | F.startswith(F.lower("pref"), F.lower("company"))).select("company", "pref", "n"),
         with_postings("SELECT company, pref, count(*) AS n FROM postings JOIN (VALUES ('brand#1'), ('BRAND#22 Inc')) v(pref) ON starts_with(lower(company), lower(pref)) OR starts_with(lower(pref), lower(company)) GROUP BY 1, 2"))
     add("D13_substring_any", lambda s, d: t(s, d, "documents").select("doc_id", F.exists(F.array(F.lit("hethe"), F.lit("licensed"), F.lit("ción")), lambda k: F.contains(F.lower("text"), k)).alias("hit")), "SELECT doc_id, contains(lower(text), 'hethe') OR contains(lower(text), 'licensed') OR contains(lower(text), 'ción') AS hit FROM documents")
