@@ -93,8 +93,16 @@ def profiles(user: DataFrame) -> DataFrame:
     return u.select("user_id", "acceptable", "level_list", "level_categories", "new_grad", *[csv(F.col(c)).alias(f"u_{c}") for c in lists])
 
 
-def verdicts(pairs: DataFrame) -> DataFrame:
-    """Pairs of facts and profiles with both filter reasons and scores."""
+#: What of a posting a verdict depends on; postings equal in these are one class for every user.
+CLASS_OF = (
+    "missing", "expired", "groups", "filter_category", "level_category", "employment_type", "company", "skills_json", "location", "industry_list",
+    "company_size", "official", "status", "job_domain", "a_groups", "scope", "recruitment_type", "accepts_new_grad", "min_years", "requirement", "tracks",
+)
+SHOWN = ("id", "company", "title", "deadline", "first_seen", "canonical", "is_new", "is_urgent")
+
+
+def verdicts(pairs: DataFrame, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    """Pairs of facts and profiles with both filter reasons and scores, and the columns ``shown``."""
     col = F.col
     role = policy.role_verdict(col("acceptable"), col("groups"))
     filter_exp = policy.experience_verdict(col("level_list"), col("level_categories"), col("filter_category"))
@@ -113,7 +121,7 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     classed = scoring.classified_score(keyword, m, col("scope"), col("recruitment_type"), col("new_grad"))
     reason = filters.recommendation_reason(col("missing"), col("expired"), role, filter_exp, mismatch)
     return rows.select(
-        "user_id", "id", "company", "title", "deadline", "first_seen", "canonical", "is_new", "is_urgent", "match",
+        "user_id", *shown, "match",
         reason.alias("keyword_reason"),
         filters.classified_reason(reason, col("missing"), col("expired"), m, mismatch).alias("class_reason"),
         scoring.total(keyword).alias("keyword_score"),
@@ -122,9 +130,13 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     )
 
 
-def scored(fact: DataFrame, user: DataFrame) -> DataFrame:
-    """Every (user, posting) pair, for reports that count all pairs; the flagship joins by group instead."""
-    return verdicts(fact.join(profiles(user)))
+def class_verdicts(fact: DataFrame, user: DataFrame) -> DataFrame:
+    """Verdicts of every user on every class of postings, with the number ``n`` of postings in it.
+
+    For reports over all pairs: the pairs made are those of users and distinct classes.
+    """
+    classes = fact.groupBy(*CLASS_OF).agg(F.count("*").alias("n"))
+    return verdicts(classes.join(profiles(user)), ("n",))
 
 
 #: How a classification mode filters and ranks: by keywords, or by the analysis.
@@ -275,28 +287,28 @@ def register(add) -> None:
         )
 
     def all_scored(spark, d):
-        return scored(facts(postings(spark, d), analyses(spark, d)), users(spark, d))
+        return class_verdicts(facts(postings(spark, d), analyses(spark, d)), users(spark, d))
 
     add(
         "C05_C06_filter_reasons",
-        lambda spark, d: all_scored(spark, d).groupBy("user_id", "keyword_reason", "class_reason").agg(F.count("*").alias("n")),
+        lambda spark, d: all_scored(spark, d).groupBy("user_id", "keyword_reason", "class_reason").agg(F.sum("n").alias("n")),
         with_postings(f", {SCORED_SQL} SELECT user_id, keyword_reason, class_reason, count(*) AS n FROM s GROUP BY ALL"),
     )
     add(
         "K05_K06_K07_scores",
         lambda spark, d: all_scored(spark, d).groupBy("user_id").agg(
-            F.sum("keyword_score").alias("keyword_total"), F.sum("class_score").alias("class_total"), F.max("class_score").alias("best"), F.sum("parts.skill").alias("skill_total")),
+            F.sum(F.col("n") * F.col("keyword_score")).alias("keyword_total"), F.sum(F.col("n") * F.col("class_score")).alias("class_total"), F.max("class_score").alias("best"), F.sum(F.col("n") * F.col("parts.skill")).alias("skill_total")),
         with_postings(f", {SCORED_SQL} SELECT user_id, sum(keyword_score) AS keyword_total, sum(class_score) AS class_total, max(class_score) AS best, sum(least(5 * len(list_filter(u_skills, lambda z: contains(lower(coalesce(skills_json, '')), lower(z)))), 25)) AS skill_total FROM s GROUP BY 1"),
     )
     add(
         "K08_K12_eligibility",
-        lambda spark, d: all_scored(spark, d).groupBy("user_id", F.col("match.deferred").alias("deferred"), F.col("match.non_it").alias("non_it"), F.col("match.role").alias("role")).agg(F.count("*").alias("n"), F.count_if("match.eligible").alias("eligible")),
+        lambda spark, d: all_scored(spark, d).groupBy("user_id", F.col("match.deferred").alias("deferred"), F.col("match.non_it").alias("non_it"), F.col("match.role").alias("role")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("match.eligible"), F.col("n")).otherwise(0)).alias("eligible")),
         with_postings(f", {SCORED_SQL} SELECT user_id, deferred, non_it, role_match AS role, count(*) AS n, count(*) FILTER (WHERE role_match <> 'MISMATCH' AND class_exp <> 'EXCLUDED' AND NOT non_it) AS eligible FROM s GROUP BY ALL"),
     )
     add(
         "K23_shadow_differences",
         lambda spark, d: all_scored(spark, d).filter(~F.col("keyword_reason").eqNullSafe(F.col("class_reason")) | (F.col("keyword_score") != F.col("class_score"))).groupBy("user_id").agg(
-            F.count("*").alias("n_differ"), F.count_if(F.col("keyword_reason").isNull() & F.col("class_reason").isNotNull()).alias("n_lost"), F.sum(F.col("class_score") - F.col("keyword_score")).alias("score_shift")),
+            F.sum("n").alias("n_differ"), F.sum(F.when(F.col("keyword_reason").isNull() & F.col("class_reason").isNotNull(), F.col("n")).otherwise(0)).alias("n_lost"), F.sum(F.col("n") * (F.col("class_score") - F.col("keyword_score"))).alias("score_shift")),
         with_postings(f", {SCORED_SQL} SELECT user_id, count(*) AS n_differ, count(*) FILTER (WHERE keyword_reason IS NULL AND class_reason IS NOT NULL) AS n_lost, sum(class_score - keyword_score) AS score_shift FROM s WHERE keyword_reason IS DISTINCT FROM class_reason OR keyword_score <> class_score GROUP BY 1"),
     )
 

@@ -58,3 +58,24 @@ def register(add) -> None:
         "SELECT * FROM (VALUES (0, 'backend'), (1, 'data'), (2, 'Acme'), (3, 'backend java'), (4, 'backend sql'), (5, 'data java')) v(pos, query)")
     add("A24_A26_A28_guards", lambda s, d: postings(s, d).filter((col("company") == "Brand#12") & ~F.coalesce(col("source") == "Saramin", F.lit(False))).select("id", "company"), with_postings("SELECT id, company FROM postings WHERE company = 'Brand#12' AND source <> 'Saramin'"))
     add("A33_preflight", lambda s, d: parsers.preflight(postings(s, d), ["title", "url"], F.when(col("id") % 3 == 0, "SITEMAP").when(col("id") % 3 == 1, "RSS").otherwise("FAX")), "SELECT * FROM (VALUES ('SITEMAP', NULL), ('RSS', NULL), ('FAX', 'UNSUPPORTED_ADAPTER')) v(adapter, code)")
+
+    def probed(s, d):
+        k = col("id") % 14
+        text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+        urls = F.array_join(F.transform(F.sequence(F.lit(1), (col("id") % 9 + 1).cast("int")), lambda i: text("<url><loc>https://a.example/", i, "</loc></url>")), "")
+        items = F.array_join(F.transform(F.sequence(F.lit(1), (col("id") % 7 + 1).cast("int")), lambda i: text("<item><title>t</title><link>https://a.example/", i, "</link></item>")), "")
+        p = postings(s, d).select(
+            "id", F.when(k == 0, "FAX").when(k.between(1, 4), " sitemap ").when(k.between(5, 7), "rss").otherwise("CUSTOM").alias("adapter"),
+            F.when(k != 1, "https://a.example/list").alias("source_url"),
+            F.when(k == 8, "{bad").when(k == 9, '{"parser_key":" "}').when(k == 10, '{"parser_key":"nobody"}').when(k == 11, '{"parser_key":"sk_careers"}').otherwise('{"parser_key":"greenhouse"}').alias("config"),
+            F.when(k == 2, "TIMEOUT").when((k == 12) & (col("id") % 4 == 0), "SHELL").when((k == 12) & (col("id") % 4 == 2), "404").otherwise("OK").alias("fetched"),
+            F.when(k == 3, "<urlset><url>").when(k == 4, text("<urlset>", urls, "</urlset>")).when(k == 5, "<rss><channel></channel></rss>").when(k == 6, "<rss><channel><item><title></title></item></channel></rss>")
+            .when(k == 7, text("<rss><channel>", items, "</channel></rss>")).when(col("id") % 4 == 1, '{"jobs":[]}').when(col("id") % 4 == 3, '{"jobs":[{"title":" "}]}').otherwise('{"jobs":[{"title":"a","absolute_url":"u"}]}').alias("body"),
+            F.when(col("id") % 5 == 0, "<html><body></body></html>").otherwise("<html><h1>Backend</h1></html>").alias("sample"),
+        )
+        return parsers.probe(p).select("id", "code", "discovered", "sampled")
+
+    add("A33_probe_codes", probed, with_postings("""SELECT id, code, CASE WHEN code IS NOT NULL THEN 0 WHEN id % 14 = 4 THEN least(id % 9 + 1, 5) WHEN id % 14 = 7 THEN least(id % 7 + 1, 5) ELSE 1 END AS discovered, CASE WHEN code IS NULL THEN 1 ELSE 0 END AS sampled
+      FROM (SELECT id, CASE id % 14 WHEN 0 THEN 'UNSUPPORTED_ADAPTER' WHEN 1 THEN 'INVALID_CONFIG' WHEN 2 THEN 'TIMEOUT' WHEN 3 THEN 'REQUIRED_FIELD_PARSE_FAILED' WHEN 4 THEN CASE WHEN id % 5 = 0 THEN 'REQUIRED_FIELD_PARSE_FAILED' END
+        WHEN 5 THEN 'NO_ITEMS_DISCOVERED' WHEN 6 THEN 'NO_ITEMS_DISCOVERED' WHEN 7 THEN NULL WHEN 8 THEN 'INVALID_CONFIG' WHEN 9 THEN 'MISSING_PARSER_KEY' WHEN 10 THEN 'UNKNOWN_PARSER' WHEN 11 THEN 'UNSUPPORTED_ADAPTER'
+        ELSE CASE WHEN id % 14 = 12 AND id % 4 = 0 THEN 'CLOUDFLARE_SHELL' WHEN id % 14 = 12 AND id % 4 = 2 THEN 'URL_UNREACHABLE' WHEN id % 4 = 1 THEN 'NO_ITEMS_DISCOVERED' WHEN id % 4 = 3 THEN 'REQUIRED_FIELD_PARSE_FAILED' END END AS code FROM postings) q"""))

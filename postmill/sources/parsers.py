@@ -33,6 +33,11 @@ def config_number(config: Column, key: str, default: int) -> Column:
     return F.coalesce(F.get_json_object(config, f"$.{key}").try_cast("int"), F.lit(default))
 
 
+def malformed(xml: Column) -> Column:
+    """Whether a text isn't well-formed XML."""
+    return F.coalesce(F.from_xml(xml, F.lit("_corrupt_record string, _x string"))["_corrupt_record"].isNotNull(), F.lit(False))
+
+
 def sitemap_entries(xml: Column) -> Column:
     """Array of (loc, lastmod text) of a sitemap without regard to name spaces."""
     bare = F.regexp_replace(xml, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
@@ -45,9 +50,14 @@ def sitemap_entries(xml: Column) -> Column:
     )
 
 
-def parse_sitemap(df: DataFrame, xml: str, cutoff: Column, limit: int | None = None) -> DataFrame:
-    """Entries not older than ``cutoff`` or of unknown day, newest first; unknown days sort last."""
-    rows = df.select(F.explode(sitemap_entries(F.col(xml))).alias("e")).select("e.loc", dates.iso_day(F.col("e.lastmod")).alias("lastmod"))
+def parse_sitemap(df: DataFrame, xml: str, cutoff: Column, limit: int | None = None, strict: bool = False) -> DataFrame:
+    """Entries not older than ``cutoff`` or of unknown day, newest first; unknown days sort last.
+
+    A text that isn't well-formed has no entries; if ``strict``, it fails the job.
+    """
+    bad = malformed(F.col(xml))
+    stop = F.raise_error(F.lit("sitemap is not well-formed XML")).cast("array<struct<loc:string,lastmod:string>>") if strict else F.array().cast("array<struct<loc:string,lastmod:string>>")
+    rows = df.select(F.explode(F.when(bad, stop).otherwise(sitemap_entries(F.col(xml)))).alias("e")).select("e.loc", dates.iso_day(F.col("e.lastmod")).alias("lastmod"))
     kept = rows.filter("loc <> ''").filter(F.col("lastmod").isNull() | (F.col("lastmod") >= cutoff))
     kept = kept.withColumn("lastmod", F.coalesce("lastmod", F.lit(UNKNOWN_DAY).cast("date")))
     return kept if limit is None else kept.orderBy(F.col("lastmod").desc(), "loc").limit(limit)
@@ -114,12 +124,60 @@ def parse_board(df: DataFrame, json: str, max_items: int = 100) -> DataFrame:
 
 
 def preflight(rows: DataFrame, required: list[str], adapter: Column, known: tuple[str, ...] = ("SITEMAP", "RSS", "CUSTOM")) -> DataFrame:
-    """(adapter, code): why a source can't be used, or null."""
+    """(adapter, code): why an adapter's collected rows can't be used, or null."""
     bad = F.lit(False)
     for c in required:
         bad = bad | (F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
     g = rows.groupBy(adapter.alias("adapter")).agg(F.count("*").alias("n"), F.count_if(bad).alias("n_bad"))
-    return g.select("adapter", F.when(~F.col("adapter").isin(*known), "UNSUPPORTED_ADAPTER").when(F.col("n") == 0, "NO_ITEMS_DISCOVERED").when(F.col("n_bad") > 0, "REQUIRED_FIELD_PARSE_FAILED").alias("code"))
+    return g.select("adapter", F.when(~F.col("adapter").isin(*known), "UNSUPPORTED_ADAPTER").when(F.col("n_bad") > 0, "REQUIRED_FIELD_PARSE_FAILED").alias("code"))
+
+
+# Parsers that can be named in a source's configuration and probed.
+PROBED = ("GREETING", "GREENHOUSE", "DAANGN_CAREERS", "TOSS_CAREERS", "NAVER_CAREERS", "ABLY_CAREERS", "KAKAO_CAREERS", "SAMSUNG_CAREERS", "LG_CNS_CAREERS")
+UNPROBED = ("LG_CAREERS", "SK_CAREERS", "HYUNDAI_CAREERS")
+MAX_DISCOVER, MAX_SAMPLE = 5, 1
+
+
+def probe(rows: DataFrame) -> DataFrame:
+    """Sources (adapter, source_url, config, fetched, body, sample) with ``code``, ``discovered`` and ``sampled``.
+
+    ``fetched`` is OK, TIMEOUT, SHELL (a page that only a browser can open) or an HTTP status; ``body`` is the sitemap, feed or list
+    as fetched and ``sample`` the first item's page. The first rule that fails names the code; null means usable.
+    """
+    col = F.col
+    kind = F.upper(F.trim(F.coalesce("adapter", F.lit(""))))
+    sitemap = F.filter(sitemap_entries(col("body")), lambda e: e["loc"] != "")
+    bare = F.regexp_replace(F.coalesce("body", F.lit("")), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
+    items = F.regexp_extract_all(bare, F.lit(r"(?s)<(?:item|entry)>(.*?)</(?:item|entry)>"), F.lit(1))
+    usable = F.filter(items, lambda x: x.rlike(r"(?s)<title[^>]*>\s*\S.*?</title>") & x.rlike(r'(?s)<link[^>]*>\s*[^<\s]|<link[^>]*href="[^"]+"'))
+    jobs = F.coalesce(F.from_json("body", "struct<jobs:array<struct<title:string,absolute_url:string>>>")["jobs"], F.array().cast("array<struct<title:string,absolute_url:string>>"))
+    complete = F.filter(jobs, lambda j: (F.coalesce(F.trim(j["title"]), F.lit("")) != "") & j["absolute_url"].isNotNull())
+    titled = F.coalesce(parse_page(col("sample"))["title"], F.lit("")) != ""
+    key = parser_key(col("config"))
+    fetched = (
+        F.when(F.coalesce(col("source_url"), F.lit("")) == "", "INVALID_CONFIG")
+        .when(col("fetched") == "TIMEOUT", "TIMEOUT")
+        .when(col("fetched") == "SHELL", "CLOUDFLARE_SHELL")
+        .when(col("fetched") != "OK", "URL_UNREACHABLE")
+    )
+    xml = F.coalesce(fetched, F.when(malformed(col("body")), "REQUIRED_FIELD_PARSE_FAILED"))
+    of_sitemap = F.coalesce(xml, F.when(F.size(sitemap) == 0, "NO_ITEMS_DISCOVERED").when(~titled, "REQUIRED_FIELD_PARSE_FAILED"))
+    # items of a feed without title and link are dropped when it is parsed
+    of_feed = F.coalesce(xml, F.when(F.size(usable) == 0, "NO_ITEMS_DISCOVERED"))
+    of_board = F.coalesce(fetched, F.when(F.size(jobs) == 0, "NO_ITEMS_DISCOVERED").when(F.size(complete) == 0, "REQUIRED_FIELD_PARSE_FAILED"))
+    custom = (
+        F.when(key["error"].isin("missing_key", "empty_key") | (key["error"].isNull() & key["key"].isNull()), "MISSING_PARSER_KEY")
+        .when(key["error"].isNotNull(), "INVALID_CONFIG")
+        .when(~key["key"].isin(*PROBED, *UNPROBED), "UNKNOWN_PARSER")
+        .when(key["key"].isin(*UNPROBED), "UNSUPPORTED_ADAPTER")
+        .otherwise(of_board)
+    )
+    code = F.when(kind == "SITEMAP", of_sitemap).when(kind == "RSS", of_feed).when(kind == "CUSTOM", custom).otherwise("UNSUPPORTED_ADAPTER")
+    found = F.when(kind == "SITEMAP", F.size(sitemap)).when(kind == "RSS", F.size(usable)).otherwise(F.size(jobs))
+    out = rows.withColumn("code", code)
+    return out.withColumn("discovered", F.when(col("code").isNull(), F.least(found, F.lit(MAX_DISCOVER))).otherwise(0)).withColumn(
+        "sampled", F.when(col("code").isNull(), MAX_SAMPLE).otherwise(0)
+    )
 
 
 def search_queries(roles: list[str], companies: list[str], skills: list[str], limit: int) -> list[str]:
