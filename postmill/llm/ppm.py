@@ -26,6 +26,7 @@ text all symbols are equally likely and the base is that of an empty corpus; oth
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -322,7 +323,7 @@ def score_documents(
     word_cut = power_cut(model.words.filter(short).groupBy(level_of(F.col("n"))).count(), head_words)
     in_head = short & (F.col("n") >= word_cut)
     rows = model.words.filter(in_head).toArrow()  # at most HEAD_WORDS
-    dictionary = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    dictionary = dict(zip(rows.column("word").to_pylist(), np.log10(rows.column("n").to_numpy() + 1.0).tolist(), strict=True))
     shared = spark.sparkContext.broadcast((keys[ranks], logs[ranks] / np.log(10.0), dictionary, model.ends))
     del head, keys, logs, rows, dictionary
 
@@ -334,14 +335,14 @@ def score_documents(
             for tokens, joined in chunks(t.as_py() for t in batch.column(1)):
                 known, base, tails = [], [], []
                 for t in tokens:
-                    rest, hits, total = [], int(ends > 0), np.log10(ends + 1.0)
+                    rest, hits, total = [], int(ends > 0), math.log10(ends + 1.0)
                     for word, times in Counter(t).items():
-                        c = head.get(word)
-                        if c is None:
+                        log = head.get(word)
+                        if log is None:
                             rest.append({"word": word, "n": times})
                         else:
                             hits += times
-                            total += times * np.log10(c + 1.0)
+                            total += times * log
                     known.append(hits)
                     base.append(total)
                     tails.append(rest)
