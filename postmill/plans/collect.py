@@ -155,8 +155,8 @@ def register(add) -> None:
           SELECT id, score, 'relevance' AS slot FROM b UNION ALL SELECT * FROM (SELECT id, score, 'exploration' FROM p WHERE id NOT IN (SELECT id FROM b) ORDER BY published DESC NULLS LAST, seq LIMIT 8)) q"""))
     add("F08_F15_budget_batches", lambda spark, d: ranking.split_batches(ranking.top_by(postings(spark, d), 100, col("deadline").asc_nulls_last(), col("id")), 5, col("id"), "source").select("id", "source", col("batch").cast("long").alias("batch")),
         with_postings("SELECT id, source, (row_number() OVER (PARTITION BY source ORDER BY id) - 1) // 5 AS batch FROM (SELECT * FROM postings ORDER BY deadline ASC NULLS LAST, id LIMIT 100) q"))
-    add("E06_merge_candidates", lambda spark, d: dedup.merge_candidates(postings(spark, d).filter("id % 2 = 0").select("id", "seq"), postings(spark, d).filter("id % 3 = 0").select("id", "seq", col("published").alias("lastmod"))).select("id", "provenance", "lastmod"),
-        with_postings("SELECT id, CASE WHEN id % 6 = 0 THEN 'BOTH' WHEN id % 2 = 0 THEN 'TARGETED' ELSE 'EXPLORATION' END AS provenance, CASE WHEN id % 3 = 0 THEN published END AS lastmod FROM postings WHERE id % 2 = 0 OR id % 3 = 0"))
+    add("E06_merge_candidates", lambda spark, d: dedup.merge_candidates(postings(spark, d).select(F.when(col("id") % 2 == 0, col("id")).otherwise(-col("id")).alias("id"), "seq"), postings(spark, d).select(F.when(col("id") % 3 == 0, col("id")).otherwise(col("id") + 1_000_000_000_000).alias("id"), "seq", col("published").alias("lastmod"))).select("id", "provenance", "lastmod"),
+        with_postings("SELECT id, CASE WHEN id % 6 = 0 THEN 'BOTH' WHEN id % 2 = 0 THEN 'TARGETED' ELSE 'EXPLORATION' END AS provenance, CASE WHEN id % 3 = 0 THEN published END AS lastmod FROM postings WHERE id % 2 = 0 OR id % 3 = 0 UNION ALL SELECT -id, 'TARGETED', NULL FROM postings WHERE id % 2 = 1 UNION ALL SELECT id + 1000000000000, 'EXPLORATION', published FROM postings WHERE id % 3 > 0"))
 
     def canon(spark, d):
         s = spark.read.parquet(f"{d}/supplier.parquet")

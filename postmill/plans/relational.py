@@ -65,8 +65,8 @@ def register(add) -> None:
         "SELECT n_nationkey, n_name, (SELECT string_agg(s_name, ',' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation")
     add("D15_G06_E21_semi_users", lambda s, d: t(s, d, "customer").filter("c_acctbal > 0").join(t(s, d, "orders").select("o_custkey"), col("c_custkey") == col("o_custkey"), "left_semi").select("c_custkey"),
         "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders)")
-    add("D16_B09_B14_insert_missing", lambda s, d: state.insert_missing(t(s, d, "nation").filter("n_nationkey < 12").select("n_nationkey", "n_name"), t(s, d, "nation").filter("n_nationkey > 5").select("n_nationkey", F.upper("n_name").alias("n_name")), ["n_nationkey"]),
-        "SELECT n_nationkey, CASE WHEN n_nationkey < 12 THEN n_name ELSE upper(n_name) END AS n_name FROM nation")
+    add("D16_B09_B14_insert_missing", lambda s, d: state.insert_missing(t(s, d, "nation").select(F.when(col("n_nationkey") < 12, col("n_nationkey")).otherwise(col("n_nationkey") + 100).alias("n_nationkey"), "n_name"), t(s, d, "nation").select(F.when(col("n_nationkey") > 5, col("n_nationkey")).otherwise(col("n_nationkey") + 200).alias("n_nationkey"), F.upper("n_name").alias("n_name")), ["n_nationkey"]),
+        "SELECT CASE WHEN n_nationkey < 12 THEN n_nationkey ELSE n_nationkey + 100 END AS n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, upper(n_name) FROM nation WHERE n_nationkey >= 12 UNION ALL SELECT n_nationkey + 200, upper(n_name) FROM nation WHERE n_nationkey <= 5")
     add("D17_uniqueness_probe", lambda s, d: t(s, d, "supplier").alias("a").join(t(s, d, "supplier").alias("b"), (col("a.s_nationkey") == col("b.s_nationkey")) & (F.substring(col("a.s_name"), -1, 1) == F.substring(col("b.s_name"), -1, 1)) & (col("a.s_suppkey") != col("b.s_suppkey")), "left_semi").select("s_suppkey"),
         "SELECT s_suppkey FROM supplier a WHERE EXISTS (SELECT 1 FROM supplier b WHERE a.s_nationkey = b.s_nationkey AND right(a.s_name, 1) = right(b.s_name, 1) AND a.s_suppkey <> b.s_suppkey)")
     add("D18_B11_left_backfill", lambda s, d: t(s, d, "orders").join(t(s, d, "lineitem").filter("l_linenumber = 2").select("l_orderkey", "l_shipdate"), col("o_orderkey") == col("l_orderkey"), "left").select("o_orderkey", F.coalesce(col("l_shipdate").cast("date"), F.convert_timezone(F.lit("UTC"), F.lit("Asia/Seoul"), col("o_orderdate")).cast("date")).alias("day")),
@@ -114,21 +114,23 @@ def register(add) -> None:
     add("I03_L08_release_leases", lambda s, d: state.release_expired(queue(s, d), now()).select("id", "status", "lease_until"), q + f"SELECT id, CASE WHEN status = 'PROCESSING' AND lease_until < TIMESTAMP '{NOW}' THEN 'PENDING' ELSE status END AS status, CASE WHEN NOT (status = 'PROCESSING' AND lease_until < TIMESTAMP '{NOW}') THEN lease_until END AS lease_until FROM queue")
     add("I05_mark_failed", lambda s, d: state.mark_failed(queue(s, d), now()).select("id", "attempts", "next_retry"), q + f"SELECT id, attempts + 1 AS attempts, TIMESTAMP '{NOW}' + to_seconds(60 * CAST(pow(2, least(attempts + 1, 6)) AS INT)) AS next_retry FROM queue")
     def applied(s, d):
-        r = queue(s, d).filter("id % 2 = 0").select("id", F.when(col("id") % 3 == 0, F.lit("old")).otherwise(col("token")).alias("token"), F.when(col("id") % 5 == 0, 99).otherwise(col("hash")).alias("hash"), F.lit("done").alias("value"))
+        r = queue(s, d).select(F.when(col("id") % 2 == 0, col("id")).otherwise(-col("id")).alias("id"), F.when(col("id") % 3 == 0, F.lit("old")).otherwise(col("token")).alias("token"), F.when(col("id") % 5 == 0, 99).otherwise(col("hash")).alias("hash"), F.lit("done").alias("value"))
         return state.apply_results(queue(s, d), r)
 
     add("I04_L07_apply_results", applied, q + "SELECT id, CASE WHEN id % 2 = 0 AND id % 3 > 0 AND id % 5 > 0 THEN 'SUCCEEDED' WHEN id % 2 = 0 AND id % 3 > 0 THEN 'CONFLICT' ELSE status END AS status, CASE WHEN id % 2 = 0 AND id % 3 > 0 AND id % 5 > 0 THEN 'done' END AS value FROM queue")
     add("I06_I09_compare_and_set", lambda s, d: state.compare_and_set(queue(s, d), "status", ["PENDING", "FAILED"], "SENDING", col("attempts") < 3).select("id", "status", "claimed"), q + "SELECT id, CASE WHEN status IN ('PENDING', 'FAILED') AND attempts < 3 THEN 'SENDING' ELSE status END AS status, status IN ('PENDING', 'FAILED') AND attempts < 3 AS claimed FROM queue")
     def upserted(s, d):
         p = postings(s, d).select("id", "deadline", "description", "location", "employment_type", F.md5(F.coalesce("description", F.lit(""))).alias("hash"))
-        old = p.filter("id % 4 > 0").withColumn("location", F.when(col("id") % 5 > 1, col("location"))).withColumn("hash", F.when(col("id") % 3 == 0, F.lit("stale")).otherwise(col("hash")))
-        new = p.filter("id % 3 < 2").withColumn("location", F.lit("NEW"))
+        old = p.withColumn("location", F.when(col("id") % 5 > 1, col("location"))).withColumn("hash", F.when(col("id") % 3 == 0, F.lit("stale")).otherwise(col("hash"))).withColumn("id", F.when(col("id") % 4 > 0, col("id")).otherwise(col("id") + 1_000_000_000_000))
+        new = p.withColumn("location", F.lit("NEW")).withColumn("id", F.when(col("id") % 3 < 2, col("id")).otherwise(col("id") + 2_000_000_000_000))
         return state.upsert(old, new, "id", ["deadline", "description", "hash"], ["location"], "hash").select("id", "action", "location", "hash")
 
     add("B01_B06_I01_upsert", upserted, with_postings("""SELECT id, action, CASE action WHEN 'INSERT' THEN 'NEW' WHEN 'KEEP' THEN ol WHEN 'UPDATE' THEN 'NEW' ELSE CASE WHEN coalesce(trim(ol), '') = '' THEN 'NEW' ELSE ol END END AS location,
         CASE action WHEN 'KEEP' THEN oh ELSE h END AS hash FROM (SELECT id, h, CASE WHEN id % 5 > 1 THEN location END AS ol, CASE WHEN id % 3 = 0 THEN 'stale' ELSE h END AS oh,
         CASE WHEN id % 4 = 0 THEN 'INSERT' WHEN id % 3 = 2 THEN 'KEEP' WHEN id % 3 = 0 THEN 'UPDATE' ELSE 'TOUCH' END AS action
-        FROM (SELECT *, md5(coalesce(description, '')) AS h FROM postings) p WHERE id % 4 > 0 OR id % 3 < 2) z"""))
+        FROM (SELECT *, md5(coalesce(description, '')) AS h FROM postings) p WHERE id % 4 > 0 OR id % 3 < 2) z
+        UNION ALL SELECT id + 1000000000000, 'KEEP', CASE WHEN id % 5 > 1 THEN location END, CASE WHEN id % 3 = 0 THEN 'stale' ELSE md5(coalesce(description, '')) END FROM postings WHERE id % 4 = 0
+        UNION ALL SELECT id + 2000000000000, 'INSERT', 'NEW', md5(coalesce(description, '')) FROM postings WHERE id % 3 = 2"""))
     add("B02_B03_fold_batch", lambda s, d: state.fold_batch(postings(s, d).withColumn("k", col("id") % 97), "k", "seq", ["deadline"], ["location"]), with_postings("SELECT id % 97 AS k, arg_max(deadline, seq) AS deadline, arg_min(location, seq) AS location, count(*) AS n_in FROM postings GROUP BY 1"))
     add("B04_B19_change_actions", lambda s, d: postings(s, d).join(analyses(s, d), col("id") == col("posting_id"), "left").select("id", F.when(col("posting_id").isNull(), "INSERT_PENDING").when(~col("scope").eqNullSafe(F.lit("ROLE_SPECIFIC")), "RESET_PENDING").otherwise("TOUCH").alias("action")),
         with_postings("SELECT id, CASE WHEN posting_id IS NULL THEN 'INSERT_PENDING' WHEN scope IS DISTINCT FROM 'ROLE_SPECIFIC' THEN 'RESET_PENDING' ELSE 'TOUCH' END AS action FROM postings LEFT JOIN analyses ON id = posting_id"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postmill.sources import parsers
+from postmill.sources import boards, parsers
 from postmill.sources.fixtures import postings, with_postings
 
 
@@ -79,3 +80,42 @@ def register(add) -> None:
       FROM (SELECT id, CASE id % 14 WHEN 0 THEN 'UNSUPPORTED_ADAPTER' WHEN 1 THEN 'INVALID_CONFIG' WHEN 2 THEN 'TIMEOUT' WHEN 3 THEN 'REQUIRED_FIELD_PARSE_FAILED' WHEN 4 THEN CASE WHEN id % 5 = 0 THEN 'REQUIRED_FIELD_PARSE_FAILED' END
         WHEN 5 THEN 'NO_ITEMS_DISCOVERED' WHEN 6 THEN 'NO_ITEMS_DISCOVERED' WHEN 7 THEN NULL WHEN 8 THEN 'INVALID_CONFIG' WHEN 9 THEN 'MISSING_PARSER_KEY' WHEN 10 THEN 'UNKNOWN_PARSER' WHEN 11 THEN 'UNSUPPORTED_ADAPTER'
         ELSE CASE WHEN id % 14 = 12 AND id % 4 = 0 THEN 'CLOUDFLARE_SHELL' WHEN id % 14 = 12 AND id % 4 = 2 THEN 'URL_UNREACHABLE' WHEN id % 4 = 1 THEN 'NO_ITEMS_DISCOVERED' WHEN id % 4 = 3 THEN 'REQUIRED_FIELD_PARSE_FAILED' END END AS code FROM postings) q"""))
+
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    def opening_rows(s, d):
+        k = col("id")
+        job = F.when(k % 3 == 0, "").otherwise(col("company"))
+        level = F.when(k % 4 == 0, "EXPERIENCED").when(k % 4 == 1, "NEW_COMER").otherwise("NOT_MATTER")
+        position = F.to_json(F.struct(
+            F.struct(job.alias("job")).alias("workspaceJob"), F.struct(F.lit("Occ").alias("occupation")).alias("workspaceOccupation"), F.struct(col("location")).alias("workspacePlace"),
+            F.struct(level.alias("careerType"), F.when(k % 8 == 0, (k % 5).cast("int")).alias("careerFrom")).alias("jobPositionCareer"),
+            F.struct(F.when(k % 2 == 0, "INTERN").otherwise("GIG").alias("employmentType")).alias("jobPositionEmployment"),
+        ))
+        opening = lambda n: text('{"openingId":', k * 2 + n, ',"title":"  A  ', k, '","dueDate":"', F.coalesce("deadline", F.lit("2001-01-01").cast("date")), 'T10:00:00Z","openingJobPosition":{"openingJobPositions":[', position, "]}}")
+        page = text('<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"dehydratedState":{"queries":[{"queryKey":["user"],"state":{"data":[]}},{"queryKey":["openings",1],"state":{"data":[', opening(0), ",", opening(1), "]}}]}}}}</script></html>")
+        return boards.openings(postings(s, d).select("id", page.alias("html")), "html")
+
+    add("A21_A22_openings", opening_rows, with_postings("""SELECT id, id * 2 + n AS opening_id, 'A ' || id AS title, CASE WHEN id % 3 = 0 THEN 'Occ' ELSE company END AS role, location,
+      CASE WHEN id % 8 = 0 THEN (id % 5) || '년 이상' WHEN id % 4 = 0 THEN '경력' WHEN id % 4 = 1 THEN '신입' ELSE '경력 무관' END AS level, CASE WHEN id % 2 = 0 THEN '인턴' ELSE 'GIG' END AS employment,
+      coalesce(deadline, DATE '2001-01-01') AS deadline FROM postings, (VALUES (0), (1)) v(n)"""))
+
+    def recruits(s, d):
+        k = col("id")
+        item = lambda n: text('{"title":"', col("company"), " ", k, '","status":"', F.when(k % 5 == n, "closed").otherwise("in_progress"), '","isPrivate":', (k % 7 == n).cast("string"), ',"applyUrl":"https://x.example/job_posting/K', F.floor(k / 2), '/","types":["gig","', F.when(k % 2 == 0, "intern").otherwise("full_time"), '"],"deadline":"2001-09-0', n + 1, '"}')
+        page = F.concat(F.lit('<script>var a = 1;</script><script>{"props":{"pageProps":{"recruits":['), item(F.lit(0)), F.lit(","), item(F.lit(1)), F.lit("]}}}</script>"))
+        return boards.inline_recruits(postings(s, d).select("id", page.alias("html")), "html", "id")
+
+    add("A30_inline_recruits", recruits, with_postings("""SELECT 'K' || (id // 2) AS key, company || ' ' || id AS title, CASE WHEN id % 2 = 0 THEN '인턴' ELSE '정규직' END AS employment, DATE '2001-09-01' + CAST(n AS INT) AS deadline
+      FROM (SELECT *, row_number() OVER (PARTITION BY id // 2 ORDER BY id, n) AS r FROM postings, (VALUES (0), (1)) v(n) WHERE id % 5 <> n AND id % 7 <> n) q WHERE r = 1"""))
+    add("A31_job_ids", lambda s, d: boards.job_ids(postings(s, d).select(text("https://t.example/job?x=1&job_id=", F.floor(col("id") / 3), F.when(col("id") % 2 == 0, "&y").otherwise("#z")).alias("u")), "u"), with_postings("SELECT DISTINCT id // 3 AS job_id FROM postings"))
+
+    def pages(s, d):
+        p = postings(s, d).withColumn("page", F.ceil((F.row_number().over(Window.partitionBy("company").orderBy("id"))) / 10).cast("int"))
+        listed = p.groupBy(col("company").alias("listing"), "page").agg(F.array_sort(F.collect_list("id")).alias("items"))
+        return boards.paged(listed.withColumn("total", F.when(F.ascii(F.substring("listing", 8, 1)) % 2 == 0, 25).otherwise(1_000_000)), 10)
+
+    add("A12_A16_A23_paged_lists", pages, with_postings("""SELECT company AS listing, page, pos, id AS item FROM (SELECT company, id, CAST((r - 1) // 10 + 1 AS INT) AS page, CAST((r - 1) % 10 AS INT) AS pos
+      FROM (SELECT company, id, row_number() OVER (PARTITION BY company ORDER BY id) AS r FROM postings) a) b WHERE ascii(substr(company, 8, 1)) % 2 = 1 OR page = 1 OR (page - 1) * 10 < 25"""))
+    add("A26_A28_guarded_ids", lambda s, d: boards.guarded(postings(s, d).withColumn("k", F.floor(col("id") / 2)), "k", "id", col("company"), F.lit("Brand#12")).select("k", "id"),
+        with_postings("SELECT id // 2 AS k, min(id) AS id FROM postings WHERE company = 'Brand#12' GROUP BY 1"))
