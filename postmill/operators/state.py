@@ -96,3 +96,21 @@ def insert_missing(old: DataFrame, candidates: DataFrame, keys: Sequence[str]) -
 def patch_map(old: Column, patch: Column) -> Column:
     """Shallow map merge; the patch wins."""
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(patch), k)), patch)
+
+
+def touch_sources(old: DataFrame, seen: DataFrame, keys: Sequence[str], now: Column, day: Column) -> DataFrame:
+    """Provenance rows after a run: new ones are inserted, known ones touched; a hash is replaced by a known one only.
+
+    ``old`` has the keys, content_hash, first_seen, last_seen, last_collected, active; ``seen`` the keys and content_hash.
+    """
+    new = seen.groupBy(*keys).agg(F.max("content_hash").alias("new_hash"), F.lit(True).alias("seen"))
+    joined = old.withColumn("known", F.lit(True)).join(new, list(keys), "full_outer")
+    seen_now = F.coalesce("seen", F.lit(False))
+    return joined.select(
+        *keys,
+        F.coalesce("new_hash", "content_hash").alias("content_hash"),
+        F.coalesce("first_seen", now).alias("first_seen"),
+        F.when(seen_now, now).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.when(seen_now, day).otherwise(F.col("last_collected")).alias("last_collected"),
+        F.coalesce("active", F.lit(True)).alias("active"),
+    )

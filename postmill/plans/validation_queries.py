@@ -1,11 +1,13 @@
-"""Registered queries of the validators, over answers with known faults made from the test tables."""
+"""Registered queries of the validators and of delivery, over values with known faults made from the test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.operators import validation
-from postmill.sources.fixtures import analyses, postings, with_postings
+from postmill.functions import markdown
+from postmill.operators import sinks, state, validation
+from postmill.plans.recommend import provenance
+from postmill.sources.fixtures import REF, analyses, postings, with_postings
 
 #: Faults by id; Spark writes them into JSON, the oracle states the codes they must give.
 ITEMS_SQL = """SELECT posting_id, posting_id + CASE WHEN posting_id % 23 = 0 THEN 1 ELSE 0 END AS got,
@@ -71,3 +73,31 @@ def register(add) -> None:
     add("K16_report_codes", drafts, with_postings(f"""SELECT id, CASE id % 11 WHEN 0 THEN 'EMPTY_CONTENT' WHEN 1 THEN 'MISSING_SECTION:오늘의 키워드' WHEN 2 THEN 'HALLUCINATION:합격 보장|INVESTMENT_ADVICE:매도'
       WHEN 3 THEN 'UNKNOWN_URL:https://evil.example/' || id WHEN 4 THEN 'CONTENT_TOO_LONG:{len(body) + 15_000}' WHEN 5 THEN 'ID_ORDER_MISMATCH' WHEN 6 THEN 'ID_SET_MISMATCH|UNKNOWN_POSTING_ID:x' WHEN 7 THEN 'KEYWORD_OUT_OF_SCOPE:Cobol'
       WHEN 8 THEN 'EMPTY_SUMMARY' ELSE '' END AS codes, CASE WHEN id % 11 IN (0, 2) THEN 'fallback_required' WHEN id % 11 > 8 THEN 'pass' ELSE 'retryable' END AS status FROM postings"""))
+
+    source = lambda: F.concat(F.lit("# T "), col("id").cast("string"), F.lit("\n\n## a & b\n- **x** <y>\n- [z](https://e.example/"), col("id").cast("string"), F.lit(")\n\n---\n\n1. one\n2. two\n\nplain\nlines"))
+    expected = """'<h1>T ' || id || '</h1>' || chr(10) || '<h2>a &amp; b</h2>' || chr(10) || '<ul>' || chr(10) || '<li><strong>x</strong> &lt;y&gt;</li>' || chr(10) || '<li><a href="https://e.example/' || id || '">z</a></li>' || chr(10) || '</ul>' || chr(10)
+      || '<hr />' || chr(10) || '<ol>' || chr(10) || '<li>one</li>' || chr(10) || '<li>two</li>' || chr(10) || '</ol>' || chr(10) || '<p>plain' || chr(10) || 'lines</p>' || chr(10)"""
+    add("H28_markdown", lambda s, d: postings(s, d).select("id", markdown.body(source()).alias("html")), with_postings(f"SELECT id, {expected} AS html FROM postings"))
+
+    def delivered(s, d):
+        path = sinks.scratch_path(s, "messages")
+        per = postings(s, d).groupBy("company").agg(F.count("*").alias("n"))
+        sinks.write_messages(per.select(F.concat("company", F.lit("@e.example")).alias("to"), F.lit("오늘").alias("subject"), F.md5("company").alias("message_id"), F.concat(F.lit("<p>\n"), col("n").cast("string"), F.lit("</p>")).alias("content")), path)
+        return sinks.read_messages(s, path)
+
+    add("B15_message_files", delivered, with_postings("SELECT company || '@e.example' AS to, '오늘' AS subject, md5(company) AS message_id, '<p>' || chr(10) || count(*) || '</p>' AS content FROM postings GROUP BY company"))
+
+    def provenance_rows(s, d):
+        p = provenance(s, d).withColumn("k", col("posting_id") % 5)
+        at = lambda x: F.lit(x).cast("timestamp_ntz")
+        day = lambda x: F.lit(x).cast("date")
+        shifted = lambda n: F.when(col("k") == n, -col("posting_id")).otherwise(col("posting_id")).alias("posting_id")
+        old = p.select(shifted(0), "source", F.md5("source").alias("content_hash"), at("2001-01-01 00:00:00").alias("first_seen"), at("2001-02-01 00:00:00").alias("last_seen"), day("2001-02-01").alias("last_collected"), "active")
+        seen = p.select(F.when(col("k") == 1, col("posting_id") + 1_000_000_000_000).otherwise(col("posting_id")).alias("posting_id"), "source", F.when(col("k") > 2, F.lit("new")).alias("content_hash"))
+        return state.touch_sources(old, seen, ["posting_id", "source"], at(f"{REF} 00:00:00"), day(REF))
+
+    add("B07_provenance_rows", provenance_rows, f"""WITH p AS (SELECT DISTINCT l_partkey AS id, s_name AS source, s_acctbal >= 0 AS active, l_partkey % 5 AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+      o AS (SELECT CASE WHEN k = 0 THEN -id ELSE id END AS posting_id, source, md5(source) AS content_hash, TIMESTAMP '2001-01-01' AS first_seen, TIMESTAMP '2001-02-01' AS last_seen, DATE '2001-02-01' AS last_collected, active FROM p),
+      n AS (SELECT CASE WHEN k = 1 THEN id + 1000000000000 ELSE id END AS posting_id, source, CASE WHEN k > 2 THEN 'new' END AS new_hash, true AS seen FROM p)
+      SELECT posting_id, source, coalesce(new_hash, content_hash) AS content_hash, coalesce(first_seen, TIMESTAMP '{REF}') AS first_seen, CASE WHEN seen THEN TIMESTAMP '{REF}' ELSE last_seen END AS last_seen,
+        CASE WHEN seen THEN DATE '{REF}' ELSE last_collected END AS last_collected, coalesce(active, true) AS active FROM o FULL JOIN n USING (posting_id, source)""")
