@@ -180,3 +180,49 @@ def classify_by_rules(words: Column, level: Column, description: Column, truncat
         F.when(~unknown, 0.5).alias("confidence"),
         F.array_compact(why).alias("why"),
     )
+
+
+# Duty groups in order, their public ids, and the words that name them.
+DUTIES = {
+    "BACKEND": ((176,), ("백엔드", "서버 개발", "서버개발", "server engineer", "backend engineer", "backend developer", "back-end", "java developer", "api developer", "spring", "서버")),
+    "FRONTEND": ((175,), ("프론트엔드", "프론트 엔드", "frontend engineer", "frontend developer", "front-end", "react developer", "web frontend", "vue developer", "angular developer")),
+    "MOBILE": ((172, 173), ("android developer", "ios developer", "모바일 개발", "모바일개발", "모바일", "mobile developer", "mobile engineer", "android", "ios")),
+    "DEVOPS_INFRA": ((164, 166), ("infrastructure engineer", "cloud engineer", "인프라 엔지니어", "인프라엔지니어", "devops engineer", "site reliability", "sre", "devops", "인프라")),
+    "DATA_ENGINEERING": ((179,), ("데이터 엔지니어", "데이터엔지니어", "data engineer")),
+    "AI_ML": ((167,), ("machine learning engineer", "ml engineer", "ai engineer", "머신러닝 엔지니어", "머신러닝엔지니어", "llm engineer", "machine learning")),
+    "SECURITY": ((166,), ("application security", "security engineer", "보안 엔지니어", "보안엔지니어")),
+    "GENERAL_SOFTWARE": ((165, 170), ("software engineer", "sw engineer", "소프트웨어 개발자", "소프트웨어개발자")),
+}
+
+
+def duty_of(role: Column) -> Column:
+    """The first duty group with a word in the role, or null."""
+    low = F.lower(F.regexp_replace(F.trim(role), r"\s+", " "))
+    return F.coalesce(*[F.when(low.rlike(_word_pattern(words)), F.lit(g)) for g, (_, words) in DUTIES.items()])
+
+
+def duty_plan(roles: Column) -> tuple[Column, Column]:
+    """The duty groups of a list of roles, in their own order, and their ids, sorted; unknown roles are skipped."""
+    found = F.transform(F.coalesce(roles, F.array().cast("array<string>")), duty_of)
+    groups = F.array_compact(F.array(*[F.when(F.array_contains(F.array_compact(found), g), F.lit(g)) for g in DUTIES]))
+    ids = [F.when(F.array_contains(groups, g), F.array(*map(F.lit, numbers))).otherwise(F.array().cast("array<int>")) for g, (numbers, _) in DUTIES.items()]
+    return groups, F.array_sort(F.array_distinct(F.flatten(F.array(*ids))))
+
+
+def generation_mode(n_selected: Column, fallback: Column, enabled: Column, rewrites: Column) -> Column:
+    return F.when(n_selected == 0, "EMPTY").when(fallback | ~enabled, "FALLBACK").when(rewrites > 0, "REWRITTEN").otherwise("LLM")
+
+
+def fallback_reason(mode: Column, raw: Column, enabled: Column) -> Column:
+    """The category of a fallback, from a raw reason; null for reports that needed none."""
+    text = F.coalesce(raw, F.lit(""))
+    return F.when(
+        mode.isin("FALLBACK", "EMPTY"),
+        F.when(text == "", F.when(enabled, "validation_retry_exhausted").otherwise("llm_disabled"))
+        .when(F.contains(text, F.lit("enrichment")), "enrichment_failed")
+        .when(F.contains(text, F.lit("synthesis")), "synthesis_failed")
+        .when(F.contains(text, F.lit("rewrite")), "rewrite_failed")
+        .when(text.rlike("validation_status|FALLBACK_REQUIRED"), "validation_fallback_required")
+        .when(text.isin("unknown", "deterministic_fallback"), "validation_retry_exhausted")
+        .otherwise(F.substring(F.trim(F.split(text, ":")[0]), 1, 60)),
+    )

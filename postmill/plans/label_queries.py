@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.functions import labels
+from postmill.functions import labels, policy
 from postmill.sources.fixtures import postings, with_postings
 
 
@@ -72,3 +72,31 @@ def register(add) -> None:
     add("H61_H62_H63_H64_H66_site_codes", codes, with_postings(f"""SELECT id, {_sql(second(GREETING))} AS greeting, {_sql(second(SAMSUNG))} AS samsung,
       CASE WHEN contains(title, '인턴') THEN '인턴' ELSE '정규직' END AS samsung_employment, {_sql(second(SK))} AS sk, {_sql(['정규직', '계약직', 'Other', None])} AS sk_employment, {_sql(second(ROLES))} AS sk_roles,
       {_sql(['계약직', '인턴', None])} AS ably_employment, {_sql(['서울', '원격', '판교'])} AS place FROM postings"""))
+
+    # roles by id, the groups and ids that they must give
+    plans = (
+        (("백엔드", "Spring  Boot"), "BACKEND", "176"), (("SRE", "보안 엔지니어"), "DEVOPS_INFRA,SECURITY", "164,166"), (("정원사",), "", ""), (("iOS", "Software Engineer", "ML Engineer"), "MOBILE,AI_ML,GENERAL_SOFTWARE", "165,167,170,172,173"),
+        (("Machine Learning Engineer", "  data   engineer "), "DATA_ENGINEERING,AI_ML", "167,179"), ((), "", ""),
+    )
+
+    def planned(s, d):
+        roles = F.filter(F.split(_cycle([";".join(r) for r, _, _ in plans], col("id")), ";"), lambda x: x != "")
+        groups, ids = policy.duty_plan(roles)
+        return postings(s, d).select("id", F.array_join(groups, ",").alias("duty_groups"), F.array_join(ids, ",").alias("duty_ids"))
+
+    add("H19_role_plan", planned, with_postings(f"SELECT id, {_sql([g for _, g, _ in plans])} AS duty_groups, {_sql([i for _, _, i in plans])} AS duty_ids FROM postings"))
+
+    raws = (
+        ("enrichment_failed: x", "enrichment_failed"), ("synthesis timeout", "synthesis_failed"), ("in rewrite", "rewrite_failed"), ("validation_status=bad", "validation_fallback_required"),
+        ("unknown", "validation_retry_exhausted"), (" odd : y", "odd"), ("", None), (None, None),
+    )
+
+    def modes(s, d):
+        k = col("id")
+        enabled = k % 3 > 0
+        mode = policy.generation_mode(k % 5, k % 2 == 0, enabled, k % 7)
+        return postings(s, d).select("id", mode.alias("mode"), policy.fallback_reason(mode, _cycle([r for r, _ in raws], k), enabled).alias("reason"))
+
+    mode = "CASE WHEN id % 5 = 0 THEN 'EMPTY' WHEN id % 2 = 0 OR id % 3 = 0 THEN 'FALLBACK' WHEN id % 7 > 0 THEN 'REWRITTEN' ELSE 'LLM' END"
+    add("K18_generation_modes", modes, with_postings(
+        f"SELECT id, {mode} AS mode, CASE WHEN {mode} IN ('EMPTY', 'FALLBACK') THEN coalesce({_sql([c for _, c in raws])}, CASE WHEN id % 3 > 0 THEN 'validation_retry_exhausted' ELSE 'llm_disabled' END) END AS reason FROM postings"))
