@@ -37,7 +37,7 @@ def position(id_col: Column, seed: str = "mix") -> Column:
 def source_targets(
     sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS
 ) -> DataFrame:
-    """(source, source_size, target): one row per source.
+    """(source, source_size, target): one row per source, ranked in one task as all sources share one budget.
 
     Targets are the water level ``min(cap, level * weight)`` with ``cap = max_repeats * size`` whose
     sum is ``share`` of all sizes: the fixed point of handing excess on by weight. Sources in order
@@ -119,7 +119,11 @@ def mix(
         F.size(split_words(F.col(f"`{text_col}`"))).cast("long").alias("size"),
         position(F.col(f"`{id_col}`")).alias("position"),
     )
-    narrow = spill(places.select("source", "size", "position"), "mix-sizes")
+    if text_col in keep:
+        # texts aren't written a second time; their sizes are, and are worked out again only if they are asked for
+        narrow = spill(places.select("source", "size", "position"), "mix-sizes")
+    else:
+        places = narrow = spill(places, "mix-sizes")
     targets = spill(source_targets(narrow, weights, share, max_repeats), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = targets.select("source", whole.cast("long").alias("whole"), "target", "source_size").withColumn(
