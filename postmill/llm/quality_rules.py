@@ -133,8 +133,8 @@ def fit_lexicon(
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id")
     words = texts.select("toxic", F.explode(F.array_distinct(F.transform(split_words(F.col("text")), _plain))).alias("word"))
     counts = words.filter("word <> ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    n_toxic = known.agg(F.sum("toxic").alias("n"))  # one row
-    found = counts.filter("t >= 4 + 4 * c").join(F.broadcast(n_toxic)).filter("200 * t >= n")
+    n_toxic = known.agg(F.sum("toxic")).first()[0] or 0
+    found = counts.filter("t >= 4 + 4 * c").filter(200 * F.col("t") >= n_toxic)
     return [r["word"] for r in found.orderBy(F.desc("t"), "word").limit(limit).select("word").collect()]
 
 
