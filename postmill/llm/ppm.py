@@ -40,7 +40,7 @@ from postmill.llm.common import spill
 ORDER = 5
 #: Bounds of what is broadcast: pairs, words, and the bytes such a word may have.
 HEAD_PAIRS = 1 << 19
-HEAD_WORDS = 1 << 17
+HEAD_WORDS = 1 << 16
 HEAD_BYTES = 64
 #: Pairs a shard should hold.
 SHARD_PAIRS = 1 << 18
@@ -50,8 +50,8 @@ SUFFIX, LONG_SUFFIX = 2, 4
 PAD, END = 0xFE, 0xFF
 N_SYMBOLS = 255  # bytes but PAD
 #: Bytes of text handled at once, and entries a task holds before it merges them.
-STEP = 2 << 20
-HOLD = 1 << 20
+STEP = 1 << 20
+HOLD = 1 << 19
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -329,28 +329,29 @@ def score_documents(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, head, ends = shared.value
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
             done = 0
             for tokens, joined in chunks(t.as_py() for t in batch.column(1)):
-                known, base, tails = [], [], []
+                known, base, rare, rare_times, rare_ends = [], [], [], [], [0]
                 for t in tokens:
-                    rest, hits, total = [], int(ends > 0), math.log10(ends + 1.0)
+                    hits, total = int(ends > 0), math.log10(ends + 1.0)
                     for word, times in Counter(t).items():
                         log = head.get(word)
                         if log is None:
-                            rest.append({"word": word, "n": times})
+                            rare.append(word)
+                            rare_times.append(times)
                         else:
                             hits += times
                             total += times * log
                     known.append(hits)
                     base.append(total)
-                    tails.append(rest)
+                    rare_ends.append(len(rare))
                 found, starts = pair_keys(joined, order)
                 at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
                 coded = keys[at] == found if len(keys) else np.zeros(len(found), bool)
                 sums = np.add.reduceat(np.where(coded, logs[at], 0.0) if len(keys) else np.zeros(len(found)), starts)
                 away = np.add.reduceat((~coded).astype(np.int64), starts)
+                tail = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_times, pa.int32())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(done, len(tokens)),
@@ -358,7 +359,7 @@ def score_documents(
                         pa.array(known, pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(sums),
-                        pa.array(tails, tail_type),
+                        pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), tail),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(away)), pa.int32()), pa.array(found[~coded].view(np.int64))),
                     ],
                     names=["id", "n_tokens", "known", "logs", "score", "tail", "away"],
