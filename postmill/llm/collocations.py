@@ -1,14 +1,15 @@
 """Phrase collocations by Suffix-sigma.
 
 Every word position of a piece of text stands for the suffix that begins there, cut to ``max_n`` words. Equal suffixes are
-counted where they are read and written once. They are shuffled by language and first word and sorted in reverse
-lexicographic order, so that a suffix follows those that extend it: one stack of at most ``max_n`` open prefixes then
+counted where they are read. They are shuffled by language and first word, packed and compressed per bucket of these, and
+sorted in reverse lexicographic order, so that a suffix follows those that extend it: one stack of at most ``max_n`` open prefixes then
 counts every phrase in a single pass over the partition, whatever its size. Frequent phrases are joined with their own parts
 afterwards.
 
-A first word (or first two words, and so on) that holds more than 1 / ``HOT_SHARE`` of all suffix rows is split: its
+A first word (or first two words, and so on) that holds more than 1 / ``HOT_SHARE`` of all words is split: its
 suffixes are shuffled by one word more. The prefixes that this cuts are emitted whatever their partial count and summed in
-the end; there are fewer than ``HOT_SHARE`` of them per length, by the definition of their share.
+the end. A pass of its own finds them: whatever holds that share of all words holds half of it in chunks that report it, so the list
+is whole, and shorter than twice ``HOT_SHARE`` per length.
 
 Defined results: a null text is empty and a null language ``und``, the same as a language of that name; repeated rows count each time;
 texts without a word add nothing; an empty table gives an empty result; other columns are not read. Counts are exact up to
@@ -17,18 +18,25 @@ texts without a word add nothing; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import spill
 
-#: A group is split when it holds more than one in this many suffix rows.
+#: A group is split when it holds more than one in this many words.
 HOT_SHARE = 512
 #: Distinct suffixes a task counts before it writes them out.
 FLUSH = 300_000
+#: Words in a chunk that reports its frequent prefixes.
+CHUNK = 200_000
+#: Buckets per shuffle partition.
+SPREAD = 8
 #: Groups over which a language's best phrases are first sought.
 TOP_SALTS = 64
 
@@ -57,17 +65,94 @@ def plain(phrase: Column) -> Column:
     return F.when(F.instr(spaced, "\x01") > 0, undone).otherwise(spaced)
 
 
-def suffixes(docs: DataFrame, lang_col: str, text_col: str, max_n: int) -> DataFrame:
-    """(lang, suffix, n): suffixes of at most ``max_n`` words, counted per task in a table of bounded size."""
+def _sent(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    lang, body = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    return docs.select(lang.alias("lang"), body.alias("body"))
+
+
+def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int = CHUNK) -> tuple[DataFrame, dict[str, dict[bytes, int]]]:
+    """The number of words per language, and per language the prefixes to split with their number of words."""
     sep = SEP.encode()
-    schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64())])
 
-    def rows(lang: str, counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        keys = list(counts)
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            found = pa.array(part, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), found, pa.array([counts[x] for x in part], pa.int64())], schema=schema)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[bytes]]] = []
+
+        def report() -> pa.RecordBatch:
+            by_lang: dict[str, list[list[bytes]]] = {}
+            for lang, words in held:
+                by_lang.setdefault(lang, []).append(words)
+            bar, rows = sum(len(w) for _, w in held) // (2 * hot_share), []
+            held.clear()
+            for lang, pieces in by_lang.items():
+                rows.append((lang, None, sum(map(len, pieces))))
+                known: set[bytes] = set()
+                for n in range(1, max_n):
+                    found: Counter = Counter()
+                    for words in pieces:
+                        if n == 1:
+                            found.update(words)
+                        else:
+                            grams = map(sep.join, zip(*(words[k:] for k in range(n))))
+                            found.update(g for g, w in zip(grams, words, strict=False) if w in known)
+                    often = {g: c for g, c in found.items() if c > bar}
+                    rows += [(lang, g, c) for g, c in often.items()]
+                    known = set(often) if n == 1 else known
+            langs, prefixes, ns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(ns, pa.int64())], ["lang", "prefix", "n"])
+
+        size = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for words in pieces_of(text.as_py()):
+                    held.append((lang, words))
+                    size += len(words)
+                    if size >= chunk:
+                        yield report()
+                        size = 0
+        if held:
+            yield report()
+
+    counts = spill(sent.mapInArrow(count, "lang string, prefix binary, n bigint").groupBy("lang", "prefix").agg(F.sum("n").alias("n")), "hot-words")
+    words = counts.filter("prefix IS NULL").select("lang", "n")
+    bar = (words.agg(F.sum("n")).first()[0] or 0) // (2 * hot_share)
+    hot: dict[str, dict[bytes, int]] = {}
+    for r in counts.filter(F.col("prefix").isNotNull() & (F.col("n") > bar)).collect():  # fewer than 2 * hot_share per length
+        prefix = bytes(r["prefix"])
+        hot.setdefault(r["lang"], {})[prefix] = prefix.count(sep) + 1
+    return words, hot
+
+
+def packed_suffixes(sent: DataFrame, max_n: int, hot: dict[str, dict[bytes, int]], buckets: int) -> DataFrame:
+    """(lang, bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
+
+    ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size.
+    """
+    sep = SEP.encode()
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+
+    def pack(lang: str, table: dict[bytes, int]) -> pa.RecordBatch:
+        split, seed = hot.get(lang, {}), zlib.crc32(lang.encode())
+        groups: dict[tuple[int, int], list[bytes]] = {}
+        for key in table:
+            head, cut = key.split(sep, 1)[0], 1
+            if head in split:
+                parts = key.split(sep)
+                while cut < len(parts) and head in split:
+                    cut += 1
+                    head = sep.join(parts[:cut])
+                if cut == len(parts) and head in split:  # the whole suffix is a prefix that others extend elsewhere
+                    cut += 1
+            place = (zlib.crc32(head, seed) % buckets, cut)
+            if place in groups:
+                groups[place].append(key)
+            else:
+                groups[place] = [key]
+        rows = [
+            (lang, b, c, zlib.compress(b"\n".join(keys), 1), zlib.compress(np.array([table[k] for k in keys], np.int64).tobytes(), 1))
+            for (b, c), keys in groups.items()
+        ]
+        table.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, dict[bytes, int]] = {}
@@ -86,43 +171,40 @@ def suffixes(docs: DataFrame, lang_col: str, text_col: str, max_n: int) -> DataF
                         table[key] = get(key, 0) + 1
                     if held + len(table) - before > FLUSH:  # inside a text too: it may be long
                         for name, found in tables.items():
-                            yield from rows(name, found)
-                            found.clear()
+                            if found:
+                                yield pack(name, found)
                         held = before = 0
                 held += len(table) - before
         for name, found in tables.items():
-            yield from rows(name, found)
+            if found:
+                yield pack(name, found)
 
-    lang, body = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    return docs.select(lang.alias("lang"), body.alias("body")).mapInArrow(count, "lang string, suffix string, n bigint")
+    return sent.mapInArrow(count, "lang string, bucket int, cut int, suffixes binary, counts binary")
 
 
-def _first(words: Column, k: int) -> Column:
-    return F.substring_index(words, SEP, k)
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(lang, suffix, n, cut), a row per counted suffix."""
+    schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("cut", pa.int32())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang, _, cut, suffixes, counts = (batch.column(c)[k].as_py() for c in range(5))
+                keys = zlib.decompress(suffixes).split(b"\n")
+                n = np.frombuffer(zlib.decompress(counts), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(n), pa.array(np.full(len(keys), cut, np.int32))],
+                    schema=schema,
+                )
+
+    return packed.mapInArrow(rows, "lang string, suffix string, n bigint, cut int")
 
 
 def _size(phrase: Column) -> Column:
     return F.length(phrase) - F.length(F.translate(phrase, SEP, "")) + 1
 
 
-def with_hot_prefixes(table: DataFrame, max_n: int) -> DataFrame:
-    """``table`` with ``cut``: how many first words of a suffix decide its partition, one unless those are hot."""
-    bar = table.count() // HOT_SHARE
-    result, hot = table.withColumn("cut", F.lit(1)), table
-    for k in range(1, max_n):
-        # fewer than HOT_SHARE groups can exceed the bar
-        found = hot.groupBy("lang", _first(F.col("suffix"), k).alias("head")).agg(F.count("*").alias("rows")).filter(F.col("rows") > bar)
-        groups = [(r["lang"], r["head"]) for r in found.collect()]
-        if not groups:
-            break
-        named = F.broadcast(table.sparkSession.createDataFrame(groups, "hot_lang string, hot_head string"))
-        here = (F.col("lang") == F.col("hot_lang")) & (_first(F.col("suffix"), k) == F.col("hot_head"))
-        result = result.join(named, here, "left").withColumn("cut", F.when(F.col("hot_head").isNotNull(), k + 1).otherwise(F.col("cut"))).drop("hot_lang", "hot_head")
-        hot = hot.join(named, here, "left_semi")
-    return result
-
-
-def count_prefixes(table: DataFrame, least: int) -> DataFrame:
+def count_prefixes(packed: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, n) for every prefix of the suffixes that occurs ``least`` times or more; cut prefixes as partial sums."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
     sep = SEP.encode()
@@ -172,24 +254,23 @@ def count_prefixes(table: DataFrame, least: int) -> DataFrame:
         if out:
             yield batch_of()
 
-    heads = F.when(F.col("cut") == 1, _first(F.col("suffix"), 1)).otherwise(F.expr(f"substring_index(suffix, '{SEP}', cut)"))
-    placed = table.withColumn("head", heads).repartition("lang", "head").drop("head")
-    ordered = placed.sortWithinPartitions("lang", F.desc("suffix")).select("lang", "suffix", "n", "cut")
+    ordered = unpacked(packed.repartition("bucket")).sortWithinPartitions("lang", F.desc("suffix"))
     counted = ordered.mapInArrow(count, "lang string, phrase string, n bigint")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def collocations(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: int = 3, least: int = 10, absorb_percent: int = 50
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: int = 3, least: int = 10, absorb_percent: int = 50, hot_share: int = HOT_SHARE
 ) -> DataFrame:
     """All collocations (lang, phrase, a, l, r, n, score) of 2 to ``max_n`` words, absorbed ones dropped.
 
     The phrase's words are joined by one space. The score is that of the weakest cut.
     """
-    table = with_hot_prefixes(spill(suffixes(docs, lang_col, text_col, max_n), "suffixes"), max_n)
-    counts = spill(count_prefixes(table, least).withColumn("size", _size(F.col("phrase"))), "phrases")
-    # a suffix begins at every word, so their number is that of all words
-    words = spill(table.groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    sent = _sent(docs, lang_col, text_col)
+    words, hot = frequent_prefixes(sent, max_n, hot_share)
+    buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = packed_suffixes(sent, max_n, hot, buckets)
+    counts = spill(count_prefixes(packed, least).withColumn("size", _size(F.col("phrase"))), "phrases")
     candidates = counts.filter("size > 1")
     cuts = candidates.select("lang", "phrase", F.col("n").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     parts = counts.filter(F.col("size") < max_n)
