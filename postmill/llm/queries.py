@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import collocations, decontaminate, html_cut, importance, line_dedup, mixing, pii, ppm, quality_rules, simhash, url_filters, warc
+from postmill.llm import collocations, decontaminate, html_cut, importance, line_dedup, mixing, pii, ppm, quality_rules, secret_scan, simhash, url_filters, warc
 from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": lambda spark, d: simhash.op8(documents(spark, d)),
     "op9_mixing": lambda spark, d: mixing.op9(documents(spark, d)),
     "op10_warc": lambda spark, d: warc.op10(spark.read.parquet(f"{d}/pages.parquet")),
+    "op11_secret_scan": lambda spark, d: secret_scan.op11(documents(spark, d)),
     "op12_resample": lambda spark, d: importance.op12(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     "op13_collocations": lambda spark, d: collocations.op13(documents(spark, d)),
 }
