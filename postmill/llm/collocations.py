@@ -21,9 +21,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,38 +33,39 @@ from postmill.llm.common import spill
 
 #: A group is split when it holds more than one in this many words.
 HOT_SHARE = 512
-#: Distinct suffixes a task counts before it writes them out.
-FLUSH = 300_000
+#: Distinct suffixes a task counts before it packs them.
+FLUSH = 500_000
 #: Words in a chunk that reports its frequent prefixes.
 CHUNK = 200_000
-#: Buckets per shuffle partition.
-SPREAD = 8
 #: Groups over which a language's best phrases are first sought.
 TOP_SALTS = 64
 
 _END = ord("\n")
 #: A-Z lower-cased; piece ends as line feeds; tabs as spaces.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else _END if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 9 else b for b in range(256))
-#: Between the words of a suffix: below every other byte, so that a prefix's suffixes lie together.
+#: Between the language and the words of a suffix: below every other byte, so that a prefix's suffixes lie together.
 SEP = "\x00"
+_SEP = SEP.encode()
 
 
-def pieces_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece; bytes 0 and 1 are escaped, since 0 parts words."""
+def escaped(data: bytes) -> bytes:
+    """Bytes 0 and 1 and line feeds in other bytes: they part words and suffixes."""
+    return data.replace(b"\x01", b"\x01\x02").replace(_SEP, b"\x01\x01").replace(b"\n", b"\x01\x03")
+
+
+def pieces_of(text: bytes) -> list[list[bytes]]:
+    """The words of each piece, escaped."""
     text = text.translate(_BYTES)
-    if b"\x00" in text or b"\x01" in text:
-        text = text.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01")
-    for piece in text.split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+    if _SEP in text or b"\x01" in text:
+        text = text.replace(b"\x01", b"\x01\x02").replace(_SEP, b"\x01\x01")
+    return [words for piece in text.split(b"\n") if (words := piece.split())]
 
 
 def plain(phrase: Column) -> Column:
     """A phrase as text: its words joined by one space, escapes undone."""
-    spaced = F.translate(phrase, SEP, " ")
-    undone = F.replace(F.replace(spaced, F.lit("\x01\x01"), F.lit(SEP)), F.lit("\x01\x02"), F.lit("\x01"))
-    return F.when(F.instr(spaced, "\x01") > 0, undone).otherwise(spaced)
+    undone = F.replace(F.translate(phrase, SEP, " "), F.lit("\x01\x01"), F.lit(SEP))
+    undone = F.replace(F.replace(undone, F.lit("\x01\x03"), F.lit("\n")), F.lit("\x01\x02"), F.lit("\x01"))
+    return F.when(F.instr(phrase, "\x01") > 0, undone).otherwise(F.translate(phrase, SEP, " "))
 
 
 def _sent(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -70,33 +73,24 @@ def _sent(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), body.alias("body"))
 
 
-def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int = CHUNK) -> tuple[DataFrame, dict[str, dict[bytes, int]]]:
-    """The number of words per language, and per language the prefixes to split with their number of words."""
-    sep = SEP.encode()
+def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int = CHUNK) -> tuple[DataFrame, set[bytes]]:
+    """The number of words per language, and the prefixes (language first) to split."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, list[bytes]]] = []
+        held: dict[str, list[list[bytes]]] = {}
 
-        def report() -> pa.RecordBatch:
-            by_lang: dict[str, list[list[bytes]]] = {}
-            for lang, words in held:
-                by_lang.setdefault(lang, []).append(words)
-            bar, rows = sum(len(w) for _, w in held) // (2 * hot_share), []
-            held.clear()
-            for lang, pieces in by_lang.items():
+        def report(size: int) -> pa.RecordBatch:
+            bar, rows = size // (2 * hot_share), []
+            for lang, pieces in held.items():
+                head = escaped(lang.encode())
                 rows.append((lang, None, sum(map(len, pieces))))
-                known: set[bytes] = set()
-                for n in range(1, max_n):
-                    found: Counter = Counter()
-                    for words in pieces:
-                        if n == 1:
-                            found.update(words)
-                        else:
-                            grams = map(sep.join, zip(*(words[k:] for k in range(n))))
-                            found.update(g for g, w in zip(grams, words, strict=False) if w in known)
-                    often = {g: c for g, c in found.items() if c > bar}
-                    rows += [(lang, g, c) for g, c in often.items()]
-                    known = set(often) if n == 1 else known
+                often = {(w,): c for w, c in Counter(chain.from_iterable(pieces)).items() if c > bar}
+                known = {w for (w,) in often}
+                for n in range(2, max_n):
+                    starts = ((words, k) for words in pieces for k, w in enumerate(words) if w in known)
+                    often |= {g: c for g, c in Counter(tuple(words[k : k + n]) for words, k in starts if k + n <= len(words)).items() if c > bar}
+                rows += [(lang, _SEP.join((head, *g)), c) for g, c in often.items()]
+            held.clear()
             langs, prefixes, ns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(ns, pa.int64())], ["lang", "prefix", "n"])
 
@@ -104,159 +98,189 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for words in pieces_of(text.as_py()):
-                    held.append((lang, words))
+                    held.setdefault(lang, []).append(words)
                     size += len(words)
                     if size >= chunk:
-                        yield report()
+                        yield report(size)
                         size = 0
         if held:
-            yield report()
+            yield report(size)
 
     counts = spill(sent.mapInArrow(count, "lang string, prefix binary, n bigint").groupBy("lang", "prefix").agg(F.sum("n").alias("n")), "hot-words")
     words = counts.filter("prefix IS NULL").select("lang", "n")
     bar = (words.agg(F.sum("n")).first()[0] or 0) // (2 * hot_share)
-    hot: dict[str, dict[bytes, int]] = {}
-    for r in counts.filter(F.col("prefix").isNotNull() & (F.col("n") > bar)).collect():  # fewer than 2 * hot_share per length
-        prefix = bytes(r["prefix"])
-        hot.setdefault(r["lang"], {})[prefix] = prefix.count(sep) + 1
-    return words, hot
+    # fewer than 2 * hot_share per length
+    return words, {bytes(r["prefix"]) for r in counts.filter(F.col("prefix").isNotNull() & (F.col("n") > bar)).select("prefix").collect()}
 
 
-def packed_suffixes(sent: DataFrame, max_n: int, hot: dict[str, dict[bytes, int]], buckets: int) -> DataFrame:
-    """(lang, bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
+def packed_suffixes(sent: DataFrame, max_n: int, hot: set[bytes], buckets: int) -> DataFrame:
+    """(bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
 
-    ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size.
+    ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size. A pack holds
+    the suffixes by line and their counts as 64-bit numbers, both compressed.
     """
-    sep = SEP.encode()
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.binary()), ("counts", pa.binary())])
-
-    def pack(lang: str, table: dict[bytes, int]) -> pa.RecordBatch:
-        split, seed = hot.get(lang, {}), zlib.crc32(lang.encode())
-        groups: dict[tuple[int, int], list[bytes]] = {}
-        for key in table:
-            head, cut = key.split(sep, 1)[0], 1
-            if head in split:
-                parts = key.split(sep)
-                while cut < len(parts) and head in split:
-                    cut += 1
-                    head = sep.join(parts[:cut])
-                if cut == len(parts) and head in split:  # the whole suffix is a prefix that others extend elsewhere
-                    cut += 1
-            place = (zlib.crc32(head, seed) % buckets, cut)
-            if place in groups:
-                groups[place].append(key)
-            else:
-                groups[place] = [key]
-        rows = [
-            (lang, b, c, zlib.compress(b"\n".join(keys), 1), zlib.compress(np.array([table[k] for k in keys], np.int64).tobytes(), 1))
-            for (b, c), keys in groups.items()
-        ]
-        table.clear()
+    schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+
+    def place(key: bytes, words: int) -> tuple[int, int]:
+        """Bucket and cut of a suffix whose first ``words`` words are hot."""
+        parts = key.split(_SEP)
+        cut, head = words, _SEP.join(parts[: words + 1])
+        while head in hot:
+            cut += 1
+            if cut >= len(parts):  # the whole suffix is a prefix that others extend elsewhere
+                break
+            head = _SEP.join(parts[: cut + 1])
+        return zlib.crc32(head) % buckets, cut
+
+    def pack(tables: dict[bytes, Counter]) -> pa.RecordBatch:
+        groups: dict[tuple[int, int], tuple[list, list]] = {}
+        for lang, table in tables.items():
+            skip = len(lang) + 1
+            lists: dict[bytes, tuple[list, list] | None] = {}
+            for key, n in table.items():
+                end = key.find(_SEP, skip)
+                head = key if end < 0 else key[:end]
+                if head not in lists:
+                    lists[head] = None if head in hot else groups.setdefault((zlib.crc32(head) % buckets, 1), ([], []))
+                keys, counts = lists[head] or groups.setdefault(place(key, 1), ([], []))
+                keys.append(key)
+                counts.append(n)
+            table.clear()
+        rows = [(b, c, zlib.compress(b"\n".join(keys), 1), zlib.compress(np.array(counts, np.int64).tobytes(), 1)) for (b, c), (keys, counts) in groups.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, dict[bytes, int]] = {}
-        held = 0
+        tables: dict[bytes, Counter] = {}
+        names: dict[str, bytes] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table = tables.setdefault(lang, {})
-                before, get = len(table), table.get
+                if lang not in names:
+                    names[lang] = escaped(lang.encode())
+                    tables[names[lang]] = Counter()
+                head, table, keys = names[lang], tables[names[lang]], []
                 for words in pieces_of(text.as_py()):
-                    # the last suffixes of a piece are shorter
-                    last = len(words) - max_n + 1
-                    for key in map(sep.join, zip(*(words[k : last + k] for k in range(max_n)))) if last > 0 else ():
-                        table[key] = get(key, 0) + 1
-                    for k in range(max(last, 0), len(words)):
-                        key = sep.join(words[k:])
-                        table[key] = get(key, 0) + 1
-                    if held + len(table) - before > FLUSH:  # inside a text too: it may be long
-                        for name, found in tables.items():
-                            if found:
-                                yield pack(name, found)
-                        held = before = 0
-                held += len(table) - before
-        for name, found in tables.items():
-            if found:
-                yield pack(name, found)
-
-    return sent.mapInArrow(count, "lang string, bucket int, cut int, suffixes binary, counts binary")
+                    last = len(words) - max_n + 1  # the last suffixes of a piece are shorter
+                    if last > 0:
+                        keys += map(_SEP.join, zip(repeat(head), *(words[k : last + k] for k in range(max_n))))
+                    keys += [_SEP.join((head, *words[k:])) for k in range(max(last, 0), len(words))]
+                    if len(keys) > 100_000:
+                        table.update(keys)
+                        keys = []
+                        if sum(map(len, tables.values())) > FLUSH:  # inside a text too: it may be long
+                            yield pack(tables)
+                table.update(keys)
+                if sum(map(len, tables.values())) > FLUSH:
+                    yield pack(tables)
+        if any(tables.values()):
+            yield pack(tables)
+
+    return sent.mapInArrow(count, "bucket int, cut int, suffixes binary, counts binary")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
-    """(lang, suffix, n, cut), a row per counted suffix."""
-    schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("cut", pa.int32())])
+    """(suffix, n, cut), a row per counted suffix."""
+    schema = pa.schema([("suffix", pa.string()), ("n", pa.int64()), ("cut", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lang, _, cut, suffixes, counts = (batch.column(c)[k].as_py() for c in range(5))
-                keys = zlib.decompress(suffixes).split(b"\n")
-                n = np.frombuffer(zlib.decompress(counts), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(n), pa.array(np.full(len(keys), cut, np.int32))],
-                    schema=schema,
-                )
+                lines = np.frombuffer(zlib.decompress(batch.column(2)[k].as_py()), np.uint8)
+                ends = lines == 10
+                # the places of line ends, less the line ends before them
+                at = np.r_[np.flatnonzero(ends), len(lines)]
+                offsets = np.r_[0, at - np.arange(len(at))].astype(np.int32)
+                suffixes = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(lines[~ends]))
+                n = np.frombuffer(zlib.decompress(batch.column(3)[k].as_py()), np.int64)
+                cut = np.full(len(at), batch.column(1)[k].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([suffixes, pa.array(n), pa.array(cut)], schema=schema)
 
-    return packed.mapInArrow(rows, "lang string, suffix string, n bigint, cut int")
+    return packed.mapInArrow(rows, "suffix string, n bigint, cut int")
 
 
 def _size(phrase: Column) -> Column:
     return F.length(phrase) - F.length(F.translate(phrase, SEP, "")) + 1
 
 
-def count_prefixes(packed: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, n) for every prefix of the suffixes that occurs ``least`` times or more; cut prefixes as partial sums."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-    sep = SEP.encode()
+def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
+    """(lang, phrase, n) for every prefix of the suffixes that occurs ``least`` times or more.
+
+    The stack holds a batch's last open prefix of each length with what it has gathered; within a batch, runs of equal prefixes are summed at once.
+    """
+    schema = pa.schema([("prefix", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []  # the open prefix
-        sums: list[int] = []  # what each of its prefixes has gathered so far
-        cuts: list[int] = []  # how many first words decided the partition: shorter prefixes may go on elsewhere
-        lang, out = None, []
+        # by length less one: the last suffix's words, sum and cut; a prefix is open where it has words
+        last: list[bytes] = []
+        sums, cuts = [0] * max_n, [0] * max_n
+        out: list[tuple[bytes, int]] = []
 
         def close(depth: int) -> None:
-            while len(words) > depth:
-                n, cut = sums.pop(), cuts.pop()
-                if n >= least or len(words) < cut:
-                    out.append((lang, sep.join(words), n))
-                words.pop()
-                if sums:
-                    sums[-1] += n
-                    cuts[-1] = max(cuts[-1], cut)
-
-        def batch_of() -> pa.RecordBatch:
-            langs, phrases, ns = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], schema=schema)
+            """Emit the open prefixes of ``depth`` + 1 words or more."""
+            for d in range(depth, min(max_n, len(last) - 1)):
+                if sums[d] >= least or (d + 1 < cuts[d] and sums[d]):
+                    out.append((_SEP.join(last[: d + 2]), sums[d]))
+                sums[d] = cuts[d] = 0
 
         for batch in batches:
-            columns = [batch.column(k) for k in range(4)]
-            texts = columns[1].cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-            for name, text, n, cut in zip(columns[0].to_pylist(), texts, columns[2].to_numpy().tolist(), columns[3].to_numpy().tolist(), strict=True):
-                if name != lang:
-                    close(0)
-                    lang = name
-                found, same = text.split(sep), 0
-                for a, b in zip(words, found, strict=False):
-                    if a != b:
-                        break
-                    same += 1
-                close(same)
-                for word in found[same:]:
-                    words.append(word)
-                    sums.append(0)
-                    cuts.append(cut)
-                sums[-1] += n
+            if not batch.num_rows:
+                continue
+            lists = pc.split_pattern(batch.column(0), SEP)
+            words, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            starts = starts - starts[0]
+            sizes, n, cut = np.diff(starts) - 1, batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            first = [words[k].as_py().encode() for k in range(starts[1])]
+            shared = 0
+            while shared < min(len(first), len(last)) and first[shared] == last[shared]:
+                shared += 1
+            same = _equal(words, starts, 0)
+            close(max(shared - 1, 0))
+            final = [words[k].as_py().encode() for k in range(starts[-2], starts[-1])]
+            for d in range(max_n):
+                same &= _equal(words, starts, d + 1)
+                there = sizes > d
+                new = there.copy()
+                new[1:] &= ~same
+                # the first row may go on with the open prefix of the batch before
+                goes_on = bool(there[0]) and shared > d + 1
+                begins = np.flatnonzero(new)
+                if not len(begins):
+                    continue
+                total = np.add.reduceat(np.where(there, n, 0), begins)
+                most = np.maximum.reduceat(np.where(there, cut, 0), begins)
+                if goes_on:
+                    total[0] += sums[d]
+                    most[0] = max(most[0], cuts[d])
+                stays = len(final) > d + 1  # the last run is still open
+                done = len(begins) - 1 if stays else len(begins)
+                for k in np.flatnonzero((total[:done] >= least) | (d + 1 < most[:done])).tolist():
+                    row = begins[k]
+                    out.append((_SEP.join(words[w].as_py().encode() for w in range(starts[row], starts[row] + d + 2)), int(total[k])))
+                sums[d], cuts[d] = (int(total[-1]), int(most[-1])) if stays else (0, 0)
+            last = final
             if len(out) > 20_000:
-                yield batch_of()
+                yield _batch(out, schema)
         close(0)
         if out:
-            yield batch_of()
+            yield _batch(out, schema)
+
+    ordered = unpacked(packed.repartition("bucket")).sortWithinPartitions(F.desc("suffix"))
+    counted = ordered.mapInArrow(count, "prefix string, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    lang = F.substring_index("prefix", SEP, 1)
+    return counted.select(plain(lang).alias("lang"), F.expr("substr(prefix, instr(prefix, char(0)) + 1)").alias("phrase"), "n")
+
+
+def _equal(words: pa.Array, starts: np.ndarray, k: int) -> np.ndarray:
+    """Whether each suffix but the first has the same word at place ``k`` as the one before it."""
+    there = np.diff(starts) > k
+    at = pa.array(np.where(there, starts[:-1] + k, 0), mask=~there)
+    column = words.take(at)
+    return pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+
 
-    ordered = unpacked(packed.repartition("bucket")).sortWithinPartitions("lang", F.desc("suffix"))
-    counted = ordered.mapInArrow(count, "lang string, phrase string, n bigint")
-    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def _batch(rows: list[tuple[bytes, int]], schema: pa.Schema) -> pa.RecordBatch:
+    keys, ns = zip(*rows, strict=True)
+    rows.clear()
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], schema=schema)
 
 
 def collocations(
@@ -268,9 +292,8 @@ def collocations(
     """
     sent = _sent(docs, lang_col, text_col)
     words, hot = frequent_prefixes(sent, max_n, hot_share)
-    buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = packed_suffixes(sent, max_n, hot, buckets)
-    counts = spill(count_prefixes(packed, least).withColumn("size", _size(F.col("phrase"))), "phrases")
+    packed = packed_suffixes(sent, max_n, hot, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = spill(count_prefixes(packed, max_n, least).withColumn("size", _size(F.col("phrase"))), "phrases")
     candidates = counts.filter("size > 1")
     cuts = candidates.select("lang", "phrase", F.col("n").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     parts = counts.filter(F.col("size") < max_n)

@@ -158,7 +158,7 @@ def bucket_counts(docs: DataFrame, keep: list[str], text_col: str, buckets: int
                  "histogram": pa.array([total.tolist()], pa.list_(pa.int64()))}
             )
 
-    return sent.mapInArrow(count, T.StructType([sent.schema["row"], *fields]))
+    return sent.mapInArrow(count, T.StructType([T.StructField("row", sent.schema["row"].dataType), *fields]))
 
 
 def histogram(counted: DataFrame, buckets: int) -> np.ndarray:

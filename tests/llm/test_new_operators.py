@@ -215,6 +215,15 @@ def test_tables_that_overflow_are_the_same(docs, rows, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs).collect())) == collocations_by_hand(rows)
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 7])
+def test_stack_over_batches(spark, docs, rows, rows_a_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        assert sorted(map(tuple, collocations.collocations(docs, least=2, hot_share=20).collect())) == collocations_by_hand(rows, 3, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_best_are_in_order(spark):
     rows = [("en", f"p{k:03} q", 10 + k % 3, 1, 1, 1, k % 7) for k in range(300)] + [("de", "é x", 1, 1, 1, 1, 1), ("de", "z x", 1, 1, 1, 1, 1)]
     found = collocations.best(spark.createDataFrame(rows, "lang string, phrase string, a long, l long, r long, n long, score long"), 50)
