@@ -34,9 +34,9 @@ from postmill.llm.common import spill
 #: A group is split when it holds more than one in this many words.
 HOT_SHARE = 512
 #: Distinct suffixes a task counts before it packs them.
-FLUSH = 500_000
+FLUSH = 200_000
 #: Words in a chunk that reports its frequent prefixes.
-CHUNK = 200_000
+CHUNK = 100_000
 #: Groups over which a language's best phrases are first sought.
 TOP_SALTS = 64
 
