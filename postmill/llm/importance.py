@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from postmill.llm.common import spill
 
 BUCKETS, MAX_N = 10_000, 2
-#: Characters of text DuckDB works on at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text DuckDB works on at once.
+CHUNK_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _OTHER = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
@@ -99,7 +100,7 @@ def bucket_counts(docs: DataFrame, keep: list[str], text_col: str, buckets: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # no spills to a local folder: chunks are bounded
-        con = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "1GB"})
+        con = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "400MB"})
         con.create_function("crc32", _crc32, ["VARCHAR"], "BIGINT", type="arrow")
         total, row_type = np.zeros(buckets, np.int64), None
 
@@ -108,15 +109,14 @@ def bucket_counts(docs: DataFrame, keep: list[str], text_col: str, buckets: int
             table = con.sql(sql).to_arrow_table().combine_chunks()
             con.unregister("chunk")
             for r in range(table.num_rows):
-                cells = [table.column(k).chunk(0)[r] for k in range(4)]
-                b, n = (c.values.to_numpy(zero_copy_only=False) for c in cells[2:])
-                found.setdefault(cells[0].as_py(), []).append((cells[1].as_py(), b, n))
+                row, words, b, n = (table.column(k).chunk(0)[r] for k in range(4))
+                found.setdefault(row.as_py(), []).append((words.as_py(), b.values.to_numpy(), n.values.to_numpy()))
 
-        for batch in batches:
-            row_type = batch.column(0).type
+        def counted(texts: pa.Array) -> tuple[list, list, list]:
+            """Buckets, their counts and the number of words of each text."""
             found: dict[int, list] = {}
             held, size = [], 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(texts.to_pylist()):
                 for p, (part, skip) in enumerate(parts_of(text, chunk, max_n)):
                     held.append((k, p, skip, part))
                     size += len(part)
@@ -125,31 +125,39 @@ def bucket_counts(docs: DataFrame, keep: list[str], text_col: str, buckets: int
                         held, size = [], 0
             if held:
                 run(held, found)
-            words, features, lists, counts, offsets = [], [], [], [], [0]
-            for k in range(batch.num_rows):
+            lists, counts = [], []
+            for k in range(len(texts)):
                 cells = found.get(k, [])
                 b, n = (np.concatenate([c[x] for c in cells]) if cells else np.zeros(0, np.int32) for x in (1, 2))
                 if len(cells) > 1:  # the parts of a long text
                     b, at = np.unique(b, return_inverse=True)
-                    n = np.bincount(at, n).astype(np.int32)
-                words.append(sum(c[0] for c in cells))
-                features.append(int(n.sum()))
+                    n = np.bincount(at, n)
                 lists.append(b.astype(np.int32))
                 counts.append(n.astype(np.int32))
-                offsets.append(offsets[-1] + len(b))
-            flat_b, flat_n = np.concatenate([*lists, np.zeros(0, np.int32)]), np.concatenate([*counts, np.zeros(0, np.int32)])
-            total += np.bincount(flat_b, flat_n, minlength=buckets).astype(np.int64)
-            ends = pa.array(offsets, pa.int32())
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "row": batch.column(0),
-                    "n_words": pa.array(words, pa.int64()),
-                    "n_features": pa.array(features, pa.int64()),
-                    "buckets": pa.ListArray.from_arrays(ends, pa.array(flat_b.astype(np.int32))),
-                    "counts": pa.ListArray.from_arrays(ends, pa.array(flat_n.astype(np.int32))),
-                    "histogram": pa.nulls(batch.num_rows, pa.list_(pa.int64())),
-                }
-            )
+            return lists, counts, [sum(c[0] for c in found.get(k, [])) for k in range(len(texts))]
+
+        for batch in batches:
+            row_type = batch.column(0).type
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            start = 0
+            while start < batch.num_rows:  # slices of whole documents of about ``chunk`` bytes
+                end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + chunk, "right"))
+                part = batch.slice(start, max(end, start + 1) - start)
+                start += part.num_rows
+                lists, counts, words = counted(part.column(1))
+                flat_b, flat_n = np.concatenate(lists), np.concatenate(counts)
+                total[:] += np.bincount(flat_b, flat_n, minlength=buckets).astype(np.int64)
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in lists])], pa.int32())
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": part.column(0),
+                        "n_words": pa.array(words, pa.int64()),
+                        "n_features": pa.array([int(n.sum()) for n in counts], pa.int64()),
+                        "buckets": pa.ListArray.from_arrays(ends, pa.array(flat_b)),
+                        "counts": pa.ListArray.from_arrays(ends, pa.array(flat_n)),
+                        "histogram": pa.nulls(part.num_rows, pa.list_(pa.int64())),
+                    }
+                )
         con.close()
         if row_type is not None:
             none = pa.nulls(1, pa.list_(pa.int32()))
