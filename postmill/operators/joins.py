@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.operators.sinks import spill
+
 
 def reconcile(requested: DataFrame, returned: DataFrame, key: str, seq: str) -> DataFrame:
     """(key, outcome): MATCHED, MISSING (no result), UNEXPECTED (no request); the first result of a key counts."""
@@ -42,3 +44,63 @@ def search(companies: DataFrame, aliases: DataFrame, q: str, limit: int = 20) ->
     found = companies.filter("active").join(hit, "company_id", "left")
     keep = F.lit(bool(q)) & (F.contains(F.lower("name"), F.lit(q)) | F.coalesce("via_alias", F.lit(False)))
     return found.filter(keep).select("company_id", "name").orderBy("name", "company_id").limit(limit)
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, left_name: str = "name", right_name: str = "name") -> DataFrame:
+    """Distinct (left, right) of lower-cased names of which one begins with the other; null and blank names meet nothing.
+
+    Each name is cut to the lengths that names of the other side have, and the cuts are equi-joined with whole names: once with the right name as the
+    shorter or equal one, once with the left name as the shorter one. Lengths are at most as many as the longest name has characters. Rows meet
+    names of their own table again by an equi-join, so that a name of many rows is matched once.
+    """
+    names = lambda df, c, to: df.select(F.lower(F.trim(c)).alias(to)).filter(F.coalesce(F.col(to), F.lit("")) != "").distinct()
+    a, b = names(left, left_name, "left"), names(right, right_name, "right")
+
+    def cuts(long: DataFrame, name: str, short: DataFrame, other: str, strict: bool) -> DataFrame:
+        lengths = F.array(*[F.lit(r[0]) for r in short.select(F.length(other)).distinct().collect()]).cast("array<int>")
+        fits = F.filter(lengths, lambda n: (n < F.length(name)) if strict else (n <= F.length(name)))
+        # substring counts from one; the cut is hashed by the join
+        return long.select(name, F.explode(F.transform(fits, lambda n: F.substring(F.col(name), F.lit(1), n))).alias(other)).join(short, other)
+
+    return cuts(a, "left", b, "right", False).select("left", "right").unionByName(cuts(b, "right", a, "left", True).select("left", "right"))
+
+
+#: Characters of the grams by which keywords are sought.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct grams of the given sizes of a text."""
+    chars = F.split(text, "")  # once per text: substring would count characters from the start each time
+
+    def of_size(cs: Column, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]))
+        return F.when(F.size(cs) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    def of(cs: Column) -> Column:
+        return F.array_distinct(F.concat(*[of_size(cs, n) for n in sizes]))
+
+    # a variable of a lambda is worked out once, an outer expression for each element
+    return F.transform(F.array(chars), of)[0]
+
+
+def containing(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
+    """Distinct (id, keyword) of texts that hold a keyword, both lower-cased; null and blank keywords are in nothing.
+
+    A text that holds a keyword holds its rarest gram. Texts are cut into grams, of which those of any keyword are kept; each keyword is
+    sought by the gram that fewest texts have, and what meets is verified against the text, which moves once. Short keywords are their own gram. Ids must be unique.
+    """
+    words = keywords.select(F.lower(F.trim(keyword_col)).alias("keyword")).filter(F.coalesce(F.col("keyword"), F.lit("")) != "").distinct()
+    sizes = sorted(r[0] for r in words.select(F.least(F.length("keyword"), F.lit(GRAM))).distinct().collect())  # GRAM numbers at most
+    if not sizes:
+        return texts.select(F.col(id_col).alias("id"), F.lit("").alias("keyword")).limit(0)
+    own = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(_grams(F.col("keyword"), [GRAM]))
+    words = spill(words.select("keyword", F.explode(own).alias("gram")), "keyword-grams")
+    rows = texts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    held = rows.filter("text <> ''").select("id", F.explode(_grams(F.col("text"), sizes)).alias("gram"))
+    held = spill(held.join(words.select("gram").distinct(), "gram", "left_semi"), "text-grams")
+    seldom = words.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    # a gram that no text has rules its keyword out
+    chosen = seldom.groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
+    met = held.join(chosen.select("keyword", F.col("least.gram").alias("gram")), "gram").select("id", "keyword")
+    return rows.join(met, "id").filter(F.contains("text", "keyword")).select("id", "keyword")
