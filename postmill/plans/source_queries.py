@@ -9,21 +9,8 @@ from postmill.sources import boards, parsers
 from postmill.sources.fixtures import postings, with_postings
 
 
-def fixture_rows(spark, n: int = 40, ordinal: int = 730_000):
-    """Deterministic generated postings: attributes cycle through lists, ids step by a prime."""
-    i = F.col("id")
-    cycle = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
-    return spark.range(n).select(
-        i, cycle(["백엔드", "프론트엔드", "데이터"]).alias("role"), cycle(["서울", "판교"]).alias("location"),
-        F.pmod(F.lit(ordinal) + F.lit(7919) * i, F.lit(99999)).alias("url_id"), F.date_add(F.lit("2001-08-01").cast("date"), (i * 3 + 7).cast("int")).alias("deadline"),
-    )
-
-
 def register(add) -> None:
     col = F.col
-    add("A01_fixture_rows", lambda s, d: fixture_rows(s),
-        "SELECT i AS id, ['백엔드', '프론트엔드', '데이터'][i % 3 + 1] AS role, ['서울', '판교'][i % 2 + 1] AS location, (730000 + 7919 * i) % 99999 AS url_id, DATE '2001-08-01' + CAST(i * 3 + 7 AS INT) AS deadline FROM range(40) t(i)")
-
     def sitemap(s, d):
         p = postings(s, d).select("id", F.concat(F.lit('<urlset xmlns="http://x"><url><loc>https://a.example/'), col("id").cast("string"), F.lit("</loc>"),
             F.when(col("published").isNotNull(), F.concat(F.lit("<lastmod>"), col("published").cast("string"), F.lit("T00:00:00Z</lastmod>"))).otherwise(F.lit("")), F.lit("</url></urlset>")).alias("xml"))
@@ -55,8 +42,6 @@ def register(add) -> None:
         return parsers.parse_board(postings(s, d).select(job.alias("json")), "json")
 
     add("A17_A19_A32_board", board, with_postings("SELECT id, company AS title, 'https://b.example/' || CAST(id AS VARCHAR) AS url, 'C' || CAST(id % 9 AS VARCHAR) AS company, DATE '2001-09-01' AS deadline FROM postings WHERE id % 4 <> 0").replace("company AS title,", "company AS title,"))
-    add("A15_search_queries", lambda s, d: s.createDataFrame([(k, q) for k, q in enumerate(parsers.search_queries(["backend", "data"], ["Acme"], ["java", "sql", "x"], 6))], "pos int, query string"),
-        "SELECT * FROM (VALUES (0, 'backend'), (1, 'data'), (2, 'Acme'), (3, 'backend java'), (4, 'backend sql'), (5, 'data java')) v(pos, query)")
     add("A24_A26_A28_guards", lambda s, d: postings(s, d).filter((col("company") == "Brand#12") & ~F.coalesce(col("source") == "Saramin", F.lit(False))).select("id", "company"), with_postings("SELECT id, company FROM postings WHERE company = 'Brand#12' AND source <> 'Saramin'"))
     add("A33_preflight", lambda s, d: parsers.preflight(postings(s, d), ["title", "url"], F.when(col("id") % 3 == 0, "SITEMAP").when(col("id") % 3 == 1, "RSS").otherwise("FAX")), "SELECT * FROM (VALUES ('SITEMAP', NULL), ('RSS', NULL), ('FAX', 'UNSUPPORTED_ADAPTER')) v(adapter, code)")
 

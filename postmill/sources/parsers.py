@@ -1,11 +1,12 @@
 """Parsers from scraped text columns to posting rows. Fetching is not part of the engine.
 
-JSON, feeds and sitemaps are taken apart by built-in JSON and pattern expressions, in codegen.
+JSON, feeds and sitemaps are taken apart by Spark's typed JSON and XML readers: entities and CDATA come decoded, name spaces and
+attributes don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, text
@@ -38,50 +39,68 @@ def malformed(xml: Column) -> Column:
     return F.coalesce(F.from_xml(xml, F.lit("_corrupt_record string, _x string"))["_corrupt_record"].isNotNull(), F.lit(False))
 
 
+_XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
+_SITEMAP = "url array<struct<loc:string,lastmod:string>>"
+_ITEM = (
+    "array<struct<title:struct<_VALUE:string,_type:string>,link:array<struct<_VALUE:string,_href:string>>,description:struct<_VALUE:string,_type:string>,"
+    "summary:struct<_VALUE:string,_type:string>,content:struct<_VALUE:string,_type:string>,pubDate:string,published:string,updated:string>>"
+)
+_FEED = f"channel struct<item:{_ITEM}>, item {_ITEM}, entry {_ITEM}"
+_ENTRIES = "array<struct<loc:string,lastmod:string>>"
+#: How many entries of a source's sitemaps are fetched, and how many of a board's are looked at.
+FETCHED, DISCOVERED = 20, 300
+
+
+def given(c: Column) -> Column:
+    """Text without white space around it, null if nothing is left."""
+    return F.nullif(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))
+
+
 def sitemap_entries(xml: Column) -> Column:
-    """Array of (loc, lastmod text) of a sitemap without regard to name spaces."""
-    bare = F.regexp_replace(xml, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    return F.transform(
-        F.regexp_extract_all(bare, F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1)),
-        lambda u: F.struct(
-            F.trim(F.regexp_extract(u, r"(?s)<loc>\s*(.*?)\s*</loc>", 1)).alias("loc"),
-            F.nullif(F.trim(F.regexp_extract(u, r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)), F.lit("")).alias("lastmod"),
-        ),
-    )
+    """Array of (loc, lastmod text) of a sitemap; entries without an address are dropped, a malformed text has none."""
+    read = F.from_xml(F.when(~malformed(xml), xml), F.lit(_SITEMAP), _XML)["url"]
+    entries = F.transform(F.coalesce(read, F.array().cast(_ENTRIES)), lambda u: F.struct(given(u["loc"]).alias("loc"), given(u["lastmod"]).alias("lastmod")))
+    return F.filter(entries, lambda e: e["loc"].isNotNull())
 
 
-def parse_sitemap(df: DataFrame, xml: str, cutoff: Column, limit: int | None = None, strict: bool = False) -> DataFrame:
+def parse_sitemap(df: DataFrame, xml: str, cutoff: Column, limit: int | None = None, strict: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Entries not older than ``cutoff`` or of unknown day, newest first; unknown days sort last.
 
-    A text that isn't well-formed has no entries; if ``strict``, it fails the job.
+    With ``keys``, the sitemaps that agree in these columns are one source: its addresses are distinct, the newest day of an address counts, and ``limit`` is
+    per source. A text that isn't well-formed has no entries; if ``strict``, it fails the job.
     """
-    bad = malformed(F.col(xml))
-    stop = F.raise_error(F.lit("sitemap is not well-formed XML")).cast("array<struct<loc:string,lastmod:string>>") if strict else F.array().cast("array<struct<loc:string,lastmod:string>>")
-    rows = df.select(F.explode(F.when(bad, stop).otherwise(sitemap_entries(F.col(xml)))).alias("e")).select("e.loc", dates.iso_day(F.col("e.lastmod")).alias("lastmod"))
-    kept = rows.filter("loc <> ''").filter(F.col("lastmod").isNull() | (F.col("lastmod") >= cutoff))
+    stop = F.raise_error(F.lit("sitemap is not well-formed XML")).cast(_ENTRIES)
+    entries = F.when(malformed(F.col(xml)), stop).otherwise(sitemap_entries(F.col(xml))) if strict else sitemap_entries(F.col(xml))
+    rows = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.loc", dates.iso_day(F.col("e.lastmod")).alias("lastmod"))
+    kept = rows.filter(F.col("lastmod").isNull() | (F.col("lastmod") >= cutoff))
     kept = kept.withColumn("lastmod", F.coalesce("lastmod", F.lit(UNKNOWN_DAY).cast("date")))
-    return kept if limit is None else kept.orderBy(F.col("lastmod").desc(), "loc").limit(limit)
+    if not keys:
+        return kept if limit is None else kept.orderBy(F.col("lastmod").desc(), "loc").limit(limit)
+    kept = kept.groupBy(*keys, "loc").agg(F.max("lastmod").alias("lastmod"))
+    if limit is None:
+        return kept
+    order = Window.partitionBy(*keys).orderBy(F.col("lastmod").desc(), "loc")  # a window group limit prunes before the shuffle
+    return kept.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
+
+
+def feed_items(xml: Column) -> Column:
+    """Array of a feed's items: those of an RSS channel, beside it (RDF), or Atom entries."""
+    read = F.from_xml(F.when(~malformed(xml), xml), F.lit(_FEED), _XML)
+    row = lambda r, i: F.struct(
+        i.alias("pos"),
+        given(r["title"]["_VALUE"]).alias("title"),
+        F.get(F.filter(F.transform(r["link"], lambda k: F.coalesce(given(k["_VALUE"]), given(k["_href"]))), lambda k: k.isNotNull()), F.lit(0)).alias("link"),
+        F.coalesce(given(r["description"]["_VALUE"]), given(r["summary"]["_VALUE"]), given(r["content"]["_VALUE"])).alias("description"),
+        F.coalesce(given(r["pubDate"]), given(r["published"]), given(r["updated"])).alias("stamp"),
+    )
+    return F.transform(F.coalesce(read["channel"]["item"], read["item"], read["entry"], F.array().cast(_ITEM)), row)
 
 
 def parse_feed(df: DataFrame, xml: str, max_items: int = 50) -> DataFrame:
-    """RSS items, else Atom entries, with title and link; the first ``max_items`` of each feed."""
-    body = F.regexp_replace(F.col(xml), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    items = F.regexp_extract_all(body, F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
-    entries = F.regexp_extract_all(body, F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))
-    tag = lambda x, name: F.nullif(F.trim(F.regexp_extract(x, rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1)), F.lit(""))
-    chosen = F.when(F.size(items) > 0, items).otherwise(entries)
-    row = F.transform(
-        chosen,
-        lambda x, i: F.struct(
-            i.alias("pos"),
-            tag(x, "title").alias("title"),
-            F.coalesce(tag(x, "link"), F.nullif(F.regexp_extract(x, r'<link[^>]*href="([^"]*)"', 1), F.lit(""))).alias("link"),
-            F.coalesce(tag(x, "pubDate"), tag(x, "published"), tag(x, "updated")).alias("stamp"),
-        ),
-    )
-    usable = F.filter(row, lambda r: r["title"].isNotNull() & r["link"].isNotNull())
-    out = df.select(*[c for c in df.columns if c != xml], F.explode(F.slice(usable, 1, max_items)).alias("r"))
-    return out.select("*", "r.pos", "r.title", "r.link", dates.feed_time(F.col("r.stamp")).alias("posted")).drop("r")
+    """Of the first ``max_items`` items of each feed, those with title and link. A malformed feed has none."""
+    usable = F.filter(F.slice(feed_items(F.col(xml)), 1, max_items), lambda r: r["title"].isNotNull() & r["link"].isNotNull())
+    out = df.select(*[c for c in df.columns if c != xml], F.explode(usable).alias("r"))
+    return out.select("*", "r.pos", "r.title", "r.link", "r.description", dates.feed_time(F.col("r.stamp")).alias("posted")).drop("r")
 
 
 def visible(markup: Column) -> Column:
@@ -146,10 +165,8 @@ def probe(rows: DataFrame) -> DataFrame:
     """
     col = F.col
     kind = F.upper(F.trim(F.coalesce("adapter", F.lit(""))))
-    sitemap = F.filter(sitemap_entries(col("body")), lambda e: e["loc"] != "")
-    bare = F.regexp_replace(F.coalesce("body", F.lit("")), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    items = F.regexp_extract_all(bare, F.lit(r"(?s)<(?:item|entry)>(.*?)</(?:item|entry)>"), F.lit(1))
-    usable = F.filter(items, lambda x: x.rlike(r"(?s)<title[^>]*>\s*\S.*?</title>") & x.rlike(r'(?s)<link[^>]*>\s*[^<\s]|<link[^>]*href="[^"]+"'))
+    sitemap = sitemap_entries(col("body"))
+    usable = F.filter(feed_items(col("body")), lambda r: r["title"].isNotNull() & r["link"].isNotNull())
     jobs = F.coalesce(F.from_json("body", "struct<jobs:array<struct<title:string,absolute_url:string>>>")["jobs"], F.array().cast("array<struct<title:string,absolute_url:string>>"))
     complete = F.filter(jobs, lambda j: (F.coalesce(F.trim(j["title"]), F.lit("")) != "") & j["absolute_url"].isNotNull())
     titled = F.coalesce(parse_page(col("sample"))["title"], F.lit("")) != ""
@@ -180,10 +197,21 @@ def probe(rows: DataFrame) -> DataFrame:
     )
 
 
-def search_queries(roles: list[str], companies: list[str], skills: list[str], limit: int) -> list[str]:
-    """Roles, companies, then the first three roles with the first two skills; distinct by their set of words."""
-    wanted = [*roles, *companies, *[f"{r} {s}" for r in roles[:3] for s in skills[:2]]]
-    seen: dict[tuple[str, ...], str] = {}
-    for q in wanted:
-        seen.setdefault(tuple(sorted(set(q.lower().split()))), q)
-    return [q for words, q in seen.items() if words][:limit]
+def search_queries(roles: Column, companies: Column, skills: Column, limit: int) -> Column:
+    """Search queries of a user: roles, companies, then the first three roles with the first two skills; at most ``limit``.
+
+    Queries with the same set of words are one, the first; blank ones are none.
+    """
+    pairs = F.flatten(F.transform(F.slice(roles, 1, 3), lambda r: F.transform(F.slice(skills, 1, 2), lambda s: F.concat_ws(" ", r, s))))
+    wanted = F.transform(
+        F.concat(roles, companies, pairs),
+        lambda q: F.struct(q.alias("query"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower(q), r"\s+"), lambda w: w != ""))).alias("words")),
+    )
+    told = F.filter(wanted, lambda q: F.size(q["words"]) > 0)
+
+    def firsts(qs: Column) -> Column:
+        keys = F.transform(qs, lambda q: F.array_join(q["words"], " "))
+        first = lambda q, i: F.array_position(keys, F.array_join(q["words"], " ")) == i + 1
+        return F.transform(F.filter(qs, first), lambda q: q["query"])
+
+    return F.slice(F.transform(F.array(told), firsts)[0], 1, limit)
