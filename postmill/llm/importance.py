@@ -17,6 +17,7 @@ documents of their own with equal scores, so that their ranks are adjacent; an e
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -34,7 +35,7 @@ from postmill.llm.common import spill
 
 BUCKETS, MAX_N = 10_000, 2
 #: Bytes of text DuckDB works on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _OTHER = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
@@ -100,7 +101,7 @@ def bucket_counts(docs: DataFrame, keep: list[str], text_col: str, buckets: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # no spills to a local folder: chunks are bounded
-        con = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "400MB"})
+        con = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "150MB"})
         con.create_function("crc32", _crc32, ["VARCHAR"], "BIGINT", type="arrow")
         total, row_type = np.zeros(buckets, np.int64), None
 
@@ -185,18 +186,12 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log(r)) for r in ratios], np.int64)
 
 
-def mean_gain(gain: np.ndarray):
-    """A column function (buckets, counts) -> floored mean gain of a document's features."""
-
-    @F.arrow_udf("bigint")
-    def weigh(buckets: pa.Array, counts: pa.Array) -> pa.Array:
-        b, n = (x.flatten().to_numpy(zero_copy_only=False) for x in (buckets, counts))
-        ends = np.r_[0, np.cumsum(buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-        sums, sizes = (np.r_[0, np.cumsum(x)] for x in (gain[b] * n, n.astype(np.int64)))
-        total, size = sums[ends[1:]] - sums[ends[:-1]], sizes[ends[1:]] - sizes[ends[:-1]]
-        return pa.array(total // np.maximum(size, 1))
-
-    return weigh
+def mean_gain(gain: np.ndarray, buckets: Column, counts: Column) -> Column:
+    """The floored mean gain of a document's features. The gains are one constant array of as many numbers as there are buckets."""
+    table = F.from_json(F.lit(json.dumps(gain.tolist())), "array<bigint>")
+    total = F.aggregate(F.zip_with(buckets, counts, lambda b, n: F.get(table, b) * n), F.lit(0).cast("long"), lambda x, y: x + y)
+    size = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda x, y: x + y), F.lit(1).cast("long"))
+    return F.call_function("div", total - F.pmod(total, size), size)  # towards lower numbers
 
 
 def noise(id_col: Column, seed: int) -> Column:
@@ -245,7 +240,7 @@ def resample(
     counted = spill(bucket_counts(docs, keep, text_col, buckets, max_n, chunk), "bucket-counts")
     wanted = spill(bucket_counts(target, [], target_text, buckets, max_n, chunk), "target-counts")
     gain = gains(histogram(counted, buckets), histogram(wanted, buckets))
-    weight = mean_gain(gain)(F.col("buckets"), F.col("counts"))
+    weight = mean_gain(gain, F.col("buckets"), F.col("counts"))
     scored = counted.filter("row IS NOT NULL").select("row", "n_words", "n_features", weight.alias("weight"))
     scored = spill(scored.withColumn("score", F.col("weight") + noise(F.col("row")[id_col], seed)), "scored")
     eligible = scored.filter(F.col("n_words") >= min_words)
