@@ -1,7 +1,7 @@
 """Phrase collocations by Suffix-sigma.
 
 Every word position of a piece of text stands for the suffix that begins there, cut to ``max_n`` words. Equal suffixes are
-counted where they are read. They are shuffled by language and first word, packed and compressed per bucket of these, and
+counted where they are read. They are shuffled by language and first word, packed per bucket of these, and
 sorted in reverse lexicographic order, so that a suffix follows those that extend it: one stack of at most ``max_n`` open prefixes then
 counts every phrase in a single pass over the partition, whatever its size. Frequent phrases are joined with their own parts
 afterwards.
@@ -117,9 +117,9 @@ def packed_suffixes(sent: DataFrame, max_n: int, hot: set[bytes], buckets: int)
     """(bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
 
     ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size. A pack holds
-    the suffixes by line and their counts as 64-bit numbers, both compressed.
+    its suffixes by line, without a row's overhead for each.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.string()), ("counts", pa.list_(pa.int64()))])
 
     def place(key: bytes, words: int) -> tuple[int, int]:
         """Bucket and cut of a suffix whose first ``words`` words are hot."""
@@ -146,8 +146,9 @@ def packed_suffixes(sent: DataFrame, max_n: int, hot: set[bytes], buckets: int)
                 keys.append(key)
                 counts.append(n)
             table.clear()
-        rows = [(b, c, zlib.compress(b"\n".join(keys), 1), zlib.compress(np.array(counts, np.int64).tobytes(), 1)) for (b, c), (keys, counts) in groups.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        packs = pa.array([b"\n".join(keys) for keys, _ in groups.values()], pa.binary()).cast(pa.string())
+        counts = pa.array([n for _, n in groups.values()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int32()), pa.array([c for _, c in groups], pa.int32()), packs, counts], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[bytes, Counter] = {}
@@ -174,27 +175,13 @@ def packed_suffixes(sent: DataFrame, max_n: int, hot: set[bytes], buckets: int)
         if any(tables.values()):
             yield pack(tables)
 
-    return sent.mapInArrow(count, "bucket int, cut int, suffixes binary, counts binary")
+    return sent.mapInArrow(count, "bucket int, cut int, suffixes string, counts array<bigint>")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
     """(suffix, n, cut), a row per counted suffix."""
-    schema = pa.schema([("suffix", pa.string()), ("n", pa.int64()), ("cut", pa.int32())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                lines = np.frombuffer(zlib.decompress(batch.column(2)[k].as_py()), np.uint8)
-                ends = lines == 10
-                # the places of line ends, less the line ends before them
-                at = np.r_[np.flatnonzero(ends), len(lines)]
-                offsets = np.r_[0, at - np.arange(len(at))].astype(np.int32)
-                suffixes = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(lines[~ends]))
-                n = np.frombuffer(zlib.decompress(batch.column(3)[k].as_py()), np.int64)
-                cut = np.full(len(at), batch.column(1)[k].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([suffixes, pa.array(n), pa.array(cut)], schema=schema)
-
-    return packed.mapInArrow(rows, "suffix string, n bigint, cut int")
+    rows = F.arrays_zip(F.split("suffixes", "\n").alias("suffix"), F.col("counts").alias("n"))
+    return packed.select("cut", F.explode(rows).alias("r")).select("r.suffix", F.col("r.n").cast("long").alias("n"), "cut")
 
 
 def _size(phrase: Column) -> Column:
