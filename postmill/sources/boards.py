@@ -76,3 +76,21 @@ def paged(pages: DataFrame, size: int, listing: str = "listing", page: str = "pa
 def guarded(rows: DataFrame, key: str, order: str, name: Column, expected: Column) -> DataFrame:
     """The first row of each id whose company is the expected one."""
     return rows.filter(name == expected).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
+
+
+def discovered(pages: DataFrame, limit: int, listing: str = "listing", page: str = "page", items: str = "items") -> DataFrame:
+    """New items (listing, page, pos, item, nth) of paged searches, ``limit`` per listing.
+
+    A reader asks for page after page until one is missing, is empty, or has only items that earlier pages had. An item is new on the first page that has it, so the
+    number of new items is known for every page at once, and the first page without any ends its listing. Items of one page repeat without effect; pages count from one.
+    """
+    rows = pages.select(listing, page, F.posexplode(items).alias("pos", "item"))
+    firsts = rows.groupBy(listing, "item").agg(F.min(F.struct(page, "pos")).alias("at")).select(listing, F.col(f"at.{page}").alias(page), F.col("at.pos").alias("pos"), "item")
+    novel = firsts.groupBy(listing, page).agg(F.count("*").alias("n_new"))
+    # of pages with news, those that follow one another from the first are asked for
+    inner = Window.partitionBy(listing).orderBy(page)
+    asked = novel.withColumn("__k", F.row_number().over(inner)).filter(F.col("__k") == F.col(page))
+    asked = asked.withColumn("before", F.sum("n_new").over(inner) - F.col("n_new")).filter(F.col("before") < limit).select(listing, page, "before")
+    within = Window.partitionBy(listing, page).orderBy("pos")
+    met = firsts.join(asked, [listing, page]).withColumn("nth", F.col("before") + F.row_number().over(within))
+    return met.filter(F.col("nth") <= limit).select(listing, page, "pos", "item", "nth")
