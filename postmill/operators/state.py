@@ -114,3 +114,44 @@ def touch_sources(old: DataFrame, seen: DataFrame, keys: Sequence[str], now: Col
         F.when(seen_now, day).otherwise(F.col("last_collected")).alias("last_collected"),
         F.coalesce("active", F.lit(True)).alias("active"),
     )
+
+
+#: Rows a backfill may take at once, and the states that count as done.
+BACKFILL_LIMIT, DONE = 1000, ("SUCCEEDED", "FALLBACK")
+
+
+def backfill(postings: DataFrame, analyses: DataFrame, version: str, limit: int = 0, after_id: int | None = None, force: bool = False) -> DataFrame:
+    """The next candidates by id after the cursor, each with ``reason`` and ``enqueued``: what a dry run reports and a real one applies.
+
+    ``postings`` has id and input_hash; ``analyses`` posting_id, status, input_hash, version. The largest id of the result is the next cursor. A limit below one means the
+    most allowed; one above is an error.
+    """
+    if limit > BACKFILL_LIMIT:
+        raise ValueError(f"a backfill takes at most {BACKFILL_LIMIT} rows, not {limit}")
+    rest = postings if after_id is None else postings.filter(F.col("id") > after_id)
+    picked = rest.select("id", "input_hash").orderBy("id").limit(limit if limit > 0 else BACKFILL_LIMIT)
+    known = analyses.select(F.col("posting_id").alias("id"), "status", F.col("input_hash").alias("old_hash"), F.col("version").alias("old_version"))
+    done = F.col("status").isin(*DONE)
+    same = F.col("old_hash").eqNullSafe(F.col("input_hash")) & F.col("old_version").eqNullSafe(F.lit(version))
+    reason = (
+        F.when(F.col("status").isNull(), "NO_ANALYSIS_ROW")
+        .when(done & F.lit(force), "FORCE_RECLASSIFY")
+        .when(done & same, "ALREADY_COMPLETED_SAME_VERSION")
+        .when(done, "VERSION_OR_INPUT_CHANGED")
+        .otherwise("ALREADY_PENDING_OR_PROCESSING")
+    )
+    enqueued = F.col("reason").isin("NO_ANALYSIS_ROW", "FORCE_RECLASSIFY", "VERSION_OR_INPUT_CHANGED")
+    return picked.join(known, "id", "left").withColumn("reason", reason).withColumn("enqueued", enqueued).select("id", "input_hash", "reason", "enqueued")
+
+
+def apply_backfill(analyses: DataFrame, chosen: DataFrame, version: str) -> DataFrame:
+    """The analyses after a backfill that is no dry run: enqueued rows are PENDING with the new hash and version and no attempts."""
+    new = chosen.filter("enqueued").select(F.col("id").alias("posting_id"), F.col("input_hash").alias("new_hash"), F.lit(True).alias("chosen"))
+    joined = analyses.join(new, "posting_id", "full_outer")
+    take = F.coalesce("chosen", F.lit(False))
+    return joined.select(
+        "posting_id",
+        F.when(take, "PENDING").otherwise(F.col("status")).alias("status"),
+        F.when(take, F.col("new_hash")).otherwise(F.col("input_hash")).alias("input_hash"),
+        F.when(take, version).otherwise(F.col("version")).alias("version"),
+    )

@@ -193,11 +193,6 @@ def register(add) -> None:
         FROM (SELECT *, count(*) OVER (PARTITION BY company) AS n FROM (SELECT *, concat_ws(' · ', CASE WHEN location = '서울' THEN '서울 근무' END, CASE WHEN contains(skills_json, 'SQL') THEN 'SQL 스킬 매칭' END,
           CASE WHEN {dd} BETWEEN 0 AND 3 THEN '마감 ' || CAST({dd} AS VARCHAR) || '일 전 — 긴급' END, CASE WHEN {dd} BETWEEN 4 AND 7 THEN '마감 ' || CAST({dd} AS VARCHAR) || '일 이내' END) AS w,
           coalesce(published, collected) >= DATE '{REF}' - 3 AS is_new, coalesce({dd} BETWEEN 0 AND 7, false) AS is_urgent, row_number() OVER (PARTITION BY company ORDER BY p_size, id) AS place FROM postings) p WHERE place <= 7) q GROUP BY company, n) z"""))
-    add("K22_empty_report", lambda s, d: s.range(1).select(reports.empty_report(F.lit(REF)).alias("content")), f"""SELECT '# 오늘의 채용 브리핑' || chr(10) || chr(10) || '## 오늘의 핵심 요약' || chr(10) || chr(10) || '- {REF} 기준, 선호도에 맞는 채용 공고가 오늘은 없습니다.' || chr(10)
-        || '- 선호 조건을 확인하고 내일 다시 브리핑을 살펴보세요.' || chr(10) || '- 조건을 조금 넓히면 더 많은 공고를 만날 수 있습니다.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 🏆 추천 공고 TOP 0' || chr(10) || chr(10) || '오늘 추천할 공고가 없습니다.'
-        || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## ⏰ 신규/마감 임박 공고' || chr(10) || chr(10) || '선별된 공고 중 7일 이내 마감 임박 공고가 없습니다.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 💡 오늘의 지원 추천 액션' || chr(10) || chr(10)
-        || '1. 선호 조건(역할, 기업, 스킬, 위치)을 다시 확인해 보세요.' || chr(10) || '2. 내일 다시 브리핑을 확인해 주세요.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 🔑 오늘의 키워드' || chr(10) || chr(10) || '해당 사항 없습니다.' || chr(10) || chr(10) || '---'
-        || chr(10) || chr(10) || '## ✏️ 한 줄 정리' || chr(10) || chr(10) || '내일은 더 많은 공고가 준비되어 있을 거예요.' AS content""")
     add("D12_prefix_join", lambda s, d: postings(s, d).groupBy("company").agg(F.count("*").alias("n")).join(F.broadcast(s.createDataFrame([("brand#1",), ("BRAND#22 Inc",)], "pref string")), (F.startswith(F.lower("company"), F.lower("pref"))) | F.startswith(F.lower("pref"), F.lower("company"))).select("company", "pref", "n"),
         with_postings("SELECT company, pref, count(*) AS n FROM postings JOIN (VALUES ('brand#1'), ('BRAND#22 Inc')) v(pref) ON starts_with(lower(company), lower(pref)) OR starts_with(lower(pref), lower(company)) GROUP BY 1, 2"))
     add("D13_substring_any", lambda s, d: t(s, d, "documents").select("doc_id", F.exists(F.array(F.lit("hethe"), F.lit("licensed"), F.lit("ción")), lambda k: F.contains(F.lower("text"), k)).alias("hit")), "SELECT doc_id, contains(lower(text), 'hethe') OR contains(lower(text), 'licensed') OR contains(lower(text), 'ción') AS hit FROM documents")

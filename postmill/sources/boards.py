@@ -94,3 +94,26 @@ def discovered(pages: DataFrame, limit: int, listing: str = "listing", page: str
     within = Window.partitionBy(listing, page).orderBy("pos")
     met = firsts.join(asked, [listing, page]).withColumn("nth", F.col("before") + F.row_number().over(within))
     return met.filter(F.col("nth") <= limit).select(listing, page, "pos", "item", "nth")
+
+
+_SEARCH = "struct<props:struct<pageProps:struct<dehydratedState:struct<queries:array<struct<queryKey:string,state:string>>>>>>"
+
+
+def search_ids(markup: Column) -> Column:
+    """Distinct (kind, id) of a search page in its order: from the job searches in its embedded data, else from links to postings.
+
+    An id counts once, under the kind it has first.
+    """
+    data = F.from_json(parsers.embedded_json(markup), _SEARCH)["props"]["pageProps"]["dehydratedState"]["queries"]
+    searches = F.filter(data, lambda q: F.contains(q["queryKey"], F.lit("jobSearch")))
+    found = F.flatten(F.transform(searches, lambda q: F.from_json(q["state"], "struct<data:struct<data:array<struct<id:bigint,recruit_type:int>>>>")["data"]["data"]))
+    kind = lambda p: F.when(F.coalesce(p["recruit_type"], F.lit(0)) == 0, "recruit").otherwise("intern")
+    structured = F.transform(F.filter(found, lambda p: F.coalesce(p["id"], F.lit(0)) != 0), lambda p: F.concat(kind(p), F.lit("/"), p["id"].cast("string")))
+    linked = F.regexp_extract_all(markup, F.lit(r'href="[^"]*/((?:recruit|intern)/[0-9]+)'), F.lit(1))
+    chosen = F.when(F.size(F.coalesce(structured, F.array().cast("array<string>"))) > 0, structured).otherwise(linked)
+
+    def firsts(xs: Column) -> Column:
+        ids = F.transform(xs, lambda x: F.substring_index(x, "/", -1))
+        return F.filter(xs, lambda x, i: F.array_position(ids, F.substring_index(x, "/", -1)) == i + 1)
+
+    return F.transform(F.array(chosen), firsts)[0]
