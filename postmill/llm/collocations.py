@@ -21,7 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +43,11 @@ TOP_SALTS = 64
 _END = ord("\n")
 #: A-Z lower-cased; piece ends as line feeds; tabs as spaces.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else _END if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 9 else b for b in range(256))
-#: Between the language and the words of a suffix: below every other byte, so that a prefix's suffixes lie together.
+#: Between the words of a suffix: below every other byte, so that a prefix's suffixes lie together. A language is one character before the first word.
 SEP = "\x00"
 _SEP = SEP.encode()
 
 
-def escaped(data: bytes) -> bytes:
-    """Bytes 0 and 1 and line feeds in other bytes: they part words and suffixes."""
-    return data.replace(b"\x01", b"\x01\x02").replace(_SEP, b"\x01\x01").replace(b"\n", b"\x01\x03")
-
-
 def pieces_of(text: bytes) -> list[list[bytes]]:
     """The words of each piece, escaped."""
     text = text.translate(_BYTES)
@@ -63,8 +58,7 @@ def pieces_of(text: bytes) -> list[list[bytes]]:
 
 def plain(phrase: Column) -> Column:
     """A phrase as text: its words joined by one space, escapes undone."""
-    undone = F.replace(F.translate(phrase, SEP, " "), F.lit("\x01\x01"), F.lit(SEP))
-    undone = F.replace(F.replace(undone, F.lit("\x01\x03"), F.lit("\n")), F.lit("\x01\x02"), F.lit("\x01"))
+    undone = F.replace(F.replace(F.translate(phrase, SEP, " "), F.lit("\x01\x01"), F.lit(SEP)), F.lit("\x01\x02"), F.lit("\x01"))
     return F.when(F.instr(phrase, "\x01") > 0, undone).otherwise(F.translate(phrase, SEP, " "))
 
 
@@ -73,8 +67,14 @@ def _sent(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), body.alias("body"))
 
 
-def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int = CHUNK) -> tuple[DataFrame, set[bytes]]:
-    """The number of words per language, and the prefixes (language first) to split."""
+def code_of(number: int) -> str:
+    """The character that stands for a language: no separator, no line feed, no surrogate."""
+    place = 0x21 + number
+    return chr(place if place < 0xD800 else place + 0x800)
+
+
+def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int = CHUNK) -> tuple[list[tuple[str, str, int]], set[bytes]]:
+    """(language, its code, number of its words), a row per language, and the prefixes to split."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[list[bytes]]] = {}
@@ -82,14 +82,13 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
         def report(size: int) -> pa.RecordBatch:
             bar, rows = size // (2 * hot_share), []
             for lang, pieces in held.items():
-                head = escaped(lang.encode())
                 rows.append((lang, None, sum(map(len, pieces))))
                 often = {(w,): c for w, c in Counter(chain.from_iterable(pieces)).items() if c > bar}
                 known = {w for (w,) in often}
                 for n in range(2, max_n):
-                    starts = ((words, k) for words in pieces for k, w in enumerate(words) if w in known)
-                    often |= {g: c for g, c in Counter(tuple(words[k : k + n]) for words, k in starts if k + n <= len(words)).items() if c > bar}
-                rows += [(lang, _SEP.join((head, *g)), c) for g, c in often.items()]
+                    grams = [g for words in pieces for g in zip(*(words[k:] for k in range(n)), strict=False) if g[0] in known]
+                    often |= {g: c for g, c in Counter(grams).items() if c > bar}
+                rows += [(lang, _SEP.join(g), c) for g, c in often.items()]
             held.clear()
             langs, prefixes, ns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(ns, pa.int64())], ["lang", "prefix", "n"])
@@ -107,13 +106,15 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
             yield report(size)
 
     counts = spill(sent.mapInArrow(count, "lang string, prefix binary, n bigint").groupBy("lang", "prefix").agg(F.sum("n").alias("n")), "hot-words")
-    words = counts.filter("prefix IS NULL").select("lang", "n")
-    bar = (words.agg(F.sum("n")).first()[0] or 0) // (2 * hot_share)
+    langs = [(r["lang"], code_of(k), r["n"]) for k, r in enumerate(counts.filter("prefix IS NULL").orderBy("lang").collect())]
+    bar = sum(n for *_, n in langs) // (2 * hot_share)
     # fewer than 2 * hot_share per length
-    return words, {bytes(r["prefix"]) for r in counts.filter(F.col("prefix").isNotNull() & (F.col("n") > bar)).select("prefix").collect()}
+    hot = counts.filter(F.col("prefix").isNotNull() & (F.col("n") > bar)).select("lang", "prefix").collect()
+    codes = {lang: code.encode() for lang, code, _ in langs}
+    return langs, {codes[r["lang"]] + bytes(r["prefix"]) for r in hot}
 
 
-def packed_suffixes(sent: DataFrame, max_n: int, hot: set[bytes], buckets: int) -> DataFrame:
+def packed_suffixes(sent: DataFrame, max_n: int, codes: dict[str, bytes], hot: set[bytes], buckets: int) -> DataFrame:
     """(bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
 
     ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size. A pack holds
@@ -121,59 +122,53 @@ def packed_suffixes(sent: DataFrame, max_n: int, hot: set[bytes], buckets: int)
     """
     schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.string()), ("counts", pa.list_(pa.int64()))])
 
-    def place(key: bytes, words: int) -> tuple[int, int]:
-        """Bucket and cut of a suffix whose first ``words`` words are hot."""
+    def place(key: bytes) -> tuple[int, int]:
+        """Bucket and cut of a suffix whose first word is hot."""
         parts = key.split(_SEP)
-        cut, head = words, _SEP.join(parts[: words + 1])
+        cut, head = 1, parts[0]
         while head in hot:
             cut += 1
-            if cut >= len(parts):  # the whole suffix is a prefix that others extend elsewhere
+            if cut > len(parts):  # the whole suffix is a prefix that others extend elsewhere
                 break
-            head = _SEP.join(parts[: cut + 1])
+            head = _SEP.join(parts[:cut])
         return zlib.crc32(head) % buckets, cut
 
-    def pack(tables: dict[bytes, Counter]) -> pa.RecordBatch:
+    def pack(table: Counter) -> pa.RecordBatch:
         groups: dict[tuple[int, int], tuple[list, list]] = {}
-        for lang, table in tables.items():
-            skip = len(lang) + 1
-            lists: dict[bytes, tuple[list, list] | None] = {}
-            for key, n in table.items():
-                end = key.find(_SEP, skip)
-                head = key if end < 0 else key[:end]
-                if head not in lists:
-                    lists[head] = None if head in hot else groups.setdefault((zlib.crc32(head) % buckets, 1), ([], []))
-                keys, counts = lists[head] or groups.setdefault(place(key, 1), ([], []))
-                keys.append(key)
-                counts.append(n)
-            table.clear()
+        lists: dict[bytes, tuple[list, list] | None] = {}
+        for key, n in table.items():
+            head = key.partition(_SEP)[0]
+            if head not in lists:
+                lists[head] = None if head in hot else groups.setdefault((zlib.crc32(head) % buckets, 1), ([], []))
+            keys, counts = lists[head] or groups.setdefault(place(key), ([], []))
+            keys.append(key)
+            counts.append(n)
+        table.clear()
         packs = pa.array([b"\n".join(keys) for keys, _ in groups.values()], pa.binary()).cast(pa.string())
         counts = pa.array([n for _, n in groups.values()], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int32()), pa.array([c for _, c in groups], pa.int32()), packs, counts], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[bytes, Counter] = {}
-        names: dict[str, bytes] = {}
+        table: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang not in names:
-                    names[lang] = escaped(lang.encode())
-                    tables[names[lang]] = Counter()
-                head, table, keys = names[lang], tables[names[lang]], []
+                code, keys = codes[lang] if lang in codes else b"", []
                 for words in pieces_of(text.as_py()):
+                    first = [code + w for w in words]
                     last = len(words) - max_n + 1  # the last suffixes of a piece are shorter
                     if last > 0:
-                        keys += map(_SEP.join, zip(repeat(head), *(words[k : last + k] for k in range(max_n))))
-                    keys += [_SEP.join((head, *words[k:])) for k in range(max(last, 0), len(words))]
+                        keys += map(_SEP.join, zip(first[:last], *(words[k : last + k] for k in range(1, max_n)), strict=True))
+                    keys += [_SEP.join((first[k], *words[k + 1 :])) for k in range(max(last, 0), len(words))]
                     if len(keys) > 100_000:
                         table.update(keys)
                         keys = []
-                        if sum(map(len, tables.values())) > FLUSH:  # inside a text too: it may be long
-                            yield pack(tables)
+                        if len(table) > FLUSH:  # inside a text too: it may be long
+                            yield pack(table)
                 table.update(keys)
-                if sum(map(len, tables.values())) > FLUSH:
-                    yield pack(tables)
-        if any(tables.values()):
-            yield pack(tables)
+                if len(table) > FLUSH:
+                    yield pack(table)
+        if table:
+            yield pack(table)
 
     return sent.mapInArrow(count, "bucket int, cut int, suffixes string, counts array<bigint>")
 
@@ -189,7 +184,7 @@ def _size(phrase: Column) -> Column:
 
 
 def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
-    """(lang, phrase, n) for every prefix of the suffixes that occurs ``least`` times or more.
+    """(lang, phrase, n), lang as its code, for every prefix of the suffixes that occurs ``least`` times or more.
 
     The stack holds a batch's last open prefix of each length with what it has gathered; within a batch, runs of equal prefixes are summed at once.
     """
@@ -202,10 +197,10 @@ def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
         out: list[tuple[bytes, int]] = []
 
         def close(depth: int) -> None:
-            """Emit the open prefixes of ``depth`` + 1 words or more."""
-            for d in range(depth, min(max_n, len(last) - 1)):
-                if sums[d] >= least or (d + 1 < cuts[d] and sums[d]):
-                    out.append((_SEP.join(last[: d + 2]), sums[d]))
+            """Emit the open prefixes of more than ``depth`` words."""
+            for d in range(depth, len(last)):
+                if sums[d] >= least or d + 1 < cuts[d]:
+                    out.append((_SEP.join(last[: d + 1]), sums[d]))
                 sums[d] = cuts[d] = 0
 
         for batch in batches:
@@ -214,34 +209,32 @@ def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
             lists = pc.split_pattern(batch.column(0), SEP)
             words, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
             starts = starts - starts[0]
-            sizes, n, cut = np.diff(starts) - 1, batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            sizes, n, cut = np.diff(starts), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             first = [words[k].as_py().encode() for k in range(starts[1])]
             shared = 0
             while shared < min(len(first), len(last)) and first[shared] == last[shared]:
                 shared += 1
-            same = _equal(words, starts, 0)
-            close(max(shared - 1, 0))
+            close(shared)
             final = [words[k].as_py().encode() for k in range(starts[-2], starts[-1])]
+            same = np.ones(len(sizes) - 1, bool)
             for d in range(max_n):
-                same &= _equal(words, starts, d + 1)
+                same &= _equal(words, starts, d)
                 there = sizes > d
                 new = there.copy()
                 new[1:] &= ~same
-                # the first row may go on with the open prefix of the batch before
-                goes_on = bool(there[0]) and shared > d + 1
                 begins = np.flatnonzero(new)
                 if not len(begins):
                     continue
                 total = np.add.reduceat(np.where(there, n, 0), begins)
                 most = np.maximum.reduceat(np.where(there, cut, 0), begins)
-                if goes_on:
+                if shared > d:  # the first run goes on with the open prefix of the batch before
                     total[0] += sums[d]
                     most[0] = max(most[0], cuts[d])
-                stays = len(final) > d + 1  # the last run is still open
+                stays = len(final) > d  # the last run is still open
                 done = len(begins) - 1 if stays else len(begins)
                 for k in np.flatnonzero((total[:done] >= least) | (d + 1 < most[:done])).tolist():
                     row = begins[k]
-                    out.append((_SEP.join(words[w].as_py().encode() for w in range(starts[row], starts[row] + d + 2)), int(total[k])))
+                    out.append((_SEP.join(words[w].as_py().encode() for w in range(starts[row], starts[row] + d + 1)), int(total[k])))
                 sums[d], cuts[d] = (int(total[-1]), int(most[-1])) if stays else (0, 0)
             last = final
             if len(out) > 20_000:
@@ -252,8 +245,7 @@ def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
 
     ordered = unpacked(packed.repartition("bucket")).sortWithinPartitions(F.desc("suffix"))
     counted = ordered.mapInArrow(count, "prefix string, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    lang = F.substring_index("prefix", SEP, 1)
-    return counted.select(plain(lang).alias("lang"), F.expr("substr(prefix, instr(prefix, char(0)) + 1)").alias("phrase"), "n")
+    return counted.select(F.substring("prefix", 1, 1).alias("lang"), F.expr("substr(prefix, 2)").alias("phrase"), "n")
 
 
 def _equal(words: pa.Array, starts: np.ndarray, k: int) -> np.ndarray:
@@ -278,8 +270,8 @@ def collocations(
     The phrase's words are joined by one space. The score is that of the weakest cut.
     """
     sent = _sent(docs, lang_col, text_col)
-    words, hot = frequent_prefixes(sent, max_n, hot_share)
-    packed = packed_suffixes(sent, max_n, hot, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    langs, hot = frequent_prefixes(sent, max_n, hot_share)
+    packed = packed_suffixes(sent, max_n, {lang: code.encode() for lang, code, _ in langs}, hot, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = spill(count_prefixes(packed, max_n, least).withColumn("size", _size(F.col("phrase"))), "phrases")
     candidates = counts.filter("size > 1")
     cuts = candidates.select("lang", "phrase", F.col("n").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
@@ -307,8 +299,9 @@ def collocations(
             union = union.unionByName(more)
         kept = scored.join(union.groupBy("lang", "phrase").agg(F.max("longer").alias("longer")), ["lang", "phrase"], "left")
         kept = kept.filter(F.col("longer").isNull() | (100 * wide("longer") < absorb_percent * wide("a")))
-    return kept.join(F.broadcast(words), "lang").select(  # a row per language
-        "lang", plain(F.col("phrase")).alias("phrase"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")
+    words = docs.sparkSession.createDataFrame(langs, "name string, lang string, n bigint")  # a row per language
+    return kept.join(F.broadcast(words), "lang").select(
+        F.col("name").alias("lang"), plain(F.col("phrase")).alias("phrase"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")
     )
 
 
