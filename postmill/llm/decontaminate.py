@@ -70,6 +70,10 @@ class Index:
         rank = np.empty(len(count), np.int64)
         rank[np.argsort(count, kind="stable")] = np.arange(len(count))
         place, length, owner = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (places, lengths, owners))
+        place, length, entry = self._distinct(place, length)
+        # the items of each window, one after another
+        held = np.unique(np.stack([entry, owner], 1), axis=0) if len(entry) else np.zeros((0, 2), np.int64)
+        self.owners, self.owners_from = held[:, 1].astype(np.int32), np.searchsorted(held[:, 0], np.arange(len(place) + 1))
         # the offset of each window's rarest word
         offset, least = np.zeros(len(place), np.int16), np.full(len(place), np.iinfo(np.int64).max)
         for k in range(width):
@@ -86,7 +90,7 @@ class Index:
         side = np.where(length == 1, 0, np.where(last, -1, 1)).astype(np.int8)
         ranks = np.flatnonzero(found)
         ranks = ranks[np.lexsort((other[ranks], side[ranks], prefix[ranks]))]
-        self.place, self.length, self.owner, self.offset = place[ranks], length[ranks], owner[ranks], offset[ranks]
+        self.place, self.length, self.entry, self.offset = place[ranks], length[ranks], ranks, offset[ranks]
         keys = np.stack([prefix[ranks], np.where(side == 0, 0, other)[ranks], side[ranks]], 1) if len(ranks) else np.zeros((0, 3), np.int32)
         start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
         named = list(vocabulary)
@@ -95,9 +99,32 @@ class Index:
         for (word, near, way), a, b in zip(keys[start].tolist(), start.tolist(), ends.tolist(), strict=True):
             self.probes.setdefault(named[word], [{}, {}, {}])[way][named[near] if way else b""] = (a, b)
 
+    def _distinct(self, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and lengths of the different windows, and for each window the number of its own.
+
+        Windows are sorted by a hash of their words; those of one hash are compared word by word with the first of them.
+        """
+        if not len(place):
+            return place, length, np.zeros(0, np.int64)
+        word = lambda at, k: self.words[np.minimum(place[at] + k, len(self.words) - 1)]
+        every, mark = np.arange(len(place)), length.astype(np.uint64)
+        for k in range(self.width):
+            mark = np.where(length > k, mark * np.uint64(0x9E3779B97F4A7C15) + word(every, k).astype(np.uint64) + np.uint64(1), mark)
+        order = np.argsort(mark, kind="stable")
+        starts = np.r_[True, mark[order][1:] != mark[order][:-1]]
+        first = order[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
+        same = length[order] == length[first]
+        for k in range(self.width):
+            same &= (length[order] <= k) | (word(order, k) == word(first, k))
+        own = starts | ~same  # a window that only shares a hash stays by itself
+        kept = order[own]
+        number = np.empty(len(place), np.int64)
+        number[order] = np.where(own, np.cumsum(own) - 1, (np.cumsum(own) - 1)[np.flatnonzero(starts)[np.cumsum(starts) - 1]])
+        return place[kept], length[kept], number
+
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of window occurrences, and the named items concerned."""
-        spans, found = set(), set()
+        spans, found, seen = set(), set(), set()
         if self.probes.keys().isdisjoint(words):
             return [], found
         n, codes, get = len(words), None, self.probes.get
@@ -124,7 +151,10 @@ class Index:
                     same = (start + k >= end) | (codes[np.minimum(start + k, n - 1)] == self.words[np.minimum(place + k, len(self.words) - 1)])
                     fits, start, end, place = fits[same], start[same], end[same], place[same]
                 spans.update(zip(start.tolist(), end.tolist(), strict=True))
-                found.update(self.owner[a:b][fits].tolist())
+                for e in self.entry[a:b][fits].tolist():
+                    if e not in seen:
+                        seen.add(e)
+                        found.update(self.owners[self.owners_from[e] : self.owners_from[e + 1]].tolist())
         return sorted(spans), {self.names[k] for k in found} - {None}
 
 

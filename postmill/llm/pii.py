@@ -437,6 +437,20 @@ _FOUND = T.StructType(
 _FOUND_ARROW = pa.struct([(f"n_{k}", pa.int64()) for k in (*ALL_KINDS, "spans")] + [("base", pa.string()), ("spans", pa.string())])
 
 
+def batches_of(texts, most_texts: int = 256, most_chars: int = 1 << 20):
+    """Texts in groups of bounded number and size; a longer text is a group of its own."""
+    held, size = [], 0
+    for text in texts:
+        body = text.as_py() or ""
+        if held and (len(held) >= most_texts or size + len(body) > most_chars):
+            yield held
+            held, size = [], 0
+        held.append(body)
+        size += len(body)
+    if held:
+        yield held
+
+
 def finder():
     """A column function text -> struct of counts by kind and in all, pattern spans and all spans."""
     chain = train()
@@ -444,8 +458,8 @@ def finder():
     @F.arrow_udf(_FOUND)
     def find(texts: pa.Array) -> pa.Array:
         rows = []
-        for k in range(0, len(texts), 256):
-            for own, spans in find_all([t.as_py() or "" for t in texts.slice(k, 256)], chain):
+        for group in batches_of(texts):
+            for own, spans in find_all(group, chain):
                 counts = {f"n_{kind}": sum(s[0] == kind for s in spans) for kind in ALL_KINDS} | {"n_spans": len(spans)}
                 rows.append(counts | {"base": digest(own), "spans": digest(spans)})
         return pa.array(rows, _FOUND_ARROW)

@@ -28,8 +28,8 @@ ABUSIVE = (
     "whore", "slut", "cunt", "vermin", "subhuman",
 )
 
-#: Labelled documents a lexicon is fitted on, and words it may hold: both are bounds on what is broadcast.
-SAMPLE_LABELS, LEXICON_WORDS = 20_000, 4096
+#: Labelled documents a lexicon is fitted on: the bound on what is broadcast, since each word must be in 4 of them or more.
+SAMPLE_LABELS = 20_000
 #: Punctuation that may follow a word.
 AFTER_WORD = ".,;:!?\"')%*#$&"
 
@@ -121,7 +121,7 @@ def _plain(word: Column) -> Column:
 
 
 def fit_lexicon(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS, limit: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[str]:
     """Words that tell documents labelled toxic from others, whatever their language.
 
@@ -135,26 +135,29 @@ def fit_lexicon(
     counts = words.filter("word <> ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     n_toxic = known.agg(F.sum("toxic")).first()[0] or 0
     found = counts.filter("t >= 4 + 4 * c").filter(200 * F.col("t") >= n_toxic)
-    return [r["word"] for r in found.orderBy(F.desc("t"), "word").limit(limit).select("word").collect()]
+    return [r["word"] for r in found.select("word").collect()]
 
 
 def measure(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] | list[str] = ABUSIVE) -> DataFrame:
     """Append the measurement columns (one projection pass over the text, no shuffle)."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = F.struct(split_words(F.col(f"`{text}`")).alias("words"), body.alias("body"), F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
+    # one struct under a name that no input column has, so that inputs may be called anything
+    held = "__measured"
+    while held in docs.columns:
+        held += "_"
     others = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
-    tokens = docs.select(*others, split_words(F.col(f"`{text}`")).alias("__words"), body.alias("__body"))
-    lines = F.filter(F.split("__body", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    tokens = tokens.select(*others, "__words", "__body", lines.alias("__lines"))
-    return tokens.select(
+    words, text_of, lines = (F.col(held)[c] for c in ("words", "body", "lines"))
+    return docs.select(*others, own.alias(held)).select(
         *others,
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__words")).alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("__body", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        F.size(F.filter("__words", lambda w: _plain(w).isin(*lexicon))).cast("long").alias("n_abusive"),
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text_of, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(words).alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.length(F.regexp_replace(text_of, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.size(F.filter(words, lambda w: _plain(w).isin(*lexicon))).cast("long").alias("n_abusive"),
     )
 
 
@@ -213,6 +216,11 @@ def filter_documents(
     return apply_policy(ledger(packed, "__text", lexicon), policy).select("__row.*")
 
 
+def ablation_of(docs: DataFrame, labels: DataFrame, policy: str = "v1") -> DataFrame:
+    """The ablation of a policy over all documents: a row per rule."""
+    return ablation(ledger(docs.select("doc_id", "text"), lexicon=lexicon_of(docs, labels)), policy)
+
+
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract digest of the ledger."""
     rows = ledger(docs.select("doc_id", "text"), lexicon=lexicon_of(docs, labels))
@@ -234,7 +242,7 @@ kw AS (
   FROM documents JOIN k USING (doc_id)),
 lex AS (
   SELECT word FROM (SELECT word, sum(toxic) AS t, sum(1 - toxic) AS c FROM kw WHERE word <> '' GROUP BY word)
-  WHERE t >= 4 + 4 * c AND 200 * t >= (SELECT sum(toxic) FROM k) ORDER BY t DESC, word LIMIT {LEXICON_WORDS}),
+  WHERE t >= 4 + 4 * c AND 200 * t >= (SELECT sum(toxic) FROM k)),
 lx AS (SELECT word FROM lex UNION SELECT * FROM (VALUES {_ABUSIVE_SQL})),
 a AS (
   SELECT doc_id, count(*) AS n_abusive
@@ -260,3 +268,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failures = 0 AS kept, failures
 FROM f
 """
+
+_BITS = {r.name: 1 << k for k, r in enumerate(RULES)}
+#: The ablation over the same ledger.
+ABLATION_SQL = OP1_SQL.rsplit("SELECT doc_id, n_words, word_chars", 1)[0] + """
+SELECT n, kept, rule, n_failed, n_failed_only, kept + n_failed_only AS kept_without_rule FROM (
+  SELECT rule, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f WHERE failures = 0) AS kept,
+         (SELECT count(*) FROM f WHERE failures & bit <> 0) AS n_failed, (SELECT count(*) FROM f WHERE failures = bit) AS n_failed_only
+  FROM (VALUES """ + ", ".join(f"('{name}', {bit})" for name, bit in _BITS.items()) + ") v(rule, bit))"

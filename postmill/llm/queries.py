@@ -11,6 +11,7 @@ from postmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "quality_rule_ablation": lambda spark, d: quality_rules.ablation_of(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op2_ppm": lambda spark, d: ppm.op2(documents(spark, d)),
     "op3_line_dedup": lambda spark, d: line_dedup.op3(documents(spark, d)),
     "op4_html_cut": lambda spark, d: html_cut.op4(spark.read.parquet(f"{d}/pages.parquet")),
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "quality_rule_ablation": quality_rules.ABLATION_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,

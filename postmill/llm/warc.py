@@ -14,7 +14,7 @@ Reading parses each archive member by member in a stream, checks every digest, a
 payload digest: only revisits' headers and the responses that are referred to are shuffled. A payload that a third of all
 captures share is one row on the response side; adaptive execution splits the other side.
 
-Defined results: null html is an empty payload; null addresses have no target header; a null id
+Defined results: ids are percent-encoded in headers, so any text comes back as it was; null html is an empty payload; null addresses have no target header; a null id
 never is the first while another has the payload; rows that repeat the first record's id are
 responses too, under the same record id; a null date is the time of writing; an empty table gives an empty archive; other
 columns are ignored.
@@ -27,6 +27,7 @@ import datetime
 import gzip
 import hashlib
 import io
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ FILE_BYTES = 16 << 20
 #: A gzip member without content, as text in Latin-1.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 _ID = "urn:page:"
+#: The name of records without an id, which no encoded id can have.
+NO_ID = "<urn:no-page>"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -84,7 +87,7 @@ def _address(url: Column) -> Column:
 
 def record_text() -> Column:
     """A record without its end: fresh headers, empty line, block."""
-    name = lambda c: F.concat(F.lit(f"<{_ID}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda c: F.coalesce(F.concat(F.lit(f"<{_ID}"), F.url_encode(c.cast("string")), F.lit(">")), F.lit(NO_ID))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
     optional = lambda key, value: F.coalesce(line(key, value), F.lit(""))
     http = F.concat(
@@ -201,8 +204,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """The records of all archives below ``path``; response payloads are checked against their digest."""
 
     def local(name: str | None) -> str | None:
-        found = name[1 + len(_ID) : -1] if name else None
-        return None if found == "null" else found
+        return urllib.parse.unquote_plus(name[1 + len(_ID) : -1]) if name and name != NO_ID else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -241,3 +241,58 @@ def test_collocations_of_an_empty_table(docs):
 @pytest.mark.parametrize("name", ["op12_resample", "op13_collocations"])
 def test_new_queries_match_sql(spark, name):
     assert rows_of(queries.QUERIES[name](spark, SF)) == oracle_rows(connect(), queries.ORACLES[name])
+
+
+# --- mended operators ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", [["a\r\nX: 1", "null", None, "", "50% <b>", "é x", "urn:page:1"], [3, None, -2, 1]])
+def test_record_ids_come_back(spark, ids):
+    from postmill.llm import warc
+    from postmill.llm.common import new_path
+
+    kind = "string" if isinstance(ids[0], str) else "long"
+    pages = spark.createDataFrame([(i, f"https://x/{k}", f"page {k // 2}") for k, i in enumerate(ids)], f"page_id {kind}, url string, html string")
+    path = new_path(spark, "ids")
+    warc.write_archives(pages, path)
+    back = warc.read_archives(spark, path).collect()
+    assert sorted((str(r["id"]), r["url"]) for r in back) == sorted((str(i), f"https://x/{k}") for k, i in enumerate(ids))
+    assert sum(r["id"] is None for r in back) == sum(i is None for i in ids)
+
+
+def test_equal_windows_are_one_entry():
+    import time
+
+    from postmill.llm import decontaminate as d
+
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(f"i{k}", f"{shared} own{k}") for k in range(20_000)] + [("short", "s1 s2"), (None, shared)]
+    frequency = {w: 1 for _, text in items for w in d.words_of(text)}
+    index = d.Index(items, frequency, 10)
+    assert len(index.place) == 3 + 20_000 + 1  # three of the shared words, one with each item's own, the short item
+    began = time.time()
+    spans, found = index.find(d.words_of(shared + " own7 " + shared))
+    assert time.time() - began < 0.2
+    assert found == {f"i{k}" for k in range(20_000)} | {"short"}
+    assert spans == sorted({(a + k, a + k + 10) for a in (0, 13) for k in range(3)} | {(3, 13), (1, 3), (14, 16)})
+
+
+def test_columns_of_any_name(spark):
+    from postmill.llm import quality_rules
+
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for name in ("__words", "__body", "__lines", "__measured", "words", "lines"):
+        docs = docs.withColumn(name, F.lit(name))
+    row = quality_rules.ledger(docs).first().asDict()
+    assert row["n_words"] == 3 and all(row[n] == n for n in ("__words", "__body", "__lines", "__measured", "words", "lines"))
+
+
+def test_groups_of_texts_are_bounded():
+    import pyarrow as pa
+
+    from postmill.llm import pii
+
+    texts = ["x" * n for n in (5, 90, 4, 4, 4, 200, 1)] + [None] * 9
+    groups = list(pii.batches_of(pa.array(texts), 4, 100))
+    assert [t for g in groups for t in g] == [t or "" for t in texts]
+    assert all(len(g) == 1 or (len(g) <= 4 and sum(map(len, g)) <= 100) for g in groups)
