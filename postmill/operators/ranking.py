@@ -67,6 +67,12 @@ def interleave(df: DataFrame, group: str = "source", seq: str = "seq") -> DataFr
     return df.withColumn("round", within).withColumn("group_first", first)
 
 
+def first_of_pools(df: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` rows of each pool with their ``pool_order``: all that a budget of ``limit`` can take, so pools are never sorted whole."""
+    kept = [df.filter(F.col("pool") == pool).orderBy(*order).limit(limit) for pool in ("TARGETED", "EXPLORATION")]
+    return kept[0].unionByName(kept[1]).withColumn("pool_order", F.row_number().over(Window.partitionBy("pool").orderBy(*order)))
+
+
 def fetch_budget(df: DataFrame, limit: int, ratio: float = 0.8) -> DataFrame:
     """Split a budget between the TARGETED and EXPLORATION pools; unused room goes to exploration first.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import policy, text
 from postmill.operators import dedup, filters, joins, ranking, scoring
+from postmill.operators.sinks import spill
 from postmill.plans.functions_queries import _company, _sp, _url, roles_of
 from postmill.sources.fixtures import REF, postings, with_postings
 
@@ -116,14 +117,22 @@ def register(add) -> None:
         add(name, lambda spark, d, f=fn: f(normalize(raw_records(spark, d))).select("id", "seq", "source", "location", "description", F.array_join("skills", "|").alias("skills"), F.array_join("roles", "|").alias("roles"), "n_merged"),
             with_postings(f", {RAW_SQL}, {NORM_SQL}, {_merge_sql('m', 'norm', key)} SELECT id, seq, source, location, description, array_to_string(skills, '|') AS skills, array_to_string(roles, '|') AS roles, n_merged FROM m"))
 
-    def stats(spark, d):
-        n = normalize(raw_records(spark, d))
-        once = source_dedup(n).drop("source_refs", "n_merged")
-        flagged = filters.removal_reason(once, ref_date())
-        merged = cross_dedup(flagged.filter("removed IS NULL"))
-        one = lambda df, label: df.agg(F.count("*").alias("n")).select(F.lit(label).alias("metric"), "n")
-        return one(n, "collected").unionByName(one(once, "after_source")).unionByName(one(flagged.filter("removed = 'expired'"), "expired")).unionByName(one(flagged.filter("removed = 'stale'"), "stale")).unionByName(one(merged, "after_cross"))
+    def flagged(spark, d):
+        """Rows after the first dedup, with how many they merged and why they go: written once, so that counters need no second pass over the raw rows."""
+        once = source_dedup(normalize(raw_records(spark, d))).drop("source_refs")
+        return spill(filters.removal_reason(once, ref_date()), "flagged")
 
+    def stats(spark, d):
+        rows = flagged(spark, d)
+        merged = cross_dedup(rows.filter("removed IS NULL").drop("n_merged"))
+        before = rows.agg(F.sum("n_merged").alias("collected"), F.count("*").alias("after_source"), F.count_if(col("removed") == "expired").alias("expired"), F.count_if(col("removed") == "stale").alias("stale"))
+        names = before.columns
+        counts = before.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(col(c), F.lit(0)).alias("n")) for c in names])).alias("m")).select("m.*")
+        return counts.unionByName(merged.agg(F.count("*").alias("n")).select(F.lit("after_cross").alias("metric"), "n"))
+
+    add("E13_C03_stats_per_source", lambda spark, d: flagged(spark, d).groupBy("source").agg(F.sum("n_merged").alias("collected"), F.count("*").alias("after_source"), F.count_if(col("removed") == "expired").alias("expired"), F.count_if(col("removed") == "stale").alias("stale")),
+        with_postings(f"""{COLLECT_SQL} SELECT source, sum(n_merged) AS collected, count(*) AS after_source, count(*) FILTER (WHERE coalesce(deadline < DATE '{REF}', false)) AS expired,
+          count(*) FILTER (WHERE NOT coalesce(deadline < DATE '{REF}', false) AND NOT ({_KEEP})) AS stale FROM once GROUP BY 1"""))
     add("E05_E13_C03_collection_stats", stats,
         with_postings(f"""{COLLECT_SQL} SELECT 'collected' AS metric, count(*) AS n FROM norm UNION ALL SELECT 'after_source', count(*) FROM once
           UNION ALL SELECT 'expired', count(*) FROM once WHERE coalesce(deadline < DATE '{REF}', false)
@@ -141,9 +150,7 @@ def register(add) -> None:
 
     def budget(spark, d):
         p = postings(spark, d).select("id", F.when(col("id") % 5 == 0, "EXPLORATION").otherwise("TARGETED").alias("pool"))
-        from pyspark.sql import Window
-
-        return ranking.fetch_budget(p.withColumn("pool_order", F.row_number().over(Window.partitionBy("pool").orderBy(col("id").desc()))), 150)
+        return ranking.fetch_budget(ranking.first_of_pools(p, 150, col("id").desc()), 150)
 
     add("F05_E06_fetch_budget", budget,
         with_postings("""SELECT id, pool, pool_order FROM (SELECT *, count(*) FILTER (WHERE pool = 'TARGETED') OVER () AS t, count(*) FILTER (WHERE pool = 'EXPLORATION') OVER () AS e,

@@ -285,7 +285,7 @@ def register(add) -> None:
         # verdicts depend on the posting's facts only: one row per distinct pair of facts and user
         facts = p.groupBy("category", "groups").agg(F.count("*").alias("n"))
         u = user_profiles(users(spark, d))
-        return facts.join(F.broadcast(u), F.lit(True)).select(
+        return facts.crossJoin(u).select(  # the report is a row per user and kind of posting
             "user_id", "category", F.array_join("groups", ",").alias("groups"), "n",
             policy.experience_verdict(col("level_list"), col("level_categories"), col("category")).alias("experience"),
             policy.role_verdict(col("acceptable"), col("groups")).alias("role"),

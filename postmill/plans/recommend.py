@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import dates, policy, text
 from postmill.operators import filters, ranking, scoring
+from postmill.operators.sinks import spill
 from postmill.plans.functions_queries import (
     PRIMARY, _category, _groups, _host_url, csv, user_profiles, users_roles_sql,
 )
@@ -139,6 +140,42 @@ def class_verdicts(fact: DataFrame, user: DataFrame) -> DataFrame:
     return verdicts(classes.join(profiles(user)), ("n",))
 
 
+#: What of a posting and of a user the filter reasons depend on.
+REASON_CLASS = ("missing", "expired", "groups", "filter_category", "employment_type", "status", "job_domain", "a_groups", "scope", "recruitment_type", "accepts_new_grad", "min_years", "requirement", "tracks")
+REASON_PROFILE = ("acceptable", "level_list", "level_categories", "new_grad", "u_employment_types")
+
+
+def reason_counts(fact: DataFrame, user: DataFrame, *by: tuple[str, Column]) -> DataFrame:
+    """Per user and value of ``by`` (named columns over match, keyword_reason and class_reason): the number ``n`` of postings and of ``eligible`` ones.
+
+    Verdicts are worked out per facet, once for each pair of distinct values: roles, levels and employment by keyword rules, and the analysis with the user's groups and level.
+    Facts are counted per combination of facets, and the verdicts join them by facet and profile. A profile's users get its counts by an equi-join.
+    """
+    col = F.col
+    facets = fact.groupBy(*REASON_CLASS).agg(F.count("*").alias("n"))
+    analysis = ("status", "job_domain", "a_groups", "scope", "recruitment_type", "accepts_new_grad", "min_years", "requirement", "tracks")
+    keyed = spill(facets.withColumn("k_id", F.xxhash64(*[F.to_json(F.struct(c)) for c in analysis])).withColumn("g_id", F.xxhash64(F.to_json(F.struct("groups")))), "facets")
+    u = profiles(user).withColumn("p_id", F.xxhash64(*[F.to_json(F.struct(c)) for c in REASON_PROFILE])).withColumn("a_id", F.xxhash64(F.to_json(F.struct("acceptable", "new_grad"))))
+    u = spill(u.select("user_id", "p_id", "a_id", *REASON_PROFILE), "reason-profiles")
+    kinds = u.dropDuplicates(["p_id"]).drop("user_id")
+    # the analysis for each distinct pair of (groups, new graduate) and analysis: the costly part, once
+    exp = policy.experience_match(col("accepts_new_grad"), col("min_years"), col("requirement"), col("recruitment_type"), col("new_grad"))
+    pairs = keyed.dropDuplicates(["k_id"]).select("k_id", *analysis).crossJoin(kinds.dropDuplicates(["a_id"]).select("a_id", "acceptable", "new_grad"))
+    pairs = pairs.withColumn("single", scoring.single_role_match(col("a_groups"), col("acceptable"), exp)).withColumn("multi", scoring.multi_role_match(col("tracks"), col("acceptable"), col("new_grad"), policy.experience_match, scoring.IT_GROUPS))
+    match = scoring.classification_match(col("single"), col("multi"), col("status"), col("job_domain"), col("scope"), col("tracks"))
+    matches = spill(pairs.select("k_id", "a_id", match.alias("match")), "matches")
+    # the other facets have few values and cheap verdicts
+    slim = keyed.groupBy("k_id", "missing", "expired", "groups", "filter_category", "employment_type").agg(F.sum("n").alias("n"))
+    joined = slim.join(matches, "k_id").join(kinds, "a_id")
+    wanted = col("u_employment_types")
+    mismatch = (F.size(wanted) > 0) & (F.coalesce("employment_type", F.lit("")) != "") & ~F.exists(wanted, lambda x: F.lower(x) == F.lower(col("employment_type")))
+    reason = filters.recommendation_reason(col("missing"), col("expired"), policy.role_verdict(col("acceptable"), col("groups")), policy.experience_verdict(col("level_list"), col("level_categories"), col("filter_category")), mismatch)
+    told = joined.withColumn("keyword_reason", reason).withColumn("class_reason", filters.classified_reason(reason, col("missing"), col("expired"), col("match"), mismatch))
+    named = [c.alias(name) for name, c in by]
+    counted = told.groupBy("p_id", *named).agg(F.sum("n").alias("n"), F.sum(F.when(col("match.eligible"), col("n")).otherwise(0)).alias("eligible"))
+    return u.select("user_id", "p_id").join(counted, "p_id").drop("p_id")
+
+
 #: How a classification mode filters and ranks: by keywords, or by the analysis.
 MODES = {"ENFORCE": ("class_reason", "class_score"), "SHADOW": ("keyword_reason", "keyword_score"), "OFF": ("keyword_reason", "keyword_score")}
 
@@ -291,7 +328,7 @@ def register(add) -> None:
 
     add(
         "C05_C06_filter_reasons",
-        lambda spark, d: all_scored(spark, d).groupBy("user_id", "keyword_reason", "class_reason").agg(F.sum("n").alias("n")),
+        lambda spark, d: reason_counts(facts(postings(spark, d), analyses(spark, d)), users(spark, d), ("keyword_reason", F.col("keyword_reason")), ("class_reason", F.col("class_reason"))).drop("eligible"),
         with_postings(f", {SCORED_SQL} SELECT user_id, keyword_reason, class_reason, count(*) AS n FROM s GROUP BY ALL"),
     )
     add(
@@ -302,7 +339,7 @@ def register(add) -> None:
     )
     add(
         "K08_K12_eligibility",
-        lambda spark, d: all_scored(spark, d).groupBy("user_id", F.col("match.deferred").alias("deferred"), F.col("match.non_it").alias("non_it"), F.col("match.role").alias("role")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("match.eligible"), F.col("n")).otherwise(0)).alias("eligible")),
+        lambda spark, d: reason_counts(facts(postings(spark, d), analyses(spark, d)), users(spark, d), *[(k, F.col(f"match.{k}")) for k in ("deferred", "non_it", "role")]),
         with_postings(f", {SCORED_SQL} SELECT user_id, deferred, non_it, role_match AS role, count(*) AS n, count(*) FILTER (WHERE role_match <> 'MISMATCH' AND class_exp <> 'EXCLUDED' AND NOT non_it) AS eligible FROM s GROUP BY ALL"),
     )
     add(
