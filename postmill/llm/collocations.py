@@ -48,12 +48,17 @@ SEP = "\x00"
 _SEP = SEP.encode()
 
 
-def pieces_of(text: bytes) -> list[list[bytes]]:
-    """The words of each piece, escaped."""
+def escaped(text: bytes) -> bytes:
+    """A text in lower case with a line feed for each end of a piece; bytes 0 and 1 are escaped, since 0 parts words."""
     text = text.translate(_BYTES)
     if _SEP in text or b"\x01" in text:
         text = text.replace(b"\x01", b"\x01\x02").replace(_SEP, b"\x01\x01")
-    return [words for piece in text.split(b"\n") if (words := piece.split())]
+    return text
+
+
+def pieces_of(text: bytes) -> list[list[bytes]]:
+    """The words of each piece, escaped."""
+    return [words for piece in escaped(text).split(b"\n") if (words := piece.split())]
 
 
 def plain(phrase: Column) -> Column:
@@ -77,16 +82,17 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
     """(language, its code, number of its words), a row per language, and the prefixes to split."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[list[bytes]]] = {}
+        held: dict[str, list[bytes]] = {}
 
         def report(size: int) -> pa.RecordBatch:
+            # words of neighbouring pieces count as neighbours here: more may be split than must
             bar, rows = size // (2 * hot_share), []
-            for lang, pieces in held.items():
-                rows.append((lang, None, sum(map(len, pieces))))
-                often = {(w,): c for w, c in Counter(chain.from_iterable(pieces)).items() if c > bar}
+            for lang, words in held.items():
+                rows.append((lang, None, len(words)))
+                often = {(w,): c for w, c in Counter(words).items() if c > bar}
                 known = {w for (w,) in often}
                 for n in range(2, max_n):
-                    grams = [g for words in pieces for g in zip(*(words[k:] for k in range(n)), strict=False) if g[0] in known]
+                    grams = [g for g in zip(*(words[k:] for k in range(n)), strict=False) if g[0] in known]
                     often |= {g: c for g, c in Counter(grams).items() if c > bar}
                 rows += [(lang, _SEP.join(g), c) for g, c in often.items()]
             held.clear()
@@ -96,9 +102,11 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for words in pieces_of(text.as_py()):
-                    held.setdefault(lang, []).append(words)
-                    size += len(words)
+                words = escaped(text.as_py()).split()
+                for k in range(0, len(words), chunk):  # a long text is several chunks
+                    part = words[k : k + chunk]
+                    held.setdefault(lang, []).extend(part)
+                    size += len(part)
                     if size >= chunk:
                         yield report(size)
                         size = 0
@@ -117,10 +125,10 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
 def packed_suffixes(sent: DataFrame, max_n: int, codes: dict[str, bytes], hot: set[bytes], buckets: int) -> DataFrame:
     """(bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
 
-    ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size. A pack holds
-    its suffixes by line, without a row's overhead for each.
+    ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size. A pack is one
+    row of two lists, without a row's overhead for each suffix.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.string()), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def place(key: bytes) -> tuple[int, int]:
         """Bucket and cut of a suffix whose first word is hot."""
@@ -144,9 +152,11 @@ def packed_suffixes(sent: DataFrame, max_n: int, codes: dict[str, bytes], hot: s
             keys.append(key)
             counts.append(n)
         table.clear()
-        packs = pa.array([b"\n".join(keys) for keys, _ in groups.values()], pa.binary()).cast(pa.string())
-        counts = pa.array([n for _, n in groups.values()], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int32()), pa.array([c for _, c in groups], pa.int32()), packs, counts], schema=schema)
+        ends = pa.array(np.cumsum([0, *(len(keys) for keys, _ in groups.values())]), pa.int32())
+        suffixes = pa.array(list(chain.from_iterable(keys for keys, _ in groups.values())), pa.binary()).cast(pa.string())
+        counts = pa.array(np.fromiter(chain.from_iterable(n for _, n in groups.values()), np.int64, len(suffixes)))
+        lists = [pa.ListArray.from_arrays(ends, suffixes), pa.ListArray.from_arrays(ends, counts)]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int32()), pa.array([c for _, c in groups], pa.int32()), *lists], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Counter = Counter()
@@ -170,13 +180,13 @@ def packed_suffixes(sent: DataFrame, max_n: int, codes: dict[str, bytes], hot: s
         if table:
             yield pack(table)
 
-    return sent.mapInArrow(count, "bucket int, cut int, suffixes string, counts array<bigint>")
+    return sent.mapInArrow(count, "bucket int, cut int, suffixes array<string>, counts array<bigint>")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
     """(suffix, n, cut), a row per counted suffix."""
-    rows = F.arrays_zip(F.split("suffixes", "\n").alias("suffix"), F.col("counts").alias("n"))
-    return packed.select("cut", F.explode(rows).alias("r")).select("r.suffix", F.col("r.n").cast("long").alias("n"), "cut")
+    rows = F.arrays_zip(F.col("suffixes").alias("suffix"), F.col("counts").alias("n"))
+    return packed.select("cut", F.explode(rows).alias("r")).select("r.suffix", "r.n", "cut")
 
 
 def _size(phrase: Column) -> Column:
