@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postmill.plans import (
-    collect, functions_queries, label_queries, more_queries, recommend, relational, resolution_queries, small_queries, source_queries, streaming_queries, validation_queries, workflow_queries,
+    collect, functions_queries, label_queries, mapping_queries, more_queries, recommend, relational, resolution_queries, small_queries, source_queries, streaming_queries, validation_queries, workflow_queries,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,5 +25,5 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLES[name] = sql
 
 
-for module in (functions_queries, recommend, collect, relational, resolution_queries, small_queries, source_queries, streaming_queries, more_queries, validation_queries, label_queries, workflow_queries):
+for module in (functions_queries, recommend, collect, relational, resolution_queries, small_queries, source_queries, streaming_queries, more_queries, validation_queries, label_queries, workflow_queries, mapping_queries):
     module.register(_add)

@@ -13,6 +13,8 @@ from postmill.functions import dates, text
 
 # Employment words of postings, and endings that a page title drops.
 EMPLOYMENT_WORDS = ("정규직", "계약직", "인턴", "파견직", "프리랜서")
+TITLE_ENDS = (" | 채용", " - 채용", " | 채용공고", " | Jobs", " | Careers", " | 경력채용", " | 신입채용")
+COMPANY_ICON = "기업 아이콘"
 UNKNOWN_DAY = "0001-01-01"
 
 
@@ -107,21 +109,58 @@ def visible(markup: Column) -> Column:
     return text.collapse(F.regexp_replace(F.regexp_replace(markup, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]+>", " "))
 
 
+def employment_word(words: Column) -> Column:
+    """The first employment word in the order of the list that a text has."""
+    return F.coalesce(*[F.when(F.contains(words, F.lit(w)), w) for w in EMPLOYMENT_WORDS])
+
+
+def without_ends(title: Column) -> Column:
+    """A title less each of the usual endings, in their order."""
+    for end in TITLE_ENDS:
+        title = F.regexp_replace(title, rf"\Q{end}\E\z", "")
+    return F.trim(title)
+
+
 def parse_page(markup: Column) -> Column:
-    """Struct (title, employment, deadline) of a posting page: first short h1, else the title element."""
+    """Struct (title, employment, deadline) of a posting page: first short h1, else the title element without the usual endings."""
     h1 = visible(F.regexp_extract(markup, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    title = visible(F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = without_ends(visible(F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1)))
     words = visible(markup)
     return F.struct(
         F.when((h1 != "") & (F.length(h1) < 200), h1).otherwise(F.nullif(title, F.lit(""))).alias("title"),
-        F.nullif(F.regexp_extract(words, "(" + "|".join(EMPLOYMENT_WORDS) + ")", 1), F.lit("")).alias("employment"),
+        employment_word(words).alias("employment"),
         dates.last_korean_date(words).alias("deadline"),
     )
 
 
-def page_links(markup: Column, include: str) -> Column:
-    """Distinct link targets that match ``include``, in page order."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(markup, F.lit(r'href="([^"]+)"'), F.lit(1)), lambda u: u.rlike(include)))
+def parse_posting(markup: Column) -> Column:
+    """Struct (company, title, employment, deadline) of an aggregator's posting page, or null without company or title.
+
+    The company is named by the alternative text of its icon; the title is the first h1 with text, else the first h2.
+    """
+    icon = F.get(F.filter(F.regexp_extract_all(markup, F.lit(r"(?is)<img[^>]*?\balt\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)), lambda a: F.contains(a, F.lit(COMPANY_ICON))), F.lit(0))
+    company = given(F.replace(icon, F.lit(COMPANY_ICON), F.lit("")))
+    heading = lambda tag: F.nullif(visible(F.regexp_extract(markup, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)), F.lit(""))
+    title = F.coalesce(heading("h1"), heading("h2"))
+    words = visible(markup)
+    row = F.struct(company.alias("company"), title.alias("title"), employment_word(words).alias("employment"), dates.last_korean_date(words).alias("deadline"))
+    return F.when(company.isNotNull() & title.isNotNull(), row)
+
+
+def page_links(markup: Column, include: str, base: Column | None = None, exclude: str | None = None, limit: int | None = None) -> Column:
+    """Distinct link targets that match ``include`` and not ``exclude``, in page order, at most ``limit``.
+
+    With ``base``, targets are made absolute against it, and those of another origin are left out.
+    """
+    links = F.regexp_extract_all(markup, F.lit(r'href="([^"]+)"'), F.lit(1))
+    if base is not None:
+        origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+        folder = F.regexp_replace(F.regexp_extract(base, r"^([^?#]*)", 1), r"(?<=[^/:])/[^/]*$", "")
+        whole = lambda u: F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(F.startswith(u, F.lit("/")), F.concat(origin, u)).otherwise(F.concat(folder, F.lit("/"), u))
+        links = F.filter(F.transform(links, whole), lambda u: (u == origin) | F.startswith(u, F.concat(origin, F.lit("/"))))
+    kept = F.filter(links, lambda u: u.rlike(include) & (~u.rlike(exclude) if exclude else F.lit(True)))
+    found = F.array_distinct(kept)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def embedded_json(markup: Column, element_id: str = "__NEXT_DATA__") -> Column:
