@@ -48,6 +48,12 @@ def overflow_label(names: Column, shown: int = 3) -> Column:
     return F.when(more > 0, F.concat(head, F.lit(" 외 "), more.cast("string"), F.lit("개"))).otherwise(head)
 
 
+def overflow_of(first: str, n: Column, shown: int = 3) -> Column:
+    """As :func:`overflow_label` from the first names, already cut, and the number of all."""
+    head = F.array_join(first, ", ")
+    return F.when(n > shown, F.concat(head, F.lit(" 외 "), (n - shown).cast("string"), F.lit("개"))).otherwise(head)
+
+
 def first_of(rows: DataFrame, key: str, *order: str, k: int = 7) -> DataFrame:
     """The first ``k`` rows of each key with their ``place``: what one report shows."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))

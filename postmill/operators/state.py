@@ -155,3 +155,36 @@ def apply_backfill(analyses: DataFrame, chosen: DataFrame, version: str) -> Data
         F.when(take, F.col("new_hash")).otherwise(F.col("input_hash")).alias("input_hash"),
         F.when(take, version).otherwise(F.col("version")).alias("version"),
     )
+
+
+#: Columns of a company source that a request may set, and those whose change voids a verification.
+SOURCE_FIELDS, CORE_FIELDS = ("source_type", "url", "adapter", "status", "config"), ("source_type", "url", "adapter", "config")
+
+
+def _same_config(a: Column, b: Column) -> Column:
+    """Equal as JSON objects: the order of keys doesn't count."""
+    entries = lambda c: F.array_sort(F.map_entries(F.from_json(F.coalesce(c, F.lit("{}")), "map<string,string>")))
+    return entries(a).eqNullSafe(entries(b))
+
+
+def update_sources(old: DataFrame, requests: DataFrame) -> DataFrame:
+    """Company sources after update requests, with ``outcome``: KEPT, UPDATED, RESET (a core field changed, so it must be verified again) or DUPLICATE (rejected).
+
+    ``old`` has id, company_id, the fields, verification and verified_at; ``requests`` id and the fields, null where they stay. Types, adapters and states are upper-cased.
+    A request that would make a source equal to another of its company in type and address is rejected.
+    """
+    norm = lambda name, c: F.upper(F.trim(c)) if name in ("source_type", "adapter", "status") else c
+    r = requests.select("id", *[norm(c, F.col(c)).alias(f"r_{c}") for c in SOURCE_FIELDS], F.lit(True).alias("asked"))
+    new = old.join(r, "id", "left").withColumns({f"n_{c}": F.coalesce(f"r_{c}", c) for c in SOURCE_FIELDS})
+    others = old.select(F.col("id").alias("o_id"), F.col("company_id").alias("o_company"), F.col("source_type").alias("o_type"), F.col("url").alias("o_url"))
+    clash = (F.col("company_id") == F.col("o_company")) & (F.col("n_source_type") == F.col("o_type")) & (F.col("n_url") == F.col("o_url")) & (F.col("id") != F.col("o_id"))
+    taken = new.filter("asked").join(others, clash, "left_semi").select("id", F.lit(True).alias("taken"))
+    changed = ~F.col("n_source_type").eqNullSafe(F.col("source_type")) | ~F.col("n_url").eqNullSafe(F.col("url")) | ~F.col("n_adapter").eqNullSafe(F.col("adapter")) | ~_same_config(F.col("n_config"), F.col("config"))
+    told = new.join(taken, "id", "left").withColumn("outcome", F.when(F.col("asked").isNull(), "KEPT").when(F.col("taken"), "DUPLICATE").when(changed, "RESET").otherwise("UPDATED"))
+    applies, reset = F.col("outcome").isin("UPDATED", "RESET"), F.col("outcome") == "RESET"
+    values = {c: F.when(applies, F.col(f"n_{c}")).otherwise(F.col(c)) for c in SOURCE_FIELDS}
+    values["status"] = F.when(reset, "PENDING").otherwise(values["status"])
+    return told.select(
+        "id", "company_id", "outcome", *[v.alias(k) for k, v in values.items()],
+        F.when(reset, "UNVERIFIED").otherwise(F.col("verification")).alias("verification"), F.when(~reset, F.col("verified_at")).alias("verified_at"),
+    )

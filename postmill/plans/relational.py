@@ -84,7 +84,15 @@ def register(add) -> None:
         return w.groupBy("skill").agg(F.min(F.struct("seq", "pos")).alias("first")).select("skill", col("first.seq").alias("first_seq"), col("first.pos").alias("first_pos"))
 
     add("E12_ordered_distinct_union", seeds, with_postings("SELECT skill, first.seq AS first_seq, first.pos AS first_pos FROM (SELECT skill, min({'seq': seq, 'pos': pos}) AS first FROM (SELECT seq, unnest(ls) AS skill, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT seq, from_json(skills_json, '[\"VARCHAR\"]') AS ls FROM postings) a) b GROUP BY skill) c"))
-    add("E14_E17_E23_per_source", lambda s, d: postings(s, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(col("deadline").isNull()).alias("open_ended"), reports.overflow_label(F.array_sort(F.collect_set("company"))).alias("label")),
+    def per_source(s, d):
+        """Tallies, and the first three companies with how many more there are: three are gathered per source, the rest are counted."""
+        p = postings(s, d)
+        names = p.select("source", "company").distinct()
+        first = names.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("company"))).filter("r <= 3").groupBy("source").agg(F.array_sort(F.collect_list("company")).alias("first"))
+        counted = p.groupBy("source").agg(F.count("*").alias("n"), F.count_if(col("deadline").isNull()).alias("open_ended")).join(names.groupBy("source").agg(F.count("*").alias("names")), "source").join(first, "source")
+        return counted.select("source", "n", "open_ended", reports.overflow_of("first", col("names")).alias("label"))
+
+    add("E14_E17_E23_per_source", per_source,
         with_postings("SELECT source, count(*) AS n, count(*) FILTER (WHERE deadline IS NULL) AS open_ended, array_to_string(list_sort(list(DISTINCT company))[1:3], ', ') || CASE WHEN count(DISTINCT company) > 3 THEN ' 외 ' || CAST(count(DISTINCT company) - 3 AS VARCHAR) || '개' ELSE '' END AS label FROM postings GROUP BY 1"))
     add("E15_E16_outcomes", lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.count_if(col("event_type") == "error").alias("failed"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(col("event_type") == "error", F.concat(col("event_type"), F.lit(":"), F.weekday("ts").cast("string"))))), ", ").alias("failures")).select("user_id", "failures", F.when(col("failed") == 0, "COMPLETED").when(col("failed") == col("n"), "FAILED").otherwise("PARTIAL_SUCCESS").alias("outcome"), "failed"),
         "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'COMPLETED' WHEN count(*) FILTER (WHERE event_type = 'error') = count(*) THEN 'FAILED' ELSE 'PARTIAL_SUCCESS' END AS outcome, count(*) FILTER (WHERE event_type = 'error') AS failed, coalesce(array_to_string(list_sort(list(DISTINCT 'error:' || CAST((isodow(ts) - 1) AS VARCHAR)) FILTER (WHERE event_type = 'error')), ', '), '') AS failures FROM events GROUP BY 1")

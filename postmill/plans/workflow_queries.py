@@ -176,6 +176,22 @@ def register(add) -> None:
         with_postings(f"""SELECT CASE WHEN r LIKE 'ALREADY%' OR r IS NULL THEN status ELSE 'PENDING' END AS status, CASE WHEN r LIKE 'ALREADY%' OR r IS NULL THEN CASE WHEN posting_id % 7 = 0 THEN '0.9' ELSE '1.0' END ELSE '1.0' END AS version, count(*) AS n
           FROM (SELECT coalesce(a.posting_id, z.id) AS posting_id, a.status, z.reason AS r FROM analyses a FULL JOIN (SELECT * FROM ({chosen('false')}) WHERE reason NOT LIKE 'ALREADY%') z ON z.id = a.posting_id) w GROUP BY ALL"""))
 
+    def source_updates(s, d):
+        sup = s.read.parquet(f"{d}/supplier.parquet")
+        i = col("s_suppkey")
+        old = sup.select(i.alias("id"), (i % 20).alias("company_id"), F.lit("OFFICIAL_CAREER").alias("source_type"), F.concat(F.lit("https://s/"), i.cast("string")).alias("url"), F.lit("RSS").alias("adapter"), F.lit("ACTIVE").alias("status"),
+                         F.lit('{"a":1,"b":{"c":2}}').alias("config"), F.lit("VERIFIED").alias("verification"), F.lit("2001-08-01").alias("verified_at"))
+        none = F.lit(None).cast("string")
+        kind = i % 6
+        asked = sup.filter("s_suppkey % 7 > 0").select(i.alias("id"), F.when(kind == 0, " official_career ").alias("source_type"), F.when(kind == 1, F.concat(F.lit("https://s/"), (i + 20).cast("string"))).when(kind == 2, "https://new").alias("url"),
+                         F.when(kind == 3, "sitemap").otherwise(none).alias("adapter"), F.when(kind == 0, "paused").alias("status"), F.when(kind == 4, '{"b":{"c":2},"a":1}').when(kind == 5, '{"a":2}').alias("config"))
+        return state.update_sources(old, asked).drop("source_type")
+
+    add("B19_source_updates", source_updates, """SELECT id, company_id, outcome, CASE WHEN outcome = 'RESET' AND k = 2 THEN 'https://new' WHEN outcome = 'RESET' AND k = 1 THEN 'https://s/' || (id + 20) ELSE 'https://s/' || id END AS url, CASE WHEN outcome = 'RESET' AND k = 3 THEN 'SITEMAP' ELSE 'RSS' END AS adapter,
+      CASE WHEN outcome = 'RESET' THEN 'PENDING' WHEN outcome = 'UPDATED' AND k = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status, CASE WHEN outcome = 'UPDATED' AND k = 4 THEN '{"b":{"c":2},"a":1}' WHEN outcome = 'RESET' AND k = 5 THEN '{"a":2}' ELSE '{"a":1,"b":{"c":2}}' END AS config,
+      CASE WHEN outcome = 'RESET' THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS verification, CASE WHEN outcome <> 'RESET' THEN '2001-08-01' END AS verified_at
+      FROM (SELECT s_suppkey AS id, s_suppkey % 20 AS company_id, s_suppkey % 6 AS k, CASE WHEN s_suppkey % 7 = 0 THEN 'KEPT' WHEN s_suppkey % 6 = 1 AND s_suppkey + 20 IN (SELECT s_suppkey FROM supplier) THEN 'DUPLICATE' WHEN s_suppkey % 6 IN (1, 2, 3, 5) THEN 'RESET' ELSE 'UPDATED' END AS outcome FROM supplier) q""")
+
     def seeds(s, d):
         u = users(s, d)
         kind = lambda k: u.select("user_id", F.lit(k).alias("kind"), F.posexplode(csv(col(k))).alias("pos", "value"))
