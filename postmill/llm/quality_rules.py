@@ -141,14 +141,17 @@ def fit_lexicon(
 def measure(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] | list[str] = ABUSIVE) -> DataFrame:
     """Append the measurement columns (one projection pass over the text, no shuffle)."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    own = F.struct(split_words(F.col(f"`{text}`")).alias("words"), body.alias("body"), F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
-    # one struct under a name that no input column has, so that inputs may be called anything
-    held = "__measured"
-    while held in docs.columns:
-        held += "_"
     others = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
-    words, text_of, lines = (F.col(held)[c] for c in ("words", "body", "lines"))
-    return docs.select(*others, own.alias(held)).select(
+    # columns under names that no input column has, so that inputs may be called anything; a struct would be taken apart and worked out for each use
+    names, taken = [], {c.lower() for c in docs.columns}
+    for name in ("__words", "__body", "__lines"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    words, text_of, lines = map(F.col, names)
+    tokens = docs.select(*others, split_words(F.col(f"`{text}`")).alias(names[0]), body.alias(names[1]))
+    tokens = tokens.select(*others, words, text_of, F.filter(F.split(text_of, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias(names[2]))
+    return tokens.select(
         *others,
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
