@@ -27,6 +27,11 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions: for few rows that a join is about to make many, which adaptive execution would leave to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def write_messages(messages: DataFrame, path: str) -> None:
     """One file for each message (to, subject, message_id, content): headers, a rule, the content."""
     text = F.concat(F.lit("To: "), "to", F.lit("\nSubject: "), "subject", F.lit("\nMessage-Id: "), "message_id", F.lit("\n---\n"), "content")

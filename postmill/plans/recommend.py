@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import dates, policy, text
 from postmill.operators import filters, ranking, scoring
-from postmill.operators.sinks import spill
+from postmill.operators.sinks import scratch_path, spill, spread
 from postmill.plans.functions_queries import (
     PRIMARY, _category, _groups, _host_url, csv, user_profiles, users_roles_sql,
 )
@@ -94,11 +94,6 @@ def profiles(user: DataFrame) -> DataFrame:
     return u.select("user_id", "acceptable", "level_list", "level_categories", "new_grad", *[csv(F.col(c)).alias(f"u_{c}") for c in lists])
 
 
-#: What of a posting a verdict depends on; postings equal in these are one class for every user.
-CLASS_OF = (
-    "missing", "expired", "groups", "filter_category", "level_category", "employment_type", "company", "skills_json", "location", "industry_list",
-    "company_size", "official", "status", "job_domain", "a_groups", "scope", "recruitment_type", "accepts_new_grad", "min_years", "requirement", "tracks",
-)
 SHOWN = ("id", "company", "title", "deadline", "first_seen", "canonical", "is_new", "is_urgent")
 
 
@@ -131,13 +126,79 @@ def verdicts(pairs: DataFrame, shown: tuple[str, ...] = SHOWN) -> DataFrame:
     )
 
 
+_ANALYSIS = ("status", "job_domain", "a_groups", "scope", "recruitment_type", "accepts_new_grad", "min_years", "requirement", "tracks")
+#: What a verdict hangs on, by facet: columns of the posting and of the user.
+FACETS = {
+    "role": (("groups",), ("acceptable",)), "filter_exp": (("filter_category",), ("level_list", "level_categories")), "score_exp": (("level_category",), ("level_list", "level_categories")),
+    "analysis": (_ANALYSIS, ("acceptable", "new_grad")), "company": (("company",), ("u_companies",)), "skill": (("skills_json",), ("u_skills",)), "industry": (("industry_list",), ("u_industries",)),
+    "location": (("location",), ("u_locations",)), "employment": (("employment_type",), ("u_employment_types",)), "company_size": (("company_size",), ("u_company_sizes",)),
+}
+
+
+def with_facets(rows: DataFrame, side: int) -> DataFrame:
+    """``rows`` with an id per facet (64-bit hashes of its values): ``f_`` of postings (side 0), ``p_`` of users (side 1)."""
+    return rows.withColumns({f"{'fp'[side]}_{name}": F.xxhash64(F.to_json(F.struct(*columns[side]))) for name, columns in FACETS.items()})
+
+
+def facet_values(fact: DataFrame, user: DataFrame) -> DataFrame:
+    """Verdict, points, flag and match of each facet for each pair of values that postings and users have, written once by facet.
+
+    ``fact`` and ``user`` have their facet ids. The products are of distinct values, not of rows.
+    """
+    col = F.col
+    exp = policy.experience_match(col("accepts_new_grad"), col("min_years"), col("requirement"), col("recruitment_type"), col("new_grad"))
+    multi = scoring.multi_role_match(col("tracks"), col("acceptable"), col("new_grad"), policy.experience_match, scoring.IT_GROUPS)
+    match = scoring.classification_match(scoring.single_role_match(col("a_groups"), col("acceptable"), exp), multi, col("status"), col("job_domain"), col("scope"), col("tracks"))
+    prefs = {k: col(f"u_{k}") for k in ("skills", "companies", "locations", "employment_types", "industries", "company_sizes")}
+    parts = scoring.keyword_score(F.lit(""), prefs, col("company"), col("skills_json"), F.lit(""), col("location"), col("employment_type"), col("industry_list"), col("company_size"), F.lit(False))
+    wanted = col("u_employment_types")
+    mismatch = (F.size(wanted) > 0) & (F.coalesce("employment_type", F.lit("")) != "") & ~F.exists(wanted, lambda x: F.lower(x) == F.lower(col("employment_type")))
+    verdict = {"role": policy.role_verdict(col("acceptable"), col("groups"))} | {
+        k: policy.experience_verdict(col("level_list"), col("level_categories"), col(c)) for k, c in (("filter_exp", "filter_category"), ("score_exp", "level_category"))
+    }
+    shape = "struct<deferred:boolean,non_it:boolean,eligible:boolean,role:string,experience:string>"
+    tables = None
+    for name, (of_fact, of_user) in FACETS.items():
+        left = fact.select(col(f"f_{name}").alias("f_id"), *of_fact).dropDuplicates(["f_id"])
+        right = user.select(col(f"p_{name}").alias("p_id"), *of_user).dropDuplicates(["p_id"])
+        table = spread(left, "f_id").crossJoin(right).select(
+            "f_id", "p_id", verdict.get(name, F.lit(None).cast("string")).alias("verdict"), (parts[name] if name in parts and name != "role" else F.lit(0)).cast("int").alias("points"),
+            (mismatch if name == "employment" else F.lit(False)).alias("flag"), (match if name == "analysis" else F.lit(None)).cast(shape).alias("match"), F.lit(name).alias("facet"),
+        )
+        tables = table if tables is None else tables.unionByName(table)
+    path = scratch_path(fact.sparkSession, "facets")
+    tables.write.partitionBy("facet").parquet(path)
+    return fact.sparkSession.read.schema(tables.schema).parquet(path)
+
+
+def facet_verdicts(pairs: DataFrame, values: DataFrame, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    """As :func:`verdicts`, for pairs with facet ids: each facet's value is looked up by an equi-join with a table of distinct values."""
+    col = F.col
+    for name in FACETS:
+        table = values.filter(col("facet") == name).select(col("f_id").alias(f"f_{name}"), col("p_id").alias(f"p_{name}"), F.struct("verdict", "points", "flag", "match").alias(f"v_{name}"))
+        pairs = pairs.join(table, [f"f_{name}", f"p_{name}"])
+    role, m = col("v_role.verdict"), col("v_analysis.match")
+    none = F.array().cast("array<string>")
+    own = scoring.keyword_score(role, dict.fromkeys(("skills", "companies", "locations", "employment_types", "industries", "company_sizes"), none), F.lit(""), F.lit(""), col("v_score_exp.verdict"), F.lit(""), F.lit(""), none, F.lit(""), col("official"))
+    keyword = {k: col(f"v_{k}.points") if k in FACETS and k != "role" else v for k, v in own.items()}
+    classed = scoring.classified_score(keyword, m, col("scope"), col("recruitment_type"), col("new_grad"))
+    reason = filters.recommendation_reason(col("missing"), col("expired"), role, col("v_filter_exp.verdict"), col("v_employment.flag"))
+    return pairs.select(
+        "user_id", *shown, m.alias("match"), reason.alias("keyword_reason"), filters.classified_reason(reason, col("missing"), col("expired"), m, col("v_employment.flag")).alias("class_reason"),
+        scoring.total(keyword).alias("keyword_score"), scoring.total(classed).alias("class_score"), F.struct(*[v.alias(k) for k, v in keyword.items()]).alias("parts"),
+    )
+
+
 def class_verdicts(fact: DataFrame, user: DataFrame) -> DataFrame:
     """Verdicts of every user on every class of postings, with the number ``n`` of postings in it.
 
-    For reports over all pairs: the pairs made are those of users and distinct classes.
+    For reports over all pairs: a pair is two rows of ids, and what it means is looked up by facet.
     """
-    classes = fact.groupBy(*CLASS_OF).agg(F.count("*").alias("n"))
-    return verdicts(classes.join(profiles(user)), ("n",))
+    f, u = spill(with_facets(fact, 0), "facts"), spill(with_facets(profiles(user), 1), "profiles")
+    own = ("missing", "expired", "official", "scope", "recruitment_type", *[f"f_{name}" for name in FACETS])
+    classes = f.groupBy(*own).agg(F.count("*").alias("n"))
+    pairs = spread(classes).crossJoin(u.select("user_id", "new_grad", *[f"p_{name}" for name in FACETS]))
+    return facet_verdicts(pairs, facet_values(f, u), ("n",))
 
 
 #: What of a posting and of a user the filter reasons depend on.
@@ -160,13 +221,13 @@ def reason_counts(fact: DataFrame, user: DataFrame, *by: tuple[str, Column]) ->
     kinds = u.dropDuplicates(["p_id"]).drop("user_id")
     # the analysis for each distinct pair of (groups, new graduate) and analysis: the costly part, once
     exp = policy.experience_match(col("accepts_new_grad"), col("min_years"), col("requirement"), col("recruitment_type"), col("new_grad"))
-    pairs = keyed.dropDuplicates(["k_id"]).select("k_id", *analysis).crossJoin(kinds.dropDuplicates(["a_id"]).select("a_id", "acceptable", "new_grad"))
+    pairs = spread(keyed.dropDuplicates(["k_id"]).select("k_id", *analysis), "k_id").crossJoin(kinds.dropDuplicates(["a_id"]).select("a_id", "acceptable", "new_grad"))
     pairs = pairs.withColumn("single", scoring.single_role_match(col("a_groups"), col("acceptable"), exp)).withColumn("multi", scoring.multi_role_match(col("tracks"), col("acceptable"), col("new_grad"), policy.experience_match, scoring.IT_GROUPS))
     match = scoring.classification_match(col("single"), col("multi"), col("status"), col("job_domain"), col("scope"), col("tracks"))
     matches = spill(pairs.select("k_id", "a_id", match.alias("match")), "matches")
     # the other facets have few values and cheap verdicts
     slim = keyed.groupBy("k_id", "missing", "expired", "groups", "filter_category", "employment_type").agg(F.sum("n").alias("n"))
-    joined = slim.join(matches, "k_id").join(kinds, "a_id")
+    joined = spread(slim, "k_id").join(matches, "k_id").join(kinds, "a_id")
     wanted = col("u_employment_types")
     mismatch = (F.size(wanted) > 0) & (F.coalesce("employment_type", F.lit("")) != "") & ~F.exists(wanted, lambda x: F.lower(x) == F.lower(col("employment_type")))
     reason = filters.recommendation_reason(col("missing"), col("expired"), policy.role_verdict(col("acceptable"), col("groups")), policy.experience_verdict(col("level_list"), col("level_categories"), col("filter_category")), mismatch)
@@ -201,10 +262,10 @@ def candidate_pairs(fact: DataFrame, user: DataFrame, mode: str) -> DataFrame:
     else:
         fact = fact.filter("NOT missing AND NOT expired")
         wide = "?"
-    u = profiles(user).withColumn(
+    u = (user if "acceptable" in user.columns else profiles(user)).withColumn(
         "u_keys", F.when(F.size("acceptable") == 0, F.array(F.lit("*"))).otherwise(F.array_distinct(F.concat("acceptable", F.array(F.lit(wide)))))
     )
-    f = fact.withColumn("keys", group_keys(mode))
+    f = spread(fact, "id").withColumn("keys", group_keys(mode))
     joined = f.withColumn("key", F.explode("keys")).join(u.withColumn("key", F.explode("u_keys")), "key")
     return joined.filter(F.col("key") == F.get(F.array_intersect("keys", "u_keys"), F.lit(0)))
 
@@ -213,8 +274,9 @@ def top_per_user(spark: SparkSession, d: str, mode: str = "ENFORCE") -> DataFram
     """K24: the flagship. ``mode`` chooses filter and score together; the default is that of production."""
     reason, score = MODES[mode]
     post = postings(spark, d)
-    fact = facts(eligible_pool(post, provenance(spark, d), ref_date()), analyses(spark, d))
-    rows = verdicts(candidate_pairs(fact, users(spark, d), mode)).filter(F.col(reason).isNull())
+    fact = spill(with_facets(facts(eligible_pool(post, provenance(spark, d), ref_date()), analyses(spark, d)), 0), "facts")
+    user = spill(with_facets(profiles(users(spark, d)), 1), "profiles")
+    rows = facet_verdicts(candidate_pairs(fact, user, mode), facet_values(fact, user)).filter(F.col(reason).isNull())
     seen = exposures(spark, d, post.select("id", text.canonical_host_url(F.col("url")).alias("canonical")))
     rows = rows.join(seen, ["user_id", "canonical"], "left")
     penalty = dates.exposure_penalty(F.datediff(ref_date(), F.col("last_exposed")))

@@ -89,3 +89,33 @@ def test_group_join_loses_no_pair(spark, mode):
     every = recommend.verdicts(fact.join(recommend.profiles(user))).filter(F.col(reason).isNull()).select("user_id", "id")
     joined = recommend.verdicts(recommend.candidate_pairs(fact, user, mode)).filter(F.col(reason).isNull()).select("user_id", "id")
     assert rows_of(every) == rows_of(joined)
+
+
+def test_facets_give_what_pairs_give(spark):
+    """Verdicts looked up by facet equal those worked out for each pair."""
+    fact, user = recommend.facts(postings(spark, SF), analyses(spark, SF)), recommend.profiles(users(spark, SF))
+    shown = ("id", "match", "keyword_reason", "class_reason", "keyword_score", "class_score", "parts")
+    direct = recommend.verdicts(fact.join(user.filter("user_id % 4 = 0"))).select("user_id", *shown)
+    f, u = recommend.with_facets(fact, 0), recommend.with_facets(user.filter("user_id % 4 = 0"), 1)
+    looked_up = recommend.facet_verdicts(f.crossJoin(u), recommend.facet_values(f, u)).select("user_id", *shown)
+    assert rows_of(direct) == rows_of(looked_up)
+
+
+def test_backfill_limits_and_cursor(spark):
+    from postmill.operators import state
+
+    posts = spark.createDataFrame([(k, "h") for k in range(1, 31)], "id long, input_hash string")
+    known = spark.createDataFrame([(3, "SUCCEEDED", "h", "1"), (4, "FAILED", "x", "0"), (5, "FALLBACK", "old", "1"), (99, "PENDING", "h", "1")], "posting_id long, status string, input_hash string, version string")
+    with pytest.raises(ValueError):
+        state.backfill(posts, known, "1", limit=1001)
+    seen, cursor = [], None
+    while True:
+        rows = sorted(state.backfill(posts, known, "1", limit=7, after_id=cursor).collect())
+        if not rows:
+            break
+        seen += [(r["id"], r["reason"]) for r in rows]
+        cursor = rows[-1]["id"]
+    assert [i for i, _ in seen] == list(range(1, 31))
+    assert dict(seen[2:5]) == {3: "ALREADY_COMPLETED_SAME_VERSION", 4: "ALREADY_PENDING_OR_PROCESSING", 5: "VERSION_OR_INPUT_CHANGED"}
+    after = {r["posting_id"]: (r["status"], r["input_hash"]) for r in state.apply_backfill(known, state.backfill(posts, known, "1", limit=5), "1").collect()}
+    assert after[1] == ("PENDING", "h") and after[3] == ("SUCCEEDED", "h") and after[5] == ("PENDING", "h") and after[99] == ("PENDING", "h") and after[4] == ("FAILED", "x")
