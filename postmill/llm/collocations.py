@@ -193,7 +193,7 @@ def _size(phrase: Column) -> Column:
     return F.length(phrase) - F.length(F.translate(phrase, SEP, "")) + 1
 
 
-def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
+def count_prefixes(packed: DataFrame, buckets: int, max_n: int, least: int) -> DataFrame:
     """(lang, phrase, n), lang as its code, for every prefix of the suffixes that occurs ``least`` times or more.
 
     The stack holds a batch's last open prefix of each length with what it has gathered; within a batch, runs of equal prefixes are summed at once.
@@ -253,7 +253,7 @@ def count_prefixes(packed: DataFrame, max_n: int, least: int) -> DataFrame:
         if out:
             yield _batch(out, schema)
 
-    ordered = unpacked(packed.repartition("bucket")).sortWithinPartitions(F.desc("suffix"))
+    ordered = unpacked(packed.repartitionById(buckets, F.col("bucket"))).sortWithinPartitions(F.desc("suffix"))
     counted = ordered.mapInArrow(count, "prefix string, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return counted.select(F.substring("prefix", 1, 1).alias("lang"), F.expr("substr(prefix, 2)").alias("phrase"), "n")
 
@@ -281,8 +281,9 @@ def collocations(
     """
     sent = _sent(docs, lang_col, text_col)
     langs, hot = frequent_prefixes(sent, max_n, hot_share)
-    packed = packed_suffixes(sent, max_n, {lang: code.encode() for lang, code, _ in langs}, hot, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = spill(count_prefixes(packed, max_n, least).withColumn("size", _size(F.col("phrase"))), "phrases")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = packed_suffixes(sent, max_n, {lang: code.encode() for lang, code, _ in langs}, hot, buckets)
+    counts = spill(count_prefixes(packed, buckets, max_n, least).withColumn("size", _size(F.col("phrase"))), "phrases")
     candidates = counts.filter("size > 1")
     cuts = candidates.select("lang", "phrase", F.col("n").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     parts = counts.filter(F.col("size") < max_n)
