@@ -1,7 +1,8 @@
 """Phrase collocations by Suffix-sigma.
 
-Every word position of a piece of text stands for the suffix that begins there, cut to ``max_n`` words. Equal suffixes are
-counted where they are read. They are shuffled by language and first word, packed per bucket of these, and
+Every word position of a piece of text stands for the suffix that begins there, cut to ``max_n`` words. Words are numbered in byte
+order, some hundred thousand at a time, so equal suffixes are found and counted as numbers where they are read. They are shuffled by
+language and first word, packed per bucket of these, and
 sorted in reverse lexicographic order, so that a suffix follows those that extend it: one stack of at most ``max_n`` open prefixes then
 counts every phrase in a single pass over the partition, whatever its size. Frequent phrases are joined with their own parts
 afterwards.
@@ -18,10 +19,10 @@ texts without a word add nothing; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,19 @@ from postmill.llm.common import spill
 
 #: A group is split when it holds more than one in this many words.
 HOT_SHARE = 512
-#: Distinct suffixes a task counts before it packs them.
-FLUSH = 200_000
+#: Words whose suffixes a task counts before it packs them.
+FLUSH = 400_000
 #: Words in a chunk that reports its frequent prefixes.
-CHUNK = 100_000
+CHUNK = 500_000
+#: A chunk ends early where a word takes more than this on average.
+WORD_BYTES = 32
+#: Bytes of text that are split into words at once.
+BLOCK = 1 << 20
 #: Groups over which a language's best phrases are first sought.
 TOP_SALTS = 64
 
 _END = ord("\n")
+_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 #: A-Z lower-cased; piece ends as line feeds; tabs as spaces.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else _END if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 9 else b for b in range(256))
 #: Between the words of a suffix: below every other byte, so that a prefix's suffixes lie together. A language is one character before the first word.
@@ -56,9 +62,74 @@ def escaped(text: bytes) -> bytes:
     return text
 
 
-def pieces_of(text: bytes) -> list[list[bytes]]:
-    """The words of each piece, escaped."""
-    return [words for piece in escaped(text).split(b"\n") if (words := piece.split())]
+def words_of(text: bytes, max_n: int) -> tuple[pa.Array, np.ndarray]:
+    """The words of a text, escaped, and for each the number of words from it to its piece's end, ``max_n`` at most."""
+    data = np.frombuffer(escaped(text), np.uint8)
+    inside = (data != 0x20) & (data != _END)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begins, ends = edges[::2], edges[1::2]
+    offsets = np.zeros(len(begins) + 1, np.int32)
+    np.cumsum(ends - begins, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    # the number of words before each piece's end
+    stops = np.append(np.searchsorted(begins, np.flatnonzero(data == _END)), len(begins))
+    left = np.repeat(stops, np.diff(stops, prepend=0)) - np.arange(len(begins))
+    return words, np.minimum(left, max_n).astype(np.int32)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[str, bytes]]:
+    """(language, text): short texts of a language together; a text of more than ``most`` bytes is cut at ends of pieces."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text, start = body.as_py(), 0
+            while len(text) - start > most and (end := _ENDS.search(text, start + most)):
+                yield lang, text[start : end.end()]
+                start = end.end()
+            held.setdefault(lang, []).append(text[start:])
+            size += len(text) - start
+            if size >= most:
+                yield from ((lang, b"\n".join(texts)) for lang, texts in held.items())
+                held.clear()
+                size = 0
+    yield from ((lang, b"\n".join(texts)) for lang, texts in held.items())
+
+
+class Chunk(NamedTuple):
+    """Words of whole pieces: the place of each in ``words`` and of its language in ``langs``, and what :func:`words_of` says is left."""
+
+    langs: list[str]
+    words: pa.Array
+    lang: np.ndarray
+    ids: np.ndarray
+    left: np.ndarray
+
+
+def chunks_of(batches: Iterable[pa.RecordBatch], max_n: int, block: int, most: int) -> Iterator[Chunk]:
+    """Chunks of ``most`` words or more, fewer where words are long, but for the last."""
+    parts: list[tuple[str, pa.Array, np.ndarray]] = []
+
+    def joined() -> Chunk:
+        langs = sorted({lang for lang, *_ in parts})
+        encoded = pa.concat_arrays([words for _, words, _ in parts]).dictionary_encode()
+        place = {lang: k for k, lang in enumerate(langs)}
+        lang = np.repeat(np.array([place[lang] for lang, *_ in parts], np.int32), [len(words) for _, words, _ in parts])
+        ids, left = encoded.indices.to_numpy(), np.concatenate([left for *_, left in parts])
+        parts.clear()
+        return Chunk(langs, encoded.dictionary, lang, ids, left)
+
+    size = 0
+    for lang, text in _blocks(batches, block):
+        words, left = words_of(text, max_n)
+        if len(words):
+            parts.append((lang, words, left))
+            size += max(len(words), len(text) // WORD_BYTES)
+        if size >= most:
+            yield joined()
+            size = 0
+    if parts:
+        yield joined()
 
 
 def plain(phrase: Column) -> Column:
@@ -78,40 +149,46 @@ def code_of(number: int) -> str:
     return chr(place if place < 0xD800 else place + 0x800)
 
 
-def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int = CHUNK) -> tuple[list[tuple[str, str, int]], set[bytes]]:
+def _often(keys: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that occur more than ``bar`` times, in order, how often, and for each of ``keys`` its place among them or -1."""
+    found, ns = np.unique(keys, return_counts=True)
+    found, ns = found[ns > bar], ns[ns > bar]
+    if not len(found):
+        return found, ns, np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+    return found, ns, np.where(found[at] == keys, at, -1)
+
+
+def _frequent(part: Chunk, max_n: int, hot_share: int) -> pa.RecordBatch:
+    """(lang, prefix, n) of a chunk: its words per language, and each prefix of less than ``max_n`` words that holds over half the share."""
+    bar = len(part.ids) // (2 * hot_share)
+    rows = [(lang, None, n) for lang, n in zip(part.langs, np.bincount(part.lang).tolist(), strict=True)]
+    size = len(part.words)
+    found, ns, single = _often(part.lang.astype(np.int64) * size + part.ids, bar)
+    langs = [part.langs[k] for k in (found // size).tolist()]
+    words = [part.words[k].as_py() for k in (found % size).tolist()]
+    heads = [(lang, word) for lang, word in zip(langs, words, strict=True)]
+    rows += [(lang, head, n) for (lang, head), n in zip(heads, ns.tolist(), strict=True)]
+    prefix = single
+    for k in range(1, max_n - 1):
+        # the parts of what is frequent are frequent
+        at = np.flatnonzero((prefix >= 0) & (part.left > k))
+        at = at[single[at + k] >= 0]
+        found, ns, places = _often(prefix[at] * len(words) + single[at + k], bar)
+        heads = [(heads[p // len(words)][0], heads[p // len(words)][1] + _SEP + words[p % len(words)]) for p in found.tolist()]
+        rows += [(lang, head, n) for (lang, head), n in zip(heads, ns.tolist(), strict=True)]
+        prefix = np.full(len(single), -1)
+        prefix[at] = places
+    names, prefixes, ns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(prefixes, pa.binary()), pa.array(ns, pa.int64())], ["lang", "prefix", "n"])
+
+
+def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, chunk: int | None = None) -> tuple[list[tuple[str, str, int]], set[bytes]]:
     """(language, its code, number of its words), a row per language, and the prefixes to split."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-
-        def report(size: int) -> pa.RecordBatch:
-            # words of neighbouring pieces count as neighbours here: more may be split than must
-            bar, rows = size // (2 * hot_share), []
-            for lang, words in held.items():
-                rows.append((lang, None, len(words)))
-                often = {(w,): c for w, c in Counter(words).items() if c > bar}
-                known = {w for (w,) in often}
-                for n in range(2, max_n):
-                    grams = [g for g in zip(*(words[k:] for k in range(n)), strict=False) if g[0] in known]
-                    often |= {g: c for g, c in Counter(grams).items() if c > bar}
-                rows += [(lang, _SEP.join(g), c) for g, c in often.items()]
-            held.clear()
-            langs, prefixes, ns = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(ns, pa.int64())], ["lang", "prefix", "n"])
-
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = escaped(text.as_py()).split()
-                for k in range(0, len(words), chunk):  # a long text is several chunks
-                    part = words[k : k + chunk]
-                    held.setdefault(lang, []).extend(part)
-                    size += len(part)
-                    if size >= chunk:
-                        yield report(size)
-                        size = 0
-        if held:
-            yield report(size)
+        for part in chunks_of(batches, max_n, BLOCK, chunk or CHUNK):
+            yield _frequent(part, max_n, hot_share)
 
     counts = spill(sent.mapInArrow(count, "lang string, prefix binary, n bigint").groupBy("lang", "prefix").agg(F.sum("n").alias("n")), "hot-words")
     langs = [(r["lang"], code_of(k), r["n"]) for k, r in enumerate(counts.filter("prefix IS NULL").orderBy("lang").collect())]
@@ -122,63 +199,92 @@ def frequent_prefixes(sent: DataFrame, max_n: int, hot_share: int = HOT_SHARE, c
     return langs, {codes[r["lang"]] + bytes(r["prefix"]) for r in hot}
 
 
+_PACKED = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def packs_of(part: Chunk, max_n: int, codes: dict[str, bytes], hot: list[tuple[bytes, list[bytes]]], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The counted suffixes of a chunk, of about ``most`` words at once; see :func:`packed_suffixes`. ``hot`` goes by length."""
+    heads = sorted({codes.get(lang, b"") for lang in part.langs})
+    head_at = {head: k for k, head in enumerate(heads)}
+    lang = np.array([head_at[codes.get(lang, b"")] for lang in part.langs], np.int32)[part.lang]
+    order = pc.array_sort_indices(part.words)
+    words, base = part.words.take(order), len(part.words) + 1
+    rank = np.empty(len(words), np.int32)
+    rank[order.to_numpy()] = np.arange(1, base)  # 0 stands for no word
+    ids = np.concatenate([rank[part.ids], np.zeros(max_n, np.int32)])
+    sums = np.fromiter(map(zlib.crc32, [b"", *words.to_pylist()]), np.uint64, base)
+    starts = np.fromiter(map(zlib.crc32, heads), np.uint64, len(heads))
+    splits = []
+    if hot:
+        known = sorted({w for _, parts in hot for w in parts})
+        places = dict(zip(known, pc.index_in(pa.array(known, pa.binary()), words).to_pylist(), strict=True))
+        here = [(code, [places[w] for w in parts]) for code, parts in hot if code in head_at]
+        splits = [(head_at[code], [p + 1 for p in at]) for code, at in here if None not in at]
+    heads = pa.array(heads, pa.binary())
+
+    def pack(start: int, stop: int) -> pa.RecordBatch:
+        left = part.left[start:stop]
+        columns = [lang[start:stop]] + [np.where(left > k, ids[start + k : stop + k], 0) for k in range(max_n)]
+        key, room = columns[0].astype(np.int64), len(heads)
+        for column in columns[1:]:
+            if room * base >= 1 << 63:
+                dense, key = np.unique(key, return_inverse=True)
+                room = len(dense)
+            key = key * base + column
+            room *= base
+        at = np.argsort(key)
+        key = key[at]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.diff(begins, append=len(key))
+        at = at[begins]
+        columns = [column[at] for column in columns]
+        del key, at
+        # the number of first words that decide the bucket
+        cut = np.ones(len(begins), np.int64)
+        for code, prefix in splits:
+            low, high = 0, len(begins)
+            for column, value in zip(columns, [code, *prefix], strict=False):
+                low, high = low + np.searchsorted(column[low:high], np.array([value, value + 1], column.dtype))
+            if low < high and cut[low] == len(prefix):
+                cut[low:high] += 1
+        mixed = starts[columns[0]]
+        for k, column in enumerate(columns[1:]):
+            mixed = np.where((cut > k) & (column > 0), mixed * _MIX + sums[column], mixed)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        group = (mixed >> np.uint64(33)).astype(np.int64) % buckets * (max_n + 2) + cut
+        # by group, in each from the greatest suffix down: the sort afterwards merges ordered runs
+        down = group[::-1].astype(np.uint16) if buckets * (max_n + 2) <= 1 << 16 else group[::-1]
+        rows = len(begins) - 1 - np.argsort(down, kind="stable")
+        group = group[rows]
+        edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        new = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
+        firsts = pc.binary_join_element_wise(heads.take(pa.array(columns[0][new])), words.take(pa.array(columns[1][new] - 1)), b"")
+        joined = [firsts.take(pa.array((np.cumsum(new) - 1)[rows]))]
+        joined += [words.take(pa.array(column[rows] - 1, mask=column[rows] == 0)) for column in columns[2:]]
+        suffixes = pc.binary_join_element_wise(*joined, _SEP, null_handling="skip").cast(pa.string())
+        del joined
+        ends = pa.array(np.append(edges, len(rows)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, suffixes), pa.ListArray.from_arrays(ends, pa.array(counts[rows]))]
+        keys = group[edges]
+        return pa.RecordBatch.from_arrays([pa.array(keys // (max_n + 2), pa.int32()), pa.array(keys % (max_n + 2), pa.int32()), *lists], schema=_PACKED)
+
+    bounds = np.linspace(0, len(part.ids), max(1, len(part.ids) // most) + 1).astype(int).tolist()
+    for start, stop in zip(bounds, bounds[1:], strict=False):
+        yield pack(start, stop)
+
+
 def packed_suffixes(sent: DataFrame, max_n: int, codes: dict[str, bytes], hot: set[bytes], buckets: int) -> DataFrame:
     """(bucket, cut, suffixes, counts): counted suffixes of at most ``max_n`` words, packed by the bucket of language and first words.
 
-    ``cut`` is the number of first words that decide the bucket. Suffixes are counted per task in a table of bounded size. A pack is one
-    row of two lists, without a row's overhead for each suffix.
+    ``cut`` is the number of first words that decide the bucket; it is one more than a suffix has if the whole suffix is a prefix that others extend elsewhere.
+    Suffixes are counted some words at a time. A pack is one row of two lists, without a row's overhead for each suffix, in descending order.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("cut", pa.int32()), ("suffixes", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-    def place(key: bytes) -> tuple[int, int]:
-        """Bucket and cut of a suffix whose first word is hot."""
-        parts = key.split(_SEP)
-        cut, head = 1, parts[0]
-        while head in hot:
-            cut += 1
-            if cut > len(parts):  # the whole suffix is a prefix that others extend elsewhere
-                break
-            head = _SEP.join(parts[:cut])
-        return zlib.crc32(head) % buckets, cut
-
-    def pack(table: Counter) -> pa.RecordBatch:
-        groups: dict[tuple[int, int], tuple[list, list]] = {}
-        lists: dict[bytes, tuple[list, list] | None] = {}
-        for key, n in table.items():
-            head = key.partition(_SEP)[0]
-            if head not in lists:
-                lists[head] = None if head in hot else groups.setdefault((zlib.crc32(head) % buckets, 1), ([], []))
-            keys, counts = lists[head] or groups.setdefault(place(key), ([], []))
-            keys.append(key)
-            counts.append(n)
-        table.clear()
-        ends = pa.array(np.cumsum([0, *(len(keys) for keys, _ in groups.values())]), pa.int32())
-        suffixes = pa.array(list(chain.from_iterable(keys for keys, _ in groups.values())), pa.binary()).cast(pa.string())
-        counts = pa.array(np.fromiter(chain.from_iterable(n for _, n in groups.values()), np.int64, len(suffixes)))
-        lists = [pa.ListArray.from_arrays(ends, suffixes), pa.ListArray.from_arrays(ends, counts)]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int32()), pa.array([c for _, c in groups], pa.int32()), *lists], schema=schema)
+    split = sorted(((h[0].encode(), h[1:].encode().split(_SEP)) for h in map(bytes.decode, hot)), key=lambda h: len(h[1]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                code, keys = codes[lang] if lang in codes else b"", []
-                for words in pieces_of(text.as_py()):
-                    first = [code + w for w in words]
-                    last = len(words) - max_n + 1  # the last suffixes of a piece are shorter
-                    if last > 0:
-                        keys += map(_SEP.join, zip(first[:last], *(words[k : last + k] for k in range(1, max_n)), strict=True))
-                    keys += [_SEP.join((first[k], *words[k + 1 :])) for k in range(max(last, 0), len(words))]
-                    if len(keys) > 100_000:
-                        table.update(keys)
-                        keys = []
-                        if len(table) > FLUSH:  # inside a text too: it may be long
-                            yield pack(table)
-                table.update(keys)
-                if len(table) > FLUSH:
-                    yield pack(table)
-        if table:
-            yield pack(table)
+        for part in chunks_of(batches, max_n, BLOCK, FLUSH):
+            yield from packs_of(part, max_n, codes, split, buckets, FLUSH)
 
     return sent.mapInArrow(count, "bucket int, cut int, suffixes array<string>, counts array<bigint>")
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,54 @@ def test_tables_that_overflow_are_the_same(docs, rows, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs).collect())) == collocations_by_hand(rows)
 
 
+@pytest.mark.parametrize(("block", "flush", "max_n"), [(1, 1, 3), (40, 7, 4), (500, 10_000, 3)])
+def test_texts_cut_into_blocks_are_the_same(docs, rows, monkeypatch, block, flush, max_n):
+    rows = [r for r in rows if len(r[1] or "") < 3000]
+    for name, value in (("BLOCK", block), ("FLUSH", flush), ("CHUNK", flush)):
+        monkeypatch.setattr(collocations, name, value)
+    found = collocations.collocations(docs.filter("coalesce(length(text), 0) < 3000"), max_n=max_n, least=2, hot_share=10)
+    assert sorted(map(tuple, found.collect())) == collocations_by_hand(rows, max_n, 2)
+
+
+def text_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array([t.encode() for t in texts])], ["lang", "body"])
+
+
+def test_frequent_prefixes_of_a_chunk():
+    texts = ["a b c d. a b", "a b x, c a", "b"]
+    part = next(collocations.chunks_of([text_batch(texts)], 3, 1 << 20, 1 << 20))
+    # 12 words and a share of a third: more than 2
+    assert sorted(map(tuple, (r.values() for r in collocations._frequent(part, 3, 3).to_pylist())), key=str) == sorted(
+        [("en", None, 12), ("en", b"a", 4), ("en", b"b", 4), ("en", b"a\x00b", 3)], key=str
+    )
+
+
+def test_chunks_of_long_words_are_small():
+    texts = [f"{k}" * 3000 for k in range(100, 200)]
+    parts = list(collocations.chunks_of([text_batch(texts)], 3, 10_000, 1000))
+    assert sum(len(p.ids) for p in parts) == 100 and max(p.words.nbytes for p in parts) < 100_000
+
+
+def test_keys_beyond_64_bits_are_made_dense():
+    words = [f"w{k * 7919 % 9973}" for k in range(12_000)]
+    part = next(collocations.chunks_of([text_batch([" ".join(words)])], 6, 1 << 20, 1 << 20))
+    assert len(part.words) ** 6 > 1 << 63
+    found = Counter()
+    for pack in collocations.packs_of(part, 6, {"en": b"!"}, [], 5, 1 << 20):
+        for row in pack.to_pylist():
+            found.update(dict(zip(row["suffixes"], row["counts"], strict=True)))
+    assert found == Counter("!" + "\x00".join(words[k : k + 6]) for k in range(len(words)))
+
+
+def test_packs_are_in_descending_order(spark, docs):
+    # the sort that follows then merges ordered runs; in the order of the text it was the longest stage
+    sent = collocations._sent(docs, "lang", "text")
+    langs, hot = collocations.frequent_prefixes(sent, 3)
+    packs = collocations.packed_suffixes(sent, 3, {lang: code.encode() for lang, code, _ in langs}, hot, 4).collect()
+    assert sum(len(p["suffixes"]) for p in packs) > 100
+    assert all(p["suffixes"] == sorted(set(p["suffixes"]), key=str.encode, reverse=True) for p in packs)
+
+
 @pytest.mark.parametrize("rows_a_batch", [1, 2, 7])
 def test_stack_over_batches(spark, docs, rows, rows_a_batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
