@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -198,15 +200,20 @@ DUTIES = {
 def duty_of(role: Column) -> Column:
     """The first duty group with a word in the role, or null."""
     low = F.lower(F.regexp_replace(F.trim(role), r"\s+", " "))
-    return F.coalesce(*[F.when(low.rlike(_word_pattern(words)), F.lit(g)) for g, (_, words) in DUTIES.items()])
+    holds = lambda text, words: reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+    first = lambda text: F.coalesce(*[F.when(holds(text, words), F.lit(g)) for g, (_, words) in DUTIES.items()])
+    return F.transform(F.array(low), first)[0]  # a lambda's argument is worked out once, however often it is used
 
 
 def duty_plan(roles: Column) -> tuple[Column, Column]:
-    """The duty groups of a list of roles, in their own order, and their ids, sorted; unknown roles are skipped."""
+    """The duty groups of a list of roles, in their own order, and their ids, sorted; unknown roles are skipped.
+
+    Either column names the roles once, so each works out a role's group once.
+    """
     found = F.transform(F.coalesce(roles, F.array().cast("array<string>")), duty_of)
-    groups = F.array_compact(F.array(*[F.when(F.array_contains(F.array_compact(found), g), F.lit(g)) for g in DUTIES]))
-    ids = [F.when(F.array_contains(groups, g), F.array(*map(F.lit, numbers))).otherwise(F.array().cast("array<int>")) for g, (numbers, _) in DUTIES.items()]
-    return groups, F.array_sort(F.array_distinct(F.flatten(F.array(*ids))))
+    groups = F.array_intersect(F.array(*map(F.lit, DUTIES)), found)
+    table = F.create_map(*[x for g, (numbers, _) in DUTIES.items() for x in (F.lit(g), F.array(*map(F.lit, numbers)))])
+    return groups, F.array_sort(F.array_distinct(F.flatten(F.transform(groups, lambda g: table[g]))))
 
 
 def generation_mode(n_selected: Column, fallback: Column, enabled: Column, rewrites: Column) -> Column:

@@ -157,3 +157,33 @@ def test_streaming_equals_batch(spark, tmp_path):
 
     batch = {(r["day"], r["event_type"]): (r["n"], round(r["total"], 2)) for r in registry.QUERIES["I12_stream_windows"](spark, SF).collect()}
     assert rows == batch
+
+
+def planned_uses(spark, name, *columns):
+    """How often a function stands in the optimized plan of ``columns`` over a text ``t``."""
+    rows = spark.range(1).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("t")).repartition(2)
+    with_all = {"spark.sql.debug.maxToStringFields": "100000"}
+    before = {k: spark.conf.get(k) for k in with_all}
+    try:
+        for k, v in with_all.items():
+            spark.conf.set(k, v)
+        return rows.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)])._jdf.queryExecution().optimizedPlan().toString().count(name)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_duty_plan_reads_a_role_once_a_column(spark):
+    assert planned_uses(spark, "regexp_replace(", *policy.duty_plan(F.split("t", ";"))) == 2
+
+
+@pytest.mark.parametrize(
+    ("roles", "groups", "ids"),
+    [
+        (None, [], []), ([], [], []), ([None, " ", "정원사"], [], []), (["SRE", None, "보안 엔지니어", "sre"], ["DEVOPS_INFRA", "SECURITY"], [164, 166]),
+        (["sw engineer", "  Spring\t  BOOT "], ["BACKEND", "GENERAL_SOFTWARE"], [165, 170, 176]), (["서버 개발 및 인프라"] * 40, ["BACKEND"], [176]),
+    ],
+)
+def test_duty_plan_of_odd_roles(spark, roles, groups, ids):
+    given = F.lit(None).cast("array<string>") if roles is None else F.array(*map(F.lit, roles)).cast("array<string>")
+    assert [value(spark, c) for c in policy.duty_plan(given)] == [groups, ids]
