@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,72 +26,89 @@ def _when(bad: Column, code: str, value: Column | None = None) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), text)
 
 
-def _fields(raw: Column, at: str, prefix: str) -> tuple[list[Column], Column, Column]:
-    """Codes that items and tracks share, in order, with the domain and the known role groups of what lies at ``at``."""
-    text = lambda name, other: F.coalesce(F.variant_get(raw, f"{at}.{name}", "string"), F.lit(other))
-    kind = lambda name: F.schema_of_variant(F.variant_get(raw, f"{at}.{name}", "variant"))
-    domain, recruitment, need = text("jobDomain", "UNKNOWN"), text("recruitmentType", "UNKNOWN"), text("experienceRequirementType", "UNKNOWN")
-    groups = F.coalesce(F.try_variant_get(raw, f"{at}.roleGroups", "array<string>"), F.array().cast("array<string>"))
-    known = F.filter(groups, lambda g: g.isin(*ROLE_GROUPS))
-    strange = F.array_join(F.array_sort(F.array_distinct(F.filter(groups, lambda g: ~g.isin(*ROLE_GROUPS)))), ",")
-    accepts = kind("acceptsNewGrad")
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` worked out once however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _facts(raw: Column) -> Column:
+    """What the codes of an item or a track are made from, as a struct; texts that only faulty ones show are left to :func:`_codes`."""
+    text = lambda name: F.coalesce(F.variant_get(raw, f"$.{name}", "string"), F.lit("UNKNOWN")).alias(name)
+    kind = lambda name: F.schema_of_variant(F.variant_get(raw, f"$.{name}", "variant")).alias(f"{name}Kind")
+    years = lambda name: F.try_variant_get(raw, f"$.{name}", "long").alias(name)
+    groups = F.coalesce(F.try_variant_get(raw, "$.roleGroups", "array<string>"), F.array().cast("array<string>"))
+    return F.struct(
+        text("jobDomain"), text("recruitmentType"), text("experienceRequirementType"), groups.alias("groups"), F.filter(groups, lambda g: g.isin(*ROLE_GROUPS)).alias("known"),
+        kind("acceptsNewGrad"), kind("minRequiredYears"), years("minRequiredYears"), kind("maxRequiredYears"), years("maxRequiredYears"),
+    )
+
+
+def _clash(facts: Column, domain: str) -> Column:
+    """Whether development roles stand under ``domain``."""
+    return (facts["jobDomain"] == domain) & F.exists(facts["known"], lambda g: g != "NON_DEV")
+
+
+def _codes(raw: Column, facts: Column, prefix: str) -> list[Column]:
+    """Codes that items and tracks share, in order; null for those that don't hold."""
+    domain, recruitment, need, accepts = facts["jobDomain"], facts["recruitmentType"], facts["experienceRequirementType"], facts["acceptsNewGradKind"]
+    odd = lambda g: ~g.isin(*ROLE_GROUPS)
+    strange = F.array_join(F.array_sort(F.array_distinct(F.filter(facts["groups"], odd))), ",")
 
     def years(name: str) -> tuple[Column, Column]:
-        value = F.try_variant_get(raw, f"{at}.{name}", "long")
-        given = F.coalesce(~kind(name).isin("VOID"), F.lit(False))
-        bad = given & (~kind(name).isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (value < 0))
+        value, kind = facts[name], facts[f"{name}Kind"]
+        given = F.coalesce(~kind.isin("VOID"), F.lit(False))
+        bad = given & (~kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (value < 0))
         return bad, F.when(~bad, value)
 
     low_bad, low = years("minRequiredYears")
     high_bad, high = years("maxRequiredYears")
-    shown = lambda name: F.coalesce(F.variant_get(raw, f"{at}.{name}", "string"), F.lit(""))
-    clash = (domain == "NON_IT") & F.exists(known, lambda g: g != "NON_DEV")
-    of_roles = _when(clash, f"{prefix}CONTRADICTION_NONIT" + ("_DEV_ROLES" if prefix else "_WITH_DEV_ROLES"), F.array_join(known, ","))
+    shown = lambda name: F.coalesce(F.variant_get(raw, f"$.{name}", "string"), F.lit(""))
+    of_roles = _when(_clash(facts, "NON_IT"), f"{prefix}CONTRADICTION_NONIT" + ("_DEV_ROLES" if prefix else "_WITH_DEV_ROLES"), F.array_join(facts["known"], ","))
     of_hire = _when(~recruitment.isin(*RECRUITMENTS), f"{prefix}INVALID_RECRUITMENT_TYPE", recruitment)
     of_need = _when(~need.isin(*REQUIREMENTS), f"{prefix}INVALID_EXP_REQ_TYPE", need)
-    return (
-        [
-            _when(~domain.isin(*JOB_DOMAINS), f"{prefix}INVALID_JOB_DOMAIN", domain),
-            _when(strange != "", f"{prefix}INVALID_ROLE_GROUPS", strange),
-            *((of_need, of_hire, of_roles) if prefix else (of_roles, of_hire, of_need)),
-            _when(~accepts.isin("BOOLEAN", "VOID"), f"{prefix}INVALID_ACCEPTS_NEW_GRAD_TYPE", F.lower(accepts)),
-            _when(low_bad, f"{prefix}INVALID_MIN_YEARS", shown("minRequiredYears")),
-            _when(high_bad, f"{prefix}INVALID_MAX_YEARS", shown("maxRequiredYears")),
-            _when(high < low, f"{prefix}YEAR_RANGE_INVALID", F.concat(low.cast("string"), F.lit("-"), high.cast("string"))),
-        ],
-        domain,
-        known,
-    )
+    return [
+        _when(~domain.isin(*JOB_DOMAINS), f"{prefix}INVALID_JOB_DOMAIN", domain),
+        F.when(F.exists(facts["groups"], odd), _once(strange, lambda s: _when(s != "", f"{prefix}INVALID_ROLE_GROUPS", s))),
+        *((of_need, of_hire, of_roles) if prefix else (of_roles, of_hire, of_need)),
+        _when(~accepts.isin("BOOLEAN", "VOID"), f"{prefix}INVALID_ACCEPTS_NEW_GRAD_TYPE", F.lower(accepts)),
+        _when(low_bad, f"{prefix}INVALID_MIN_YEARS", shown("minRequiredYears")),
+        _when(high_bad, f"{prefix}INVALID_MAX_YEARS", shown("maxRequiredYears")),
+        _when(high < low, f"{prefix}YEAR_RANGE_INVALID", F.concat(low.cast("string"), F.lit("-"), high.cast("string"))),
+    ]
 
 
-def item_codes(json: Column, expected_id: Column, max_tracks: int = 8) -> Column:
-    """Codes of one classified item, given as JSON; another id is the only code of its item.
+def item_codes(json: Column, expected_id: Column) -> Column:
+    """Codes of one classified item, given as JSON, and of all its tracks; another id is the only code of its item.
 
-    Tracks beyond ``max_tracks`` are a code of their own, not a silent cut.
+    The JSON is parsed once, each track's facts are read once.
     """
-    raw = F.try_parse_json(json)
-    own, domain, _ = _fields(raw, "$", "")
-    scope = F.coalesce(F.variant_get(raw, "$.postingScope", "string"), F.lit("UNKNOWN"))
-    tracks = F.coalesce(F.try_variant_get(raw, "$.tracks", "array<variant>"), F.array().cast("array<variant>"))
-    there = lambda k: F.size(tracks) > k
-    of_tracks, clash = [], F.lit(False)
-    for k in range(max_tracks):
-        found, track_domain, known = _fields(raw, f"$.tracks[{k}]", "TRACK_")
-        of_tracks += [F.when(there(k), c) for c in found]
-        clash = clash | (there(k) & (track_domain == "IT") & F.exists(known, lambda g: g != "NON_DEV"))
-    ordered = [own[0], _when(~scope.isin(*SCOPES), "INVALID_POSTING_SCOPE", scope), *own[1:], *of_tracks]
-    ordered += [
-        _when(F.size(tracks) > max_tracks, "TOO_MANY_TRACKS", F.size(tracks).cast("string")),
-        _when(scope.isin(*TRACK_SCOPES) & (F.size(tracks) == 0), "TRACKS_EMPTY_FOR_SCOPE", scope),
-        _when((domain == "NON_IT") & clash, "CONTRADICTION_ROOT_NONIT_TRACK_IT_DEV"),
-    ]
-    got = F.try_variant_get(raw, "$.jobPostingId", "long")
-    mismatch = F.concat(F.lit("ID_MISMATCH:got="), F.coalesce(got.cast("string"), F.lit("None")), F.lit(",expected="), expected_id.cast("string"))
-    return (
-        F.when(raw.isNull(), F.array(F.lit("INVALID_JSON")))
-        .when(~got.eqNullSafe(expected_id.cast("long")), F.array(mismatch))
-        .otherwise(F.array_compact(F.array(*ordered)))
-    )
+
+    def of_track(track: Column) -> Column:
+        facts = lambda f: F.struct(F.array(*_codes(track, f, "TRACK_")).alias("codes"), _clash(f, "IT").alias("clash"))
+        return _once(_facts(track), facts)
+
+    def of_item(raw: Column) -> Column:
+        scope = F.coalesce(F.variant_get(raw, "$.postingScope", "string"), F.lit("UNKNOWN"))
+        tracks = F.coalesce(F.try_variant_get(raw, "$.tracks", "array<variant>"), F.array().cast("array<variant>"))
+
+        def codes(facts: Column) -> Column:
+            own = _codes(raw, facts["own"], "")
+            own.insert(1, _when(~facts["scope"].isin(*SCOPES), "INVALID_POSTING_SCOPE", facts["scope"]))
+            last = (
+                _when(facts["scope"].isin(*TRACK_SCOPES) & (F.size(facts["tracks"]) == 0), "TRACKS_EMPTY_FOR_SCOPE", facts["scope"]),
+                _when((facts["own"]["jobDomain"] == "NON_IT") & F.exists(facts["tracks"], lambda t: t["clash"]), "CONTRADICTION_ROOT_NONIT_TRACK_IT_DEV"),
+            )
+            return F.array_compact(F.concat(F.array(*own), F.flatten(facts["tracks"]["codes"]), F.array(*last)))
+
+        got = F.try_variant_get(raw, "$.jobPostingId", "long")
+        mismatch = F.concat(F.lit("ID_MISMATCH:got="), F.coalesce(got.cast("string"), F.lit("None")), F.lit(",expected="), expected_id.cast("string"))
+        return (
+            F.when(raw.isNull(), F.array(F.lit("INVALID_JSON")))
+            .when(~got.eqNullSafe(expected_id.cast("long")), F.array(mismatch))
+            .otherwise(_once(F.struct(_facts(raw).alias("own"), scope.alias("scope"), F.transform(tracks, of_track).alias("tracks")), codes))
+        )
+
+    return _once(F.try_parse_json(json), of_item)
 
 
 def report_codes(content: Column, summary: Column, referenced: Column, expected: Column, urls: Column, keywords: Column, allowed: Column) -> Column:

@@ -22,7 +22,8 @@ def register(add) -> None:
     col = F.col
 
     def items(s, d):
-        rows = s.sql(ITEMS_SQL.replace("FROM analyses", "FROM {analyses}"), analyses=analyses(s, d))
+        over = sinks.spread(postings(s, d), "id")  # a small file is few splits, and items take long to write and check
+        rows = s.sql(ITEMS_SQL.replace("FROM analyses", "FROM {analyses}"), analyses=analyses(s, d, over))
         groups = F.filter(F.split("role_groups", ","), lambda g: g != "")
         track = lambda domain, of, accepts, low, need: F.struct(
             domain.alias("jobDomain"), of.alias("roleGroups"), accepts.alias("acceptsNewGrad"), low.alias("minRequiredYears"), need.alias("experienceRequirementType"), F.lit("OPEN_HIRE").alias("recruitmentType"),

@@ -88,8 +88,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, POSTINGS_SQL, "part")
 
 
-def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ANALYSES_SQL.replace("FROM postings", "FROM {postings}"), postings=postings(spark, sf_dir))
+def analyses(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """The analyses of all postings, or of the postings ``of``."""
+    return spark.sql(ANALYSES_SQL.replace("FROM postings", "FROM {postings}"), postings=postings(spark, sf_dir) if of is None else of)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Behavioural examples of functions, policies and operators."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, policy, text
-from postmill.operators import dedup, filters, ranking, state
+from postmill.operators import dedup, filters, ranking, state, validation
 from postmill.sources import parsers
 
 
@@ -187,3 +188,27 @@ def test_duty_plan_reads_a_role_once_a_column(spark):
 def test_duty_plan_of_odd_roles(spark, roles, groups, ids):
     given = F.lit(None).cast("array<string>") if roles is None else F.array(*map(F.lit, roles)).cast("array<string>")
     assert [value(spark, c) for c in policy.duty_plan(given)] == [groups, ids]
+
+
+def test_item_codes_parse_an_item_once(spark):
+    assert planned_uses(spark, "parseJson(", validation.item_codes(F.col("t"), F.lit(1))) == 1
+
+
+def test_item_codes_of_all_tracks(spark):
+    sound = {"jobDomain": "IT", "roleGroups": ["DATA"]}
+    tracks = [sound] * 9 + [{"jobDomain": "BOTH", "roleGroups": ["CHEF", "DATA"], "minRequiredYears": 3, "maxRequiredYears": 2}]
+    codes = lambda tracks: value(spark, validation.item_codes(F.lit(json.dumps({"jobPostingId": 1, "postingScope": "MULTI_ROLE", "tracks": tracks})), F.lit(1)))
+    assert codes(tracks) == ["TRACK_INVALID_JOB_DOMAIN:BOTH", "TRACK_INVALID_ROLE_GROUPS:CHEF", "TRACK_YEAR_RANGE_INVALID:3-2"]
+    assert codes(tracks[:9]) == []
+    assert codes([]) == ["TRACKS_EMPTY_FOR_SCOPE:MULTI_ROLE"]
+
+
+@pytest.mark.parametrize(
+    ("item", "codes"),
+    [
+        (None, ["INVALID_JSON"]), ("{", ["INVALID_JSON"]), ("[]", ["ID_MISMATCH:got=None,expected=1"]), ('{"jobPostingId":1,"tracks":[null,3,"x",{}],"roleGroups":[null]}', []),
+        ('{"jobPostingId":1,"acceptsNewGrad":"no","minRequiredYears":1.5,"maxRequiredYears":-1}', ["INVALID_ACCEPTS_NEW_GRAD_TYPE:string", "INVALID_MIN_YEARS:1.5", "INVALID_MAX_YEARS:-1"]),
+    ],
+)
+def test_item_codes_of_odd_items(spark, item, codes):
+    assert value(spark, validation.item_codes(F.lit(item).cast("string"), F.lit(1))) == codes
